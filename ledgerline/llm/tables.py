@@ -50,3 +50,11 @@ def crc_mod(doc_id: Column | str, m: int) -> Column:
 def uniform(key: Column, seed: int, buckets: int = 1 << 30) -> Column:
     """A whole number in [0, buckets), as good as random but fixed by key and seed."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets))
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df lacks."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
