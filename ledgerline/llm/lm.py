@@ -199,6 +199,18 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(_count_task, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above the least frequency, in 64 steps a doubling, that at most `most` words are above."""
+    step = F.floor(F.log2("n") * 64).cast("int")
+    total, least = 0, None
+    for s, n in sorted(((r.s, r.n) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = s
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 @dataclass
 class LanguageModel:
     cfg: LmConfig
@@ -215,9 +227,8 @@ def fit(train: DataFrame, cfg: LmConfig = LmConfig()) -> LanguageModel:
     """train: doc_id, text (null: empty). An empty table gives the uniform model."""
     counts = cut(word_counts(train))
     tokens, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    top = counts.orderBy(F.desc("n"), "word").limit(cfg.head).collect()  # at most cfg.head rows
-    head = {bytes(r.word): r.n for r in top}
-    ranked = [w for w in head if w != END][: cfg.events - 1]
+    head = {bytes(r.word): r.n for r in most_frequent(counts, cfg.head).collect()}  # at most cfg.head rows
+    ranked = sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[: cfg.events - 1]
     own = {END: 0} | {w: i + 1 for i, w in enumerate(ranked)}
     # the words with outputs of their own are taken from the class totals, not filtered from the table
     cls = F.crc32(F.expr("substring(word, -3, 3)")) % F.lit(cfg.tail_classes)
