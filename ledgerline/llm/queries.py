@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import exact_dedup, langid, lm, ngram_join, packing, toxicity, url_filter
+from ledgerline.llm import decontam, exact_dedup, langid, license, lm, ngram_join, packing, sharding, toxicity, url_filter
 from ledgerline.llm.tables import read
 
 
@@ -18,10 +18,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents"))
 
@@ -44,7 +56,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
-ALL = (op1_lm_scoring, op2_packing, op5_language_id, op7_exact_dedup, op8_ngram_jaccard_join, op9_toxicity, op10_url_filter)
+ALL = (
+    op1_lm_scoring, op2_packing, op3_benchmark_decontamination, op4_license_scan, op5_language_id,
+    op6_sharding, op7_exact_dedup, op8_ngram_jaccard_join, op9_toxicity, op10_url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
