@@ -28,9 +28,9 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class ToxicConfig:
-    per_class: int = 10_000
+    per_class: int = 8_000
     places: int = 1 << 20
-    kept: int = 6_000
+    kept: int = 2_000
     least: int = 3  # texts of the sample that a place must occur in
     smooth: float = 1.0
     l1: float = 2e-4
@@ -91,21 +91,26 @@ def _feature_task(column: np.ndarray):
     return run
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, shares: np.ndarray, cfg: ToxicConfig) -> tuple[np.ndarray, float]:
-    """Weights (times r) and intercept of a logistic regression by proximal gradient steps with momentum, Adam's scale."""
-    lens = np.array([len(x) for x in rows])
-    cols = np.concatenate(rows).astype(np.int64) if len(rows) else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), lens)
+def fit_linear(lens: np.ndarray, cols: np.ndarray, y: np.ndarray, r: np.ndarray, shares: np.ndarray, cfg: ToxicConfig) -> tuple[np.ndarray, float]:
+    """Weights (times r) and intercept of a logistic regression by proximal Adam steps. Row i has lens[i] of cols."""
+    ends = np.cumsum(lens)
+    cuts = [0, *(np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) if len(ends) else 0, 1 << 20)) + 1), len(lens)]
+    parts = []  # rows in pieces, so that temporary arrays stay small
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            parts.append((lo, hi, np.repeat(np.arange(hi - lo, dtype=np.int32), lens[lo:hi]), cols[ends[lo] - lens[lo] : ends[hi - 1]]))
     share = shares / np.maximum(np.bincount(y, minlength=2), 1)
     weight = share[y] / max(share[y].sum(), 1e-12)
     w, b = np.zeros(len(r)), float(np.log((shares[1] + 1e-9) / (shares[0] + 1e-9)))
     m, v, mb, vb = np.zeros(len(r)), np.zeros(len(r)), 0.0, 0.0
-    x = r[cols]
     for t in range(1, cfg.steps + 1):
-        z = np.bincount(owner, w[cols] * x, len(rows)) + b
-        d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(cols, d[owner] * x, len(r)) + cfg.l2 * w
-        gb = d.sum()
+        g, gb = cfg.l2 * w, 0.0
+        wr = w * r
+        for lo, hi, owner, c in parts:
+            z = np.bincount(owner, wr[c], hi - lo) + b
+            d = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo:hi])
+            g += np.bincount(c, d[owner], len(r)) * r
+            gb += d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.1 / (1 + t / 50)
@@ -138,10 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) ->
     part = F.when(F.col("toxic") == 1, F.lit(cfg.per_class / have[1])).otherwise(F.lit(cfg.per_class / have[0]))
     drawn = known.where(uniform(F.col("doc_id"), 7) < part * (1 << 30))  # about 2 x per_class ids at most
     sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"))
-    n = sample.mapInArrow(_count_task(cfg), "place int, toxic long, clean long").groupBy("place").agg(F.sum("toxic"), F.sum("clean")).collect()  # at most `places` rows
-    if not n:
+    n = sample.mapInArrow(_count_task(cfg), "place int, toxic long, clean long").groupBy("place").agg(F.sum("toxic").cast("int").alias("p"), F.sum("clean").cast("int").alias("q")).where(F.col("p") + F.col("q") >= cfg.least).toPandas()  # at most `places` rows
+    if not len(n):
         return _empty(cfg, have[1] / sum(have.values()))
-    place, p, q = (np.array(x, np.int64) for x in zip(*n))
+    place, p, q = (n[k].to_numpy(np.int64) for k in ("place", "p", "q"))
     in_sample = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = in_sample.get(1, 0), in_sample.get(0, 0)
     # chi-square of presence against the label, with each class as large as in the labels
@@ -149,14 +154,17 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) ->
     share = have[1] / sum(have.values())
     f = share * f1 + (1 - share) * f0
     chi = (f1 - f0) ** 2 / (f * (1 - f) + 1e-9)
-    chi[(p + q) < cfg.least] = 0
     order = np.lexsort((place, -chi))[: cfg.kept]
     order = order[chi[order] > 0]
     r = np.log(((p + cfg.smooth) / (p + cfg.smooth).sum()) / ((q + cfg.smooth) / (q + cfg.smooth).sum()))[order]
     column = np.full(cfg.places, -1, np.int16)
     column[place[order]] = np.arange(len(order))
-    got = sample.mapInArrow(_feature_task(column), "toxic int, columns array<int>").toPandas()  # at most 2 x per_class rows
-    w, b = fit_linear(list(got["columns"]), got["toxic"].to_numpy(np.int64), r, np.array([1 - share, share]), cfg)
+    got = sample.mapInArrow(_feature_task(column), "toxic int, columns array<int>").toPandas()  # about 2 x per_class rows at most
+    lens = np.array([len(x) for x in got["columns"]], np.int64)
+    cols = np.concatenate([np.asarray(x, np.int16) for x in got["columns"]]) if len(got) else np.empty(0, np.int16)
+    y = got["toxic"].to_numpy(np.int64)
+    del got
+    w, b = fit_linear(lens, cols, y, r, np.array([1 - share, share]), cfg)
     used = np.flatnonzero(w)
     column = np.full(cfg.places, -1, np.int16)
     column[place[order][used]] = np.arange(len(used))
