@@ -56,11 +56,12 @@ def oracle(select: str, *uses: str) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
+        if n in order:
+            return
         for m in _USES[n]:
             visit(m)
-        if n not in order:
-            order.append(n)
+        order.append(n)
 
     for n in uses:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order) + "\n" + select

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.config import SHARES, STREAMS
+from ledgerline.config import SHARES, STREAMS, PanelConfig
+
+#: Seven years of random orders have no persistent leaders, so here two years in the window are enough.
+CONFIG = PanelConfig(ladder=(("3-of-3_2-of-7", 3, 2), ("2-of-3_2-of-7", 2, 2)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
