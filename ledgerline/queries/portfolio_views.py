@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import metrics as m
-from ledgerline.operators import deid, merge, portfolio, score, stress
+from ledgerline.operators import cards, deid, merge, portfolio, score, stress
 from ledgerline.plans import stages
 from ledgerline.plans import testpanel as tp
 from ledgerline.plans.oracle import add
@@ -225,6 +225,43 @@ def x32(spark, d):
     return portfolio.band_alignment(panel(spark, d), quartiles(spark, d))
 
 
+@query("x10_narrative", "SELECT ein, CASE WHEN risk_pct >= 70 THEN 'High' WHEN risk_pct >= 40 THEN 'Elevated' WHEN risk_pct >= 20 THEN 'Moderate' ELSE 'Lower' END AS risk_level, CASE action_label WHEN 'Underinvested Asset Base' THEN 'Move forward' WHEN 'Revenue Concentration Risk' THEN 'Support, but widen the base' WHEN 'Needs Data Diligence' THEN 'Pause and verify' ELSE 'Support with guardrails' END AS next_move FROM orgs", "orgs")
+def x10(spark, d):
+    return cards.narrative(orgs(spark, d)).select("ein", "risk_level", "next_move")
+
+
+@query("x11_scenario_cards")
+def x11(spark, d):
+    return orgs(spark, d).select("ein", F.inline(cards.scenario_cards(18.0)))
+
+
+@query("x13_label_patch", "SELECT ein, CASE WHEN ein IN ('1', '2') THEN 'Needs Data Diligence' ELSE action_label END AS action_label, round(investment_yield + 0.5, 3) AS investment_yield FROM orgs", "orgs")
+def x13(spark, d):
+    o = orgs(spark, d)
+    over = spark.createDataFrame([("1", "Needs Data Diligence"), ("2", "Needs Data Diligence")], "ein string, action_label string")
+    return cards.patched(o, over, o.select("ein", F.round("risk_pct", 1).alias("risk_pct"))).select("ein", "action_label", "investment_yield")
+
+
+@query("x24_completeness_checklist", "SELECT ein, CAST(5 - len(gone) AS INTEGER) AS available, CASE WHEN len(gone) = 0 THEN 'None' ELSE array_to_string(gone, '; ') END AS missing FROM (SELECT o.ein, list_filter([CASE WHEN NOT coalesce(net_assets_eoy > 0, false) THEN 'Net assets' END, CASE WHEN NOT coalesce(total_revenue > 0, false) THEN 'Revenue' END, CASE WHEN NOT investment_yield > 0 THEN 'Investment yield' END, CASE WHEN n <= 1 THEN 'Multi-year history' END], lambda x: x IS NOT NULL) AS gone FROM orgs o JOIN (SELECT ein, count(DISTINCT fiscal_year) AS n FROM panel GROUP BY 1) h ON o.ein = h.ein)", "orgs", "panel")
+def x24(spark, d):
+    return cards.checklist(orgs(spark, d).join(portfolio.history(tp.panel(spark, d)).select("ein", "filing_years_observed"), "ein"))
+
+
+@query("x28_card_tones", "SELECT ein, CASE WHEN margin_pct >= 5 THEN 'good' WHEN margin_pct >= 0 THEN 'fair' ELSE 'weak' END AS margin_tone, CASE WHEN runway_months >= 12 THEN 'good' WHEN runway_months >= 6 THEN 'fair' ELSE 'weak' END AS runway_tone, CASE WHEN f >= 2 THEN 'High' WHEN f = 1 THEN 'Moderate' ELSE 'Low' END AS gap_level FROM (SELECT *, CAST(margin_pct < 0 AS INT) + CAST(runway_months < 6 AS INT) + CAST(rdi < 0.35 AS INT) AS f FROM orgs)", "orgs")
+def x28(spark, d):
+    return cards.tones(orgs(spark, d))
+
+
+@query("x29_snapshot_metrics")
+def x29(spark, d):
+    return cards.snapshot(orgs(spark, d))
+
+
+@query("x33_inbox_row")
+def x33(spark, d):
+    return cards.inbox_row(orgs(spark, d))
+
+
 # --- de-identification ----------------------------------------------------------------------------------------------
 
 
