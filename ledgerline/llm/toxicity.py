@@ -143,22 +143,21 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) ->
     part = F.when(F.col("toxic") == 1, F.lit(cfg.per_class / have[1])).otherwise(F.lit(cfg.per_class / have[0]))
     drawn = known.where(uniform(F.col("doc_id"), 7) < part * (1 << 30))  # about 2 x per_class ids at most
     sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"))
-    n = sample.mapInArrow(_count_task(cfg), "place int, toxic long, clean long").groupBy("place").agg(F.sum("toxic").cast("int").alias("p"), F.sum("clean").cast("int").alias("q")).where(F.col("p") + F.col("q") >= cfg.least).toPandas()  # at most `places` rows
-    if not len(n):
-        return _empty(cfg, have[1] / sum(have.values()))
-    place, p, q = (n[k].to_numpy(np.int64) for k in ("place", "p", "q"))
     in_sample = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n1, n0 = in_sample.get(1, 0), in_sample.get(0, 0)
-    # chi-square of presence against the label, with each class as large as in the labels
-    f1, f0 = (p + 0.5) / (n1 + 1), (q + 0.5) / (n0 + 1)
     share = have[1] / sum(have.values())
+    counts = sample.mapInArrow(_count_task(cfg), "place int, toxic long, clean long").groupBy("place").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q"))
+    counts = cut(counts.where(F.col("p") + F.col("q") >= cfg.least))
+    total = counts.agg(F.sum(F.col("p") + cfg.smooth).alias("p"), F.sum(F.col("q") + cfg.smooth).alias("q")).first()
+    # chi-square of presence against the label, with each class as large as in the labels
+    f1, f0 = (F.col("p") + 0.5) / (in_sample.get(1, 0) + 1), (F.col("q") + 0.5) / (in_sample.get(0, 0) + 1)
     f = share * f1 + (1 - share) * f0
-    chi = (f1 - f0) ** 2 / (f * (1 - f) + 1e-9)
-    order = np.lexsort((place, -chi))[: cfg.kept]
-    order = order[chi[order] > 0]
-    r = np.log(((p + cfg.smooth) / (p + cfg.smooth).sum()) / ((q + cfg.smooth) / (q + cfg.smooth).sum()))[order]
+    best = counts.withColumn("chi", F.pow(f1 - f0, 2) / (f * (1 - f) + 1e-9)).where("chi > 0").orderBy(F.desc("chi"), "place").limit(cfg.kept).toPandas()
+    if not len(best):
+        return _empty(cfg, share)
+    place, p, q = (best[k].to_numpy(np.int64) for k in ("place", "p", "q"))
+    r = np.log(((p + cfg.smooth) / total.p) / ((q + cfg.smooth) / total.q))
     column = np.full(cfg.places, -1, np.int16)
-    column[place[order]] = np.arange(len(order))
+    column[place] = np.arange(len(place))
     got = sample.mapInArrow(_feature_task(column), "toxic int, columns array<int>").toPandas()  # about 2 x per_class rows at most
     lens = np.array([len(x) for x in got["columns"]], np.int64)
     cols = np.concatenate([np.asarray(x, np.int16) for x in got["columns"]]) if len(got) else np.empty(0, np.int16)
@@ -167,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) ->
     w, b = fit_linear(lens, cols, y, r, np.array([1 - share, share]), cfg)
     used = np.flatnonzero(w)
     column = np.full(cfg.places, -1, np.int16)
-    column[place[order][used]] = np.arange(len(used))
+    column[place[used]] = np.arange(len(used))
     return ToxicModel(cfg, column, w[used], b)
 
 
