@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.tables import cut, fresh, remove, scratch
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, with a bound on what all stores of an executor hold in memory. A store is closed when its batch is
+#: committed: arrivals come in few large batches, and every open store keeps some MB on its executor's disk.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+}
 
 
 def same(text: Column) -> Column:
@@ -45,9 +51,10 @@ class StreamingDedup:
         self._take_up()
 
     def _take_up(self) -> None:
-        spark, key = self.spark, "spark.sql.streaming.stateStore.providerClass"
-        before = spark.conf.get(key, None)
-        spark.conf.set(key, PROVIDER)
+        spark = self.spark
+        before = {k: spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         try:
             arrived = spark.readStream.schema("digest string, doc_id long, file string, row long").parquet(f"{self.folder}/log")
             known = arrived.groupBy("digest").agg(
@@ -63,7 +70,8 @@ class StreamingDedup:
             )
             query.awaitTermination()
         finally:
-            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def state(self) -> DataFrame:
         """digest, keep_id, locator, n: the last word of the stream on each digest."""
