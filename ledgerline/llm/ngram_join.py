@@ -175,7 +175,10 @@ def _verify(cfg: JoinConfig, depth: int):
         copies, name = pdf["copies"].to_numpy(np.int64), pdf["digest"].to_numpy()
         if len(sets) < 2:
             return pd.DataFrame({"u": [], "v": [], "links": [], "seen": [], "stands": []})
-        on, s = links_among(sets, copies, pdf["block"].to_numpy(), cfg.threshold)
+        side = pdf["block"].to_numpy()
+        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and (side == side[0]).all():
+            return pd.DataFrame({"u": [], "v": [], "links": [], "seen": [], "stands": []})  # the other block is empty
+        on, s = links_among(sets, copies, side, cfg.threshold)
         linked = np.flatnonzero(on.any(1))
         if not len(linked):
             return pd.DataFrame({"u": [], "v": [], "links": [], "seen": [], "stands": []})
