@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.tables import cut
+from ledgerline.llm.tables import cut, release
 
 WORD = re.compile(r"\w+")
 _M = 0x9E3779B97F4A7C15
@@ -124,12 +124,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     before = None
     while True:
+        release(edges.sparkSession)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         edges = cut(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
         small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        del both, least, small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select("u", F.col("v").alias("root"))

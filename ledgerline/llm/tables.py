@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle and checkpoint files of plans that nothing refers to any more, between the
+    rounds of an iteration: it acts on what the garbage collector has found."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(doc_id: Column | str, m: int) -> Column:
     """crc32 of the id's text, modulo m; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % F.lit(m)
