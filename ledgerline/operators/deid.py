@@ -9,6 +9,8 @@ c = F.col
 #: Scale factors of money by case number.
 SCALES = (0.73, 1.19, 0.84, 1.31, 0.91, 1.14, 0.78, 1.27, 0.88, 1.22)
 
+HASH_RANGES = 4096
+
 
 def fnv1a(text: Column) -> Column:
     """FNV-1a, 32 bits, over the characters' codes."""
@@ -17,10 +19,14 @@ def fnv1a(text: Column) -> Column:
 
 
 def aliases(rows: DataFrame, names: Column) -> DataFrame:
-    """case_index (in the order of the id's hash) and alias of each row."""
-    w = Window.orderBy("_h", "ein")
-    out = rows.withColumn("_h", fnv1a(c("ein"))).withColumn("case_index", F.row_number().over(w) - 1)
-    return out.withColumn("alias", F.concat(names, F.lit(" Case "), _padded(c("case_index") + 1))).drop("_h")
+    """case_index (in the order of the id's hash) and alias of each row. Ranges of the hash are numbered each on their own,
+    after the count of the rows in the ranges before; only these counts, HASH_RANGES at most, are ordered in one task."""
+    hashed = rows.withColumn("_h", fnv1a(c("ein"))).withColumn("_part", F.floor(c("_h") / ((1 << 32) // HASH_RANGES)).cast("int"))
+    sizes = hashed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - c("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "ein")) - 1
+    out = hashed.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("case_index", c("_before") + c("_place"))
+    return out.withColumn("alias", F.concat(names, F.lit(" Case "), _padded(c("case_index") + 1))).drop("_h", "_part", "_place", "_before")
 
 
 def _padded(n: Column) -> Column:

@@ -265,7 +265,25 @@ def x33(spark, d):
 # --- de-identification ----------------------------------------------------------------------------------------------
 
 
-@query("a01_stable_hash")
+def _fnv(text: str) -> str:
+    return f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+
+
+add("alias_cases", f"""SELECT ein, case_index, upper(left(seg, 1)) || lower(substr(seg, 2)) || ' Case ' || CASE WHEN case_index < 9 THEN '0' ELSE '' END || CAST(case_index + 1 AS VARCHAR) AS alias
+  FROM (SELECT ein, seg, row_number() OVER (ORDER BY {_fnv('ein')}, ein) - 1 AS case_index FROM (SELECT CAST(c_custkey AS VARCHAR) AS ein, c_mktsegment AS seg FROM customer))""")
+
+
+def _money(x: str, channel: str) -> str:
+    unit = f"({_fnv(f"CAST(case_index AS VARCHAR) || ':' || CAST(fiscal_year AS VARCHAR) || ':{channel}'")} % 2001 / 1000.0::DOUBLE - 1)"
+    scale = f"[{', '.join(f'{s}::DOUBLE' for s in deid.SCALES)}][CAST(case_index % {len(deid.SCALES)} AS INTEGER) + 1]"
+    return f"CAST(floor(round({x} * {scale} * (1 + {unit} * 0.04::DOUBLE), 6) + 0.5::DOUBLE) AS BIGINT)"
+
+
+add("alias_money", f"""SELECT ein, {_money('total_revenue', 'revenue')} AS new_revenue, {_money('total_expenses', 'expenses')} AS new_expenses
+  FROM (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY ein ORDER BY fiscal_year DESC) = 1) JOIN alias_cases USING (ein)""", "panel", "alias_cases")
+
+
+@query("a01_stable_hash", f"SELECT c_custkey, {_fnv('c_name')} AS h FROM customer")
 def a01(spark, d):
     return tp.table(spark, d, "customer").select("c_custkey", deid.fnv1a(c("c_name")).alias("h"))
 
@@ -275,7 +293,7 @@ def cases(spark, d):
     return deid.aliases(rows, F.initcap("c_mktsegment"))
 
 
-@query("a02_aliases")
+@query("a02_aliases", "SELECT ein, case_index, alias FROM alias_cases", "alias_cases")
 def a02(spark, d):
     return cases(spark, d).select("ein", "case_index", "alias")
 
@@ -291,7 +309,7 @@ def jittered(spark, d):
     return one.withColumns({"new_revenue": deid.money(c("total_revenue"), c("case_index"), c("fiscal_year"), "revenue"), "new_expenses": deid.money(c("total_expenses"), c("case_index"), c("fiscal_year"), "expenses")})
 
 
-@query("a04_money_jitter")
+@query("a04_money_jitter", "SELECT ein, new_revenue, new_expenses, round((new_revenue - new_expenses) / CAST(nullif(new_revenue, 0) AS DOUBLE) * 100, 1) AS margin FROM alias_money", "alias_money")
 def a04(spark, d):
     return jittered(spark, d).select("ein", "new_revenue", "new_expenses", F.round(F.try_divide(c("new_revenue") - c("new_expenses"), c("new_revenue")) * 100, 1).alias("margin"))
 
