@@ -185,7 +185,14 @@ def x21(spark, d):
     return orgs(spark, d).select("ein", "action_label", score.note().alias("note"))
 
 
-@query("x22_pressure_and_support")
+_PRESSURE = """[CASE WHEN margin_gap < -0.15 THEN 'Operating performance looks weaker than similar organizations.' END,
+  CASE WHEN runway_gap < -6 THEN 'There is less room for a setback than at similar organizations.' END,
+  CASE WHEN diversification_gap < -0.08 THEN 'Too much of reported revenue is in one category.' END,
+  CASE WHEN largest_pct <= 0 THEN 'The filing lacks revenue detail for a stress check.' WHEN burn50 <= 6 THEN 'A large decline could bring pressure within ' || printf('%.1f', burn50) || ' months.' END]"""
+_SUPPORT = "'Similar organizations have recovered from this kind of pressure. Short-term support could buy time. A broader revenue mix would help.'"
+
+
+@query("x22_pressure_and_support", f"SELECT ein, coalesce(nullif(array_to_string(list_filter({_PRESSURE}, lambda x: x IS NOT NULL), ' '), ''), 'Nothing stands out as an immediate red flag.') AS pressure, {_SUPPORT} AS support FROM orgs", "orgs")
 def x22(spark, d):
     return orgs(spark, d).select("ein", F.array_join(score.pressure_points(), " ").alias("pressure"), F.array_join(score.support_signals(), " ").alias("support"))
 
@@ -327,7 +334,12 @@ def a05(spark, d):
     return perturbed(spark, d).where(F.abs(total - 100) < 0.11).agg(F.count("*").alias("n"))
 
 
-@query("a06_leak_audit")
+_LEAKED_NAMES = "SELECT count(*) FROM (SELECT DISTINCT ein, org_name FROM panel) JOIN alias_cases USING (ein) WHERE contains('case ' || CAST(case_index AS VARCHAR), lower(org_name))"
+_LEAKED_AMOUNTS = """SELECT count(*) FROM (SELECT new_revenue AS amount FROM alias_money UNION SELECT new_expenses FROM alias_money) WHERE abs(amount) >= 1e5
+  AND amount IN (SELECT CAST(round(total_revenue) AS BIGINT) FROM panel UNION SELECT CAST(round(total_expenses) AS BIGINT) FROM panel)"""
+
+
+@query("a06_leak_audit", f"SELECT ({_LEAKED_NAMES}) AS leaked_names, ({_LEAKED_AMOUNTS}) AS leaked_amounts", "panel", "alias_cases", "alias_money")
 def a06(spark, d):
     source = tp.panel(spark, d)
     shown = jittered(spark, d).select("ein", F.concat(F.lit("Case "), "case_index").alias("text"), c("new_revenue").alias("total_revenue"), c("new_expenses").alias("total_expenses"))
