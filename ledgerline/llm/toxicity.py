@@ -1,12 +1,14 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the presence of byte n-grams (3 to 6) of the text with A-Z lower-cased, hashed into 2^20 places. The
-log-count ratio r of a place compares in how many toxic and clean training texts it occurs. The `kept` places with the
-strongest chi-square enter a logistic regression on r x presence, fitted by numpy on a bounded sample.
-
-The sample is bounded to about `per_class` labelled rows of each class, drawn by a hash of the id; the classes' true
-shares correct the intercept. It travels as its ids (a bounded broadcast) to the scan of the texts and comes back as selected
-features. Every text is scored whole, in pieces that overlap by the longest n-gram. One pass, no shuffle.
+log-count ratio r of a place compares in how many toxic and clean training texts it occurs; all labelled texts are
+counted, joined with their labels by a shuffle. The `kept` places with the strongest chi-square enter a logistic
+regression on r x presence, fitted by numpy on a bounded sample.
+
+The sample, for the regression alone, is bounded to about `per_class` labelled rows of each class, drawn by a hash of the
+id; the classes' true shares correct the intercept. It travels as its ids (a bounded broadcast) to the scan of the texts
+and comes back as selected features. Every text is scored whole, in pieces that overlap by the longest n-gram, in one
+pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class ToxicConfig:
-    per_class: int = 8_000
+    per_class: int = 10_000
     places: int = 1 << 20
-    kept: int = 2_000
-    least: int = 3  # texts of the sample that a place must occur in
+    kept: int = 6_000
+    least: int = 3  # labelled texts that a place must occur in
     smooth: float = 1.0
     l1: float = 2e-4
     l2: float = 1e-5
@@ -62,12 +64,16 @@ def _presence(text: str | None, flags: np.ndarray) -> np.ndarray:
 
 
 def _count_task(cfg: ToxicConfig):
+    """place, toxic, clean: in how many texts of each class a place occurs; place -1 counts the texts themselves."""
+
     def run(batches):
         flags = np.zeros(cfg.places, bool)
-        n = np.zeros((2, cfg.places), np.int32)
+        n, rows = np.zeros((2, cfg.places), np.int32), [0, 0]
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 n[y, _presence(t, flags)] += 1
+                rows[y] += 1
+        yield pa.RecordBatch.from_pydict({"place": pa.array([-1], pa.int32()), "toxic": pa.array(rows[1:], pa.int64()), "clean": pa.array(rows[:1], pa.int64())})
         found = np.flatnonzero(n.any(0))
         for k in range(0, len(found), 100_000):
             at = found[k : k + 100_000]
@@ -83,10 +89,14 @@ def _selected(text: str | None, column: np.ndarray) -> np.ndarray:
 
 
 def _feature_task(column: np.ndarray):
+    """toxic, lens, columns: arrays of a whole batch as bytes (int8, int32, int16), so that the driver holds nothing wider."""
+
     def run(batches):
         for b in batches:
             rows = [_selected(t, column) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), "columns": pa.array(rows, pa.list_(pa.int32()))})
+            if rows:
+                packed = np.array(b.column("toxic").to_pylist(), np.int8), np.array([len(x) for x in rows], np.int32), np.concatenate(rows).astype(np.int16)
+                yield pa.RecordBatch.from_pydict({k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("toxic", "lens", "columns"), packed)})
 
     return run
 
@@ -98,7 +108,9 @@ def fit_linear(lens: np.ndarray, cols: np.ndarray, y: np.ndarray, r: np.ndarray,
     parts = []  # rows in pieces, so that temporary arrays stay small
     for lo, hi in zip(cuts, cuts[1:]):
         if hi > lo:
-            parts.append((lo, hi, np.repeat(np.arange(hi - lo, dtype=np.int32), lens[lo:hi]), cols[ends[lo] - lens[lo] : ends[hi - 1]]))
+            full = np.flatnonzero(lens[lo:hi])
+            first = ends[lo] - lens[lo]
+            parts.append((lo, hi, full, (ends - lens)[lo:hi][full] - first, cols[first : ends[hi - 1]]))
     share = shares / np.maximum(np.bincount(y, minlength=2), 1)
     weight = share[y] / max(share[y].sum(), 1e-12)
     w, b = np.zeros(len(r)), float(np.log((shares[1] + 1e-9) / (shares[0] + 1e-9)))
@@ -106,10 +118,12 @@ def fit_linear(lens: np.ndarray, cols: np.ndarray, y: np.ndarray, r: np.ndarray,
     for t in range(1, cfg.steps + 1):
         g, gb = cfg.l2 * w, 0.0
         wr = w * r
-        for lo, hi, owner, c in parts:
-            z = np.bincount(owner, wr[c], hi - lo) + b
+        for lo, hi, full, starts, c in parts:
+            z = np.full(hi - lo, b)
+            if len(full):
+                z[full] += np.add.reduceat(wr[c], starts)
             d = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo:hi])
-            g += np.bincount(c, d[owner], len(r)) * r
+            g += np.bincount(c, np.repeat(d, lens[lo:hi]), len(r)) * r
             gb += d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -134,6 +148,10 @@ def _empty(cfg: ToxicConfig, share: float = 0.0) -> ToxicModel:
     return ToxicModel(cfg, np.full(cfg.places, -1, np.int16), np.zeros(0), float(np.log(share / (1 - share))))
 
 
+def known_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("text", "toxic")
+
+
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> ToxicModel:
     """docs: doc_id, text; labels: doc_id, toxic (null: no label; of several labels of an id the largest holds)."""
     known = cut(labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
@@ -142,14 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) ->
         return _empty(cfg, float(have.get(1, 0) > 0))
     part = F.when(F.col("toxic") == 1, F.lit(cfg.per_class / have[1])).otherwise(F.lit(cfg.per_class / have[0]))
     drawn = known.where(uniform(F.col("doc_id"), 7) < part * (1 << 30))  # about 2 x per_class ids at most
-    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"))
-    in_sample = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    sample = known_texts(docs, F.broadcast(drawn))
     share = have[1] / sum(have.values())
-    counts = sample.mapInArrow(_count_task(cfg), "place int, toxic long, clean long").groupBy("place").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q"))
-    counts = cut(counts.where(F.col("p") + F.col("q") >= cfg.least))
+    counts = cut(known_texts(docs, known).mapInArrow(_count_task(cfg), "place int, toxic long, clean long").groupBy("place").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")))
+    texts = counts.where("place < 0").first()
+    if texts is None:
+        return _empty(cfg, share)
+    counts = counts.where((F.col("place") >= 0) & (F.col("p") + F.col("q") >= cfg.least))
     total = counts.agg(F.sum(F.col("p") + cfg.smooth).alias("p"), F.sum(F.col("q") + cfg.smooth).alias("q")).first()
     # chi-square of presence against the label, with each class as large as in the labels
-    f1, f0 = (F.col("p") + 0.5) / (in_sample.get(1, 0) + 1), (F.col("q") + 0.5) / (in_sample.get(0, 0) + 1)
+    f1, f0 = (F.col("p") + 0.5) / (texts.p + 1), (F.col("q") + 0.5) / (texts.q + 1)
     f = share * f1 + (1 - share) * f0
     best = counts.withColumn("chi", F.pow(f1 - f0, 2) / (f * (1 - f) + 1e-9)).where("chi > 0").orderBy(F.desc("chi"), "place").limit(cfg.kept).toPandas()
     if not len(best):
@@ -158,10 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) ->
     r = np.log(((p + cfg.smooth) / total.p) / ((q + cfg.smooth) / total.q))
     column = np.full(cfg.places, -1, np.int16)
     column[place] = np.arange(len(place))
-    got = sample.mapInArrow(_feature_task(column), "toxic int, columns array<int>").toPandas()  # about 2 x per_class rows at most
-    lens = np.array([len(x) for x in got["columns"]], np.int64)
-    cols = np.concatenate([np.asarray(x, np.int16) for x in got["columns"]]) if len(got) else np.empty(0, np.int16)
-    y = got["toxic"].to_numpy(np.int64)
+    got = sample.mapInArrow(_feature_task(column), "toxic binary, lens binary, columns binary").collect()  # about 2 x per_class texts at most
+    y, lens, cols = (np.concatenate([np.frombuffer(r[k], t) for r in got] or [np.empty(0, t)]) for k, t in enumerate((np.int8, np.int32, np.int16)))
+    y, lens = y.astype(np.int64), lens.astype(np.int64)
     del got
     w, b = fit_linear(lens, cols, y, r, np.array([1 - share, share]), cfg)
     used = np.flatnonzero(w)

@@ -319,6 +319,16 @@ def test_toxicity_held_out(spark):
     assert caught > 0.7 and wrong < 0.02 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    ids = spark.range(1, 601).withColumnRenamed("id", "doc_id")
+    order = [r.doc_id for r in ids.where("doc_id % 2 = 1").orderBy(toxicity.uniform(F.col("doc_id"), 7)).collect()]
+    marked = set(order[:1] + order[-20:])  # a sample of 30 toxic rows holds one of these 21 texts only
+    d = table(spark, [(i, "zyxwvut" if i in marked else f"plain words {i % 2}") for i in range(1, 601)])
+    labels = ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    model = toxicity.fit(d, labels, toxicity.ToxicConfig(per_class=30))
+    assert toxicity.probability("zyxwvut", model) > toxicity.probability("", model) + 0.05
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(1, 11)] + [(4, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     got = toxicity.score_documents(odd(spark), labels).collect()
