@@ -3,10 +3,11 @@
 Tokens are canonicalised: numbers, units after numbers and names become typed placeholders whose values are kept as
 slots. Every window of `window` tokens of a benchmark item gives a template; so does the window's plain lower-cased
 wording. A text's windows meet the item's windows by hash. Windows of a text and an item that lie on one diagonal (same
-distance between the two positions) form an alignment; it counts if its slots are consistent, that is if one benchmark
-value always stands for one value in the text and the other way round. A text is contaminated by an item if some
-consistent alignment covers at least `cover` of the item's windows. So a question whose numbers or names were exchanged
-is found, and a text that only has the same pattern of placeholders is not: a template needs `literal` plain words.
+distance between the two positions) form an alignment; its runs of adjacent windows count if their slots are consistent,
+that is if within the run one benchmark value always stands for one value in the text (two may become equal). A text is
+contaminated by an item if its consistent runs cover at least `cover` of the item's windows. So a question whose numbers
+or names were exchanged is found, and a text that only has the same pattern of placeholders is not: a template needs
+`literal` plain words. A run whose one value has two values in the text is not counted, verbatim windows included.
 
 The benchmark's hashes fill a bitmap of bounded size that every task has; only windows that hit it leave the task and
 are joined with the benchmark's windows by hash. A text that repeats an item sends its windows, no more.
@@ -140,17 +141,17 @@ def _item_task(cfg: LeakConfig):
     def run(batches):
         canon = Canon()
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for item, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+            out: list[list] = [[] for _ in range(7)]
+            for item, row, t in zip(b.column("item_id").to_pylist(), b.column("item_row").to_pylist(), b.column("text").to_pylist()):
                 n = min(cfg.window, len(canon(t)[0]))
                 if n < cfg.literal:
                     continue
                 rows = list(_windows(t, canon, [n], cfg, None))
                 total = len({i for _, i, _ in rows})
                 for h, i, slots in rows:
-                    for c, v in zip(out, (item, h, i, n, total, slots)):
+                    for c, v in zip(out, (item, row, h, i, n, total, slots)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))], ["item_id", "hash", "item_pos", "n", "total", "item_slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))], ["item_id", "item_row", "hash", "item_pos", "n", "total", "item_slots"])
 
     return run
 
@@ -159,12 +160,12 @@ def _text_task(cfg: LeakConfig, lengths: list[int], bitmap: bytes):
     def run(batches):
         canon, bits = Canon(), np.frombuffer(bitmap, np.uint8)
         for b in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            out: list[list] = [[] for _ in range(5)]
+            for doc, row, t in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
                 for h, i, slots in _windows(t, canon, lengths, cfg, bits):
-                    for c, v in zip(out, (doc, h, i, slots)):
+                    for c, v in zip(out, (doc, row, h, i, slots)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["doc_id", "hash", "pos", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["doc_id", "row", "hash", "pos", "slots"])
 
     return run
 
@@ -172,10 +173,11 @@ def _text_task(cfg: LeakConfig, lengths: list[int], bitmap: bytes):
 def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
     """doc_id, item_id, contaminated (true), windows, item_windows, coverage, reparameterised: a row for each pair found.
 
-    Rows that share a doc_id (or an item_id) are judged together. Null and empty texts have no windows. Items of fewer
+    Rows that share a doc_id (or an item_id) are judged each alone; the pair has the figures of the two rows with the largest
+    coverage. Null and empty texts have no windows. Items of fewer
     tokens than the window are one window; those under `literal` tokens are not searched for. Null ids are passed over."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    windows = cut(items.mapInArrow(_item_task(cfg), "item_id long, hash long, item_pos int, n int, total int, item_slots array<string>"))
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_row"), "text")
+    windows = cut(items.mapInArrow(_item_task(cfg), "item_id long, item_row long, hash long, item_pos int, n int, total int, item_slots array<string>"))
     n = windows.count()
     bits = 1 << 16
     while bits < min(cfg.bits, 16 * n):
@@ -186,23 +188,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
     for at, x in filled:
         bitmap[at] = x
     lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most `window` values
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = texts.mapInArrow(_text_task(cfg, lengths, bytes(bitmap)), "doc_id long, hash long, pos int, slots array<string>")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    hits = texts.mapInArrow(_text_task(cfg, lengths, bytes(bitmap)), "doc_id long, row long, hash long, pos int, slots array<string>")
     met = hits.join(windows, "hash").where(F.size("slots") == F.size("item_slots"))
     pair = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.concat(x["item_slots"], F.lit(">"), x["slots"]))
-    pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
+    rows = ["doc_id", "row", "item_id", "item_row"]
     aligned = (
-        met.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "total", pair.alias("pairs"))
-        .groupBy("doc_id", "item_id", "diagonal")
-        .agg(F.collect_set("item_pos").alias("places"), F.max("total").alias("item_windows"), pairs.alias("pairs"))
+        met.select(*rows, (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "total", pair.alias("pairs"))
+        .groupBy(*rows, "diagonal")
+        .agg(F.collect_set(F.struct("item_pos", "pairs")).alias("hits"), F.max("total").alias("item_windows"))
+        .withColumn("at", F.array_sort(F.array_distinct(F.col("hits.item_pos"))))
     )
-    side = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: F.split(x, ">")[k])))
-    consistent = (side(0) == F.size("pairs")) & (side(1) == F.size("pairs"))
-    changed = F.exists("pairs", lambda x: F.split(x, ">")[0] != F.split(x, ">")[1])
-    good = aligned.where(consistent).select("doc_id", "item_id", "item_windows", "places", changed.alias("changed"))
-    best = good.groupBy("doc_id", "item_id").agg(
+    # runs of adjacent windows, each with the values that its windows exchange
+    first = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
+    last = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
+    ends = aligned.withColumn("first", first).withColumn("last", last).withColumn("ends", F.arrays_zip("first", "last"))
+    inside = lambda run: F.filter("hits", lambda x: x["item_pos"].between(run["first"], run["last"]))
+    pairs = lambda run: F.array_distinct(F.flatten(F.transform(inside(run), lambda x: x["pairs"])))
+    runs = ends.withColumn("runs", F.transform("ends", lambda run: F.struct(run["first"].alias("first"), run["last"].alias("last"), pairs(run).alias("pairs"))))
+    consistent = lambda run: F.size(F.array_distinct(F.transform(run["pairs"], lambda x: F.split(x, ">")[0]))) == F.size(run["pairs"])
+    good = runs.withColumn("good", F.filter("runs", consistent)).where(F.size("good") > 0)
+    changed = F.exists("good", lambda run: F.exists(run["pairs"], lambda x: F.split(x, ">")[0] != F.split(x, ">")[1]))
+    places = F.flatten(F.transform("good", lambda run: F.sequence(run["first"], run["last"])))
+    found = good.select(*rows, "item_windows", places.alias("places"), changed.alias("changed")).groupBy(*rows).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"), F.max("item_windows").alias("item_windows"), F.min("changed").alias("reparameterised")
     )
+    share = F.col("windows") / F.col("item_windows")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("share"), "windows", "item_windows", (~F.col("reparameterised")).alias("plain"))).alias("b"))
+    best = best.select("doc_id", "item_id", "b.windows", "b.item_windows", (~F.col("b.plain")).alias("reparameterised"))
     coverage = F.col("windows") / F.col("item_windows")
     return best.where(coverage >= cfg.cover).select("doc_id", "item_id", F.lit(True).alias("contaminated"), "windows", "item_windows", F.round(coverage, 6).alias("coverage"), "reparameterised")
 

@@ -125,6 +125,25 @@ def test_leaks(spark):
     assert decontam.leaks(table(spark, []), bench.limit(0)).count() == 0
 
 
+def test_leaks_by_row_and_run(spark):
+    item = "Alice has 3 apples and buys 4 more at the market so how many apples does Alice have now"
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    rows = [
+        (1, item.replace("3", "7").replace("4", "7")),  # two values become equal
+        (2, item),
+        (2, item.replace("3", "5").replace("4", "6")),  # another row of the id, with other values
+        (3, item.replace("Alice", "Bob", 1).replace("at the market", "in the market").replace("Alice", "Carol")),
+        (4, item.replace("Alice", "Bob", 1)),
+    ]
+    got = {r.doc_id: r for r in decontam.leaks(table(spark, rows), bench).collect()}
+    assert got[1].coverage == 1.0 and got[1].reparameterised
+    assert got[2].coverage == 1.0 and not got[2].reparameterised
+    far = item + " if the shop is open until late in the evening and the road from the village to the town is free of snow"
+    bench = spark.createDataFrame([(9, far)], "item_id long, text string")
+    text = far.replace("Alice", "Bob", 1).replace("at the market", "in that market")  # Bob's and Alice's runs are apart
+    assert {r.doc_id for r in decontam.leaks(table(spark, [(1, text)]), bench).collect()} == {1}
+
+
 def test_leaks_match_brute_force(spark):
     d, b = docs(spark, "sf0.01"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     words = lambda s: [t.lower() for t in decontam.TOKEN.findall(s) if t[0].isalnum()]
