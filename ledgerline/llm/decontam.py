@@ -5,7 +5,8 @@ slots. Every window of `window` tokens of a benchmark item gives a template; so
 wording. A text's windows meet the item's windows by hash. Windows of a text and an item that lie on one diagonal (same
 distance between the two positions) form an alignment; its runs of adjacent windows count if their slots are consistent,
 that is if within the run one benchmark value always stands for one value in the text (two may become equal). A text is
-contaminated by an item if its consistent runs cover at least `cover` of the item's windows. So a question whose numbers
+contaminated by an item if its consistent runs cover at least `cover` of the item's windows, or if one of them has `run`
+tokens, however long the item is. So a question whose numbers
 or names were exchanged is found, and a text that only has the same pattern of placeholders is not: a template needs
 `literal` plain words. A run whose one value has two values in the text is not counted, verbatim windows included.
 
@@ -50,6 +51,7 @@ class LeakConfig:
     window: int = 8
     literal: int = 5
     cover: float = 0.2
+    run: int = 13  # adjacent tokens that are enough
     bits: int = 1 << 24  # at most, of the bitmap
 
 
@@ -194,9 +196,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
     pair = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.concat(x["item_slots"], F.lit(">"), x["slots"]))
     rows = ["doc_id", "row", "item_id", "item_row"]
     aligned = (
-        met.select(*rows, (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "total", pair.alias("pairs"))
+        met.select(*rows, (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "total", "n", pair.alias("pairs"))
         .groupBy(*rows, "diagonal")
-        .agg(F.collect_set(F.struct("item_pos", "pairs")).alias("hits"), F.max("total").alias("item_windows"))
+        .agg(F.collect_set(F.struct("item_pos", "pairs")).alias("hits"), F.max("total").alias("item_windows"), F.max("n").alias("n"))
         .withColumn("at", F.array_sort(F.array_distinct(F.col("hits.item_pos"))))
     )
     # runs of adjacent windows, each with the values that its windows exchange
@@ -210,14 +212,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
     good = runs.withColumn("good", F.filter("runs", consistent)).where(F.size("good") > 0)
     changed = F.exists("good", lambda run: F.exists(run["pairs"], lambda x: F.split(x, ">")[0] != F.split(x, ">")[1]))
     places = F.flatten(F.transform("good", lambda run: F.sequence(run["first"], run["last"])))
-    found = good.select(*rows, "item_windows", places.alias("places"), changed.alias("changed")).groupBy(*rows).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"), F.max("item_windows").alias("item_windows"), F.min("changed").alias("reparameterised")
+    tokens = F.array_max(F.transform("good", lambda run: run["last"] - run["first"] + F.col("n")))
+    found = good.select(*rows, "item_windows", tokens.alias("tokens"), places.alias("places"), changed.alias("changed")).groupBy(*rows).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"), F.max("item_windows").alias("item_windows"), F.min("changed").alias("reparameterised"), F.max("tokens").alias("tokens")
     )
     share = F.col("windows") / F.col("item_windows")
+    found = found.where((share >= cfg.cover) | (F.col("tokens") >= cfg.run))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("share"), "windows", "item_windows", (~F.col("reparameterised")).alias("plain"))).alias("b"))
     best = best.select("doc_id", "item_id", "b.windows", "b.item_windows", (~F.col("b.plain")).alias("reparameterised"))
     coverage = F.col("windows") / F.col("item_windows")
-    return best.where(coverage >= cfg.cover).select("doc_id", "item_id", F.lit(True).alias("contaminated"), "windows", "item_windows", F.round(coverage, 6).alias("coverage"), "reparameterised")
+    return best.select("doc_id", "item_id", F.lit(True).alias("contaminated"), "windows", "item_windows", F.round(coverage, 6).alias("coverage"), "reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:

@@ -144,6 +144,14 @@ def test_leaks_by_row_and_run(spark):
     assert {r.doc_id for r in decontam.leaks(table(spark, [(1, text)]), bench).collect()} == {1}
 
 
+def test_leaks_finds_a_short_excerpt_of_a_long_item(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    rows = [(1, " ".join(["before", *words[40:53], "after"])), (2, " ".join(["before", *words[40:52], "after"])), (3, " ".join(words[100:150]))]
+    got = {r.doc_id: r.windows for r in decontam.leaks(table(spark, rows), bench).collect()}
+    assert got == {1: 6, 3: 43}
+
+
 def test_leaks_match_brute_force(spark):
     d, b = docs(spark, "sf0.01"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     words = lambda s: [t.lower() for t in decontam.TOKEN.findall(s) if t[0].isalnum()]
