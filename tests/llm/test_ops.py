@@ -152,6 +152,107 @@ def test_leaks_finds_a_short_excerpt_of_a_long_item(spark):
     assert got == {1: 6, 3: 43}
 
 
+def tokens_of(text):
+    """(lower-cased word, placeholder or None) of each token, and whether a sentence end stands before and after it."""
+    raw, out, kind_before = [*decontam.TOKEN.findall(text or ""), "\n"], [], "stop"
+    ends = [not (t[0].isalnum() or t in "$€£¥%°") for t in raw]
+    for i, t in enumerate(raw):
+        low, kind = t.lower(), "word"
+        if t[0].isdigit() or low in decontam.NUMBERS:
+            kind = "number"
+        elif low in decontam.UNITS and (kind_before == "number" or t in "$€£¥"):
+            kind = "unit"
+        elif ends[i]:
+            kind = "stop"
+        elif t[0].isupper() and low not in decontam.UNITS and (low in decontam.NAMES or (kind_before != "stop" and not (len(t) > 1 and t.isupper()))):
+            kind = "name"
+        if not ends[i]:
+            out.append((low, kind if kind in ("number", "unit", "name") else None, i == 0 or ends[i - 1], ends[i + 1]))
+        kind_before = kind if low not in decontam.UNITS or kind == "number" else "unit"
+    return out
+
+
+def brute_leak(text, item, cfg=decontam.LeakConfig()):
+    """Windows of the item that the text covers, by comparing every window of the one with every window of the other."""
+    a, b = tokens_of(item), tokens_of(text)
+    n = min(cfg.window, len(a))
+    if not n:
+        return None
+    total, lines = len(a) - n + 1, defaultdict(dict)
+    for i in range(total):
+        for j in range(len(b) - n + 1):
+            x, y = a[i : i + n], b[j : j + n]
+            same = [t[0] for t in x] == [t[0] for t in y]
+            slots = sum(t[1] is not None for t in x)
+            shaped = slots and n > slots and sum(t[1] is None for t in a) >= cfg.few and [t[1] or t[0] for t in x] == [t[1] or t[0] for t in y] and [t[1] for t in x] == [t[1] for t in y]
+            if n < cfg.literal:
+                same, shaped = same and y[0][2] and y[-1][3] and (n > 1 or len(b) == 1), False
+            if same or shaped:
+                lines[j - i][i] = (same or n - slots >= min(cfg.literal, n - 1), {(s[1], s[0], t[0]) for s, t in zip(x, y) if s[1]})
+    one_to_one = lambda pairs: len({p[:2] for p in pairs}) == len(pairs)
+    runs = []
+    for d, line in lines.items():
+        strong = [i for i in sorted(line) if line[i][0]]
+        for i in strong:
+            if i - 1 not in strong:
+                length = next(k for k in itertools.count(1) if i + k not in strong)
+                pairs = set().union(*(line[k][1] for k in range(i, i + length)))
+                if one_to_one(pairs):
+                    runs.append((-length, any(p[1] != p[2] for p in pairs), i, d, pairs))
+    known, places, longest = set(), set(), 0
+    for length, _, i, _, pairs in sorted(runs, key=lambda r: r[:4]):
+        if one_to_one(known | pairs):
+            known, longest = known | pairs, max(longest, n - length - 1)
+            places |= set(range(i, i - length))
+    if len(places) / total >= cfg.cover or longest >= cfg.run:
+        return len(places)
+    return total if any(len(line) == total and one_to_one(set().union(*(p for _, p in line.values()))) for line in lines.values()) else None
+
+
+QUESTIONS = (
+    "{A} has {n} apples and buys {m} more at the market so how many apples does {A} have now",
+    "A train leaves the station at {n} km per hour and {A} rides it for {m} hours before meeting {B} in the old town",
+    "{n} + {m} * {k} - {n} / {m} = {k} so what",
+    "If {A} gives {B} {n} dollars and {B} gives back {m} then who owes {k} dollars to the other one in the end",
+    "what is {n} times {m}",
+    "Fill {n} {m} {k} {n} {m} {k} {n} then stop",
+    "Mix {n} ml of oil with {m} ml of water and wait {k} minutes until the layers of both have parted again in the glass",
+    "tiny item",
+    "word",
+)
+
+
+def test_leaks_match_brute_force_on_changed_questions(spark):
+    rng = np.random.default_rng(8)
+    names, many = ["Alice", "Bob", "Carol", "David"], lambda: str(rng.integers(2, 90))
+    fill = lambda q, one=False: q.format(A=names[rng.integers(2)], B=names[2 + rng.integers(2)], n=many(), m=many(), k=(x := many()), **{}) if not one else q.format(A="Alice", B="Carol", n=5, m=5, k=5)  # noqa: E731, F841
+    items = [fill(q) for q in QUESTIONS]
+    prose = "the weather of the last year was mild and the river stayed low in most of the valley"
+    texts, planted = [], []
+    for k, q in enumerate(QUESTIONS):
+        for form in (items[k], fill(q), fill(q), fill(q, True), items[k].upper()):
+            for where in ("{}", prose + ". {}. " + prose, prose + " {} " + prose):
+                if form not in (items[k], items[k].upper()) and k < 7:
+                    planted.append(len(texts))
+                texts.append(where.format(form))
+        half = items[k].split()
+        texts += [" ".join(half[: len(half) * 2 // 3]), " ".join([*half[:9], "really", *half[9:]]), items[k].replace("Alice", "Erin", 1), items[k] + ". " + fill(q)]
+    texts += [prose, "3 4 5 6 7 8 9 10 11 12", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.windows for r in decontam.leaks(table(spark, list(enumerate(texts))), bench).collect()}
+    want = {(i, k): w for i, t in enumerate(texts) for k, q in enumerate(items) if (w := brute_leak(t, q)) is not None}
+    assert got == want
+    caught = {i for i, _ in got}
+    assert sum(i in caught for i in planted) / len(planted) >= 0.9  # recall on exchanged numbers and names
+    assert not caught & set(range(len(texts) - 4, len(texts)))
+
+
+def test_leaks_finds_short_and_crowded_items(spark):
+    bench = spark.createDataFrame([(1, "3 + 4 * 5 - 6 / 7 = 8 so what"), (2, "tiny item"), (3, "Capital of Peru?")], "item_id long, text string")
+    rows = [(1, "First: 9 + 1 * 2 - 3 / 4 = 5 so what"), (2, "It was a tiny item of news"), (3, "Yes. Tiny item! No"), (4, "Question: capital of Peru? Lima"), (5, "the capital of Peru is far")]
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(table(spark, rows), bench).collect()} == {(1, 1), (3, 2), (4, 3)}
+
+
 def test_leaks_match_brute_force(spark):
     d, b = docs(spark, "sf0.01"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     words = lambda s: [t.lower() for t in decontam.TOKEN.findall(s) if t[0].isalnum()]
