@@ -1,18 +1,25 @@
 """Exact deduplication as a stateful stream.
 
-Arriving texts are logged as (digest, doc_id, content locator). A streaming aggregation keeps one state row for each
-digest, in RocksDB on the executors' disks with its changelog in the shared folder, without a watermark and so without
-expiry: the largest id seen, where its content lies, and the number of arrivals. Tasks aggregate before the shuffle, so
-a digest that a third of all rows share sends one row per task. Each hit (a digest that arrived more than once) is then
-checked on its full bytes against the text that the state names; texts that differ under one digest form groups of
-their own. The same state folder can be fed again, and old groups grow.
+Arriving texts are logged as (digest, doc_id, content locator); the locator is the file and row that hold the text. A
+streaming aggregation keeps one state row for each digest, in RocksDB on the executors' disks with its changelog in the
+shared folder, without a watermark and so without expiry: the largest id seen, the locator of its content, and the
+number of arrivals. Tasks aggregate before the shuffle, so a digest that a third of all rows share sends one row per
+task. A digest that arrived more than once, in one arrival or in several, is a hit: its texts are read from where the
+locators lead and compared by their full bytes, which is a grouping by the bytes themselves, begun in each task, so that
+copies inside a task meet there and one of them travels. Texts that differ under one digest form groups of their own.
+The same state folder can be fed again, and old groups grow.
+
+Rows learn their group by a join of digests and ids, no texts; digests of many rows are joined from a bounded table.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.ranking import hot_join
 from ledgerline.llm.tables import cut, fresh, remove, scratch
 
 #: State on disk, with a bound on what all stores of an executor hold in memory. A store is closed when its batch is
@@ -23,6 +30,10 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: Hit digests (some 80 bytes each in a task) that are sent to the scan of the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+LOG = "digest binary, doc_id long, sha binary, file string, row long"
+KNOWN = "digest binary, keep_id long, locator struct<file: string, row: long>, n long, batch int"
 
 
 def same(text: Column) -> Column:
@@ -30,25 +41,35 @@ def same(text: Column) -> Column:
 
 
 def sha256(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+class Moved(ValueError):
+    pass
 
 
 class StreamingDedup:
-    """State over one folder. arrive() logs rows and lets the stream take them up; state() is what it knows."""
+    """State over one folder. arrive() logs rows and lets the stream take them up; state() is what it knows; groups() has
+    every row that ever arrived, checked on its bytes."""
 
     def __init__(self, spark: SparkSession, folder: str, digest=sha256):
         self.spark, self.folder, self.digest = spark, folder, digest
 
     def arrive(self, docs: DataFrame) -> None:
-        """docs: doc_id, text. A table read from files has its file and row as locator; any other has none."""
+        """docs: doc_id long, text. Texts as files hold them (rows may be left out) stay where they are, and the state leads
+        to them; a table that is read from no files becomes one in this folder."""
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
         try:
-            docs = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+            held = docs.select("doc_id", "text", *place)
         except Exception as e:  # the hidden column exists for file scans only
             if "_metadata" not in str(e):
                 raise
-            docs = docs.select("doc_id", "text", F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row"))
-        log = docs.select(self.digest(same(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "file", "row")
-        log.write.mode("append").parquet(f"{self.folder}/log")
+            part = f"{self.folder}/content-{uuid.uuid4().hex}"
+            docs.select("doc_id", "text").write.parquet(part)
+            held = self.spark.read.schema("doc_id long, text string").parquet(part).select("doc_id", "text", *place)
+        text = same(F.col("text"))
+        sha = F.lit(None).cast("binary") if self.digest is sha256 else sha256(text)
+        held.select(self.digest(text).cast("binary").alias("digest"), "doc_id", sha.alias("sha"), "file", "row").write.mode("append").parquet(f"{self.folder}/log")
         self._take_up()
 
     def _take_up(self) -> None:
@@ -57,9 +78,9 @@ class StreamingDedup:
         for k, v in STATE.items():
             spark.conf.set(k, v)
         try:
-            arrived = spark.readStream.schema("digest string, doc_id long, file string, row long").parquet(f"{self.folder}/log")
+            arrived = spark.readStream.schema(LOG).parquet(f"{self.folder}/log")
             known = arrived.groupBy("digest").agg(
-                F.max("doc_id").alias("keep_id"), F.max_by(F.struct("file", "row"), "doc_id").alias("locator"), F.count("*").alias("n")
+                F.max("doc_id").alias("keep_id"), F.max_by(F.struct("file", "row"), F.struct("doc_id", "file", "row")).alias("locator"), F.count("*").alias("n")
             )
             table = f"{self.folder}/known"
             query = (
@@ -74,63 +95,94 @@ class StreamingDedup:
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(f"{self.folder}/log")
+
     def state(self) -> DataFrame:
         """digest, keep_id, locator, n: the last word of the stream on each digest."""
-        said = self.spark.read.schema("digest string, keep_id long, locator struct<file: string, row: long>, n long, batch int").parquet(f"{self.folder}/known")
+        said = self.spark.read.schema(KNOWN).parquet(f"{self.folder}/known")
         return said.groupBy("digest").agg(F.max_by("keep_id", "n").alias("keep_id"), F.max_by("locator", "n").alias("locator"), F.max("n").alias("n"))
 
+    def content(self) -> DataFrame:
+        """doc_id, text, digest, locator of every row that arrived, read from the files that the locators name."""
+        files = [r.file for r in self.log().select("file").distinct().collect()]  # the files' names, which a scan of them lists too
+        text = same(F.col("text"))
+        return self.spark.read.schema("doc_id long, text string").parquet(*files).select(
+            F.col("doc_id"), text.alias("text"), self.digest(text).cast("binary").alias("digest"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
+        )
+
+    def groups(self) -> DataFrame:
+        """digest, doc_id, sha, locator, keep_id, keep_at (locator of the row that stays), group_size of every row.
+        Raises Moved if the texts of hits are not where their locators lead."""
+        state = cut(self.state())
+        hits = state.where("n > 1").select("digest")
+        n, rows = state.where("n > 1").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        log = self.log().select("digest", "doc_id", F.coalesce("sha", "digest").alias("sha"), F.struct("file", "row").alias("locator"))
+        known = state.withColumnsRenamed({"locator": "keep_at", "n": "group_size"})
+        if not n:
+            return hot_join(log, known, "digest", "group_size")
+        content = self.content()
+        hit = content.join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "digest")
+        texts = cut(hit.groupBy("digest", "text").count().groupBy("digest").agg(F.count("*").alias("texts"), F.sum("count").alias("n")))
+        if (texts.agg(F.sum("n")).first()[0] or 0) < rows:
+            raise Moved("texts of logged rows are not in their files")
+        different = texts.where("texts > 1").select("digest")
+        if not different.take(1):  # every hit was one text, byte for byte
+            return hot_join(log, known, "digest", "group_size")
+        apart = cut(content.join(different, "digest").drop("doc_id").join(log, ["digest", "locator"]))  # files may hold rows that did not arrive
+        own = apart.groupBy("digest", "text").agg(
+            F.max("doc_id").alias("keep_id"), F.max_by("locator", F.struct("doc_id", "locator")).alias("keep_at"), F.count("*").alias("group_size")
+        )
+        alone = hot_join(log.join(different, "digest", "left_anti"), known.join(different, "digest", "left_anti"), "digest", "group_size")
+        return alone.unionByName(apart.join(own, ["digest", "text"]).drop("text"))
+
 
 def groups(docs: DataFrame, digest=sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs.
 
     Texts are equal when their bytes are; null counts as empty. The row with the largest id stays; of rows that share
     that id too, all are marked kept. Rows with a null id belong to their text's group and never stay, unless no row has
-    an id. An empty table gives an empty result."""
+    an id. An empty table gives an empty result; other columns are not looked at."""
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    out = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), digest, "doc_id", "keep_id", "group_size", kept.alias("kept"), "sha")
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def _judged(docs: DataFrame, digest, *columns) -> DataFrame:
+    """These columns of StreamingDedup.groups() for docs alone, as a table; the stream's folder is gone then."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "dedup")
-    docs = docs.select("doc_id", "text")
     if not docs.take(1):
-        return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha256(same(F.col("text"))).alias("text_sha256"))
+        empty = spark.createDataFrame([], "digest binary, doc_id long, sha binary, locator struct<file: string, row: long>, keep_id long, keep_at struct<file: string, row: long>, group_size long")
+        return empty.select(*columns)
     stream = StreamingDedup(spark, folder, digest)
-    stream.arrive(docs)
-    state = cut(stream.state().select("digest", F.col("keep_id").alias("first_id"), "n"))
-    remove(spark, folder)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(same(F.col("text"))).alias("digest"), sha256(same(F.col("text"))).alias("text_sha256"))
-    known = rows.join(state, "digest")
-    single = known.where("n = 1").select("doc_id", F.col("first_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(True)).alias("kept"), "text_sha256")
-    return single.unionByName(_hits(docs, state.where("n > 1"), digest))
-
-
-def _hits(docs: DataFrame, state: DataFrame, digest) -> DataFrame:
-    """Members of digests that arrived more than once, checked against the bytes of the text that the state names."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), same(F.col("text")).alias("text"))
-    texts = texts.withColumn("digest", digest(F.col("text")))
-    hit = cut(texts.join(state, "digest"))
-    named = hit.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("digest").agg(F.min("text").alias("named"))
-    named = cut(named)
-    checked = hit.join(named, "digest").select(
-        "digest", "doc_id", sha256(F.col("text")).alias("text_sha256"), F.when(F.col("text") != F.col("named"), F.col("text")).alias("other")
-    )
-    checked = cut(checked.withColumn("other", F.coalesce("other", F.lit(None).cast("string"))))
-    # under one digest, the texts equal to the named one are a group, and each other text is one
-    size = cut(checked.groupBy("digest", "other").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    same_group = (F.col("c.digest") == F.col("s.digest")) & F.col("c.other").eqNullSafe(F.col("s.other"))
-    return (
-        checked.alias("c")
-        .join(size.alias("s"), same_group)
-        .select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
-    )
+    try:
+        stream.arrive(docs)
+        return cut(stream.groups().select(*columns))
+    finally:
+        remove(spark, folder)
+
+
+def written(docs: DataFrame) -> DataFrame:
+    path = scratch(docs.sparkSession, "texts")
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one for each text, with docs' columns. Of rows that share id and text, one stays."""
-    keep = cut(groups(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_n")))
-    sha, named, hashed = fresh(docs, "_own_sha"), fresh(docs, "_id"), fresh(docs, "_sha")
-    keep = keep.select(F.col("_id").alias(named), F.col("_sha").alias(hashed), F.col("_n").alias(fresh(docs, "_n")))
-    one = F.col(fresh(docs, "_n")) == 1
-    rows = docs.withColumn(sha, sha256(same(F.col("text"))))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col(named)) & (F.col(sha) == F.col(hashed))
-    once = rows.join(keep.where(one), on, "left_semi")
-    again = keep.where(~one)
-    if again.take(1):  # rows that share id and text
-        once = once.unionByName(rows.join(again, on, "left_semi").dropDuplicates(["doc_id", sha]))
-    return once.drop(sha)
+    """The rows of docs that stay, one for each text, with docs' columns. Of rows that share id and text, one stays: the one
+    that the locator names. Null and empty texts are one text; a null id stays only where its text has no other. A table
+    that is not as its files hold it is written to the shared folder first, and stays there for the result to be read from."""
+    file, row = fresh(docs, "_file"), fresh(docs, "_row")
+    place = {file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")}
+    at = [F.col("locator.file").alias(file), F.col("locator.row").alias(row)]
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    try:
+        held = docs.withColumns(place)
+        stay = _judged(docs.select(ids, "text"), sha256, *at, (F.col("locator") == F.col("keep_at")).alias("kept"))
+    except Exception as e:
+        if not isinstance(e, Moved) and "_metadata" not in str(e):
+            raise
+        docs = written(docs)
+        held = docs.withColumns(place)
+        stay = _judged(docs.select(ids, "text"), sha256, *at, (F.col("locator") == F.col("keep_at")).alias("kept"))
+    return held.join(stay.where("kept").drop("kept"), [file, row], "left_semi").drop(file, row)

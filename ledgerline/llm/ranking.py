@@ -1,4 +1,4 @@
-"""Gapless numbers within groups, without sorting a group in one task."""
+"""Gapless numbers within groups, without sorting a group in one task; joins whose keys may be hot."""
 
 from __future__ import annotations
 
@@ -36,3 +36,15 @@ def in_chunks(df: DataFrame, group: list[str], chunk: list[str], order: list, ou
     before = counts.select(*group, *chunk, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(*group, *chunk).orderBy(*order))
     return df.join(before, [*group, *chunk]).withColumn(out, F.col("_before") + rank - 1).drop("_before", *chunk)
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 4096, least: int = 10_000) -> DataFrame:
+    """rows joined with groups, which has each key once and in `size` its number of rows. Keys of more than `least` rows
+    and of more than 1 / hot of all rows, so fewer than `hot` ones, are broadcast; a task gets no more rows of any other.
+    Both are read twice, so pass tables."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    many = F.col(size) > max(least, total // hot)
+    if not groups.where(many).take(1):
+        return rows.join(groups, key)
+    hot_keys = F.broadcast(groups.where(many))
+    return rows.join(hot_keys, key).unionByName(rows.join(hot_keys.select(key), key, "left_anti").join(groups.where(~many), key))

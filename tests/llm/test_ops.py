@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontam, exact_dedup, langid, license, lm, ngram_join, packing, sharding, toxicity, url_filter
+from ledgerline.llm import decontam, exact_dedup, langid, license, lm, ngram_join, packing, ranking, sharding, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket string, digest string"
 
@@ -84,6 +84,18 @@ def test_bounds_are_optimal():
         assert len(got) <= k and got == sorted(got) and cost(got) == best
 
 
+def test_packing_pads_least_at_any_length(spark):
+    """The whole query against every choice of bounds, with lengths above and below 1,024; then in bins."""
+    lens = [0, 1, 1, 7, 7, 7, 1024, 1025, 1030, 2001, 2001, 2002, 9000]
+    d = table(spark, [(i, " ".join(["w"] * n)) for i, n in enumerate(lens)])
+    for k in (1, 2, 3, 4):
+        top = sorted(set(lens))
+        best = min(sum(min(t for t in (*c, top[-1]) if t >= n) for n in lens) for r in range(k) for c in itertools.combinations(top[:-1], r))
+        assert sum(r.bucket_tokens for r in packing.pack(d, packing.PackConfig(buckets=k)).collect()) == best
+        assert best <= sum(r.bucket_tokens for r in packing.pack(d, packing.PackConfig(buckets=k, exact=3)).collect()) <= best * (1 + 1 / 512)
+    assert {r.bucket_tokens for r in packing.pack(table(spark, [(1, "w " * 2001), (2, "w " * 2001)])).collect()} == {2001}
+
+
 def test_packing_keeps_every_row_within_budget(spark):
     d = docs(spark)
     cfg = packing.PackConfig(buckets=5, budget=2000)
@@ -369,11 +381,38 @@ def test_dedup_matches_brute_force_even_if_digests_collide(spark, digest):
     assert all(r.kept == (r.doc_id == r.keep_id or r.keep_id is None) for r in got)
 
 
-def test_dedup_state_lasts_across_arrivals(spark, tmp_path):
-    s = exact_dedup.StreamingDedup(spark, str(tmp_path / "state"))
-    s.arrive(table(spark, [(1, "a"), (2, "b")]))
-    s.arrive(table(spark, [(3, "a"), (4, "c")]))
-    assert sorted((r.keep_id, r.n) for r in s.state().collect()) == [(2, 1), (3, 2), (4, 1)]
+@pytest.mark.parametrize("files", [True, False])
+def test_dedup_across_arrivals_checks_bytes(spark, tmp_path, files):
+    """Digests collide within an arrival and between two; an earlier text is compared where its locator leads."""
+    few = lambda t: F.pmod(F.length(t), F.lit(2)).cast("string")
+    first, second = [(1, "a"), (2, "bb"), (3, "c"), (4, "a")], [(5, "a"), (6, "dd"), (7, "c"), (8, None), (9, "bb"), (None, "eee")]
+    s = exact_dedup.StreamingDedup(spark, str(tmp_path / "state"), few)
+    for k, rows in enumerate((first, second)):
+        docs = table(spark, rows).select("doc_id", "text")
+        if files:
+            docs.unionByName(table(spark, [(70 + k, "zz")]).select("doc_id", "text")).write.parquet(str(tmp_path / f"docs{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"docs{k}")).where("doc_id is null or doc_id < 50")  # the file holds a row that does not arrive
+        s.arrive(docs)
+    assert sorted((r.keep_id, r.n) for r in s.state().collect()) == [(7, 6), (9, 4)]
+    want = defaultdict(list)
+    for i, t in first + second:
+        want[t or ""].append(i)
+    got = s.groups().collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, max((x for x in v if x is not None), default=None), len(v)) for v in want.values() for i in v)
+    assert sum(r.locator == r.keep_at for r in got) == len(want)
+
+
+def test_dedup_of_a_table_that_differs_from_its_files(spark, tmp_path):
+    table(spark, [(1, "A"), (2, "a"), (3, "b")]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs")).withColumn("text", F.lower("text"))
+    assert {r.doc_id for r in exact_dedup.deduplicated(docs).collect()} == {2, 3}
+
+
+def test_dedup_of_a_hot_text_has_no_hot_task(spark):
+    docs = table(spark, [(i, "hot" if i % 2 else f"t{i}") for i in range(2000)]).cache()
+    state = docs.groupBy("text").agg(F.count("*").alias("n"))
+    got = ranking.hot_join(docs.select("doc_id", "text"), state, "text", "n", hot=8, least=10)
+    assert got.count() == 2000 and "BroadcastHashJoin" in got._jdf.queryExecution().toString() and got.where("n = 1000").count() == 1000
 
 
 def test_dedup_stage_and_odd_rows(spark):
