@@ -2,7 +2,7 @@
 
 Features are the presence of byte n-grams (3 to 6) of the text with A-Z lower-cased, hashed into 2^20 places. The
 log-count ratio r of a place compares in how many toxic and clean training texts it occurs; all labelled texts are
-counted, joined with their labels by a shuffle. The `kept` places with the strongest chi-square enter a logistic
+counted, joined with their labels (broadcast up to a checked number of rows, by a shuffle beyond it). The `kept` places with the strongest chi-square enter a logistic
 regression on r x presence, fitted by numpy on a bounded sample.
 
 The sample, for the regression alone, is bounded to about `per_class` labelled rows of each class, drawn by a hash of the
@@ -31,6 +31,7 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class ToxicConfig:
     per_class: int = 10_000
+    broadcast_rows: int = 4_000_000  # labels that go to every task, some 30 bytes each; more are joined by a shuffle
     places: int = 1 << 20
     kept: int = 6_000
     least: int = 3  # labelled texts that a place must occur in
@@ -153,7 +154,9 @@ def known_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> ToxicModel:
-    """docs: doc_id, text; labels: doc_id, toxic (null: no label; of several labels of an id the largest holds)."""
+    """docs: doc_id, text; labels: doc_id, toxic (null: no label; of several labels of an id the largest holds). Null ids
+    are no labelled rows; each of the rows that share a labelled id counts as a text. Without labels, or with labels of one
+    class only, or without labelled texts the score is a constant."""
     known = cut(labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     have = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(have) < 2:
@@ -162,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) ->
     drawn = known.where(uniform(F.col("doc_id"), 7) < part * (1 << 30))  # about 2 x per_class ids at most
     sample = known_texts(docs, F.broadcast(drawn))
     share = have[1] / sum(have.values())
-    counts = cut(known_texts(docs, known).mapInArrow(_count_task(cfg), "place int, toxic long, clean long").groupBy("place").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")))
+    counts = cut(known_texts(docs, F.broadcast(known) if sum(have.values()) <= cfg.broadcast_rows else known).mapInArrow(_count_task(cfg), "place int, toxic long, clean long").groupBy("place").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")))
     texts = counts.where("place < 0").first()
     if texts is None:
         return _empty(cfg, share)
@@ -197,7 +200,8 @@ def probability(text: str | None, model: ToxicModel) -> float:
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, score (the probability of the label 1) for each row of docs; null texts count as empty."""
+    """doc_id, score (the probability of the label 1) for each row of docs, repeated and null ids included; null texts
+    count as empty. An empty table has no rows, other columns are not looked at."""
 
     def run(batches):
         for b in batches:
@@ -208,7 +212,8 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is below the threshold."""
+    """The rows of docs, all columns as they are, whose score is below the threshold; null and empty texts, null ids and
+    repeated rows alike, each row by its own text."""
 
     def run(batches):
         for b in batches:
@@ -223,6 +228,7 @@ def learnable():
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row for each row of docs. Labels of held-out rows are not read."""
+    """doc_id, held_out, score, predicted: one row for each row of docs. Labels of held-out rows are not read; a null id is
+    held out."""
     scored = score(docs, fit(docs.where(learnable()), labels.where(learnable()), cfg))
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= cfg.threshold).cast("int").alias("predicted"))
