@@ -1,15 +1,17 @@
 """Log-bilinear neural language model: noise-contrastive training in numpy inside Spark tasks, normalised scoring.
 
 Tokens are the lower-cased (A-Z) runs of bytes other than space and tab..carriage return, then one end per text.
-The model predicts one of `events` outcomes from the `CONTEXT` tokens before: the end, the most frequent words, or a
-tail class. A tail class holds all words that share crc32(last three bytes) mod `tail_classes`; inside a class a word
-has its smoothed share of the class's tokens, and one unknown word per class takes the rest. So every text has a
-normalised probability over an open vocabulary, while the network keeps a fixed size on any corpus.
-
-Scale: word counts of the whole training part are one shuffle (tasks pre-aggregate); the network is trained on all
-training tokens in `rounds`, each a pass of local stochastic gradient steps per partition and an average of the
-partitions' parameters (a table of fixed size). Scoring reads the texts once. Only words outside the `head` most
-frequent ones, which no key of can be hot, leave the task to meet their counts.
+The end and the most frequent words (`groups` x `members` in all) have input and output vectors of their own. By
+frequency they form groups; the context of `CONTEXT` tokens predicts first one of the groups or tail classes, then the
+word in its group, each by a log-bilinear layer of its own. A tail class holds all other words that share
+crc32(last three bytes) mod `tail_classes`; inside it a word has its smoothed share of the class's tokens, and one
+unknown word per class takes the rest. So every text has a normalised probability over an open vocabulary.
+
+Scale: word counts of the whole training part are one shuffle (tasks pre-aggregate). The network is trained on all
+training tokens in `rounds`: a round deals its texts by a hash to tasks (their number depends on the number of tokens,
+not on the files), each takes local stochastic gradient steps, and the parameters are averaged in two levels, in pieces.
+Scoring reads the texts once, by batched matrix products over many texts. Only words outside the `head` most frequent
+ones, no key of which can be hot, leave the task to meet their counts.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,24 +30,31 @@ from ledgerline.llm.tables import crc_mod, cut
 
 CONTEXT = 2
 END = b""  # no word is empty
+PIECE = 8192  # parameters averaged at once
+LOT = 64  # vectors added up in a task
+NEVER = np.float32(-1e9)  # log-odds of an output that no word has
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    events: int = 128  # the end and the words with an output of their own
+    groups: int = 64  # of words with vectors of their own, the end being the first
+    members: int = 64
     tail_classes: int = 128
-    dim: int = 16
-    head: int = 65_536  # words whose counts every task holds
-    noise: int = 48  # noise samples, shared by a minibatch
-    batch: int = 1024
-    rate: float = 0.2
+    dim: int = 32
+    head: int = 200_000  # words whose counts every task holds
+    noise: int = 32  # noise samples of the first layer, shared by a minibatch
+    inner_noise: int = 4  # of the second layer, for each token
+    batch: int = 2048
+    rate: float = 0.15
     rounds: int = 3
+    part_tokens: int = 4_000_000  # training tokens of a task
+    parts: int = 4096  # tasks at most
     add: float = 0.1
     seed: int = 11
 
     @property
-    def outputs(self) -> int:
-        return self.events + self.tail_classes
+    def own(self) -> int:
+        return self.groups * self.members
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,36 +66,49 @@ def tail_class(word: bytes, classes: int) -> int:
 
 
 class Encoder:
-    """Words to output numbers; remembers words, up to a bound."""
+    """Words to numbers: own words first, then tail classes; remembers words, up to a bound."""
 
     def __init__(self, own: dict[bytes, int], cfg: LmConfig):
         self.own, self.cfg, self.memo = own, cfg, dict(own)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> list[int]:
         memo = self.memo
         if len(memo) > 300_000:
             memo = self.memo = dict(self.own)
-        out = np.empty(len(words) + CONTEXT + 1, np.int16)
-        out[:CONTEXT] = 0
-        out[-1] = 0
         ids = list(map(memo.get, words))
         if None in ids:
             for i, v in enumerate(ids):
                 if v is None:
                     w = words[i]
-                    ids[i] = memo[w] = self.cfg.events + tail_class(w, self.cfg.tail_classes)
-        out[CONTEXT:-1] = ids
-        return out
+                    ids[i] = memo[w] = self.cfg.own + tail_class(w, self.cfg.tail_classes)
+        return ids
+
+
+def laid_out(texts: list[list[int]], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after another, each with CONTEXT ends before it and one after it, and the places of its tokens."""
+    lens = np.array([len(t) for t in texts], np.int64) + CONTEXT + 1
+    ids = np.full(int(lens.sum()), end, np.int64)
+    first = np.cumsum(lens) - lens
+    target = np.ones(len(ids), bool)
+    for i in range(CONTEXT):
+        target[first + i] = False
+    word = target.copy()
+    word[first + lens - 1] = False
+    ids[word] = np.fromiter((x for t in texts for x in t), np.int64, int(word.sum()))
+    return ids, np.flatnonzero(target)
 
 
-def start(unigram: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(cfg.seed)
-    n, d = cfg.outputs, cfg.dim
+def start(top: np.ndarray, inner: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
+    """Parameters before training, with unigram biases. top: masses of groups and tail classes, inner: of own words."""
+    rng, d = np.random.default_rng(cfg.seed), cfg.dim
+    log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-30)), NEVER).astype(np.float32)
     return {
-        "r": rng.normal(0, 0.1, (n, d)).astype(np.float32),
-        "q": rng.normal(0, 0.1, (n, d)).astype(np.float32),
+        "r": rng.normal(0, 0.1, (cfg.own + cfg.tail_classes, d)).astype(np.float32),
+        "q": rng.normal(0, 0.1, (cfg.groups + cfg.tail_classes, d)).astype(np.float32),
+        "w": rng.normal(0, 0.1, (cfg.own, d)).astype(np.float32),
         "c": (np.eye(d, dtype=np.float32)[None] / CONTEXT + rng.normal(0, 0.02, (CONTEXT, d, d)).astype(np.float32)),
-        "b": np.log(unigram).astype(np.float32),
+        "b": log(top),
+        "v": log(inner),
     }
 
 
@@ -101,45 +124,76 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def _add_rows(to: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+def _climb(p: np.ndarray, sums: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
+    """An Adagrad step on the rows `ids` of p, which may repeat."""
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    to[ids[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+    g, at = np.add.reduceat(rows[order], starts, axis=0), ids[starts]
+    sums[at] += g * g
+    p[at] += rate * g / np.sqrt(sums[at])
 
 
-def nce_step(p: dict, sums: dict, ctx: np.ndarray, y: np.ndarray, z: np.ndarray, log_kq: np.ndarray, rate: float) -> None:
-    """One Adagrad step on a minibatch: targets y (n) after contexts ctx (CONTEXT x n) against shared noise z."""
-    rows = [p["r"][c] for c in ctx]
-    h = rows[0] @ p["c"][0]
-    for i in range(1, CONTEXT):
-        h += rows[i] @ p["c"][i]
-    qy, qz = p["q"][y], p["q"][z]
-    up = 1 / (1 + np.exp(np.clip((h * qy).sum(1) + p["b"][y] - log_kq[y], -30, 30)))
-    down = -1 / (1 + np.exp(-np.clip(h @ qz.T + (p["b"][z] - log_kq[z]), -30, 30)))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
+
+
+def nce_step(p: dict, sums: dict, ctx: np.ndarray, y: np.ndarray, noise: Noise, rng, cfg: LmConfig, rate: float) -> None:
+    """One step on a minibatch: targets y (n) after contexts ctx (CONTEXT x n). Data and noise samples of both layers are
+    told apart by logistic regression; a row's gradient is a mean over the minibatch."""
     n = np.float32(len(y))
-    up, down = (up / n).astype(np.float32), (down / n).astype(np.float32)
+    rows = [p["r"][c] for c in ctx]
+    h = sum(x @ m for x, m in zip(rows, p["c"]))
+    top = np.where(y < cfg.own, y // cfg.members, y - cfg.own + cfg.groups)
+    z = noise.top(rng)
+    qy, qz = p["q"][top], p["q"][z]
+    up = _sigmoid(noise.log_top[top] - (h * qy).sum(1) - p["b"][top]) / n
+    down = -_sigmoid(h @ qz.T + (p["b"][z] - noise.log_top[z])) / n
     gh = up[:, None] * qy + down @ qz
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    _add_rows(g["q"], y, up[:, None] * h)
-    np.add.at(g["q"], z, down.T @ h)
-    g["b"] += np.bincount(y, up, len(g["b"])).astype(np.float32)
-    np.add.at(g["b"], z, down.sum(0))
-    for i, c in enumerate(ctx):
-        g["c"][i] = rows[i].T @ gh
-        _add_rows(g["r"], c, gh @ p["c"][i].T)
-    for k in p:
-        sums[k] += g[k] * g[k]
-        p[k] += rate * g[k] / np.sqrt(sums[k])
-
-
-def _stream(texts, encoder: Encoder, size: int):
-    """Minibatches (contexts, targets) of about `size` tokens over whole texts."""
+    at = np.flatnonzero(y < cfg.own)
+    if len(at):
+        hi, yi = h[at], y[at]
+        zi = noise.inner(yi // cfg.members, rng)
+        wy, wz = p["w"][yi], p["w"][zi]
+        up_i = _sigmoid(noise.log_inner[yi] - (hi * wy).sum(1) - p["v"][yi]) / n
+        down_i = -_sigmoid(np.einsum("nd,nkd->nk", hi, wz) + p["v"][zi] - noise.log_inner[zi]) / n
+        gh[at] += up_i[:, None] * wy + np.einsum("nk,nkd->nd", down_i, wz)
+        ids = np.concatenate([yi, zi.ravel()])
+        _climb(p["w"], sums["w"], ids, np.concatenate([up_i[:, None] * hi, (down_i[:, :, None] * hi[:, None]).reshape(-1, h.shape[1])]), rate)
+        _climb(p["v"], sums["v"], ids, np.concatenate([up_i, down_i.ravel()]), rate)
+    ids = np.concatenate([top, z])
+    _climb(p["q"], sums["q"], ids, np.concatenate([up[:, None] * h, down.T @ h]), rate)
+    _climb(p["b"], sums["b"], ids, np.concatenate([up, down.sum(0)]), rate)
+    back = [gh @ m.T for m in p["c"]]
+    g = np.stack([x.T @ gh for x in rows])
+    sums["c"] += g * g
+    p["c"] += rate * g / np.sqrt(sums["c"])
+    _climb(p["r"], sums["r"], np.concatenate(ctx), np.concatenate(back), rate)
+
+
+class Noise:
+    """Noise of both layers: the unigram masses of groups and tail classes, and those of the words in each group."""
+
+    def __init__(self, top: np.ndarray, inner: np.ndarray, cfg: LmConfig):
+        self.cfg, self.cdf = cfg, np.cumsum(top)
+        self.inner_cdf = (np.cumsum(inner.reshape(cfg.groups, cfg.members), 1) + np.arange(cfg.groups)[:, None]).ravel()
+        log = lambda k, x: np.where(x > 0, np.log(np.maximum(k * x, 1e-30)), 0).astype(np.float32)
+        self.log_top, self.log_inner = log(cfg.noise, top), log(cfg.inner_noise, inner)
+
+    def top(self, rng) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.cdf, rng.random(self.cfg.noise) * self.cdf[-1], side="right"), len(self.cdf) - 1)
+
+    def inner(self, group: np.ndarray, rng) -> np.ndarray:
+        at = np.searchsorted(self.inner_cdf, rng.random((len(group), self.cfg.inner_noise)) + group[:, None], side="right")
+        return np.clip(at, group[:, None] * self.cfg.members, (group[:, None] + 1) * self.cfg.members - 1)
+
+
+def _minibatches(texts, encoder: Encoder, size: int):
+    """(contexts, targets) of about `size` tokens over whole texts."""
     held, n = [], 0
     for t in texts:
-        ids = encoder(words_of(t))
-        held.append(ids)
-        n += len(ids)
+        held.append(encoder(words_of(t)))
+        n += len(held[-1]) + 1
         if n >= 8 * size:
             yield from _cut(held, size)
             held, n = [], 0
@@ -147,36 +201,38 @@ def _stream(texts, encoder: Encoder, size: int):
         yield from _cut(held, size)
 
 
-def _cut(held: list[np.ndarray], size: int):
-    ids = np.concatenate(held).astype(np.intp)
-    lens = np.array([len(x) for x in held])
-    ok = np.ones(len(ids), bool)
-    first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    for i in range(CONTEXT):
-        ok[first + i] = False
-    at = np.flatnonzero(ok)
+def _cut(held: list[list[int]], size: int):
+    ids, at = laid_out(held)
     for k in range(0, len(at), size):
         a = at[k : k + size]
         yield np.stack([ids[a - i - 1] for i in range(CONTEXT)]), ids[a]
 
 
-def _train_task(own: dict, params: dict, noise: np.ndarray, cfg: LmConfig, turn: int):
+def _train_task(own: dict, params: dict, top: np.ndarray, inner: np.ndarray, cfg: LmConfig, turn: int):
+    """One row for each PIECE of the parameters that the task ends with."""
+
     def run(batches):
         p = {k: v.copy() for k, v in params.items()}
         sums = {k: np.full_like(v, 1e-4) for k, v in p.items()}
-        rng, encoder, log_kq, seen = np.random.default_rng(cfg.seed + turn), Encoder(own, cfg), np.log(cfg.noise * noise).astype(np.float32), 0
-        cdf = np.cumsum(noise)
+        rng, encoder, noise, seen = np.random.default_rng(cfg.seed + turn), Encoder(own, cfg), Noise(top, inner, cfg), 0
         for b in batches:
-            for ctx, y in _stream(b.column("text").to_pylist(), encoder, cfg.batch):
-                z = np.minimum(np.searchsorted(cdf, rng.random(cfg.noise)), len(noise) - 1)
-                nce_step(p, sums, ctx, y, z, log_kq, cfg.rate / (1 + turn))
+            for ctx, y in _minibatches(b.column("text").to_pylist(), encoder, cfg.batch):
+                nce_step(p, sums, ctx, y, noise, rng, cfg, cfg.rate / (1 + turn))
                 seen += len(y)
         if seen:
-            yield pa.RecordBatch.from_pydict({"seen": pa.array([seen], pa.int64()), "flat": pa.array([pack(p)], pa.list_(pa.float32()))})
+            flat = pack(p)
+            pieces = [flat[k : k + PIECE].tobytes() for k in range(0, len(flat), PIECE)]
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(len(pieces)), pa.int32()), "seen": pa.array([seen] * len(pieces), pa.int64()), "x": pa.array(pieces, pa.binary())})
 
     return run
 
 
+def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    seen = pdf["seen"].to_numpy(np.float64)
+    total = sum(n * np.frombuffer(x, np.float32).astype(np.float64) for n, x in zip(seen, pdf["x"]))
+    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "seen": [int(seen.sum())], "x": [(total / seen.sum()).astype(np.float32).tobytes()]})
+
+
 def _count_task(batches):
     counts: Counter = Counter()
 
@@ -200,15 +256,26 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words above the least frequency, in 64 steps a doubling, that at most `most` words are above."""
+    """The `most` most frequent words. Frequencies are told apart in 64 steps a doubling; of the words of the step where
+    the bound is reached those with the least hashes are taken, as many as there is room for (or a few less, where
+    hashes meet)."""
     step = F.floor(F.log2("n") * 64).cast("int")
-    total, least = 0, None
+    place = F.pmod(F.xxhash64("word"), F.lit(1 << 16)).cast("int")
+    total, border = 0, None
     for s, n in sorted(((r.s, r.n) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if total + n > most:
+            border = s
+            break
+        total += n
+    if border is None:
+        return counts
+    least = 0
+    for p, n in sorted((r.p, r.n) for r in counts.where(step == border).groupBy(place.alias("p")).agg(F.count("*").alias("n")).collect()):  # at most 65,536 rows
         total += n
         if total > most:
             break
-        least = s
-    return counts.where(F.lit(False) if least is None else step >= least)
+        least = p + 1
+    return counts.where((step > border) | ((step == border) & (place < least)))
 
 
 @dataclass
@@ -217,126 +284,164 @@ class LanguageModel:
     counts: DataFrame  # word, n, of every training token
     tokens: int
     distinct: int
+    ends: int  # training texts
     own: dict[bytes, int]
-    head: dict[bytes, int]
+    head: dict[bytes, int]  # counts of the most frequent words, the end not among them
     tail: list[tuple[int, int]]  # tokens and words of each tail class
     params: dict[str, np.ndarray]
 
 
 def fit(train: DataFrame, cfg: LmConfig = LmConfig()) -> LanguageModel:
-    """train: doc_id, text (null: empty). An empty table gives the uniform model."""
+    """train: doc_id, text (null: empty, which is one end). Each row is a text, rows that share an id too. An empty table
+    gives the smoothed uniform model. Of equally frequent words the lesser bytes come first."""
     counts = cut(word_counts(train))
     tokens, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    head = {bytes(r.word): r.n for r in most_frequent(counts, cfg.head).collect()}  # at most cfg.head rows
-    ranked = sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[: cfg.events - 1]
+    end = counts.where(F.octet_length("word") == 0).first()
+    ends = end.n if end else 0
+    head = {bytes(r.word): r.n for r in most_frequent(counts.where(F.octet_length("word") > 0), cfg.head).collect()}  # at most cfg.head rows
+    ranked = sorted(head, key=lambda w: (-head[w], w))[: cfg.own - 1]
     own = {END: 0} | {w: i + 1 for i, w in enumerate(ranked)}
     # the words with outputs of their own are taken from the class totals, not filtered from the table
     cls = F.crc32(F.expr("substring(word, -3, 3)")) % F.lit(cfg.tail_classes)
     totals = {r.k: (r.n, r.v) for r in counts.groupBy(cls.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     tail = [totals.get(k, (0, 0)) for k in range(cfg.tail_classes)]
-    for w in own:
-        if w in head:
-            k = tail_class(w, cfg.tail_classes)
-            tail[k] = (tail[k][0] - head[w], tail[k][1] - 1)
-    mass = np.array([head.get(END, 0), *(head[w] for w in ranked), *[0] * (cfg.events - 1 - len(ranked)), *(n for n, _ in tail)], np.float64)
-    unigram = (mass + 0.5) / (mass.sum() + 0.5 * len(mass))
-    params = start(unigram, cfg)
-    turn_of = F.pmod(F.xxhash64(F.lit(cfg.seed), "doc_id"), F.lit(cfg.rounds))
+    for w, n in [(END, ends)] * (ends > 0) + [(w, head[w]) for w in ranked]:
+        k = tail_class(w, cfg.tail_classes)
+        tail[k] = (tail[k][0] - n, tail[k][1] - 1)
+    inner = np.zeros(cfg.own)
+    inner[: len(own)] = np.array([ends, *(head[w] for w in ranked)]) + 0.5
+    mass = inner.reshape(cfg.groups, cfg.members).sum(1)
+    top = np.concatenate([mass, [n + 0.5 for n, _ in tail]])
+    top, inner = top / top.sum(), inner / np.maximum(np.repeat(mass, cfg.members), 1e-30)
+    params = start(top, inner, cfg)
+    key = F.xxhash64(F.lit(cfg.seed), "doc_id", "text")
     for turn in range(cfg.rounds if tokens else 0):
-        locals_ = train.where(turn_of == turn).select("text").mapInArrow(_train_task(own, params, unigram, cfg, turn), "seen long, flat array<float>")
-        mean = locals_.select("seen", F.posexplode("flat").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x")).collect()  # one row per parameter
+        dealt = train.where(F.pmod(key, F.lit(cfg.rounds)) == turn).withColumn("_key", key).repartition(min(cfg.parts, -(-tokens // (cfg.rounds * cfg.part_tokens))), "_key")
+        locals_ = dealt.sortWithinPartitions("_key").select("text").mapInArrow(_train_task(own, params, top, inner, cfg, turn), "piece int, seen long, x binary")
+        lots = locals_.withColumn("lot", F.floor(F.spark_partition_id() / LOT).cast("int")).groupBy("piece", "lot").applyInPandas(_mean, "piece int, seen long, x binary")
+        mean = {r.piece: r.x for r in lots.groupBy("piece").applyInPandas(_mean, "piece int, seen long, x binary").collect()}  # the parameters
         if mean:
-            flat = np.zeros(pack(params).size)
-            for i, x in mean:
-                flat[i] = x
-            params = unpack(flat, params)
-    return LanguageModel(cfg, counts, tokens, distinct, own, head, tail, params)
-
-
-def table(params: dict) -> np.ndarray:
-    """log P of each outcome (columns) after each context (rows: the last token's number, then the one before, as digits),
-    normalised, from batched matrix products. outputs ** (CONTEXT + 1) numbers: the model's size, whatever the corpus."""
-    n = len(params["b"])
-    ahead = [params["r"] @ params["c"][i] for i in range(CONTEXT)]
-    out, qt = np.empty((n**CONTEXT, n), np.float32), params["q"].T.copy()
-    for k in range(n):  # a batch holds all contexts with the same last token
-        h = ahead[0][k : k + 1]
-        for i in range(1, CONTEXT):
-            h = (h[:, None] + ahead[i][None]).reshape(-1, h.shape[1])
-        s = h @ qt + params["b"]
-        s -= s.max(1, keepdims=True)
-        s -= np.log(np.exp(s).sum(1, keepdims=True))
-        out[k * len(s) : (k + 1) * len(s)] = s
-    return out
+            params = unpack(np.concatenate([np.frombuffer(mean[k], np.float32) for k in sorted(mean)]), params)
+    return LanguageModel(cfg, counts, tokens, distinct, ends, own, head, tail, params)
+
+
+class Network:
+    """Normalised log-probabilities of a trained model."""
 
+    def __init__(self, params: dict, cfg: LmConfig):
+        self.cfg, self.b = cfg, params["b"]
+        self.ahead = [params["r"] @ m for m in params["c"]]  # what a token adds to the prediction at each distance
+        self.qt = params["q"].T.copy()
+        self.w = params["w"].reshape(cfg.groups, cfg.members, -1).transpose(0, 2, 1).copy()
+        self.v = params["v"].reshape(cfg.groups, cfg.members)
 
-def log_probs(log_p: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log P of each target in ids: CONTEXT leading pads, then a text and its end."""
-    n, ids = log_p.shape[1], ids.astype(np.int64)
-    row = ids[CONTEXT - 1 : -1].copy()
-    for i in range(1, CONTEXT):
-        row = row * n + ids[CONTEXT - 1 - i : -1 - i]
-    return log_p.ravel()[row * n + ids[CONTEXT:]]
+    def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Natural log P of the tokens at these places, each after the CONTEXT tokens before it."""
+        out, size = np.empty(len(at), np.float64), 8192
+        for k in range(0, len(at), size):
+            out[k : k + size] = self._batch(ids, at[k : k + size])
+        return out
+
+    def _batch(self, ids, at):
+        cfg = self.cfg
+        h = self.ahead[0][ids[at - 1]]
+        for i in range(1, CONTEXT):
+            h = h + self.ahead[i][ids[at - 1 - i]]
+        y = ids[at]
+        top = np.where(y < cfg.own, y // cfg.members, y - cfg.own + cfg.groups)
+        out = self._softmax(h @ self.qt + self.b, top)
+        order = np.argsort(top, kind="stable")
+        ends = np.searchsorted(top[order], np.arange(cfg.groups + 1))
+        for g in range(cfg.groups):
+            mine = order[ends[g] : ends[g + 1]]
+            if len(mine):
+                out[mine] += self._softmax(h[mine] @ self.w[g] + self.v[g], y[mine] % cfg.members)
+        return out
+
+    @staticmethod
+    def _softmax(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s -= s.max(1, keepdims=True)
+        picked = s[np.arange(len(y)), y].astype(np.float64)
+        return picked - np.log(np.exp(s, out=s).sum(1))
 
 
 SCORED = "uid long, doc_id long, word binary, salt long, tf long, n_tokens long, n_known long, base double, nn double"
 
 
 def _score_task(model: LanguageModel):
-    cfg, own, head, tokens, distinct, params, tail = model.cfg, model.own, model.head, model.tokens, model.distinct, model.params, model.tail
+    """One row per text, then one for each of its words that the head lacks."""
+    cfg, own, head, tokens, distinct, params, tail, ends = model.cfg, model.own, model.head, model.tokens, model.distinct, model.params, model.tail, model.ends
     names = [x.split()[0] for x in SCORED.split(", ")]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    words, n_of = list(head), np.array(list(head.values()), np.float64)
 
     def run(batches):
-        encoder = Encoder(own, cfg)
-        log_p = table(params)
+        net = Network(params, cfg)
         log_all = np.log10(tokens + cfg.add * (distinct + 1))
-        in_class = [np.log10(n + cfg.add * (v + 1)) for n, v in tail]
-        known = {w: (np.log10(n + cfg.add) - log_all, 0.0 if w in own else np.log10(n + cfg.add) - in_class[tail_class(w, cfg.tail_classes)]) for w, n in head.items()}
-        if END not in known:
-            known[END] = (np.log10(cfg.add) - log_all, 0.0)
-        n_end = 1 if END in head else 0
-        # one row per text, then one for each of its words that the head lacks
-        cols: list[list] = [[] for _ in names]
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-            for c in cols:
-                c.clear()
-            return out
-
-        for b in batches:
-            uids, docs, texts = (b.column(k).to_pylist() for k in ("uid", "doc_id", "text"))
-            for u, doc, t in zip(uids, docs, texts):
-                words = words_of(t)
-                base, found = known[END][0], n_end
-                nn = float(log_probs(log_p, encoder(words)).sum(dtype=np.float64)) / np.log(10)
-                rest = []
-                for w, n in Counter(words).items():
-                    k = known.get(w)
-                    if k is None:
-                        rest.append((w, n))
-                    else:
-                        base += n * k[0]
-                        nn += n * k[1]
-                        found += n
-                for c, v in zip(cols, (u, doc, END, u + 1, 0, len(words) + 1, found, base, nn)):
+        in_class = np.array([np.log10(n + cfg.add * (v + 1)) for n, v in tail])
+        known = {w: i for i, w in enumerate(words)}
+        code = np.array([own[w] if w in own else cfg.own + tail_class(w, cfg.tail_classes) for w in words], np.int64)
+        base_of = np.log10(n_of + cfg.add) - log_all
+        # an own word has its output, any other one a share of its class
+        share_of = np.where(code < cfg.own, 0.0, np.log10(n_of + cfg.add) - in_class[np.maximum(code - cfg.own, 0)]) if len(words) else np.empty(0)
+        end = np.log10(ends + cfg.add) - log_all
+        encode = Encoder({}, cfg)
+
+        def scored(uids, docs, texts):
+            rows, other, sizes = [], [], []
+            for t in texts:
+                ids = list(map(known.get, t))
+                rest = [w for w, i in zip(t, ids) if i is None] if None in ids else []
+                other.append(rest)
+                if rest:
+                    codes = iter(encode(rest))
+                    ids = [-next(codes) if i is None else i for i in ids]  # a tail class, negative
+                rows.append(ids)
+                sizes.append(len(t))
+            flat = np.fromiter((i for r in rows for i in r), np.int64, sum(sizes))
+            met = flat >= 0
+            place = np.maximum(flat, 0)
+            if len(words):
+                base, share, codes = np.where(met, base_of[place], 0), np.where(met, share_of[place], 0), np.where(met, code[place], -flat)
+            else:
+                base, share, codes = np.zeros(len(flat)), np.zeros(len(flat)), -flat
+            cuts = np.cumsum([0, *sizes])
+            ids, at = laid_out([codes[a:b] for a, b in zip(cuts, cuts[1:])])
+            lp = net.log_probs(ids, at) / np.log(10)
+            total = lambda x: np.concatenate(([0], np.cumsum(x)))
+            every, tb, ts, tk = total(lp), total(base), total(share), total(met)
+            out_cols: list[list] = [[] for _ in names]
+            for i, (u, doc) in enumerate(zip(uids, docs)):
+                a, b = cuts[i], cuts[i + 1]
+                nn = every[b + i + 1] - every[a + i] + ts[b] - ts[a]
+                for c, v in zip(out_cols, (u, doc, END, u + 1, 0, sizes[i] + 1, int(tk[b] - tk[a]) + (ends > 0), float(tb[b] - tb[a] + end), float(nn))):
                     c.append(v)
+                rest = Counter(other[i])
                 m = len(rest)
                 if m:
-                    for c, v in zip(cols, ([u] * m, [None] * m, [w for w, _ in rest], [0] * m, [n for _, n in rest], *[[None] * m] * 4)):
+                    for c, v in zip(out_cols, ([u] * m, [None] * m, list(rest), [0] * m, list(rest.values()), *[[None] * m] * 4)):
                         c.extend(v)
-                if len(cols[0]) > 50_000:
-                    yield flush()
-        if cols[0]:
-            yield flush()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out_cols, types)], names)
+
+        for b in batches:
+            held, n = ([], [], []), 0
+            for row in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                for c, v in zip(held, (*row[:2], words_of(row[2]))):
+                    c.append(v)
+                n += len(held[2][-1])
+                if n > 50_000:
+                    yield scored(*held)
+                    held, n = ([], [], []), 0
+            if held[0]:
+                yield scored(*held)
 
     return run
 
 
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs, repeated ids included.
-    Null and empty texts have the end as their only token. base_score is the smoothed unigram log10 probability."""
+    Null and empty texts have the end as their only token. base_score is the smoothed unigram log10 probability. An empty
+    table has no rows; other columns are not looked at."""
     cfg = model.cfg
     log_all = float(np.log10(model.tokens + cfg.add * (model.distinct + 1)))
     in_class = F.array(*[F.lit(float(np.log10(n + cfg.add * (v + 1)))) for n, v in model.tail])
