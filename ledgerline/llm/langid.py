@@ -3,11 +3,14 @@
 For each language a context tree of bytes, up to `order` bytes deep, is grown from a bounded sample; contexts seen less
 than `least` times are pruned, so depth varies. In a context, a byte seen n times of N, among t distinct ones, has
 probability n / (N + t); the escape t / (N + t) is shared out by the next shorter context over the bytes not seen here
-(exclusion). The shortest context escapes to all 256 bytes alike. Statistics are frozen, every distribution sums to one, and a text's exact code
-length in each language is a sum over its bytes. The shortest code wins; the score is its posterior at even priors.
-
-The trees are flattened to a table (context x byte class -> code length in each language), bounded by `contexts`, so
-tasks look code lengths up in numpy. One pass over the texts, no shuffle.
+(exclusion). The shortest context escapes to all 256 bytes alike. Statistics are frozen, every distribution sums to one, and
+a text's exact code length in each language is a sum over its bytes. The shortest code wins; the score is its posterior
+at even priors.
+
+The trees are flattened to one table for each depth: a code length in each language for every byte that some language
+saw in a context, and for every context the cost of its escape, after which the byte is looked up in the next shorter
+context. No byte and no context is left out, so the lengths are those of the trees. Tasks look them up in numpy. One
+pass over the texts, no shuffle.
 """
 
 from __future__ import annotations
@@ -31,7 +34,6 @@ class PpmConfig:
     order: int = 3  # at most 3: a context and its byte fit into 32 bits
     sample_bytes: int = 2_000_000  # expected bytes of text learnt for each language
     least: int = 4
-    contexts: int = 20_000  # deepest contexts kept, the most frequent first
 
 
 def padded(text: str | None, order: int) -> np.ndarray:
@@ -68,21 +70,34 @@ def _count_task(order: int):
     return run
 
 
+@dataclass
+class Depth:
+    """The contexts of one depth, ascending, and what they know. Entry e of context contexts[of[e]] is the byte byte[e]."""
+
+    contexts: np.ndarray
+    escape: np.ndarray  # context x language, nats
+    of: np.ndarray
+    byte: np.ndarray
+    codes: np.ndarray  # entry x language, nats
+
+
 @dataclass
 class PpmModel:
     cfg: PpmConfig
     langs: list[str]
-    classes: np.ndarray  # byte -> class; class 0 stands for all bytes that were not learnt
-    place: np.ndarray  # packed classes of a context -> row of codes
-    codes: np.ndarray  # row x class -> code lengths in nats, a column for each language
+    depths: list[Depth]
 
 
 def distributions(grams: dict[int, int], cfg: PpmConfig, contexts: np.ndarray) -> np.ndarray:
     """P(byte | context), rows for contexts (packed, order bytes), of one language with (order + 1)-gram counts `grams`."""
     g = np.fromiter(grams, np.int64, len(grams))
-    n = np.fromiter(grams.values(), np.int64, len(grams)).astype(np.float64)
+    return _distributions(g, np.fromiter(grams.values(), np.int64, len(grams)).astype(np.float64), cfg.order, cfg.least, contexts)[0]
+
+
+def _distributions(g: np.ndarray, n: np.ndarray, order: int, least: int, contexts: np.ndarray):
+    """P(byte | context), the bytes seen in the context, and the factor that an escape puts before the shorter context."""
     lower, lower_keys = np.full((1, 256), 1 / 256), np.zeros(1, np.int64)  # below order 0: all bytes alike
-    for k in range(cfg.order + 1):
+    for k in range(order + 1):
         ctx, byte = (g >> 8) & ((1 << (8 * k)) - 1), g & 255
         # the contexts of depth k that are wanted: the ends of the deepest ones
         want = np.unique(contexts & ((1 << (8 * k)) - 1))
@@ -92,7 +107,7 @@ def distributions(grams: dict[int, int], cfg: PpmConfig, contexts: np.ndarray) -
         np.add.at(counts, (at[ok], byte[ok]), n[ok])
         total = counts.sum(1, keepdims=True)
         if k:
-            counts[(total < cfg.least).ravel()] = 0  # pruned: all its mass escapes
+            counts[(total < least).ravel()] = 0  # pruned: all its mass escapes
             total = counts.sum(1, keepdims=True)
         below = lower[np.searchsorted(lower_keys, want & ((1 << (8 * max(k - 1, 0))) - 1))] if k else np.repeat(lower, len(want), 0)
         seen = counts > 0
@@ -101,101 +116,97 @@ def distributions(grams: dict[int, int], cfg: PpmConfig, contexts: np.ndarray) -
         left = rest.sum(1, keepdims=True)
         escape = np.where(left > 0, distinct / np.maximum(total + distinct, 1), 0)
         escape = np.where(total > 0, escape, 1)
-        p = np.where(left > 0, counts / np.maximum(total + distinct, 1), counts / np.maximum(total, 1)) + escape * rest / np.where(left > 0, left, 1)
+        factor = escape / np.where(left > 0, left, 1)
+        p = np.where(left > 0, counts / np.maximum(total + distinct, 1), counts / np.maximum(total, 1)) + factor * rest
         lower, lower_keys = p, want
-    return lower[np.searchsorted(lower_keys, contexts)]
+    back = np.searchsorted(lower_keys, contexts)
+    return lower[back], seen[back], factor[back]
 
 
 def fit(train: DataFrame, cfg: PpmConfig = PpmConfig()) -> PpmModel:
     """train: doc_id, text, lang. Rows are drawn by a hash of the id so that each language has about sample_bytes; the
-    collected counts are bounded by that sample. Null languages and texts teach nothing."""
+    collected counts are bounded by that sample. Null languages and texts teach nothing; without any other the model is
+    empty. Rows that share an id are drawn together, each teaches."""
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     size = {r.lang: r.n for r in train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # a row for each language
     if not size:
-        return PpmModel(cfg, [], np.zeros(256, np.uint8), np.zeros(0, np.int32), np.zeros((0, 1, 0), np.float32))
+        return PpmModel(cfg, [], [])
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
     share = F.lit(1.0)
     for lang, n in size.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, cfg.sample_bytes / max(n, 1)))).otherwise(share)
     counts = train.where(draw < share).select("lang", "text").mapInArrow(_count_task(cfg.order), "lang string, gram long, n long")
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(size)
-    grams = {k: {} for k in langs} | {k: dict(zip(v["gram"].tolist(), v["n"].tolist())) for k, v in rows.groupby("lang")}
-    every = rows.groupby("gram")["n"].sum()
-    contexts = (every.index.to_numpy(np.int64) >> 8) & ((1 << (8 * cfg.order)) - 1)
-    found, back = np.unique(contexts, return_inverse=True)
-    weight = np.bincount(back, every.to_numpy(np.float64))
-    keep = np.sort(found[np.lexsort((found, -weight))[: cfg.contexts]]) if len(found) else found
-    used = sorted({10} | {int(x) & 255 for x in every.index} | {int(x) >> s & 255 for x in keep for s in range(0, 8 * cfg.order, 8)})[: 127]
-    classes = np.zeros(256, np.uint8)
-    classes[used] = np.arange(1, len(used) + 1)
-    # shorter contexts: class 0 in front means "any other byte"
-    chains = _chains(keep, classes, cfg.order)
-    width = len(used) + 1
-    codes = np.empty((len(chains[1]), width, len(langs)), np.float32)
-    for j, lang in enumerate(langs):
-        for k in range(cfg.order + 1):
-            at, ctx = chains[2][k]
-            p = distributions(grams[lang], PpmConfig(k, cfg.sample_bytes, cfg.least, cfg.contexts), ctx) if k == cfg.order else distributions(_shorter(grams[lang], k), PpmConfig(k, cfg.sample_bytes, cfg.least, cfg.contexts), ctx)
-            codes[at, 1:, j] = -np.log(np.maximum(p[:, used], 1e-12))
-            codes[at, 0, j] = -np.log(np.maximum(1e-12, (1 - p[:, used].sum(1)) / max(1, 256 - len(used))))
-    return PpmModel(cfg, langs, classes, chains[0], codes)
-
-
-def _shorter(grams: dict[int, int], order: int) -> dict[int, int]:
-    """Counts of the last order + 1 bytes."""
-    out: dict[int, int] = {}
-    mask = (1 << (8 * (order + 1))) - 1
-    for g, n in grams.items():
-        out[g & mask] = out.get(g & mask, 0) + n
-    return out
-
-
-def _chains(keep: np.ndarray, classes: np.ndarray, order: int):
-    """place: 7 bits a byte class -> row. Rows: the kept contexts, then their ends of each shorter depth, which stand in
-    for any context that was not kept."""
-    size = 1 << (7 * order)
-    place = np.full(size, -1, np.int32)
-    rows, parts = 0, {}
-    packed = np.zeros(len(keep), np.int64)
-    for i in range(order - 1, -1, -1):
-        packed = (packed << 7) | classes[(keep >> (8 * i)) & 255]
-    for depth in range(order + 1):
-        ctx = np.unique(keep & ((1 << (8 * depth)) - 1)) if depth < order else keep
-        if depth == 0:
-            ctx = np.zeros(1, np.int64)
-        at = np.arange(rows, rows + len(ctx))
-        parts[depth] = (at, ctx)
-        rows += len(ctx)
-        if depth == 0:
-            place[:] = at[0]
-        elif depth < order:
-            tail = np.zeros(len(ctx), np.int64)
-            for i in range(depth - 1, -1, -1):
-                tail = (tail << 7) | classes[(ctx >> (8 * i)) & 255]
-            place.reshape(-1, 1 << (7 * depth))[:, tail] = at[None]
-        else:
-            place[packed] = at
-    return place, np.arange(rows), parts
-
-
-def lengths(text: str | None, model: PpmModel) -> np.ndarray:
-    """The text's code length in nats in each language."""
-    order, width = model.cfg.order, model.codes.shape[1]
-    b = model.classes[padded(text, order)]
-    flat, total = model.codes.reshape(-1, len(model.langs)), np.zeros(len(model.langs))
-    for at in range(0, len(b) - order, PIECE):
-        x = b[at : at + PIECE + order].astype(np.int64)
-        n = len(x) - order
-        ctx = np.zeros(n, np.int64)
-        for i in range(order):
-            ctx = (ctx << 7) | x[i : i + n]
-        total += flat.take(model.place[ctx] * np.int64(width) + x[order:], axis=0).sum(0, dtype=np.float64)
-    return total
+    grams = {k: (v["gram"].to_numpy(np.int64), v["n"].to_numpy(np.float64)) for k, v in rows.groupby("lang")}
+    return flattened({k: grams.get(k, (np.zeros(0, np.int64), np.zeros(0))) for k in sorted(size)}, cfg)
+
+
+def flattened(grams: dict[str, tuple[np.ndarray, np.ndarray]], cfg: PpmConfig) -> PpmModel:
+    """The trees of languages with these (order + 1)-grams and their counts, as tables."""
+    depths = []
+    for k in range(cfg.order + 1):
+        kept = [np.zeros(1, np.int64)] if k == 0 else []
+        for g, n in grams.values() if k else ():
+            ctx, back = np.unique((g >> 8) & ((1 << (8 * k)) - 1), return_inverse=True)
+            kept.append(ctx[np.bincount(back, n, len(ctx)) >= cfg.least])
+        contexts = np.unique(np.concatenate(kept))
+        escape, of, byte, codes = [], [], [], []
+        for at in range(0, len(contexts), 2048):  # in pieces, as the distributions are dense
+            part = contexts[at : at + 2048]
+            got = [_distributions(g & ((1 << (8 * (k + 1))) - 1), n, k, cfg.least, part) for g, n in grams.values()]
+            e, b = np.nonzero(np.logical_or.reduce([seen for _, seen, _ in got]))
+            of.append(e + at)
+            byte.append(b)
+            codes.append(np.stack([-np.log(p[e, b]) for p, _, _ in got], 1).astype(np.float32))
+            escape.append(np.concatenate([-np.log(np.maximum(f, 1e-300)) for _, _, f in got], 1).astype(np.float32))
+        m = len(grams)
+        empty = np.zeros((0, m), np.float32)
+        depths.append(Depth(contexts, np.concatenate([empty, *escape]), np.concatenate([np.zeros(0, np.int64), *of]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *byte]).astype(np.uint8), np.concatenate([empty, *codes])))
+    return PpmModel(cfg, list(grams), depths)
+
+
+class Lookup:
+    """The tables as a task uses them: a row for every possible context (0 where it is not known), an entry for each byte
+    (0 where it was not seen)."""
+
+    def __init__(self, model: PpmModel):
+        self.model, self.levels = model, []
+        for k, d in enumerate(model.depths):
+            row = np.zeros(1 << (8 * k), np.int32)
+            row[d.contexts] = np.arange(1, len(d.contexts) + 1)
+            entry = np.zeros((len(d.contexts) + 1, 256), np.int32)
+            entry[d.of + 1, d.byte] = np.arange(1, len(d.of) + 1)
+            pad = np.zeros((1, len(model.langs)), np.float32)
+            self.levels.append((row, entry.ravel(), np.concatenate([pad, d.escape]), np.concatenate([pad, d.codes])))
+
+    def lengths(self, text: str | None) -> np.ndarray:
+        """The text's code length in nats in each language."""
+        order, b, total = self.model.cfg.order, padded(text, self.model.cfg.order), np.zeros(len(self.model.langs))
+        for at in range(0, len(b) - order, PIECE):
+            x = b[at : at + PIECE + order].astype(np.int32)
+            n = len(x) - order
+            ctx = np.zeros(n, np.int32)
+            for i in range(order):
+                ctx = (ctx << 8) | x[i : i + n]
+            x = x[order:]
+            for k in range(order, -1, -1):
+                row_of, entry, escape, codes = self.levels[k]
+                row = row_of[ctx & ((1 << (8 * k)) - 1)]
+                e = entry[row * 256 + x]
+                total += codes.take(e, 0).sum(0, dtype=np.float64)
+                missed = e == 0
+                row = row[missed]
+                total += escape.take(row, 0).sum(0, dtype=np.float64)
+                ctx, x = ctx[missed], x[missed]
+                if not len(x):
+                    break
+            total += len(x) * np.log(256)
+        return total
 
 
 def _predict_task(model: PpmModel):
     def run(batches):
+        table = Lookup(model)
         for b in batches:
             lang, score = [], []
             for t in b.column("text").to_pylist():
@@ -203,7 +214,7 @@ def _predict_task(model: PpmModel):
                     lang.append("und")
                     score.append(0.0)
                     continue
-                d = lengths(t, model)
+                d = table.lengths(t)
                 best = int(d.argmin())
                 lang.append(model.langs[best])
                 score.append(float(1 / np.exp(-np.minimum(d - d[best], 700)).sum()))
@@ -219,6 +230,6 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
 
 
 def identify_documents(docs: DataFrame, cfg: PpmConfig = PpmConfig()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. A null id is never learnt from."""
+    """doc_id, held_out, lang_pred, score: one row for each row of docs. A null id is never learnt from."""
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True))
     return predict(docs, fit(docs.where(~held), cfg)).select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -51,17 +51,95 @@ def test_lm_base_score_and_counts_match_brute_force(spark):
         assert g.base_score == pytest.approx(base, rel=1e-9)
 
 
+def test_lm_end_and_head_are_exact_where_counts_tie(spark):
+    rows = [(i, " ".join(f"t{k}" for k in range(30))) for i in (1, 2, 4)]
+    assert all(zlib.crc32(str(i).encode()) % 10 for i, _ in rows)
+    model = lm.fit(table(spark, rows), lm.LmConfig(head=10))
+    assert len(model.head) == 10 and model.ends == 3 and len(model.own) == 11
+    for head in (10, 200):
+        got = lm.score_documents(table(spark, rows), lm.LmConfig(head=head)).collect()
+        base = sum(math.log10(3.1 / (93 + 0.1 * 32)) for _ in range(31))
+        assert all(r.n_known == r.n_tokens == 31 and r.base_score == pytest.approx(base) for r in got)
+
+
+SMALL = lm.LmConfig(groups=4, members=5, tail_classes=12, dim=6)
+
+
 def test_lm_probabilities_sum_to_one_and_learn(spark):
-    cfg = lm.LmConfig(events=20, tail_classes=12, dim=6)
-    model = lm.fit(docs(spark).where(~lm.held_out(10, 0)), cfg)
-    p = np.exp(lm.table(model.params).astype(np.float64))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    inside = sum(n for n, _ in model.tail) + sum(model.head[w] for w in model.own if w in model.head)
-    assert inside == model.tokens  # every training token is an outcome or in a class
+    model = lm.fit(docs(spark).where(~lm.held_out(10, 0)), SMALL)
+    inside = sum(n for n, _ in model.tail) + model.ends + sum(model.head[w] for w in model.own if w)
+    assert inside == model.tokens and len(model.own) == 20  # every training token is an outcome or in a class
+    net, rng = lm.Network(model.params, SMALL), np.random.default_rng(0)
+    for _ in range(20):
+        before = rng.integers(0, 32, lm.CONTEXT)
+        p = np.exp(net.log_probs(np.concatenate([np.array([*before, y]) for y in range(32)]), np.arange(32) * 3 + 2))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+    few = lm.fit(table(spark, [(1, "a b a"), (2, "b")]), SMALL)  # outputs that no word has take nothing
+    net = lm.Network(few.params, SMALL)
+    p = np.exp(net.log_probs(np.array([x for y in [0, 1, 2, *range(20, 32)] for x in (1, 2, y)]), np.arange(15) * 3 + 2))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
     got = lm.score_documents(docs(spark, "sf0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
 
+def test_lm_score_matches_brute_force(spark):
+    """Each text's probability by the formula, word by word, from the model's parameters."""
+    cfg = replace(SMALL, head=60)
+    d = docs(spark)
+    model = lm.fit(d.where(~lm.held_out(10, 0)), cfg)
+    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    p = {k: v.astype(np.float64) for k, v in model.params.items()}
+    members = defaultdict(list)
+    for w in counts:
+        if w not in model.own:
+            members[lm.tail_class(w, 12)].append(w)
+    number = lambda w: model.own.get(w, 20 + lm.tail_class(w, 12))
+    softmax = lambda s: np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+    got = {r.doc_id: r.score for r in lm.score(d, model).collect()}
+    for r in d.limit(40).collect():
+        words, total = [b"", b"", *lm.words_of(r.text), b""], 0.0
+        for i in range(2, len(words)):
+            h = p["r"][number(words[i - 1])] @ p["c"][0] + p["r"][number(words[i - 2])] @ p["c"][1]
+            top, k = softmax(p["q"] @ h + p["b"]), number(words[i])
+            if k < 20:
+                chance = top[k // 5] * softmax(p["w"][k // 5 * 5 : k // 5 * 5 + 5] @ h + p["v"][k // 5 * 5 : k // 5 * 5 + 5])[k % 5]
+            else:
+                all_n = sum(counts[w] for w in members[k - 20])
+                chance = top[4 + k - 20] * (counts.get(words[i], 0) + 0.1) / (all_n + 0.1 * (len(members[k - 20]) + 1))
+            total += math.log10(chance)
+        assert got[r.doc_id] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_noise_contrastive_training_nears_the_normalised_model():
+    """On a Markov chain: held-out log-probability after NCE against the chain itself and a full softmax model."""
+    cfg, rng = lm.LmConfig(groups=3, members=4, tail_classes=2, dim=8, noise=16, batch=256, rate=0.3), np.random.default_rng(5)
+    chain = rng.dirichlet(np.full(12, 0.3), 12)
+    walk = [0]
+    for _ in range(40_000):
+        walk.append(int(rng.choice(12, p=chain[walk[-1]])))
+    ids = np.array(walk)
+    uni = np.bincount(ids, minlength=12) / len(ids)
+    mass = uni.reshape(3, 4).sum(1)
+    top, inner = np.concatenate([mass * 0.999, [0.0005, 0.0005]]), uni / np.repeat(mass, 4)
+    p, noise = lm.start(top, inner, cfg), lm.Noise(top, inner, cfg)
+    sums, at = {k: np.full_like(v, 1e-4) for k, v in p.items()}, np.arange(2, 36_000)
+    for turn in range(6):
+        for k in range(0, len(at), cfg.batch):
+            a = at[k : k + cfg.batch]
+            lm.nce_step(p, sums, np.stack([ids[a - 1], ids[a - 2]]), ids[a], noise, rng, cfg, cfg.rate / (1 + turn))
+    test = np.arange(36_002, len(ids))
+    nce = lm.Network(p, cfg).log_probs(ids, test).mean()
+    w = np.zeros((12, 12))  # the best bilinear model of one token before has a free table: full softmax by gradients
+    for _ in range(400):
+        s = np.exp(w) / np.exp(w).sum(1, keepdims=True)
+        n = np.zeros((12, 12))
+        np.add.at(n, (ids[:35_999], ids[1:36_000]), 1)
+        w += 2 * (n / np.maximum(n.sum(1, keepdims=True), 1) - s)
+    s = np.exp(w) / np.exp(w).sum(1, keepdims=True)
+    full, true, plain = np.log(s[ids[test - 1], ids[test]]).mean(), np.log(chain[ids[test - 1], ids[test]]).mean(), np.log(uni[ids[test]]).mean()
+    assert plain + 0.3 < full and full - 0.05 < nce <= true + 0.02
+
+
 def test_lm_odd_rows(spark):
     got = lm.score_documents(odd(spark)).collect()
     assert len(got) == 12 and all(r.n_tokens >= 1 and r.score < 0 for r in got)
@@ -321,6 +399,58 @@ def test_ppm_distributions_sum_to_one_and_exclude():
     assert ab[ord("r")] == pytest.approx(4 / 5)
 
 
+SCRIPTS = {
+    "en": "the quick brown fox jumps over the lazy dog and runs to the river with the other animals of the wood ",
+    "ru": "съешь ещё этих мягких французских булок да выпей чаю и иди домой к своей семье вечером ",
+    "zh": "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜",
+    "el": "ο γρήγορος σκύλος τρέχει προς το ποτάμι και τα άλλα ζώα του δάσους τον κοιτούν ",
+}
+
+
+def direct_length(text, sample, order, least):
+    """A text's code length by the PPM recursion, byte by byte, over a byte string's own statistics."""
+    counts = defaultdict(Counter)
+    for k in range(order + 1):
+        for i in range(order, len(sample)):
+            counts[sample[i - k : i]][sample[i]] += 1
+
+    def p(ctx, byte):
+        below = (lambda x: 1 / 256) if not ctx else (lambda x: p(ctx[1:], x))
+        c = counts[ctx]
+        n, t = sum(c.values()), len(c)
+        if n == 0 or (ctx and n < least):
+            return below(byte)
+        if t == 256:
+            return c[byte] / n
+        if c[byte]:
+            return c[byte] / (n + t)
+        return t / (n + t) * below(byte) / sum(below(x) for x in range(256) if not c[x])
+
+    raw = b"\n" * order + text.encode()
+    return -sum(math.log(p(raw[i - order : i], raw[i])) for i in range(order, len(raw)))
+
+
+def test_language_lengths_match_a_direct_recursion():
+    cfg, order = langid.PpmConfig(order=2, least=2), 2
+    samples = {k: b"\n" * order + (t * 3).encode() for k, t in SCRIPTS.items()}
+    grams = {}
+    for k, b in samples.items():
+        g, n = np.unique(langid.keys(np.frombuffer(b, np.uint8), order), return_counts=True)
+        grams[k] = (g.astype(np.int64), n.astype(np.float64))
+    table = langid.Lookup(langid.flattened(grams, cfg))
+    for text in ("the fox", "чай и лес", "天地 river", "σκύλος!", "", "\x00ü🙂"):
+        assert table.lengths(text) == pytest.approx([direct_length(text, samples[k], order, 2) for k in SCRIPTS], rel=1e-4, abs=1e-3)
+
+
+def test_language_keeps_all_bytes_and_scripts(spark):
+    rows = [(i, " ".join([SCRIPTS[k][j:] + SCRIPTS[k][:j]] * 2), k) for i, (k, j) in enumerate((k, j) for k in SCRIPTS for j in range(12))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    assert set(model.depths[0].byte.tolist()) == {b for t in SCRIPTS.values() for b in (t + t).encode()}
+    got = langid.identify_documents(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert got and all(r.lang_pred == r.lang for r in got)
+
+
 def test_language_held_out_accuracy(spark):
     d = docs(spark, "sf0.01")
     got = langid.identify_documents(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
