@@ -5,8 +5,8 @@ class has `trees` signature labels of `depth` minhashes; a node of a tree is a p
 full length and are shortened until a pair at the threshold shares a node with probability `recall`, and again if the
 links found say that too many were missed: a link of similarity s is found with chance P(s), so n links stand for the
 sum of 1 / P(s). Classes that share a node, directly or along a chain, form a candidate component; the exact
-similarities inside a component are found from its shingle sets, block against block where it is large, so no list of pairs exists
-anywhere. Each document gets its group (connected through links) and its number of links.
+similarities inside a component are found from its shingle sets. A large one is cut into blocks, and blocks are compared
+with each other only where members of theirs share a node. No list of pairs exists anywhere. Each document gets its group (connected through links) and its number of links.
 """
 
 from __future__ import annotations
@@ -19,12 +19,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.tables import cut, release
+from ledgerline.llm.ranking import hot_join
+from ledgerline.llm.tables import cut, fresh, remove, table
 
 WORD = re.compile(r"\w+")
+#: Members of candidate components (some 100 bytes each in a task) that are sent to the scan of the texts; more are joined
+#: by a shuffle.
+BROADCAST_ROWS = 500_000
 _M = 0x9E3779B97F4A7C15
 
 
@@ -35,9 +39,8 @@ class JoinConfig:
     trees: int = 24
     depth: int = 6
     recall: float = 0.9999
-    block: int = 1024  # classes of a component that a task holds on each side
-    block_shingles: int = 2_000_000
-    salts: int = 64
+    block: int = 256  # classes of a component that a task holds on each side
+    block_shingles: int = 1_000_000
 
 
 class Shingler:
@@ -106,39 +109,45 @@ def found(s: float | np.ndarray, depth: int, cfg: JoinConfig):
     return 1 - (1 - s**depth) ** cfg.trees
 
 
-def shared_nodes(classes: DataFrame, depth: int, cfg: JoinConfig) -> DataFrame:
-    """Edges u > v that connect all classes which share a node: within a node and salt to the least member, then from
-    these to the least of the node. As many edges as members at most, however large a node is."""
+def nodes_of(classes: DataFrame, depth: int, cfg: JoinConfig, *columns: str) -> DataFrame:
+    """id, node (a prefix of the class's label in one of the trees), and these columns."""
     prefix = [F.xxhash64(F.lit(t), F.substring("sign", t * cfg.depth * 4 + 1, depth * 4)) for t in range(cfg.trees)]
-    nodes = classes.select("digest", F.pmod(F.xxhash64("digest"), F.lit(cfg.salts)).cast("short").alias("salt"), F.explode(F.array(*prefix)).alias("node"))
-    near = nodes.withColumn("least", F.min("digest").over(Window.partitionBy("node", "salt")))
-    tops = near.where(F.col("digest") == F.col("least")).select("node", "digest")
-    far = tops.withColumn("least", F.min("digest").over(Window.partitionBy("node")))
-    edges = near.select("digest", "least").unionByName(far.select("digest", "least")).where(F.col("digest") > F.col("least"))
-    return edges.select(F.col("digest").alias("u"), F.col("least").alias("v")).distinct()
+    return classes.select("id", *columns, F.explode(F.array(*prefix)).alias("node"))
+
+
+def shared_nodes(classes: DataFrame, depth: int, cfg: JoinConfig) -> DataFrame:
+    """Edges u > v that connect all classes which share a node: from each member to the least of the node. As many edges as
+    members at most, however large a node is."""
+    nodes = nodes_of(classes, depth, cfg)
+    shared = cut(nodes.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    return hot_join(nodes, shared, "node", "n").where("id > least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges u > v: u, root for each vertex but the roots, where root is the least vertex of u's component. Rounds of large
-    and small stars; each round's edges are a table in the shared folder."""
-    edges = cut(edges)
+    and small stars; each round's edges are a table in the shared folder, gone after the next."""
+    edges, at = table(edges, "edges")
     before = None
     while True:
-        release(edges.sparkSession)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        edges = cut(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
-        small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        del both, least, small
+        least, at_least = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large, at_large = table(hot_join(both, least, "u", "n").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        remove(edges.sparkSession, at)
+        remove(edges.sparkSession, at_least)
+        least, at_least = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = hot_join(large, least, "u", "n").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, at = table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(edges.sparkSession, at_large)
+        remove(edges.sparkSession, at_least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
-            return edges.select("u", F.col("v").alias("root"))
+            out = cut(edges.select("u", F.col("v").alias("root")))
+            remove(edges.sparkSession, at)
+            return out
         before = now
 
 
-VERIFIED = "u binary, v binary, links long, seen double, stands double"
+VERIFIED = "u long, v long, links long, seen double, stands double"
 
 
 def links_among(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -171,19 +180,18 @@ def links_among(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, th
 
 
 def _verify(cfg: JoinConfig, depth: int):
+    none = pd.DataFrame({"u": [], "v": [], "links": [], "seen": [], "stands": []})
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("digest")
+        pdf = pdf.drop_duplicates("id")
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-        copies, name = pdf["copies"].to_numpy(np.int64), pdf["digest"].to_numpy()
-        if len(sets) < 2:
-            return pd.DataFrame({"u": [], "v": [], "links": [], "seen": [], "stands": []})
-        side = pdf["block"].to_numpy()
-        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and (side == side[0]).all():
-            return pd.DataFrame({"u": [], "v": [], "links": [], "seen": [], "stands": []})  # the other block is empty
+        copies, name, side = pdf["copies"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), pdf["block"].to_numpy()
+        if len(sets) < 2 or (pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and (side == side[0]).all()):
+            return none
         on, s = links_among(sets, copies, side, cfg.threshold)
         linked = np.flatnonzero(on.any(1))
         if not len(linked):
-            return pd.DataFrame({"u": [], "v": [], "links": [], "seen": [], "stands": []})
+            return none
         on = on[np.ix_(linked, linked)]
         stands = np.where(on, 1 / found(s[np.ix_(linked, linked)].astype(np.float64).clip(0.5, 1), depth, cfg), 0).sum(1)
         label = np.arange(len(linked))
@@ -198,73 +206,110 @@ def _verify(cfg: JoinConfig, depth: int):
     return run
 
 
-def _set_task(cfg: JoinConfig):
+def _set_task(cfg: JoinConfig, keep: tuple[str, ...]):
+    """digest and set of each text that has words, with these columns."""
+
     def run(batches):
         shingler = Shingler(cfg.words)
         for b in batches:
             sets = [shingler(t) for t in b.column("text").to_pylist()]
-            ok = pa.array([bool(len(s)) and digest(s) == d for s, d in zip(sets, b.column("digest").to_pylist())], pa.bool_())
-            out = {k: b.column(k) for k in ("digest", "copies", "root", "parts")} | {"set": pa.array([s.tobytes() for s in sets], pa.binary())}
-            yield pa.RecordBatch.from_pydict(out).filter(ok)
+            own = [digest(s) if len(s) else None for s in sets]
+            out = {"digest": pa.array(own, pa.binary())} | {k: b.column(k) for k in keep} | {"set": pa.array([s.tobytes() for s in sets], pa.binary())}
+            ok = [d is not None and ("want" not in out or w == d) for d, w in zip(own, out["want"].to_pylist() if "want" in out else own)]
+            yield pa.RecordBatch.from_pydict(out).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def blocks(member: DataFrame, depth: int, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
+    """member: id, root, sign, shingles, and more. The members with their block, and the pairs of blocks (root, lo <= hi) to
+    be compared. A component that a task can hold is one block. The members of a larger one are blocked by their node in
+    the first tree, and those of a large node by a hash; two blocks are compared if members of theirs share a node in
+    some tree."""
+    fits = lambda n, s: F.ceil(F.greatest(F.col(n) / cfg.block, F.col(s) / cfg.block_shingles))
+    size = cut(member.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("s")).select("root", fits("n", "s").alias("parts"), "n"))
+    sized = cut(hot_join(member, size, "root", "n").drop("n"))
+    small = sized.where("parts = 1").withColumn("block", F.lit(0).cast("long")).drop("parts")
+    lone = size.where("parts = 1").select("root", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    if not size.where("parts > 1").take(1):
+        return small.drop("sign"), lone
+    bucket = F.pmod(F.xxhash64("root", F.substring("sign", 1, depth * 4)), F.col("parts")).cast("long")
+    large = cut(sized.where("parts > 1").withColumn("bucket", F.xxhash64("root", bucket)).drop("parts"))
+    room = cut(large.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("shingles").alias("s")).select("bucket", fits("n", "s").alias("deal"), "n"))
+    placed = hot_join(large, room, "bucket", "n").withColumn("block", F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.col("deal")))).drop("bucket", "deal", "n")
+    placed = cut(placed)
+    at = cut(nodes_of(placed, depth, cfg, "root", "block").select("root", "node", "block").distinct())
+    pairs = at.alias("a").join(at.select("node", "root", F.col("block").alias("other")), ["node", "root"]).where("block <= other")
+    return small.unionByName(placed).drop("sign"), lone.unionByName(pairs.select("root", F.col("block").alias("lo"), F.col("other").alias("hi")).distinct())
+
+
 def verified(docs: DataFrame, classes: DataFrame, candidate: DataFrame, depth: int, cfg: JoinConfig) -> DataFrame:
     """u, v (a class that u is connected to), links, seen, stands, in parts to be summed by u."""
-    root = candidate.select(F.col("u").alias("digest"), "root")
-    member = root.unionByName(root.select(F.col("root").alias("digest"), "root").distinct())
-    member = cut(member.join(classes.select("digest", "rep", "copies", "shingles"), "digest"))
-    size = cut(member.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("s")).select("root", F.ceil(F.greatest(F.col("n") / cfg.block, F.col("s") / cfg.block_shingles)).cast("int").alias("parts")))
-    member = member.join(size, "root").select(F.col("rep").alias("doc_id"), "digest", "copies", "root", "parts")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member, "doc_id").select("text", "digest", "copies", "root", "parts")
-    sets = texts.mapInArrow(_set_task(cfg), "digest binary, copies long, root binary, parts int, set binary")
-    block = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("lo"), F.greatest(F.col("block"), j).alias("hi")))
-    dealt = sets.withColumn("block", block).withColumn("pair", F.explode(pairs)).select("root", "pair.lo", "pair.hi", "block", "digest", "copies", "set")
-    return dealt.groupBy("root", "lo", "hi").applyInPandas(_verify(cfg, depth), VERIFIED)
+    root = candidate.select(F.col("u").alias("id"), "root")
+    member = cut(root.unionByName(root.select(F.col("root").alias("id"), "root").distinct()).join(classes, "id"))
+    member, pairs = blocks(member, depth, cfg)
+    member, pairs = cut(member.select("id", "digest", "rep", "copies", "root", "block")), cut(pairs)
+    keep = member.withColumnsRenamed({"digest": "want", "rep": "doc_id"})
+    named = keep.where("doc_id is not null")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id").select("text", "want", "id", "copies", "root", "block")
+    sets = texts.mapInArrow(_set_task(cfg, ("want", "id", "copies", "root", "block")), "digest binary, want binary, id long, copies long, root long, block long, set binary")
+    sets = sets.select("id", "copies", "root", "block", "set")
+    if member.where("rep is null").take(1):  # sets that only rows without id have
+        own = docs.where("doc_id is null").select("text").mapInArrow(_set_task(cfg, ()), "digest binary, set binary").dropDuplicates(["digest"])
+        sets = sets.unionByName(own.join(member.where("rep is null"), "digest").select("id", "copies", "root", "block", "set"))
+    ends = pairs.select("root", "lo", "hi", F.col("lo").alias("block")).unionByName(pairs.where("lo != hi").select("root", "lo", "hi", F.col("hi").alias("block")))
+    return sets.join(ends, ["root", "block"]).groupBy("root", "lo", "hi").applyInPandas(_verify(cfg, depth), VERIFIED)
 
 
 def join(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """doc_id, class_id, n_links, same_id, copies: one row for each row of docs.
+    """doc_id, class_id, n_links, same_id, copies, class_name: one row for each row of docs.
 
     class_id: the least id of the documents connected through links (its own if there are none); n_links: other rows at
     or above the threshold, copies counted each; same_id, copies: least id and number of the rows with the same shingle
-    set. Null, empty and wordless texts have no links. Rows with a null id count as copies of their set but cannot
-    stand for it: a set that only such rows have is linked to no other."""
+    set; class_name: the same for all rows of a group, also where class_id is null because no row of it has an id. Null,
+    empty and wordless texts have no links, and no name. An empty table has no rows; other columns are not looked at."""
     signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign_task(cfg), "doc_id long, digest binary, sign binary, shingles long"))
-    classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sign").alias("sign"), F.first("shingles").alias("shingles")))
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sign").alias("sign"), F.first("shingles").alias("shingles"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     depth = cfg.depth
     while depth > 1 and found(cfg.threshold, depth, cfg) < cfg.recall:
         depth -= 1
     while True:
-        candidate = components(shared_nodes(classes.where("rep is not null"), depth, cfg))
+        candidate = components(shared_nodes(classes, depth, cfg))
         links = cut(verified(docs, classes, candidate, depth, cfg))
         seen, stands = links.agg(F.sum("seen"), F.sum("stands")).first()
         if depth == 1 or not seen or seen / stands >= cfg.recall:
             break
         depth -= 1
-    counted = links.groupBy("u").agg(F.sum("links").alias("links"))
-    group = cut(components(links.where("u > v").select("u", "v").unionByName(links.where("u < v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()))
-    group = group.unionByName(group.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "digest")
-    named = cut(group.join(classes.select("digest", "rep"), "digest"))
-    first = cut(named.groupBy("root").agg(F.min("rep").alias("class_id")))
-    named = named.join(first, "root").select("digest", "class_id")
+    counted = links.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "id")
+    group = components(links.where("u > v").select("u", "v").unionByName(links.where("u < v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    group = group.unionByName(group.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "id")
+    named = cut(group.join(classes.select("id", "rep", "digest"), "id"))
+    first = cut(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("digest").alias("name"), F.count("*").alias("n")))
+    named = hot_join(named.select("id", "root"), first, "root", "n").select("id", "class_id", "name")
     known = cut(
-        classes.select("digest", "rep", "copies")
-        .join(named, "digest", "left")
-        .join(counted.withColumnRenamed("u", "digest"), "digest", "left")
-        .select("digest", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("same_id"), "copies")
+        classes.select("id", "digest", "rep", "copies")
+        .join(named, "id", "left")
+        .join(counted, "id", "left")
+        .select(
+            "digest",
+            F.coalesce("class_id", "rep").alias("class_id"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.col("rep").alias("same_id"),
+            "copies",
+            F.lower(F.hex(F.coalesce("name", "digest"))).alias("class_name"),
+        )
     )
     rows = signed.select("doc_id", "digest")
-    with_words = rows.where("digest is not null").join(known, "digest").drop("digest")
-    return with_words.unionByName(rows.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("same_id"), F.lit(1).cast("long").alias("copies")))
+    with_words = hot_join(rows.where("digest is not null"), known, "digest", "copies").drop("digest")
+    none = F.lit(None).cast("string").alias("class_name")
+    return with_words.unionByName(rows.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("same_id"), F.lit(1).cast("long").alias("copies"), none))
 
 
 def one_of_each(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """docs without the documents of a group other than its first one. Rows that share an id go or stay together."""
-    from ledgerline.llm.tables import fresh
-
+    """docs without the documents of a group other than its first one, by id. Rows that share an id go or stay together;
+    rows without id stay, and texts without words."""
     gone = fresh(docs, "_gone")
     joined = join(docs, cfg)
     drop = joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(gone)).distinct()

@@ -38,11 +38,13 @@ def in_chunks(df: DataFrame, group: list[str], chunk: list[str], order: list, ou
     return df.join(before, [*group, *chunk]).withColumn(out, F.col("_before") + rank - 1).drop("_before", *chunk)
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 4096, least: int = 10_000) -> DataFrame:
-    """rows joined with groups, which has each key once and in `size` its number of rows. Keys of more than `least` rows
-    and of more than 1 / hot of all rows, so fewer than `hot` ones, are broadcast; a task gets no more rows of any other.
-    Both are read twice, so pass tables."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 4096, least: int = 10_000, small: int = 200_000) -> DataFrame:
+    """rows joined with groups, which has each key once and in `size` its number of rows. Up to `small` groups are
+    broadcast. Beyond it, keys of more than `least` rows and of more than 1 / hot of all rows, so fewer than `hot` ones,
+    are; a task gets no more rows of any other. Both are read twice, so pass tables."""
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n <= small:
+        return rows.join(F.broadcast(groups), key)
     many = F.col(size) > max(least, total // hot)
     if not groups.where(many).take(1):
         return rows.join(groups, key)

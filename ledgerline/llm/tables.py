@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -44,17 +43,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there, and an executor's loss costs nothing.
-    Spark removes the files once nothing refers to them (spark.cleaner.referenceTracking.cleanCheckpoints)."""
+    """df, written to the shared folder and read back: its lineage ends there, and an executor's loss costs nothing. The
+    files stay as long as the folder does; what an iteration writes goes to table() instead."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle and checkpoint files of plans that nothing refers to any more, between the
-    rounds of an iteration: it acts on what the garbage collector has found."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def table(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """The same as Parquet, and its path for remove()."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def crc_mod(doc_id: Column | str, m: int) -> Column:

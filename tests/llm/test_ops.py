@@ -541,7 +541,7 @@ def test_dedup_of_a_table_that_differs_from_its_files(spark, tmp_path):
 def test_dedup_of_a_hot_text_has_no_hot_task(spark):
     docs = table(spark, [(i, "hot" if i % 2 else f"t{i}") for i in range(2000)]).cache()
     state = docs.groupBy("text").agg(F.count("*").alias("n"))
-    got = ranking.hot_join(docs.select("doc_id", "text"), state, "text", "n", hot=8, least=10)
+    got = ranking.hot_join(docs.select("doc_id", "text"), state, "text", "n", hot=8, least=10, small=0)
     assert got.count() == 2000 and "BroadcastHashJoin" in got._jdf.queryExecution().toString() and got.where("n = 1000").count() == 1000
 
 
@@ -584,7 +584,7 @@ def near(spark):
     return rows + [(k, rows[0][1]), (k + 1, ""), (k + 2, ""), (k + 3, "three words only"), (k + 4, "Three words, only")]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [1024, 3, 1])
 def test_join_links_and_groups_match_brute_force(spark, block):
     rows = near(spark)
     n, group = brute_links(rows)
@@ -594,6 +594,49 @@ def test_join_links_and_groups_match_brute_force(spark, block):
         assert {r.doc_id for r in ngram_join.one_of_each(table(spark, rows)).collect()} == set(group)
 
 
+def test_join_recall_on_the_tables(spark):
+    """Against all pairs of the 1,000 documents of sf0.01; measured: every link found."""
+    rows = [(r.doc_id, r.text) for r in docs(spark, "sf0.01").collect()]
+    sh = ngram_join.Shingler(5)
+    sets = {i: frozenset(sh(t).tolist()) for i, t in rows}
+    by_size = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    links = Counter()
+    for x, i in enumerate(by_size):
+        for j in by_size[x + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
+    got = {r.doc_id: r.n_links for r in ngram_join.join(docs(spark, "sf0.01")).collect()}
+    assert len(got) == len(rows) and all(got[i] <= links[i] for i in got)
+    assert sum(got.values()) >= 0.99 * sum(links.values()) > 0
+
+
+def test_join_of_a_chain_compares_neighbours_only(spark):
+    """400 texts, each like the next one only: a component of 400 classes, of which few pairs of blocks are compared."""
+    words = [f"w{i}" for i in range(400 * 4 + 120)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(400)]
+    cfg = replace(ngram_join.JoinConfig(), block=8)
+    n, group = brute_links(rows[:120])
+    got = {r.doc_id: r for r in ngram_join.join(table(spark, rows), cfg).collect()}
+    assert [got[i].n_links for i in range(100)] == n[:100] and {r.class_id for r in got.values()} == {0}
+    classes = spark.createDataFrame([(i, bytearray(ngram_join.signature(s, *ngram_join._permutations(cfg.trees * cfg.depth))), len(s), 0) for i, (_, t) in enumerate(rows) for s in [ngram_join.Shingler(5)(t)]], "id long, sign binary, shingles long, root long")
+    _, pairs = ngram_join.blocks(classes, 4, cfg)
+    blocks = {r.lo for r in pairs.collect()} | {r.hi for r in pairs.collect()}
+    assert pairs.count() < len(blocks) ** 2 / 4
+
+
+def test_join_of_rows_without_id(spark):
+    t = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, t), (None, t + " more"), (5, "quite another text of five words"), (None, "quite another text of six words"), (9, t + " more or less")]
+    got = [r.asDict() for r in ngram_join.join(table(spark, rows)).collect()]
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in got) == [(0, 0, 0), (0, 9, 2), (0, 9, 2), (5, 5, 0), (9, 9, 2)]
+    alone = ngram_join.join(table(spark, rows[:2])).collect()
+    assert {r.n_links for r in alone} == {1} and len({r.class_name for r in alone}) == 1 and {r.class_id for r in alone} == {None}
+
+
 def test_prefixes_shorten_until_the_target_recall():
     cfg = ngram_join.JoinConfig()
     assert ngram_join.found(0.8, 5, cfg) >= cfg.recall > ngram_join.found(0.8, 6, cfg)
