@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.config import DEFAULT, GAPS, METRICS, PanelConfig
+from ledgerline.plans import order
+from ledgerline.plans.reuse import cut
 
 CONSTRAINTS = ("low_margin", "low_runway", "high_concentration_in_volatile_source")
 
@@ -16,9 +20,9 @@ def _long(df: DataFrame, *keep: str) -> DataFrame:
 
 def year_thresholds(panel: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """metric, year, side, threshold: lower quartile of the early years, upper quartile of the late ones."""
-    rows = _long(panel, cfg.year)
-    pre = rows.where(F.col(cfg.year).between(*cfg.pre_years)).groupBy("metric", cfg.year).agg(F.percentile("value", F.lit(0.25)).alias("threshold")).withColumn("side", F.lit("pre"))
-    post = rows.where(F.col(cfg.year).between(*cfg.post_years)).groupBy("metric", cfg.year).agg(F.percentile("value", F.lit(0.75)).alias("threshold")).withColumn("side", F.lit("post"))
+    q = cut(order.percentiles(_long(panel, cfg.year), ["metric", cfg.year], "value", {"q25": 0.25, "q75": 0.75}))
+    pre = q.where(F.col(cfg.year).between(*cfg.pre_years)).select("metric", cfg.year, F.col("q25").alias("threshold"), F.lit("pre").alias("side"))
+    post = q.where(F.col(cfg.year).between(*cfg.post_years)).select("metric", cfg.year, F.col("q75").alias("threshold"), F.lit("post").alias("side"))
     return pre.unionByName(post)
 
 
@@ -44,39 +48,51 @@ def constraint() -> Column:
     return F.array_min(F.filter(F.array(*each), lambda x: x["gap"].isNotNull()))
 
 
-def near_by_revenue(targets: DataFrame, peers: DataFrame, group: list[str], reach: int) -> DataFrame:
-    """Pairs of each target and the `reach` peers below and above it by revenue within the group. Targets find their place
-    among the numbered peers in one window, then meet peers by number: no target meets a whole group."""
-    w = Window.partitionBy(*group).orderBy("r", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
-    both = peers.select(*group, F.col("peer_revenue").alias("r"), F.lit(0).alias("kind"), F.col("peer").alias("id")).unionByName(
-        targets.select(*group, F.col("total_revenue").alias("r"), F.lit(1).alias("kind"), F.col("target").alias("id"))
+def near_by_revenue(targets: DataFrame, peers: DataFrame, group: list[str], runs: int) -> DataFrame:
+    """Pairs of each target and the peers nearest to it by revenue within the group. Of peers with one revenue only the
+    `runs` latest recovered count, by id; so `runs` of them at least stand within 2 runs - 1 places on each side. Peers
+    are numbered by revenue, targets find their place among them, and both meet by number: no target meets a whole group."""
+    same = Window.partitionBy(*group, "peer_revenue").orderBy(F.desc("post_year"), F.col("peer").try_cast("double"), "peer")
+    peers = peers.where("peer_revenue IS NOT NULL").withColumn("_run", F.row_number().over(same)).where(F.col("_run") <= runs)
+    both = peers.select(*group, F.col("peer_revenue").alias("r"), F.lit(0).alias("kind"), F.col("_run").alias("run"), F.col("peer").alias("id")).unionByName(
+        targets.select(*group, F.col("total_revenue").alias("r"), F.lit(1).alias("kind"), F.lit(0).alias("run"), F.col("target").alias("id"))
     )
-    placed = both.withColumn("n", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(w))
-    numbered = peers.join(placed.where("kind = 0").select(*group, F.col("id").alias("peer"), "n"), [*group, "peer"])
-    wanted = placed.where("kind = 1").select(*group, F.col("id").alias("target"), F.explode(F.sequence(F.col("n") - reach, F.col("n") + reach + 1)).alias("n"))
-    return targets.join(wanted.distinct(), [*group, "target"]).join(numbered, [*group, "n"]).drop("n")
+    placed = cut(order.running(both, group, ["r", "kind", "run", "id"], {"n": 1 - F.col("kind")}))
+    numbered = peers.drop("_run").join(placed.where("kind = 0").select(*group, F.col("id").alias("peer"), "n"), [*group, "peer"])
+    reach = 2 * runs - 1
+    wanted = placed.where("kind = 1").select(*group, F.col("id").alias("target"), F.explode(F.sequence(F.greatest(F.col("n") - (reach - 1), F.lit(1)), F.col("n") + reach)).alias("n"))
+    return targets.join(wanted.join(numbered, [*group, "n"]).drop("n"), [*group, "target"])
+
+
+def latest_recovered(targets: DataFrame, peers: DataFrame, group: list[str], runs: int) -> DataFrame:
+    """The same for targets without a revenue to compare: the `runs` latest recovered peers of the group."""
+    last = Window.partitionBy(*group).orderBy(F.desc("post_year"), F.col("peer").try_cast("double"), "peer")
+    return targets.join(peers.withColumn("_run", F.row_number().over(last)).where(F.col("_run") <= runs).drop("_run"), group)
 
 
 def match(scored: DataFrame, pool: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """Up to `top` peers for each scored row with a resolved benchmark: of its metric, size and sector, else of its metric and
     size; in order of same state, closeness of revenue, latest recovery, id. Columns of the row, the peer, and rank."""
     t = scored.where(F.col("benchmark_status") == "ok").withColumn("_c", constraint()).where("_c IS NOT NULL")
-    t = t.select(cfg.entity, cfg.year, F.concat_ws("@", cfg.entity, F.col(cfg.year).cast("string")).alias("target"), F.col("_c.label").alias("label"), F.col("_c.metric").alias("metric"), "size_bucket", "total_revenue", F.col("state"), F.col("ntee_major_category").alias("sector"))
+    t = cut(t.select(cfg.entity, cfg.year, F.concat_ws("@", cfg.entity, F.col(cfg.year).cast("string")).alias("target"), F.col("_c.label").alias("label"), F.col("_c.metric").alias("metric"), "size_bucket", "total_revenue", F.col("state"), F.col("ntee_major_category").alias("sector")))
     strict_pool = pool.where("peer_sector IS NOT NULL").withColumns({"sector": F.col("peer_sector"), "state": F.col("peer_state")})
     wide_pool = pool.withColumn("state", F.col("peer_state"))
-    far = 2 * cfg.top + 1
 
     def found(targets: DataFrame, peers: DataFrame, group: list[str]) -> DataFrame:
-        local = near_by_revenue(targets, peers, [*group, "state"], cfg.top + 1)
-        other = near_by_revenue(targets, peers.drop("state"), group, far)
-        return local.unionByName(other, allowMissingColumns=True).where(F.col("peer") != F.col(cfg.entity)).distinct()
-
-    strict = found(t.where("sector IS NOT NULL"), strict_pool, ["metric", "size_bucket", "sector"])
-    rest = t.join(strict.select("target").distinct(), "target", "left_anti")
-    wide = found(rest, wide_pool, ["metric", "size_bucket"])
-    both = strict.unionByName(wide.select(*strict.columns))
-    order = [F.desc(F.col("peer_state") == F.col("state")), F.abs(F.col("peer_revenue") / F.col("total_revenue") - 1), F.desc("post_year"), F.col("peer").try_cast("double")]
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(*order))).where(F.col("rank") <= cfg.top)
+        # one more than wanted, as a target may be among its peers; if fewer are of its state, the nearest of any state
+        # hold no more of these than that
+        local, other = cfg.top + 1, 2 * cfg.top + 1
+        some, none = targets.where("total_revenue > 0"), targets.where("total_revenue IS NULL OR total_revenue <= 0")
+        pairs = [f(x, y, g, n) for f, x in ((near_by_revenue, some), (latest_recovered, none)) for y, g, n in ((peers, [*group, "state"], local), (peers.drop("state"), group, other))]
+        return reduce(lambda a, b: a.unionByName(b.select(*a.columns)), pairs).where(F.col("peer") != F.col(cfg.entity))
+
+    strict = cut(found(t.where("sector IS NOT NULL"), strict_pool, ["metric", "size_bucket", "sector"]))
+    rest = cut(t.join(strict.select("target").distinct(), "target", "left_anti"))
+    both = strict.unionByName(found(rest, wide_pool, ["metric", "size_bucket"]).select(*strict.columns))
+    apart = F.when(F.col("total_revenue") > 0, F.abs(F.col("peer_revenue") / F.col("total_revenue") - 1))
+    by = [F.desc(F.col("peer_state") == F.col("state")), F.asc_nulls_last(apart), F.desc("post_year"), F.col("peer").try_cast("double"), "peer"]
+    # a pair that was found twice has one rank
+    return both.withColumn("rank", F.dense_rank().over(Window.partitionBy("target").orderBy(*by))).where(F.col("rank") <= cfg.top).dropDuplicates(["target", "rank"])
 
 
 def evidence(scored: DataFrame, matches: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
@@ -103,23 +119,38 @@ def evidence(scored: DataFrame, matches: DataFrame, cfg: PanelConfig = DEFAULT)
 _EVIDENCE = "struct<ein: string, org_name: string, state: string, pre_window_year: int, post_recovery_year: int, matched_metric_name: string, matched_metric_pre_value: double, matched_metric_post_value: double>"
 
 
+NEED = {"operating_margin": 0.1, "operating_runway_proxy_months": 6.0, "revenue_diversification_index": 0.2}
+
+
+def gains(filings: DataFrame, *group: str) -> DataFrame:
+    """group, peer, metric, pre_value, post_value, recovery_window: the gain of a peer's filings over the last 5, 4 or 3 of at
+    least 4, the first span whose gain is enough. filings: group, peer, metric, fiscal_year, value."""
+    keys = [*group, "peer", "metric"]
+    rows = filings.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fiscal_year"))))
+    at = lambda k, c: F.max(F.when(F.col("back") == k, F.col(c)))
+    series = rows.groupBy(*keys).agg(F.count("*").alias("n"), at(1, "value").alias("v1"), at(1, "fiscal_year").alias("y1"), *[x for k in (3, 4, 5) for x in (at(k, "value").alias(f"v{k}"), at(k, "fiscal_year").alias(f"y{k}"))])
+    need = reduce(lambda a, m: F.when(F.col("metric") == m, NEED[m]).otherwise(a), NEED, F.lit(None).cast("double"))
+    span = F.coalesce(*[F.when((F.col("n") >= k) & (F.col("v1") - F.col(f"v{k}") > need), F.struct(F.col(f"v{k}").alias("v"), F.col(f"y{k}").alias("y"))) for k in (5, 4, 3)])
+    good = series.where("n >= 4").withColumn("_s", span).where("_s IS NOT NULL")
+    return good.select(*keys, F.col("_s.v").alias("pre_value"), F.col("v1").alias("post_value"), F.concat(F.lit("FY"), F.col("_s.y").cast("string"), F.lit("-FY"), F.col("y1").cast("string")).alias("recovery_window"))
+
+
 def improvements(targets: DataFrame, panel: DataFrame, top: int = 3) -> DataFrame:
     """For each target the peers of its sector and state, with revenue of 0.3 to 3 times its own (else of its sector), that
-    gained most on the metric it needs: over the last 5, 4 or 3 of at least 4 filings, the first span whose gain is enough."""
+    gained most on the metric it needs. Filings near a target meet it by state, sector and half decade of revenue; of a
+    sector, each peer's gain is taken once, and only the largest ones of each metric meet the targets that need them."""
     metric = F.when(F.col("revenue_diversification_index") < 0.3, "revenue_diversification_index").when(F.col("operating_runway_proxy_months") < 12, "operating_runway_proxy_months").otherwise("operating_margin")
-    t = targets.where("ntee_major_category IS NOT NULL").select(F.col("ein").alias("target"), metric.alias("metric"), F.col("ntee_major_category").alias("sector"), F.col("state").alias("home"), F.col("total_revenue").alias("own"))
-    p = panel.select(F.col("ein").alias("peer"), "org_name", "fiscal_year", F.col("ntee_major_category").alias("sector"), "state", "total_revenue", "deficit_runway", "operating_margin", "revenue_diversification_index")
-    met = t.join(p, "sector").where(F.col("peer") != F.col("target"))
-    near = (F.col("state") == F.col("home")) & F.col("total_revenue").between(F.col("own") * 0.3, F.col("own") * 3)
-    local = met.where(near)
-    relaxed = met.join(local.select("target").distinct(), "target", "left_anti")
-    rows = local.unionByName(relaxed).withColumn("value", F.when(F.col("metric") == "operating_margin", F.col("operating_margin")).when(F.col("metric") == "operating_runway_proxy_months", F.col("deficit_runway")).otherwise(F.col("revenue_diversification_index")))
-    back = Window.partitionBy("target", "peer").orderBy(F.desc("fiscal_year"))
-    rows = rows.withColumn("back", F.row_number().over(back))
-    at = lambda k, c: F.max(F.when(F.col("back") == k, F.col(c)))
-    series = rows.groupBy("target", "peer", "metric").agg(F.count("*").alias("n"), at(1, "value").alias("v1"), at(1, "fiscal_year").alias("y1"), *[x for k in (3, 4, 5) for x in (at(k, "value").alias(f"v{k}"), at(k, "fiscal_year").alias(f"y{k}"))])
-    need = F.when(F.col("metric") == "operating_margin", 0.1).when(F.col("metric") == "operating_runway_proxy_months", 6.0).otherwise(0.2)
-    span = F.coalesce(*[F.when((F.col("n") >= k) & (F.col("v1") - F.col(f"v{k}") > need), F.struct(F.col(f"v{k}").alias("v"), F.col(f"y{k}").alias("y"))) for k in (5, 4, 3)])
-    good = series.where("n >= 4").withColumn("_s", span).where("_s IS NOT NULL").select("target", "peer", "metric", F.col("_s.v").alias("pre_value"), F.col("v1").alias("post_value"), F.concat(F.lit("FY"), F.col("_s.y").cast("string"), F.lit("-FY"), F.col("y1").cast("string")).alias("recovery_window"))
-    order = Window.partitionBy("target").orderBy(F.desc(F.round(F.col("post_value") - F.col("pre_value"), 9)), "peer")
-    return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    t = cut(targets.where("ntee_major_category IS NOT NULL").select(F.col("ein").alias("target"), metric.alias("metric"), F.col("ntee_major_category").alias("sector"), F.col("state").alias("home"), F.col("total_revenue").alias("own")))
+    p = cut(panel.where("ntee_major_category IS NOT NULL").select(F.col("ein").alias("peer"), "fiscal_year", F.col("ntee_major_category").alias("sector"), "state", "total_revenue", F.col("deficit_runway").alias("operating_runway_proxy_months"), "operating_margin", "revenue_diversification_index"))
+    half = lambda x: F.floor(F.log10(x) * 2).cast("int")
+    reach = t.where("own > 0").withColumn("half", F.explode(F.sequence(half(F.col("own") * 0.3) - 1, half(F.col("own") * 3) + 1)))
+    near = reach.join(p.where("total_revenue > 0").withColumn("half", half(F.col("total_revenue"))), ["sector", "half"])
+    local = near.where((F.col("state") == F.col("home")) & F.col("total_revenue").between(F.col("own") * 0.3, F.col("own") * 3) & (F.col("peer") != F.col("target")))
+    value = reduce(lambda a, m: F.when(F.col("metric") == m, F.col(m)).otherwise(a), NEED, F.lit(None).cast("double"))
+    local = cut(local.select("target", "peer", "metric", "fiscal_year", value.alias("value")))
+    relaxed = t.join(local.select("target").distinct(), "target", "left_anti")
+    every = p.select("sector", "peer", "fiscal_year", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in NEED])))
+    gain = F.desc(F.round(F.col("post_value") - F.col("pre_value"), 9))
+    first = gains(every, "sector").withColumn("_n", F.row_number().over(Window.partitionBy("sector", "metric").orderBy(gain, "peer"))).where(F.col("_n") <= top + 1)
+    found = gains(local, "target").unionByName(relaxed.select("target", "sector", "metric").join(first, ["sector", "metric"]).where("peer != target").select("target", "peer", "metric", "pre_value", "post_value", "recovery_window"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(gain, "peer"))).where(F.col("rank") <= top)

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.plans import order
+from ledgerline.plans.reuse import cut
+
 
 def by_score(df: DataFrame, score: str = "proba", target: str = "target") -> DataFrame:
-    """score, tp, fp, positives, negatives: counts at or above each distinct score. The distinct scores are few beside the
-    rows; the running sums over them need one order."""
-    n = df.groupBy(score).agg(F.sum(target).alias("p"), F.sum(1 - F.col(target)).alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return n.select(F.col(score).alias("score"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("positives"), F.sum("n").over(every).alias("negatives"))
+    """score, tp, fp, positives, negatives: counts at or above each distinct score; p, n: at it."""
+    n = df.groupBy(F.col(score).alias("score")).agg(F.sum(target).alias("p"), F.sum(1 - F.col(target)).alias("n"))
+    curve = cut(order.running(n, [], [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")}))
+    every = curve.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    return curve.crossJoin(F.broadcast(every))  # one row
 
 
 def areas(curve: DataFrame) -> DataFrame:
     """ROC area by trapezoids and average precision."""
-    w = Window.orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
-    s = curve.withColumns({"tp0": before("tp"), "fp0": before("fp")})
-    roc = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0) / F.max(F.col("positives") * F.col("negatives"))
-    ap = F.sum((F.col("tp") - F.col("tp0")) / F.col("positives") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
-    return s.agg(F.round(roc, 6).alias("roc_auc"), F.round(ap, 6).alias("pr_auc"))
+    tp0 = F.col("tp") - F.col("p")
+    roc = F.sum(F.col("n") * (F.col("tp") + tp0) / 2.0) / F.max(F.col("positives") * F.col("negatives"))
+    ap = F.sum(F.col("p") / F.col("positives") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
+    return curve.agg(F.round(roc, 6).alias("roc_auc"), F.round(ap, 6).alias("pr_auc"))
 
 
 def best_threshold(curve: DataFrame) -> DataFrame:
@@ -40,10 +40,10 @@ def confusion(df: DataFrame, threshold: float, score: str = "proba", target: str
 def tiers(df: DataFrame, threshold: float, score: str = "proba") -> DataFrame:
     """High from the larger of threshold and 80th percentile, Medium from the larger of 0.1 and the median; a medium cut at
     or above the high one is halved."""
-    cut = df.agg(F.percentile(score, F.lit(0.8)).alias("q80"), F.percentile(score, F.lit(0.5)).alias("q50"))
-    cut = cut.select(F.greatest(F.lit(threshold), "q80").alias("high_cut"), F.greatest(F.lit(0.1), "q50").alias("m"))
-    cut = cut.select("high_cut", F.when(F.col("m") >= F.col("high_cut"), F.col("high_cut") / 2).otherwise(F.col("m")).alias("medium_cut"))
-    one = cut.first()  # one row
+    cuts = order.percentiles(df, [], score, {"q80": 0.8, "q50": 0.5})
+    cuts = cuts.select(F.greatest(F.lit(threshold), "q80").alias("high_cut"), F.greatest(F.lit(0.1), "q50").alias("m"))
+    cuts = cuts.select("high_cut", F.when(F.col("m") >= F.col("high_cut"), F.col("high_cut") / 2).otherwise(F.col("m")).alias("medium_cut"))
+    one = cuts.first()  # one row
     return df.withColumn("distress_tier", tier(F.col(score), one.high_cut, one.medium_cut))
 
 
@@ -70,6 +70,17 @@ def calibration(df: DataFrame, score: str = "proba", target: str = "target", bin
     return axis.join(n, "decile", "left").select("decile", F.coalesce("count", F.lit(0)).alias("count"), F.round("p", 6).alias("mean_predicted"), F.round("a", 6).alias("actual_rate"))
 
 
+def calibration_by_rank(df: DataFrame, score: str = "proba", target: str = "target", bins: int = 10) -> DataFrame:
+    """Equal-frequency bins: a row belongs to the bin of its score's last place among the ordered scores, so that equal
+    scores share a bin; bins that hold none are left out."""
+    n = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(target).alias("a"))
+    placed = cut(order.running(n, [], ["score"], {"to": F.col("n")}))
+    total = placed.agg(F.max("to")).first()[0] or 1  # one number
+    at = F.least(F.floor((F.col("to") - 1) * bins / total), F.lit(bins - 1)).cast("int")
+    by = placed.groupBy(at.alias("bin")).agg(F.sum("n").alias("count"), F.min("score").alias("range_low"), F.max("score").alias("range_high"), F.sum(F.col("score") * F.col("n")).alias("p"), F.sum("a").alias("a"))
+    return by.select("bin", F.round("range_low", 6).alias("range_low"), F.round("range_high", 6).alias("range_high"), "count", F.round(F.col("p") / F.col("count"), 6).alias("mean_predicted"), F.round(F.col("a") / F.col("count"), 6).alias("actual_rate"))
+
+
 def calibration_error(table: DataFrame) -> DataFrame:
     return table.where(F.col("count") > 0).agg(F.round(F.avg(F.abs(F.col("mean_predicted") - F.col("actual_rate"))), 5).alias("mae"))
 

@@ -78,9 +78,10 @@ def quotas(rows: DataFrame, places: dict[str, int], label: str = "action_label",
 
 
 def shortlist(rows: DataFrame, places: dict[str, int], label: str = "action_label", kind: str = "constraint") -> DataFrame:
-    """Per label and kind the first by priority up to the quota; a label's open places go to its best other rows."""
+    """Per label and kind the first by priority up to the quota; a label's open places go to its best other rows. So no row
+    beyond twice the most places of its label and kind is taken, and only those before it are compared further."""
     order = [F.desc("priority"), F.desc("risk_pct"), F.desc("total_revenue"), "ein"]
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(label, kind).orderBy(*order)))
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(label, kind).orderBy(*order))).where(c("_k") <= 2 * max(places.values()))
     ranked = ranked.join(quotas(rows, places, label, kind), [label, kind], "left").withColumn("_in", F.coalesce(c("_k") <= c("quota"), F.lit(False)))
     taken = F.sum(c("_in").cast("int")).over(Window.partitionBy(label))
     fill = F.row_number().over(Window.partitionBy(label, "_in").orderBy(*order))

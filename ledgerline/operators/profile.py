@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.plans import order
+from ledgerline.plans.reuse import cut
+
 
 def nulls(df: DataFrame, columns=None) -> DataFrame:
     """field, nulls, share: one pass over df."""
@@ -46,26 +49,29 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 
 def quantile_sample(latest: DataFrame, quantiles, states) -> DataFrame:
     """For each state and for rows with and without a sector: the rows at positions int(q n) by revenue; positions that are
-    taken move up, or down from the end; what a stratum lacks its sibling gives."""
-    rows = latest.where(F.col("state").isin(*states)).withColumn("has_sector", F.col("ntee_major_category").isNotNull())
-    stratum = Window.partitionBy("state", "has_sector")
-    placed = rows.withColumns({"place": F.row_number().over(stratum.orderBy("total_revenue", "ein")) - 1, "n": F.count("*").over(stratum)})
+    taken move up, or down from the end; what a stratum lacks its sibling gives. The positions follow from the strata's
+    sizes alone; rows find their places by order.running."""
+    rows = latest.where(F.col("state").isin(*states)).withColumn("has_sector", F.col("ntee_major_category").isNotNull()).select("state", "has_sector", "ein", "total_revenue")
+    placed = cut(order.running(rows, ["state", "has_sector"], [F.asc_nulls_first("total_revenue"), "ein"], {"place": F.lit(1)}))
     k = len(quantiles)
-    # k positions clash only in strata smaller than 1 / the least distance of the quantiles; the fold keeps them apart
+    n = F.col("n")
+    # at most k - 1 positions are taken before, so a free one is within k of the wanted one or of the end
     taken = F.aggregate(
         F.array(*[F.lit(float(q)) for q in quantiles]),
         F.array().cast("array<int>"),
-        lambda got, q: F.concat(got, F.slice(_free(F.least(F.floor(q * F.col("n")).cast("int"), F.col("n").cast("int") - 1), F.col("n").cast("int"), got), 1, 1)),
+        lambda got, q: F.concat(got, F.slice(_free(F.least(F.floor(q * n).cast("int"), n.cast("int") - 1), n.cast("int"), got, k), 1, 1)),
     )
-    picked = placed.withColumn("rank", F.array_position(taken, F.col("place").cast("int"))).where("rank > 0")
+    strata = placed.groupBy("state", "has_sector").agg(F.count("*").alias("n")).select("state", "has_sector", F.posexplode(taken).alias("rank", "at"))
+    picked = placed.join(F.broadcast(strata), ["state", "has_sector"]).where("place = at + 1").drop("at", "place")  # k rows for each stratum
+    picked = cut(picked.select("state", "has_sector", "ein", "total_revenue", "rank"))
     own = picked.select("*", F.col("has_sector").alias("sample_has_sector"), F.lit(0).alias("from_sibling"))
     lent = picked.select("*", (~F.col("has_sector")).alias("sample_has_sector"), F.lit(1).alias("from_sibling"))
     w = Window.partitionBy("state", "sample_has_sector").orderBy("from_sibling", "rank")
     return own.unionByName(lent).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k).select("state", "sample_has_sector", "ein", "total_revenue")
 
 
-def _free(want: Column, n: Column, got: Column) -> Column:
+def _free(want: Column, n: Column, got: Column, k: int) -> Column:
     """Free positions, the nearest from want upwards first, then downwards from the end."""
-    up = F.filter(F.sequence(want, n - 1), lambda p: ~F.array_contains(got, p))
-    down = F.filter(F.sequence(n - 1, F.lit(0)), lambda p: ~F.array_contains(got, p))
+    up = F.filter(F.sequence(want, F.least(n - 1, want + k)), lambda p: ~F.array_contains(got, p))
+    down = F.filter(F.sequence(n - 1, F.greatest(n - 1 - k, F.lit(0))), lambda p: ~F.array_contains(got, p))
     return F.concat(up, down)

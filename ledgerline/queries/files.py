@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.plans import testpanel as tp
+from ledgerline.plans.reuse import shared_dir
 from ledgerline.registry import query
 from ledgerline.sources import files
 
 
 def place(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerline-")
-    return f"{base.rstrip('/')}/ledgerline-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s01_csv_scan", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")

@@ -14,7 +14,8 @@ import __spark_entry__ as entry
 from ledgerline import registry
 from ledgerline.functions import metrics as m
 from ledgerline.functions import text as t
-from ledgerline.operators import features, labels, portfolio, stress
+from ledgerline.operators import analogs, features, labels, portfolio, stress
+from ledgerline.plans import order
 
 
 def norm(v):
@@ -93,3 +94,37 @@ def test_severity_order(spark):
         df = df.withColumn(s, F.lit(25.0))
     got = stress.shocks(df).collect()
     assert [r.stress_25pct_severity for r in got] == ["critical", "critical", None] and got[0].largest_revenue_source == "contributions"
+
+
+def test_analogs_rank_ties_like_brute_force(spark):
+    """Equal revenues, few peers of the state, targets among their own peers, targets without revenue."""
+    import random
+
+    rng = random.Random(4)
+    peers = [(m_, str(i), 1996, 0.1, 1998 + rng.randrange(4), 0.9, rng.choice("AB"), f"n{i}", rng.choice(["X", "X", "Y", None]), "s", float(rng.choice([100, 100, 100, 120, 80, 300]))) for i, m_ in enumerate(["operating_margin"] * 120)]
+    peers += [("operating_margin", str(200 + i), 1996, 0.1, 1999, 0.9, "C", "n", "Z", "s", 500.0) for i in range(30)]
+    pool = spark.createDataFrame(peers, "metric string, peer string, pre_year int, pre_value double, post_year int, post_value double, peer_state string, peer_name string, peer_sector string, size_bucket string, peer_revenue double")
+    rows = [(str(k), 2001, "ok", -0.5, None, None, "s", rng.choice([100.0, 110.0, 80.0, 400.0, None, -5.0]), rng.choice("ABD"), rng.choice(["X", "Y", "W", None])) for k in range(60)]
+    rows.append(("201", 2001, "ok", -0.5, None, None, "s", 500.0, "C", "Z"))
+    scored = spark.createDataFrame(rows, "ein string, fiscal_year int, benchmark_status string, operating_margin_gap double, operating_runway_gap double, revenue_diversification_gap double, size_bucket string, total_revenue double, state string, ntee_major_category string")
+    got = {}
+    for r in analogs.match(scored, pool).collect():
+        got.setdefault(r.ein, {})[r["rank"]] = r.peer
+    for ein, *_, revenue, state, sector in [(x[0], *x[7:]) for x in rows]:
+        others = [p for p in peers if p[1] != ein]
+        strict = [p for p in others if sector and p[8] == sector]
+        key = lambda p: (p[6] != state, abs(p[10] / revenue - 1) if revenue and revenue > 0 else 0, -p[4], int(p[1]))  # noqa: E731, B023
+        assert [got[ein][k] for k in sorted(got[ein])] == [p[1] for p in sorted(strict or others, key=key)[:3]]
+    assert got["201"] == {1: "200", 2: "202", 3: "203"}
+
+
+def test_order_statistics_and_running_sums(spark):
+    rows = [("a" if i % 3 else "b", float(i * 7 % 50), 1) for i in range(200)] + [("a", None, 1), ("c", 5.0, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, one int")
+    want = {(r.g): (r.q, r.m) for r in df.groupBy("g").agg(F.percentile("x", 0.25).alias("q"), F.percentile("x", 0.8).alias("m")).collect()}
+    got = {r.g: (r.q, r.m) for r in order.percentiles(df, ["g"], "x", {"q": 0.25, "m": 0.8}).collect()}
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g]) for g in want)
+    placed = order.running(df.where("x is not null").withColumn("i", F.monotonically_increasing_id()), ["g"], ["x", "i"], {"n": F.lit(1)}).collect()
+    for g in "abc":
+        mine = sorted((r.n, r.x) for r in placed if r.g == g)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [x for _, x in mine] == sorted(x for _, x in mine)
