@@ -70,12 +70,9 @@ class Level:
     words: list[int]
 
     def passes(self, key: Column) -> Column:
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
-        out = F.lit(True)
-        for at in _bits(key, self.number, self.m, self.k):
-            word = F.get(words, F.floor(at / 64).cast("int"))
-            out = out & (F.getbit(word, (at % 64).cast("int")) == 1)
-        return out
+        """Whether all bits of the key are set. The filter is one literal, which Spark makes an array of once in a query."""
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<long>")
+        return F.forall(F.array(*_bits(key, self.number, self.m, self.k)), lambda at: F.getbit(F.get(words, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
 
 
 def level_of(keys: DataFrame, n: int, rate: float, number: int) -> Level:
@@ -121,7 +118,8 @@ def cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> Cascade:
 def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict: one row for each row of pages. The longest key among the fitting rules decides (of
     equally long ones the last by name); a key under both verdicts blocks. Where no rule fits, the url is on no list and
-    rule is null, verdict the default."""
+    rule is null, verdict the default. Null and repeated page_ids are rows like any other, a null url has empty parts, urls
+    of any length are read whole; other columns are not looked at, whatever their names. An empty table has no rows."""
     host, path = parts(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     found = urls.select(F.explode(candidates(F.col("host"), F.col("path"), rules)).alias("key")) if rules else None
@@ -131,7 +129,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
         sides = []
         for i, verdict in enumerate(("block", "allow")):
             keys = sorted({r.key for r in rules if r.verdict == verdict})
-            listed = pages.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+            listed = pages.sparkSession.range(1 if keys else 0).select(F.explode(F.array(*map(F.lit, keys or [""]))).alias("key"))
             sides.append((verdict, cascade(listed, universe, seed=50 * i)))
         (_, block), (_, allow) = sides
         keyed = F.transform(
