@@ -21,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset (tests on one machine) a new local folder."""
+    """spark.checkpoint.dir of the session; only where that is unset, on one machine (tests), a new local folder."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     made = spark.sparkContext.getCheckpointDir()
     if known is None and made is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known or made)

@@ -379,6 +379,16 @@ def test_license_best_span_matches_brute_force():
         assert got == want
 
 
+def test_license_relatives_have_their_own_names(spark):
+    """Every template is named by itself, whole in prose too, and so are licences that differ in a word or two."""
+    names = list(license.TEMPLATES)
+    rows = [(i, f"Some prose of ours stands here. {license.TEMPLATES[k]} More prose follows it") for i, k in enumerate(names)]
+    rows.append((len(names), "Copyright 2020 by J. Doe. " + license.TEMPLATES["mit-text"].replace("copies or substantial portions", "copies or large portions").upper()))
+    got = {r.doc_id: (r.license, r.dice) for r in license.scan(table(spark, rows)).collect()}
+    assert {names[i]: got[i] for i in range(len(names))} == {k: (k, 1.0) for k in names}
+    assert got[len(names)][0] == "mit-text" and got[len(names)][1] > 0.98
+
+
 def test_license_scan(spark):
     got = {r.doc_id: r for r in license.scan(table(spark, [(1, "Prose.\nReleased under the MIT licence; no: Released under the MIT License."), (2, "nothing"), (3, None), (4, "ALL RIGHTS, RESERVED")])).collect()}
     assert got[1].license == "mit" and got[1].dice == 1.0 and got[2].license is None and got[3].licenses == [] and got[4].license == "all-rights-reserved"
@@ -485,6 +495,24 @@ def test_sharding_laws_and_groups(spark):
     assert sum(len(x) > 1 for x in groups.values()) <= 1
 
 
+def test_sharding_keeps_groups_whole_where_all_rows_have_copies(spark):
+    for n, copies in ((2000, 5), (4000, 2)):
+        d = table(spark, [(i * copies + j, f"text {i}") for i in range(n) for j in range(copies)])
+        got = sharding.shard(d).collect()
+        laws(got, 40)
+        homes = defaultdict(set)
+        for r in got:
+            homes[r.doc_id // copies].add(r.shard)
+        assert sum(len(x) > 1 for x in homes.values()) <= 4 * 40  # the ends of the shards and of what was over
+
+
+def test_flows_fit_the_room():
+    rng = np.random.default_rng(1)
+    wishes, room = rng.integers(0, 50, (6, 6)) * (1 - np.eye(6)), np.array([0, 0, 0, 5, 9, 100])
+    f = sharding.flows(wishes, room) * wishes
+    assert (f.sum(0) - f.sum(1) <= room + 0.5).all() and f.sum() > 0.3 * wishes.sum() and (f <= wishes + 1e-9).all()
+
+
 def test_sharding_splits_a_hot_group_and_odd_rows(spark):
     rows = [(i, "copy") for i in range(300)] + [(i, f"t{i}") for i in range(300, 900)]
     got = sharding.shard(table(spark, rows)).collect()
@@ -696,3 +724,18 @@ def test_urls(spark):
     none = (None, "allow")
     assert [got[i] for i in range(len(urls))] == [("www.example.com/en/", "allow"), ("example.com/en/", "block"), ("com/", "allow"), ("net/fr/", "block"), none, ("net/es/", "block"), none, none, none, ("com/", "allow"), none, none, none, none, ("net/fr/", "block")]
     assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_urls_odd_rows(spark):
+    long = "http://a.net/fr/" + "x" * 300_000
+    rows = [(None, "http://x.com/", "h", "p", "r"), (1, long, "h", "p", "r"), (1, long, "h", "p", "r"), (2, None, None, None, None), (3, "http://" + "a." * 20_000 + "net/es/", "h", "p", "r")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string")).collect()
+    assert sorted((r.page_id or 0, r.rule, r.verdict) for r in got if r.rule) == [(0, "com/", "allow"), (1, "net/fr/", "block"), (1, "net/fr/", "block"), (3, "net/es/", "block")]
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got if r.page_id == 2] == [("", "", None, "allow")]
+    assert {r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, a string, b string, c string"), rules=()).collect()} == {"allow"}
+
+
+def test_urls_need_no_python(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plan = url_filter.judge(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
