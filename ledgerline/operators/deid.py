@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.plans.reuse import cut
+
 c = F.col
 #: Scale factors of money by case number.
 SCALES = (0.73, 1.19, 0.84, 1.31, 0.91, 1.14, 0.78, 1.27, 0.88, 1.22)
@@ -18,15 +22,15 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619).cast("long")) % F.lit(1 << 32))
 
 
-def aliases(rows: DataFrame, names: Column) -> DataFrame:
-    """case_index (in the order of the id's hash) and alias of each row. Ranges of the hash are numbered each on their own,
+def aliases(rows: DataFrame, names: Column, key: str = "ein", word: str = " Case ") -> DataFrame:
+    """case_index (in the order of the key's hash) and alias of each row, of which each key has one. Ranges of the hash are numbered each on their own,
     after the count of the rows in the ranges before; only these counts, HASH_RANGES at most, are ordered in one task."""
-    hashed = rows.withColumn("_h", fnv1a(c("ein"))).withColumn("_part", F.floor(c("_h") / ((1 << 32) // HASH_RANGES)).cast("int"))
+    hashed = rows.withColumn("_h", fnv1a(c(key))).withColumn("_part", F.floor(c("_h") / ((1 << 32) // HASH_RANGES)).cast("int"))
     sizes = hashed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - c("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "ein")) - 1
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_h", key)) - 1
     out = hashed.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("case_index", c("_before") + c("_place"))
-    return out.withColumn("alias", F.concat(names, F.lit(" Case "), _padded(c("case_index") + 1))).drop("_h", "_part", "_place", "_before")
+    return out.withColumn("alias", F.concat(names, F.lit(word), _padded(c("case_index") + 1))).drop("_h", "_part", "_place", "_before")
 
 
 def _padded(n: Column) -> Column:
@@ -34,10 +38,40 @@ def _padded(n: Column) -> Column:
     return F.when(F.length(s) < 2, F.concat(F.lit("0"), s)).otherwise(s)
 
 
-def scrub(text: Column, secrets: Column, alias: Column) -> Column:
-    """Every secret of the record (an array), letter case aside, gives way to the alias."""
-    quoted = lambda s: F.regexp_replace(s, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    return F.aggregate(secrets, text, lambda t, s: F.when(F.length(s) > 0, F.regexp_replace(t, F.concat(F.lit("(?i)"), quoted(s)), alias)).otherwise(t))
+def peer_aliases(peers: DataFrame, name: str) -> DataFrame:
+    """The distinct names of peers, numbered in the order of their hashes."""
+    return aliases(peers.where(c(name).isNotNull()).select(name).distinct(), F.lit("Matched"), name, " Peer ")
+
+
+#: Wordings that would tell how a figure came about, and their public form.
+PHRASES = {"largest revenue source": "largest reported revenue category", "25% source shock": "25% reported-category shock", r"\bnan\b": "not available"}
+_WORD = r"[\p{L}\p{N}]"
+
+
+def _words(text: Column) -> Column:
+    """Runs of letters and digits, small; a number's thousands are not parted."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"(?<=\d),(?=\d{3})", ""), F.lit(f"{_WORD}+"), F.lit(0))
+
+
+def occurrences(texts: DataFrame, key: str, text: str, secrets: DataFrame) -> DataFrame:
+    """key and the secret's columns for each secret whose words stand one after another in the text: an equi-join of the runs
+    of words, of as many words as secrets have, with the secrets. A text meets only the secrets it holds."""
+    keyed = cut(secrets.withColumn("_w", _words(c("secret"))).where(F.size("_w") > 0).withColumns({"_run": F.array_join("_w", " "), "_n": F.size("_w")}))
+    lengths = sorted(r[0] for r in keyed.select("_n").distinct().collect())  # of names, in words
+    runs = lambda n: F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.array_join(F.slice("_t", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    return texts.select(key, _words(c(text)).alias("_t")).select(key, F.explode(every).alias("_run")).join(keyed, "_run").drop("_run")
+
+
+def scrub(texts: DataFrame, key: str, text: str, secrets: DataFrame) -> DataFrame:
+    """texts with every secret (secret, replacement), whoever's it is, replaced, letter case and what stands between its
+    words aside, those of most words first; then the phrases. key is unique."""
+    found = occurrences(texts, key, text, secrets).groupBy(key).agg(F.sort_array(F.collect_set(F.struct((-c("_n")).alias("n"), "_w", "replacement"))).alias("_found"))
+    pattern = lambda w: F.concat(F.lit(f"(?iu)(?<!{_WORD})"), F.array_join(w, f"[^\\p{{L}}\\p{{N}}]+"), F.lit(f"(?!{_WORD})"))  # noqa: E731, F541
+    out = F.aggregate(F.coalesce("_found", F.array().cast("array<struct<n: int, _w: array<string>, replacement: string>>")), c(text), lambda t, x: F.regexp_replace(t, pattern(x["_w"]), x["replacement"]))
+    for old, new in PHRASES.items():
+        out = F.regexp_replace(out, f"(?i){old}", new)
+    return texts.join(found, key, "left").withColumn(text, out).drop("_found")
 
 
 def jitter(case: Column, year: Column, channel: str, most: float = 0.04) -> Column:
@@ -60,10 +94,29 @@ def composition(shares: list[Column], case: Column, year: Column) -> list[Column
     return [*tenths, F.round(100 - tenths[0] - tenths[1] - tenths[2], 1)]
 
 
-def leaks(source: DataFrame, published: DataFrame, amounts: list[str], least: float = 1e5) -> DataFrame:
-    """Published texts that contain their source's name or id, and source amounts that reappear exactly."""
-    met = published.select("ein", "text").join(source.select("ein", "org_name").distinct(), "ein")
-    texts = met.where(F.contains(F.lower("text"), F.lower("org_name")))
-    long = lambda df: df.select(F.explode(F.array(*[F.round(a).cast("long") for a in amounts])).alias("amount")).where(F.abs("amount") >= least).distinct()
-    same = long(published).join(long(source), "amount", "left_semi")
-    return texts.agg(F.count("*").alias("leaked_names")).join(same.agg(F.count("*").alias("leaked_amounts")))
+def leak_audit(texts: DataFrame, key: str, text: str, secrets: DataFrame, least: int = 5) -> DataFrame:
+    """kind, secrets, texts: how many different secrets (kind, secret) of at least `least` characters stand in how many texts:
+    names, ids, names of peers, and amounts as whole numbers."""
+    found = occurrences(texts, key, text, secrets.where(F.length("secret") >= least).distinct())
+    n = found.groupBy("kind").agg(F.countDistinct("secret").alias("secrets"), F.countDistinct(key).alias("texts"))
+    kinds = secrets.select("kind").distinct()
+    return kinds.join(n, "kind", "left").fillna(0, ["secrets", "texts"])
+
+
+def amounts(df: DataFrame, columns: list[str], least: float = 1e5) -> DataFrame:
+    """The large amounts of these columns as secrets."""
+    each = df.select(F.explode(F.array(*[F.round(x).cast("long") for x in columns])).alias("_a")).where(F.abs("_a") >= least).distinct()
+    return each.select(F.lit("amount").alias("kind"), F.abs("_a").cast("string").alias("secret"))
+
+
+def integrity(shares: list[str], margin: str, text: str) -> dict[str, Column]:
+    """Conditions that a published row must not meet: a margin that is no ratio, shares (in %) outside 0 to 100 or that do not
+    sum to 100, and an unresolved nan in a text."""
+    each = [c(x) for x in shares]
+    total = reduce(lambda a, b: a + b, each)
+    return {
+        "bad_margin": F.abs(margin) > 2,
+        "share_out_of_range": reduce(lambda a, b: a | b, [(x < 0) | (x > 100) for x in each]),
+        "shares_not_100": F.abs(total - 100) > 0.11,
+        "nan_label": F.regexp_like(F.lower(text), F.lit(r"\bnan\b")),
+    }

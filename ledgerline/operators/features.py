@@ -78,8 +78,8 @@ def interactions(df: DataFrame) -> DataFrame:
 
 def lookups(df: DataFrame, sector_shocks: DataFrame, state_stress: DataFrame, covid=(2020, 2021, 2022), eras=((2013, "pre-2013"), (2020, "2013-2019"), (2023, "covid-era 2020-2022"))) -> DataFrame:
     """Flags from small tables keyed by (sector, year) and (state, year), and an era."""
-    out = df.join(F.broadcast(sector_shocks.withColumn("sector_budget_shock", F.lit(1))), ["ntee_major_category", "fiscal_year"], "left")
-    out = out.join(F.broadcast(state_stress.withColumn("state_fiscal_stress", F.lit(1))), ["state", "fiscal_year"], "left").fillna(0, ["sector_budget_shock", "state_fiscal_stress"])
+    out = df.join(sector_shocks.withColumn("sector_budget_shock", F.lit(1)), ["ntee_major_category", "fiscal_year"], "left")
+    out = out.join(state_stress.withColumn("state_fiscal_stress", F.lit(1)), ["state", "fiscal_year"], "left").fillna(0, ["sector_budget_shock", "state_fiscal_stress"])
     era: Column | None = None
     for before, name in eras:
         hit = F.col("fiscal_year") < before

@@ -61,11 +61,21 @@ def overlap(spine: DataFrame, feed: DataFrame, keys: list[str], compared: list[s
     ).withColumn("changed_rate", F.round(F.try_divide("changed_keys", "overlap_keys"), 6))
 
 
+def _compared(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    pairs = left.select(*keys, *[F.col(f).alias(f"l_{f}") for f in fields]).join(right.select(*keys, *[F.col(f).alias(f"r_{f}") for f in fields]), keys)
+    long = pairs.select(*keys, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"l_{f}").alias("l"), F.col(f"r_{f}").alias("r")) for f in fields])))
+    return long.where("l IS NOT NULL AND r IS NOT NULL")
+
+
+def mismatches(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], first: int = 5) -> DataFrame:
+    """The first mismatches of each field, by key: keys, field, l, r, place."""
+    w = Window.partitionBy("field").orderBy(*keys)
+    return _compared(left, right, keys, fields).where("l != r").withColumn("place", F.row_number().over(w)).where(F.col("place") <= first)
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], least: float = 0.99) -> DataFrame:
     """Per field: keys compared where both report, exact matches, rate, and whether the rate passes."""
-    pairs = left.select(*keys, *[F.col(f).alias(f"l_{f}") for f in fields]).join(right.select(*keys, *[F.col(f).alias(f"r_{f}") for f in fields]), keys)
-    long = pairs.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"l_{f}").alias("l"), F.col(f"r_{f}").alias("r")) for f in fields])))
-    out = long.where("l IS NOT NULL AND r IS NOT NULL").groupBy("field").agg(F.count("*").alias("compared"), F.count_if(F.col("l") == F.col("r")).alias("matched"))
+    out = _compared(left, right, keys, fields).groupBy("field").agg(F.count("*").alias("compared"), F.count_if(F.col("l") == F.col("r")).alias("matched"))
     rate = F.col("matched") / F.col("compared")
     return out.withColumns({"rate": F.round(rate, 6), "passed": rate >= least})
 
@@ -73,7 +83,7 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], fields: list[s
 def enrich(df: DataFrame, registry: DataFrame, key: str, code: str, names: DataFrame) -> DataFrame:
     """Sector letter (upper case) of an entity from a registry and its name from a small table."""
     one = registry.select(key, F.upper(F.left(F.trim(code), F.lit(1))).alias("sector")).where("sector <> ''").groupBy(key).agg(F.min("sector").alias("sector"))
-    return df.join(one, key, "left").join(F.broadcast(names), "sector", "left")
+    return df.join(one, key, "left").join(names, "sector", "left")
 
 
 def hydrate(scored: DataFrame, panel: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

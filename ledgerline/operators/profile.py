@@ -42,6 +42,30 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in checks])))
 
 
+def contract(df: DataFrame, required: list[str], numeric: list[str], together: list[str], ranges: dict[str, tuple], source: DataFrame, keys: list[str]) -> DataFrame:
+    """check, violations of an output table: required columns that it lacks, nulls in keys, infinite or undefined numbers, rows
+    in which only some of the columns of `together` are null, values outside their ranges, and rows and keys that it has
+    more or less than source."""
+    x = F.col
+    odd = lambda n: (F.abs(n) == float("inf")) | F.isnan(n)
+    some = F.size(F.filter(F.array(*[x(n).isNull() for n in together]), lambda y: y))
+    checks = {
+        "null_key": F.greatest(*[x(k).isNull().cast("int") for k in keys]) == 1,
+        "not_finite": F.greatest(*[F.coalesce(odd(n), F.lit(False)).cast("int") for n in numeric]) == 1,
+        "partly_null": (some > 0) & (some < len(together)),
+        **{f"range_{n}": ~x(n).between(*r) for n, r in ranges.items()},
+    }
+    rows = violations(df, checks)
+    lacks = df.sparkSession.range(1).select(F.lit("missing_columns").alias("check"), F.lit(sum(n not in df.columns for n in required)).cast("long").alias("violations"))
+    have = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, "_n", F.lit(1).alias("_df"))
+    want = source.groupBy(*keys).agg(F.count("*").alias("_m")).select(*keys, "_m", F.lit(1).alias("_source"))
+    both = have.join(want, keys, "full_outer").agg(
+        F.abs(F.coalesce(F.sum("_n"), F.lit(0)) - F.coalesce(F.sum("_m"), F.lit(0))).alias("row_count"), F.count_if(x("_df").isNull()).alias("keys_lost"), F.count_if(x("_source").isNull()).alias("keys_added")
+    )
+    more = both.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), x(n).alias("violations")) for n in ("row_count", "keys_lost", "keys_added")])))
+    return rows.unionByName(lacks).unionByName(more)
+
+
 def distribution(df: DataFrame, column: str) -> DataFrame:
     n = df.groupBy(column).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))

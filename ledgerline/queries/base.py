@@ -258,6 +258,18 @@ def u09(spark, d):
     return merge.reconcile(spine1(spark, d), right, KEY, ["total_revenue", "total_expenses", "cash_non_interest_bearing"])
 
 
+@query(
+    "u09_mismatches",
+    """SELECT ein, tax_period_end, field, l, r, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY ein, tax_period_end) AS place FROM (
+       SELECT s.ein, s.tax_period_end, unnest(['total_revenue', 'net_assets_eoy']) AS field, unnest([s.total_revenue, s.net_assets_eoy]) AS l, unnest([f.total_revenue, f.net_assets_eoy]) AS r
+       FROM spine1 s JOIN feed1 f ON s.ein = f.ein AND s.tax_period_end = f.tax_period_end) WHERE l <> r) WHERE place <= 5""",
+    "spine1",
+    "feed1",
+)
+def u09b(spark, d):
+    return merge.mismatches(spine1(spark, d), feed1(spark, d), KEY, ["total_revenue", "net_assets_eoy"])
+
+
 @query("u10_registry_enrichment", "SELECT p.ein, p.fiscal_year, sector, CASE sector WHEN 'B' THEN 'Buildings' WHEN 'M' THEN 'Machines' WHEN 'H' THEN 'Homes' END AS sector_name FROM panel p LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS ein, upper(left(trim(lower(c_mktsegment)), 1)) AS sector FROM customer WHERE c_custkey % 3 <> 0) c ON p.ein = c.ein", "panel")
 def u10(spark, d):
     registry = tp.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("ein"), F.lower("c_mktsegment").alias("code"))
@@ -305,6 +317,11 @@ def q02(spark, d):
     return profile.history_depth(tp.panel(spark, d))
 
 
+@query("q02_history_histogram", "SELECT n AS rows, count(*) AS entities FROM (SELECT ein, count(*) AS n FROM panel GROUP BY ein) GROUP BY n", "panel")
+def q02b(spark, d):
+    return profile.history_histogram(tp.panel(spark, d))
+
+
 @query("q03_coverage", "SELECT fiscal_year, count(DISTINCT ein) AS entities, round(avg(CAST(cash_non_interest_bearing IS NOT NULL AS DOUBLE)), 6) AS has_cash_non_interest_bearing FROM panel WHERE state IN ('AF', 'AM') GROUP BY fiscal_year", "panel")
 def q03(spark, d):
     return profile.coverage(tp.panel(spark, d), ["AF", "AM"], ["cash_non_interest_bearing"])
@@ -333,6 +350,24 @@ def q05(spark, d):
     return profile.violations(m.with_metrics(tp.panel(spark, d)), checks)
 
 
+add("kept", "SELECT * FROM metrics WHERE ein NOT LIKE '%7'", "metrics")
+
+
+@query(
+    "q05_output_contract",
+    """SELECT 'null_key' AS "check", count(*) FILTER (ein IS NULL OR fiscal_year IS NULL) AS violations FROM kept UNION ALL SELECT 'not_finite', count(*) FILTER (fiscal_year = 1997 OR coalesce(isnan(operating_margin), false)) FROM kept
+       UNION ALL SELECT 'partly_null', count(*) FILTER ((pct_contributions IS NULL OR pct_other_revenue IS NULL) AND NOT (pct_contributions IS NULL AND pct_other_revenue IS NULL)) FROM kept
+       UNION ALL SELECT 'range_operating_margin', count(*) FILTER (operating_margin NOT BETWEEN -0.1 AND 0.1) FROM kept UNION ALL SELECT 'range_revenue_diversification_index', count(*) FILTER (revenue_diversification_index NOT BETWEEN 0.1 AND 0.7) FROM kept
+       UNION ALL SELECT 'missing_columns', 2 UNION ALL SELECT 'row_count', (SELECT count(*) FROM panel) - (SELECT count(*) FROM kept) UNION ALL SELECT 'keys_lost', (SELECT count(*) FROM panel WHERE ein LIKE '%7') UNION ALL SELECT 'keys_added', (SELECT count(*) FROM kept WHERE ein NOT IN (SELECT ein FROM panel))""",
+    "kept", "panel",
+)
+def q05b(spark, d):
+    source = tp.panel(spark, d)
+    out = m.with_metrics(source).where("ein NOT LIKE '%7'").withColumn("ratio", F.when(F.col("fiscal_year") == 1997, F.lit(float("-inf"))).otherwise(F.lit(1.0)))
+    need = ["ein", "fiscal_year", "operating_margin", "grade", "reviewer"]
+    return profile.contract(out, need, ["ratio", "operating_margin"], ["pct_contributions", "pct_other_revenue"], {"operating_margin": (-0.1, 0.1), "revenue_diversification_index": (0.1, 0.7)}, source, ["ein", "fiscal_year"])
+
+
 @query("q06_distribution", "SELECT state, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM panel GROUP BY state", "panel")
 def q06(spark, d):
     return profile.distribution(tp.panel(spark, d), "state")

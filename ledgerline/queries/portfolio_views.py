@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import metrics as m
-from ledgerline.operators import cards, deid, merge, portfolio, score, stress
+from ledgerline.operators import analogs, cards, deid, merge, portfolio, profile, score, stress
 from ledgerline.plans import stages
 from ledgerline.plans import testpanel as tp
 from ledgerline.plans.oracle import add
@@ -305,10 +305,33 @@ def a02(spark, d):
     return cases(spark, d).select("ein", "case_index", "alias")
 
 
-@query("a03_text_scrub", "SELECT ein, 'Report on X, also called X.' AS text FROM (SELECT CAST(c_custkey AS VARCHAR) AS ein FROM customer)")
+add("peer_names", "SELECT DISTINCT peer_name FROM pool", "pool")
+
+
+@query("a02_peer_aliases", f"SELECT peer_name, i AS case_index, 'Matched Peer ' || CASE WHEN i < 9 THEN '0' ELSE '' END || CAST(i + 1 AS VARCHAR) AS alias FROM (SELECT peer_name, row_number() OVER (ORDER BY {_fnv('peer_name')}, peer_name) - 1 AS i FROM peer_names)", "peer_names")
+def a02b(spark, d):
+    return deid.peer_aliases(analogs.pool(m.with_metrics(tp.panel(spark, d))), "peer_name")
+
+
+def secrets(spark, d):
+    """Names and nine-digit ids of all organisations, and what replaces them."""
+    who = cases(spark, d)
+    names = who.select(F.lit("name").alias("kind"), c("org_name").alias("secret"), c("alias").alias("replacement"))
+    return names.unionByName(who.select(F.lit("id").alias("kind"), F.lpad("ein", 9, "0").alias("secret"), F.lit("REDACTED-EIN").alias("replacement")))
+
+
+@query(
+    "a03_text_scrub",
+    """SELECT a.ein, 'Report on ' || a.alias || ' (EIN REDACTED-EIN), also called ' || a.alias || '; ' || b.alias || ' is like it. Its largest reported revenue category faced a 25% reported-category shock for not available months.' AS text
+       FROM alias_cases a JOIN alias_cases b ON CAST(b.ein AS INTEGER) = CAST(a.ein AS INTEGER) % 10 + 1""",
+    "alias_cases",
+)
 def a03(spark, d):
-    text = F.concat(F.lit("Report on "), "org_name", F.lit(", also called "), F.upper("org_name"), F.lit("."))
-    return cases(spark, d).select("ein", deid.scrub(text, F.array("org_name"), F.lit("X")).alias("text"))
+    who = cases(spark, d)
+    other = who.select(c("ein").alias("_other"), c("org_name").alias("_name"))
+    met = who.join(other, c("_other").cast("int") == c("ein").cast("int") % 10 + 1)
+    text = F.concat(F.lit("Report on "), "org_name", F.lit(" (EIN "), F.lpad("ein", 9, "0"), F.lit("), also called "), F.upper("org_name"), F.lit("; "), F.replace("_name", F.lit("#"), F.lit(" ")), F.lit(" is like it. Its Largest Revenue Source faced a 25% source shock for NaN months."))
+    return deid.scrub(met.select("ein", text.alias("text")), "ein", "text", secrets(spark, d))
 
 
 def jittered(spark, d):
@@ -334,21 +357,49 @@ def a05(spark, d):
     return perturbed(spark, d).where(F.abs(total - 100) < 0.11).agg(F.count("*").alias("n"))
 
 
-_LEAKED_NAMES = "SELECT count(*) FROM (SELECT DISTINCT ein, org_name FROM panel) JOIN alias_cases USING (ein) WHERE contains('case ' || CAST(case_index AS VARCHAR), lower(org_name))"
-_LEAKED_AMOUNTS = """SELECT count(*) FROM (SELECT new_revenue AS amount FROM alias_money UNION SELECT new_expenses FROM alias_money) WHERE abs(amount) >= 1e5
-  AND amount IN (SELECT CAST(round(total_revenue) AS BIGINT) FROM panel UNION SELECT CAST(round(total_expenses) AS BIGINT) FROM panel)"""
+add(
+    "published",
+    """SELECT ein, lower('Case ' || case_index || ': revenue $' || new_revenue || CASE WHEN CAST(ein AS INTEGER) % 50 = 0 THEN ', like CUSTOMER ' || lpad(CAST(CAST(ein AS INTEGER) - 1 AS VARCHAR), 9, '0') ELSE '' END
+         || CASE WHEN CAST(ein AS INTEGER) % 70 = 0 THEN ' (EIN ' || lpad(ein, 9, '0') || ')' ELSE '' END || CASE WHEN CAST(ein AS INTEGER) % 90 = 0 THEN ', exactly ' || CAST(round(total_revenue) AS BIGINT) ELSE '' END) AS text
+       FROM (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY ein ORDER BY fiscal_year DESC) = 1) JOIN alias_cases USING (ein) JOIN alias_money USING (ein)""",
+    "panel", "alias_cases", "alias_money",
+)
+add("shown_words", "SELECT ein, text, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS word FROM published", "published")
+_AUDIT = """SELECT 'name' AS kind, count(DISTINCT c_name) AS secrets, count(DISTINCT ein) AS texts FROM published JOIN customer ON contains(text, replace(lower(c_name), '#', ' '))
+  UNION ALL SELECT 'id', count(DISTINCT word), count(DISTINCT ein) FROM shown_words WHERE word IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') FROM customer)
+  UNION ALL SELECT 'amount', count(DISTINCT word), count(DISTINCT ein) FROM shown_words WHERE word IN (SELECT CAST(abs(x) AS VARCHAR) FROM (SELECT CAST(round(total_revenue) AS BIGINT) AS x FROM panel UNION SELECT CAST(round(total_expenses) AS BIGINT) FROM panel) WHERE abs(x) >= 1e5)"""
 
 
-@query("a06_leak_audit", f"SELECT ({_LEAKED_NAMES}) AS leaked_names, ({_LEAKED_AMOUNTS}) AS leaked_amounts", "panel", "alias_cases", "alias_money")
+@query("a06_leak_audit", _AUDIT, "published", "shown_words", "panel")
 def a06(spark, d):
     source = tp.panel(spark, d)
-    shown = jittered(spark, d).select("ein", F.concat(F.lit("Case "), "case_index").alias("text"), c("new_revenue").alias("total_revenue"), c("new_expenses").alias("total_expenses"))
-    return deid.leaks(source, shown, ["total_revenue", "total_expenses"])
+    n = c("ein").cast("int")
+    planted = [F.when(n % 50 == 0, F.concat(F.lit(", like CUSTOMER "), F.lpad((n - 1).cast("string"), 9, "0"))), F.when(n % 70 == 0, F.concat(F.lit(" (EIN "), F.lpad("ein", 9, "0"), F.lit(")"))), F.when(n % 90 == 0, F.concat(F.lit(", exactly "), F.format_number("total_revenue", 0)))]
+    text = F.concat(F.lit("Case "), c("case_index").cast("string"), F.lit(": revenue $"), c("new_revenue").cast("string"), *[F.coalesce(x, F.lit("")) for x in planted])
+    every = secrets(spark, d).select("kind", "secret").unionByName(deid.amounts(source, ["total_revenue", "total_expenses"]))
+    return deid.leak_audit(jittered(spark, d).select("ein", text.alias("text")), "ein", "text", every)
 
 
-@query("a07_integrity_audit", "SELECT 'bad_margin' AS \"check\", count(*) FILTER (abs(operating_margin) > 2) AS violations FROM metrics UNION ALL SELECT 'negative_share', 0", "metrics")
-def a07(spark, d):
-    from ledgerline.operators import profile
+_SUM = "round(coalesce(pct_contributions, 0) * 100, 1) + round(coalesce(pct_program_revenue, 0) * 100, 1) + round(coalesce(pct_investment_income, 0) * 100, 1)"
 
-    bad = profile.violations(panel(spark, d), {"bad_margin": F.abs("operating_margin") > 2})
-    return bad.unionByName(profile.violations(perturbed(spark, d), {"negative_share": (c("a") < 0) | (c("b") < 0) | (c("c") < 0) | (c("d") < -0.11)}))
+
+@query(
+    "a07_integrity_audit",
+    f"""SELECT 'bad_margin' AS "check", count(*) FILTER (abs(operating_margin) > 2) AS violations FROM metrics UNION ALL SELECT 'share_out_of_range', count(*) FILTER (coalesce(pct_contributions, 0) > 1) FROM metrics
+       UNION ALL SELECT 'shares_not_100', count(*) FILTER (abs({_SUM} - 100) > 0.11) FROM metrics UNION ALL SELECT 'nan_label', count(*) FILTER (cash_non_interest_bearing IS NULL) FROM metrics""",
+    "metrics",
+)
+def a07(spark, d):
+    """Rows whose fourth share was lost: their shares fall short of 100 where it was not 0."""
+    z = lambda n: F.round(F.coalesce(n, F.lit(0.0)) * 100, 1).alias(n[4:])
+    text = F.concat(F.lit("cash "), F.coalesce(c("cash_non_interest_bearing").cast("string"), F.lit("NaN")))
+    rows = panel(spark, d).select("operating_margin", z("pct_contributions"), z("pct_program_revenue"), z("pct_investment_income"), F.lit(0.0).alias("other_revenue"), text.alias("text"))
+    return profile.violations(rows, deid.integrity(["contributions", "program_revenue", "investment_income", "other_revenue"], "operating_margin", "text"))
+
+
+@query("a07_published_integrity", "SELECT 'bad_margin' AS \"check\", count(*) FILTER (abs((new_revenue - new_expenses) / CAST(nullif(new_revenue, 0) AS DOUBLE)) > 2) AS violations FROM alias_money UNION ALL SELECT unnest(['share_out_of_range', 'shares_not_100', 'nan_label']), 0", "alias_money")
+def a07b(spark, d):
+    """The published rows themselves, of which none may fail."""
+    margin = F.try_divide(c("new_revenue") - c("new_expenses"), c("new_revenue").cast("double"))
+    rows = perturbed(spark, d).join(jittered(spark, d).select("ein", margin.alias("margin"), F.concat(F.lit("revenue "), c("new_revenue").cast("string")).alias("text")), "ein")
+    return profile.violations(rows, deid.integrity(["a", "b", "c", "d"], "margin", "text"))

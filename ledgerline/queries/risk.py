@@ -198,6 +198,16 @@ def d20b(spark, d):
     return evaluate.calibration_error(evaluate.calibration(test_rows(spark, d)))
 
 
+@query(
+    "d20_equal_frequency",
+    """SELECT CAST(least(floor((t - 1) * 10 / (SELECT count(*) FROM test)), 9) AS INTEGER) AS bin, round(min(proba), 6) AS range_low, round(max(proba), 6) AS range_high, CAST(sum(n) AS BIGINT) AS "count", round(sum(proba * n) / sum(n), 6) AS mean_predicted, round(sum(a) / sum(n), 6) AS actual_rate
+       FROM (SELECT proba, n, a, CAST(sum(n) OVER (ORDER BY proba) AS BIGINT) AS t FROM (SELECT proba, count(*) AS n, sum(target) AS a FROM test GROUP BY proba)) GROUP BY 1""",
+    "test",
+)
+def d20c(spark, d):
+    return evaluate.calibration_by_rank(test_rows(spark, d))
+
+
 @query("d21_coefficients")
 def d21(spark, d):
     train, _ = trained(spark, d)
