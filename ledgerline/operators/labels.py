@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def _constraint_words() -> Column:
 
 
 def memo(df: DataFrame) -> DataFrame:
-    """memo_text: seven clauses in fixed order."""
+    """memo_text: seven clauses in fixed order. The sentences are those of the memo contract."""
     c = F.col
     n = lambda x, k=2: number(c(x), k)
     snapshot = F.concat(F.coalesce(c("org_name"), F.lit("unknown")), F.lit(" ("), c("state"), F.lit(") FY"), c("fiscal_year").cast("string"), F.lit(", "), c("size_bucket"), F.lit(", revenue $"), F.format_number("total_revenue", 0), F.lit("."))
@@ -123,6 +125,53 @@ def memo(df: DataFrame) -> DataFrame:
     return df.withColumn("memo_text", F.concat_ws(" ", snapshot, cohort, resilience, stress, analog, action, note))
 
 
+#: The contract's words for review rules in the second form of the memo.
+REVIEW_WORDS = dict(zip(REVIEW_RULES, ("insufficient resilient peer references for benchmarking", "low data confidence in the underlying filings", "acute urgency combined with severe stress-test exposure")))
+
+
+def memo_in_sentences(df: DataFrame) -> DataFrame:
+    """memo_text in the contract's second form (its sentences are fixed values): snapshot, cohort, three gaps, stress, analog,
+    action with its reason, confidence."""
+    c, lit = F.col, F.lit
+    v = lambda x, k=2: number(c(x), k, "N/A")
+    e = F.try_element_at("recovery_analog_evidence", F.lit(1))
+    plain = lambda x: F.when(x == "low_margin", "low operating margin").when(x == "low_runway", "low operating runway").when(x == "high_concentration_in_volatile_source", "high revenue concentration").otherwise(F.coalesce(x, lit("unspecified constraint")))
+    revenue = F.when(c("total_revenue").isNull(), "N/A").when(F.abs("total_revenue") >= 1e6, F.concat(lit("$"), F.format_number(c("total_revenue") / 1e6, 1), lit("M"))).when(F.abs("total_revenue") >= 1e3, F.concat(lit("$"), F.format_number(c("total_revenue") / 1e3, 0), lit("K"))).otherwise(F.concat(lit("$"), F.format_number("total_revenue", 0)))
+    snapshot = F.concat(F.coalesce(c("org_name"), lit("unknown")), lit(" ("), c("state"), lit(", FY"), c("fiscal_year").cast("string"), lit(", "), F.coalesce(c("size_bucket"), lit("N/A")), lit(", revenue "), revenue, lit(")."))
+    sector = F.when(c("ntee_major_category").isNull(), "unclassified sector").otherwise(F.concat(lit("NTEE category "), c("ntee_major_category")))
+    cohort = F.concat(lit("Benchmarked within "), sector, lit(", cohort of "), c("cohort_size").cast("string"), lit(" peers, rule: "), F.coalesce(c("rule"), lit("N/A")), lit("."))
+    versus = lambda name, value, bench, gap, unit="": F.concat(lit(f"{name} of "), v(value), lit(f"{unit} versus benchmark "), v(bench), lit(f"{unit} ("), gap_phrase(c(gap)), lit(")."))
+    three = F.concat_ws(
+        " ",
+        versus("Operating margin", "operating_margin", "benchmark_operating_margin_q75", GAPS[0]),
+        versus("Operating runway", "operating_runway_proxy_months", "benchmark_operating_runway_q75", GAPS[1], " months"),
+        versus("Revenue diversification", "revenue_diversification_index", "benchmark_revenue_diversification_q75", GAPS[2]),
+    )
+    burn = F.coalesce(F.concat(lit(" with "), F.format_string("%.1f", "stress_25pct_burn_months"), lit(" months of burn runway")), lit(""))
+    stress = F.when(c("stress_test_status") == "computed", F.concat(lit("Under a 25% largest-source shock, severity is "), c("stress_25pct_severity"), F.when(c("stress_25pct_burn_months").isNull(), "").otherwise(burn), lit("."))).otherwise("Stress-test scenario unavailable due to missing raw inputs.")
+    years = F.concat(lit("between "), e["pre_window_year"].cast("string"), lit(" and "), e["post_recovery_year"].cast("string"))
+    analog = F.coalesce(
+        F.concat(e["org_name"], lit(" ("), e["state"], lit(") recovered from a similar "), plain(c("recovery_analog_constraint")), lit(" position "), years, lit(", improving "), e["matched_metric_name"], lit(" from "), number(e["matched_metric_pre_value"]), lit(" to "), number(e["matched_metric_post_value"]), lit(".")),
+        lit("No recovery analog evidence is available for this organization."),
+    )
+    outlier = F.concat(lit("resilience gap of "), v("resilience_gap"), lit(" exceeds the structural outlier threshold of 2.0"))
+    said = lambda r: reduce(lambda a, k: F.when(r == k, REVIEW_WORDS[k]).otherwise(a), REVIEW_WORDS, F.when(r == REVIEW_RULES[3], outlier).otherwise(r))
+    why = (
+        F.when(c("action_label") == REVIEW, F.when(F.size("action_label_rationale") == 0, "This organization requires deeper diligence before any recommendation.").otherwise(F.concat(lit("This is driven by "), F.array_join(F.transform("action_label_rationale", said), "; "), lit("."))))
+        .when(c("action_label") == OPTIMISE, "All three resilience metrics are at or above cohort benchmarks, with no severe stress-test exposure and no urgency flag.")
+        .when(c("action_label") == DIVERSIFY, F.concat(lit("Revenue diversification gap of "), v(GAPS[2]), lit(" indicates elevated concentration risk, while operating margin remains adequate for targeted diversification.")))
+        .otherwise(F.concat(lit("The primary constraint is "), plain(c("recovery_analog_constraint")), lit(", which should be addressed before additional capital deployment.")))
+    )
+    tier = c("checkpoint1_confidence_tier")
+    sure = (
+        F.when((tier == "Low") & (c("urgency_severity") == "acute"), "Data confidence is insufficient to support a specific action recommendation. The available data suggests potential imminent distress, but current filings should be verified directly before any capital decision.")
+        .when(tier == "Low", "Data confidence is insufficient to support a specific action recommendation and the row should be reviewed directly before action.")
+        .when(tier == "Medium", "Data confidence is moderate; additional verification may strengthen this assessment.")
+        .when(tier == "High", "Data confidence is high.")
+    )
+    return df.withColumn("memo_text", F.concat_ws(" ", snapshot, cohort, three, stress, analog, F.concat(lit("Recommended action: "), c("action_label"), lit(".")), why, sure))
+
+
 def words(text: Column) -> Column:
     return F.size(F.split(F.trim(text), r"\s+"))
 

@@ -96,6 +96,26 @@ def summary(rows: DataFrame) -> DataFrame:
     return g.select(kind.alias("kind"), F.coalesce("action_label", "risk_tier", "tier", F.lit("all")).alias("value"), "n")
 
 
+def header(rows: DataFrame, probability: Column) -> DataFrame:
+    """total, states (in order), baseline_rate (the mean probability) of a portfolio."""
+    return rows.agg(F.count("*").alias("total"), F.array_join(F.sort_array(F.collect_set("state")), ",").alias("states"), F.round(F.avg(probability), 6).alias("baseline_rate"))
+
+
+#: The order in which a facet's options stand; others follow by name.
+FACETS = {"action_label": tuple(LABEL_POINTS), "risk_tier": ("High", "Medium", "Low"), "tier": ("High", "Medium", "Low"), "state": ()}
+
+
+def facets(rows: DataFrame, orders: dict[str, tuple] = FACETS) -> DataFrame:
+    """facet, option, n, place: the options of each facet with their rows, in the facet's own order."""
+    each = rows.select(F.inline(F.array(*[F.struct(F.lit(f).alias("facet"), c(f).alias("option")) for f in orders]))).where("option IS NOT NULL")
+    n = each.groupBy("facet", "option").agg(F.count("*").alias("n"))
+    at = F.lit(len(max(orders.values(), key=len)))
+    for f, options in orders.items():
+        for i, o in enumerate(options):
+            at = F.when((c("facet") == f) & (c("option") == o), F.lit(i)).otherwise(at)
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(at, "option")))
+
+
 def search(rows: DataFrame, text: str, label: str | None = None) -> DataFrame:
     found = F.lit(False)
     for n in ("org_name", "state", "ntee_major_category", "action_label"):
@@ -128,8 +148,10 @@ def band_alignment(panel: DataFrame, quartiles: DataFrame) -> DataFrame:
 
 
 def record(rows: DataFrame, panel: DataFrame) -> DataFrame:
-    """One nested struct for each organisation: identity, scores, benchmark gaps, stress, histories."""
+    """One nested struct for each organisation: identity, label, risk, benchmark gaps, stress, funding, evidence, histories."""
     return rows.join(financial_history(panel), "ein", "left").join(composition_history(panel), "ein", "left").select(
-        F.concat(F.lit("org-"), "ein").alias("id"), "ein", c("org_name").alias("orgName"), "state", c("action_label").alias("actionLabel"), F.struct(c("risk_pct").alias("probability"), c("risk_tier").alias("tier")).alias("distress"),
-        F.struct("margin_gap", "runway_gap", "diversification_gap").alias("benchmark"), F.struct("severity25", "burn25", "burn50", "largest_pct").alias("stress"), "history", "composition",
+        F.concat(F.lit("org-"), "ein").alias("id"), "ein", c("org_name").alias("orgName"), "state", c("ntee_major_category").alias("sector"), c("fiscal_year").alias("fiscalYear"), c("action_label").alias("actionLabel"),
+        F.struct(c("risk_pct").alias("probability"), c("risk_tier").alias("tier")).alias("distress"), F.struct("margin_gap", "runway_gap", "diversification_gap").alias("benchmark"),
+        F.struct("severity25", "burn25", "burn50", "largest_pct").alias("stress"), F.struct("total_revenue", "total_expenses", "net_assets_eoy", "investment_yield").alias("financials"),
+        F.struct(c("tier").alias("confidence"), c("completeness").alias("fields"), c("recovery_analog_count").alias("analogs"), c("streak").alias("yearsInvesting")).alias("evidence"), "history", "composition",
     )

@@ -58,9 +58,14 @@ def s05(spark, d):
     return files.filings(spark, xml(spark, d)).select("ein", "org_name", "fiscal_year", "total_revenue")
 
 
-@query("s06_record_accounting", "SELECT CASE WHEN c_custkey % 9 = 0 THEN '990EZ' ELSE '990' END AS return_type, count(*) AS n FROM customer GROUP BY 1")
+@query("s06_record_accounting", "SELECT CASE WHEN c_custkey % 9 = 0 THEN '990EZ' ELSE '990' END AS return_type, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'malformed', count(DISTINCT c_custkey // 100) FROM customer WHERE c_custkey % 10 = 3")
 def s06(spark, d):
-    return files.accounted(files.filings(spark, xml(spark, d)))
+    """Well-formed filings, and files whose elements do not close: each is one malformed record."""
+    p = xml(spark, d)
+    broken = F.concat(F.lit("<Return><ReturnHeader><Filer><EIN>"), F.col("c_custkey").cast("string"), F.lit("</Filer></EIN></ReturnHeader></Return>"))
+    rows = tp.table(spark, d, "customer").where("c_custkey % 10 = 3").select(broken.alias("value"), F.floor(F.col("c_custkey") / 100).alias("lot"))
+    rows.repartition("lot").write.partitionBy("lot").text(f"{p}-broken")
+    return files.accounted(files.filings(spark, p).unionByName(files.filings(spark, f"{p}-broken/*")))
 
 
 @query("s07_parquet_sink", "SELECT c_custkey, c_nationkey FROM customer")

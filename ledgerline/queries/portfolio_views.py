@@ -32,6 +32,26 @@ add(
 )
 
 
+_N = lambda x, k=1: f"format('{{:.{k}f}}', round({x}, {k}))"
+_CUR = lambda x: f"CASE WHEN abs({x}) >= 1e9 THEN '$' || {_N(f'{x} / 1e9')} || 'B' WHEN abs({x}) >= 1e6 THEN '$' || {_N(f'{x} / 1e6')} || 'M' WHEN abs({x}) >= 1e3 THEN '$' || {_N(f'{x} / 1e3', 0)} || 'K' ELSE '$' || {_N(x, 0)} END"
+_SIGNED = lambda x: f"CASE WHEN coalesce({x}, 0) < 0 THEN '' ELSE '+' END || {_N(f'coalesce({x}, 0)', 2)}"
+_BY = lambda optimise, diversify, review, other: f"CASE action_label WHEN 'Underinvested Asset Base' THEN {optimise} WHEN 'Revenue Concentration Risk' THEN {diversify} WHEN 'Needs Data Diligence' THEN {review} ELSE {other} END"
+_OF = lambda runway, margin, mix: f"CASE \"constraint\" WHEN 'low_runway' THEN '{runway}' WHEN 'low_margin' THEN '{margin}' ELSE '{mix}' END"
+_RISK = "CASE WHEN risk_pct >= 70 THEN 'High' WHEN risk_pct >= 40 THEN 'Elevated' WHEN risk_pct >= 20 THEN 'Moderate' ELSE 'Lower' END"
+_REASON = _BY("'ahead of its peers'", "'sound, few sources'", "'data in doubt'", _OF("short runway", "weak margin", "few sources"))
+_KIND = _BY("'growth capital'", "'grant for a wider mix'", "'desk review'", _OF("bridge loan", "turnaround plan", "grant for a wider mix"))
+_STATUS = _BY("'go'", "'go with mix targets'", "'hold'", "'go with margin targets'")
+_MOVE = _BY("'start'", "'start small'", "'check the filings'", "'agree on targets'")
+_WORTH = "CASE action_label WHEN 'Needs Data Diligence' THEN 30 WHEN 'Weak Financial Foundation' THEN 36 WHEN 'Revenue Concentration Risk' THEN 30 WHEN 'Underinvested Asset Base' THEN 24 ELSE 0 END"
+add("kinds", f"""SELECT *, least(q0, n) AS q, sum(greatest(q0 - n, 0)) OVER (PARTITION BY action_label) AS over FROM (
+  SELECT *, CAST(rank <= places AS INT) + whole + CAST(row_number() OVER (PARTITION BY action_label ORDER BY rest DESC, n DESC, kind) <= left_ - sum(whole) OVER (PARTITION BY action_label) AS INT) AS q0 FROM (
+    SELECT *, CAST(floor(n / total * left_) AS INT) AS whole, round(n / total * left_ - floor(n / total * left_), 9) AS rest FROM (
+      SELECT *, row_number() OVER (PARTITION BY action_label ORDER BY n DESC, kind) AS rank, sum(n) OVER (PARTITION BY action_label) AS total, greatest(places - count(*) OVER (PARTITION BY action_label), 0) AS left_ FROM (
+        SELECT action_label, "constraint" AS kind, count(*) AS n, max({_WORTH}) AS places FROM orgs WHERE "constraint" IS NOT NULL GROUP BY ALL))))""", "orgs")
+add("more_places", "SELECT action_label, kind, count(*) AS extra FROM (SELECT *, row_number() OVER (PARTITION BY action_label ORDER BY k, rank) AS t FROM (SELECT action_label, kind, over, rank, unnest(range(1, CAST(least(n - q, over) AS BIGINT) + 1)) AS k FROM kinds WHERE q < n AND over > 0)) WHERE t <= over GROUP BY ALL", "kinds")
+add("quotas", 'SELECT action_label, kind AS "constraint", CAST(q + coalesce(extra, 0) AS BIGINT) AS quota FROM kinds LEFT JOIN more_places USING (action_label, kind)', "kinds", "more_places")
+
+
 def orgs(spark, d):
     """The latest filing of each organisation with what the score reads; label and tier by simple rules."""
     p = cut(stages.with_probability(m.with_metrics(stress.deficit_stress(tp.panel(spark, d)))))
@@ -97,12 +117,21 @@ def x06(spark, d):
     return orgs(spark, d).select("ein", F.round(portfolio.priority(), 6).alias("priority"))
 
 
-@query("x07_quotas")
+@query("x07_quotas", 'SELECT * FROM quotas', "quotas")
 def x07(spark, d):
     return portfolio.quotas(orgs(spark, d), portfolio.PLACES)
 
 
-@query("x08_shortlist")
+_BEST = "priority DESC, risk_pct DESC, total_revenue DESC, ein"
+
+
+@query(
+    "x08_shortlist",
+    f"""SELECT ein, action_label, "constraint", priority FROM (SELECT *, {_WORTH} - sum(CAST(inside AS INT)) OVER (PARTITION BY action_label) AS open, row_number() OVER (PARTITION BY action_label, inside ORDER BY {_BEST}) AS fill FROM (
+        SELECT r.*, coalesce(k <= quota, false) AS inside FROM (SELECT *, row_number() OVER (PARTITION BY action_label, "constraint" ORDER BY {_BEST}) AS k FROM (SELECT *, round({_POINTS}, 6) AS priority FROM orgs)) r
+        LEFT JOIN quotas q ON q.action_label = r.action_label AND q."constraint" = r."constraint")) WHERE inside OR fill <= open""",
+    "orgs", "quotas",
+)
 def x08(spark, d):
     return portfolio.shortlist(orgs(spark, d).withColumn("priority", F.round(portfolio.priority(), 6)), portfolio.PLACES).select("ein", "action_label", "constraint", "priority")
 
@@ -112,10 +141,25 @@ def x09(spark, d):
     return orgs(spark, d).select("ein", score.protection().alias("protection"), score.margin_score().alias("margin"), score.mix_score().alias("mix"), score.evidence().alias("evidence"))
 
 
-@query("x12_organisation_record")
+@query(
+    "x12_organisation_record",
+    """SELECT 'org-' || o.ein AS id, org_name, state, ntee_major_category AS sector, fiscal_year, action_label, round(risk_pct, 6) AS probability, risk_tier, round(runway_gap, 6) AS runway_gap, severity25, round(burn50, 6) AS burn50,
+         total_revenue AS revenue, round(investment_yield, 6) AS yield, tier AS confidence, completeness AS fields, streak AS years_investing, h.years, h.first_year, h.last_mix
+       FROM orgs o JOIN (SELECT ein, count(*) AS years, min(fiscal_year) AS first_year, round(max_by(coalesce(pct_contributions, 0), fiscal_year) * 100, 4) AS last_mix FROM panel GROUP BY ein) h ON h.ein = o.ein""",
+    "orgs", "panel",
+)
 def x12(spark, d):
-    p = panel(spark, d)
-    return portfolio.record(orgs(spark, d), p).select("id", "actionLabel", F.size("history").alias("years"), F.to_json("stress").alias("stress"))
+    r = portfolio.record(orgs(spark, d), panel(spark, d))
+    return r.select(
+        "id", c("orgName").alias("org_name"), "state", "sector", c("fiscalYear").alias("fiscal_year"), c("actionLabel").alias("action_label"), F.round("distress.probability", 6).alias("probability"), c("distress.tier").alias("risk_tier"),
+        F.round("benchmark.runway_gap", 6).alias("runway_gap"), "stress.severity25", F.round("stress.burn50", 6).alias("burn50"), c("financials.total_revenue").alias("revenue"), F.round("financials.investment_yield", 6).alias("yield"),
+        "evidence.confidence", "evidence.fields", c("evidence.yearsInvesting").alias("years_investing"), F.size("history").cast("long").alias("years"), c("history")[0]["fiscalYear"].alias("first_year"), F.element_at("composition", -1)["contributionsPct"].alias("last_mix"),
+    )
+
+
+@query("x14_header", "SELECT count(*) AS total, string_agg(DISTINCT state, ',' ORDER BY state) AS states, round(avg(risk_pct / 100), 6) AS baseline_rate FROM orgs", "orgs")
+def x14b(spark, d):
+    return portfolio.header(orgs(spark, d), c("risk_pct") / 100)
 
 
 @query("x14_summary", "SELECT 'label' AS kind, action_label AS value, count(*) AS n FROM orgs GROUP BY 2 UNION ALL SELECT 'risk_tier', risk_tier, count(*) FROM orgs GROUP BY 2 UNION ALL SELECT 'confidence', tier, count(*) FROM orgs GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM orgs", "orgs")
@@ -180,21 +224,28 @@ def x20(spark, d):
     return orgs(spark, d).select("ein", score.stability_index(c("margin_gap"), c("runway_gap"), c("diversification_gap")).alias("stability"))
 
 
-@query("x21_advisory_note")
+@query(
+    "x21_advisory_note",
+    f"""SELECT ein, action_label, {_BY(f"'Net assets ' || {_CUR('net_assets_eoy')} || ', yield ' || {_N('investment_yield')} || '%' || CASE WHEN streak >= 1 THEN ', ' || streak || ' years of investment income' ELSE '' END || '. First: what is liquid and unrestricted.'",
+        f"'Main source ' || {_N('largest_pct', 0)} || '%; without a quarter of it ' || {_N('burn25')} || ' months remain. First: a second source.'",
+        "'Balance sheet ' || CAST(floor(least(greatest(completeness / 8 * 5, 0), 5) + 0.5) AS BIGINT) || ' of 5 complete. First: the missing fields.'",
+        f"'Margin ' || {_N('margin_pct')} || '%, reserves ' || {_N('runway_months')} || ' months. First: a reserve target.'")} AS note FROM orgs""",
+    "orgs",
+)
 def x21(spark, d):
     return orgs(spark, d).select("ein", "action_label", score.note().alias("note"))
 
 
-_PRESSURE = """[CASE WHEN margin_gap < -0.15 THEN 'Operating performance looks weaker than similar organizations.' END,
-  CASE WHEN runway_gap < -6 THEN 'There is less room for a setback than at similar organizations.' END,
-  CASE WHEN diversification_gap < -0.08 THEN 'Too much of reported revenue is in one category.' END,
-  CASE WHEN largest_pct <= 0 THEN 'The filing lacks revenue detail for a stress check.' WHEN burn50 <= 6 THEN 'A large decline could bring pressure within ' || printf('%.1f', burn50) || ' months.' END]"""
-_SUPPORT = "'Similar organizations have recovered from this kind of pressure. Short-term support could buy time. A broader revenue mix would help.'"
+_PRESSURE = f"""[CASE WHEN margin_gap < -0.15 THEN 'margin ' || {_N('abs(margin_gap)', 2)} || ' under peers' END, CASE WHEN runway_gap < -6 THEN 'runway ' || {_N('abs(runway_gap)')} || ' months under peers' END,
+  CASE WHEN diversification_gap < -0.08 THEN 'revenue mix ' || {_N('abs(diversification_gap)', 2)} || ' under peers' END,
+  CASE WHEN largest_pct <= 0 THEN 'revenue split unknown' WHEN burn50 <= 6 THEN {_N('abs(burn50)')} || ' months left if half of the main source goes' END]"""
+_SUPPORT = f"""['recovered peers: ' || recovery_analog_count, CASE WHEN runway_months < 12 THEN 'bridge to 12 months: ' || {_N('12 - runway_months')} || ' missing' END, CASE WHEN rdi < 0.5 THEN 'mix can widen from ' || {_N('rdi', 2)} END, CASE WHEN tier = 'High' THEN 'evidence is high' END]"""
+_KEPT = lambda x, k: f"array_to_string(list_filter({x}, lambda x: x IS NOT NULL)[1:{k}], '; ')"
 
 
-@query("x22_pressure_and_support", f"SELECT ein, coalesce(nullif(array_to_string(list_filter({_PRESSURE}, lambda x: x IS NOT NULL), ' '), ''), 'Nothing stands out as an immediate red flag.') AS pressure, {_SUPPORT} AS support FROM orgs", "orgs")
+@query("x22_pressure_and_support", f"SELECT ein, coalesce(nullif({_KEPT(_PRESSURE, 4)}, ''), 'no finding') AS pressure, {_KEPT(_SUPPORT, 3)} AS support FROM orgs", "orgs")
 def x22(spark, d):
-    return orgs(spark, d).select("ein", F.array_join(score.pressure_points(), " ").alias("pressure"), F.array_join(score.support_signals(), " ").alias("support"))
+    return orgs(spark, d).select("ein", F.array_join(score.pressure_points(), "; ").alias("pressure"), F.array_join(score.support_signals(), "; ").alias("support"))
 
 
 @query("x23_status_tone", "SELECT ein, CASE WHEN fit_score >= 75 AND risk_pct < 25 THEN 'Strong' WHEN fit_score >= 45 AND risk_pct < 60 THEN 'Mixed' ELSE 'Fragile' END AS tone FROM fit", "fit")
@@ -202,6 +253,14 @@ def x23(spark, d):
     return fit(spark, d).select("ein", score.tone().alias("tone"))
 
 
+_ROW = lambda name, own, gap: f"SELECT ein, '{name}' AS metric, round({own}, 6) AS own, round({own} - {gap}, 6) AS peers, CASE WHEN {gap} IS NULL THEN 'unknown' WHEN {gap} > 0 THEN 'ahead' WHEN {gap} < 0 THEN 'behind' ELSE 'level' END AS position FROM orgs"
+
+
+@query("x23_peer_position", " UNION ALL ".join([_ROW("margin", "operating_margin", "margin_gap"), _ROW("runway", "operating_runway_proxy_months", "runway_gap"), _ROW("mix", "rdi", "diversification_gap")]), "orgs")
+def x23b(spark, d):
+    return score.peer_position(orgs(spark, d))
+
+
 @query("x25_search", "SELECT ein, fit_score FROM fit WHERE contains(lower(org_name), '0001') OR contains(lower(state), '0001') OR contains(lower(action_label), '0001')", "fit")
 def x25(spark, d):
     return portfolio.search(fit(spark, d), "0001").select("ein", "fit_score")
@@ -212,6 +271,14 @@ def x26(spark, d):
     return orgs(spark, d).groupBy("action_label").agg(F.count("*").alias("n"))
 
 
+_OPTIONS = " UNION ALL ".join(f"SELECT '{f}' AS facet, {f} AS option, list_position({list(o)}::VARCHAR[], {f}) AS pos FROM orgs" for f, o in portfolio.FACETS.items())
+
+
+@query("x26_facets", f"SELECT facet, option, n, CAST(row_number() OVER (PARTITION BY facet ORDER BY coalesce(pos, 99), option) AS INTEGER) AS place FROM (SELECT facet, option, nullif(any_value(pos), 0) AS pos, count(*) AS n FROM ({_OPTIONS}) WHERE option IS NOT NULL GROUP BY facet, option)", "orgs")
+def x26b(spark, d):
+    return portfolio.facets(orgs(spark, d))
+
+
 @query("x27_priority_pipeline", "SELECT ein, round((0.5 - rdi) * total_revenue, 2) AS pipeline_score FROM orgs WHERE action_label = 'Revenue Concentration Risk' AND total_revenue BETWEEN 250000 AND 1e8 AND rdi < 0.5 ORDER BY 2 DESC, ein LIMIT 60", "orgs")
 def x27(spark, d):
     return portfolio.pipeline(orgs(spark, d), "Revenue Concentration Risk").select("ein", "pipeline_score")
@@ -232,16 +299,32 @@ def x32(spark, d):
     return portfolio.band_alignment(panel(spark, d), quartiles(spark, d))
 
 
-@query("x10_narrative", "SELECT ein, CASE WHEN risk_pct >= 70 THEN 'High' WHEN risk_pct >= 40 THEN 'Elevated' WHEN risk_pct >= 20 THEN 'Moderate' ELSE 'Lower' END AS risk_level, CASE action_label WHEN 'Underinvested Asset Base' THEN 'Move forward' WHEN 'Revenue Concentration Risk' THEN 'Support, but widen the base' WHEN 'Needs Data Diligence' THEN 'Pause and verify' ELSE 'Support with guardrails' END AS next_move FROM orgs", "orgs")
+@query(
+    "x10_narrative",
+    f"""SELECT ein, {_REASON} AS reason, {_KIND} AS intervention, {_STATUS} AS decision_status, {_MOVE} AS next_move, {_RISK} AS risk_level, 'confidence: ' || lower(tier) AS confidence_note,
+       concat_ws('; ', 'label: ' || action_label, CASE WHEN risk_tier = 'High' THEN 'risk tier high' END, CASE WHEN urgency_severity <> 'none' THEN 'urgent' END, CASE WHEN recovery_analog_count > 0 THEN 'has recovered peers' END) AS why_surfaced FROM orgs""",
+    "orgs",
+)
 def x10(spark, d):
-    return cards.narrative(orgs(spark, d)).select("ein", "risk_level", "next_move")
+    return cards.narrative(orgs(spark, d)).select("ein", "reason", "intervention", "decision_status", "next_move", "risk_level", "confidence_note", "why_surfaced")
 
 
-@query("x11_scenario_cards")
+@query(
+    "x11_scenario_cards",
+    f"""SELECT ein, 'source-falls' AS id, 'A quarter less from the main source: ' || {_N('burn25')} || ' months left' AS thesis, CASE WHEN risk_pct < 18 THEN 'holds' ELSE 'in doubt' END AS effect FROM orgs
+       UNION ALL SELECT ein, 'reserves-filled', 'Runway to peers: ' || {_SIGNED('runway_gap')} || ' months', CASE WHEN runway_gap >= 0 THEN 'optional' ELSE 'decisive' END FROM orgs
+       UNION ALL SELECT ein, 'mix-widened', 'Mix to peers: ' || {_SIGNED('diversification_gap')}, CASE WHEN diversification_gap >= 0 THEN 'done' ELSE 'lowers risk' END FROM orgs""",
+    "orgs",
+)
 def x11(spark, d):
     return orgs(spark, d).select("ein", F.inline(cards.scenario_cards(18.0)))
 
 
+@query("x11_analog_cards", "SELECT ein, fiscal_year, peer, peer_name || ' (' || peer_state || ')' AS title, 'FY' || pre_year || '-FY' || post_year AS span, metric, round(round(post_value, 6) - round(pre_value, 6), 6) AS gain FROM matched", "matched")
+def x11b(spark, d):
+    return stages.enriched(tp.panel(spark, d), tp.CONFIG).select("ein", "fiscal_year", F.inline(cards.analog_cards()))
+
+
 @query("x13_label_patch", "SELECT ein, CASE WHEN ein IN ('1', '2') THEN 'Needs Data Diligence' ELSE action_label END AS action_label, round(investment_yield + 0.5, 3) AS investment_yield FROM orgs", "orgs")
 def x13(spark, d):
     o = orgs(spark, d)
@@ -259,16 +342,41 @@ def x28(spark, d):
     return cards.tones(orgs(spark, d))
 
 
-@query("x29_snapshot_metrics")
+_P = lambda n, v: f"{{'name': '{n}', 'value': {v}}}"
+_ASSETS, _REVENUE, _RUNWAY = _P("Net assets", _CUR("net_assets_eoy")), _P("Total revenue", _CUR("total_revenue")), _P("Current cash runway", f"{_N('runway_months')} || ' months'")
+_SHOWN = _BY(
+    f"[{_ASSETS}, {_REVENUE}, {_P('Current investment yield', _N('investment_yield') + " || '%'")}, {_P('Years investing', 'CAST(streak AS VARCHAR)')}]",
+    f"[{_ASSETS}, {_REVENUE}, {_P('Largest category', _N('largest_pct') + " || '%'")}, {_RUNWAY}, {_P('Runway after a 25% shock', _N('burn25') + " || ' months'")}]",
+    f"[{_P('Data completeness', _N('completeness') + " || ' of 8'")}, {_P('Latest filing year', 'CAST(fiscal_year AS VARCHAR)')}]",
+    f"[{_ASSETS}, {_REVENUE}, {_RUNWAY}, {_P('Operating margin', _N('margin_pct') + " || '%'")}]",
+)
+
+
+@query("x29_snapshot_metrics", f"SELECT ein, m.name, m.value FROM (SELECT ein, unnest({_SHOWN}) AS m FROM orgs)", "orgs")
 def x29(spark, d):
     return cards.snapshot(orgs(spark, d))
 
 
-@query("x33_inbox_row")
+@query("x29_pitch", f"""SELECT ein, {_BY(f"{_CUR('net_assets_eoy')} || ' of net assets could earn more than ' || {_N('investment_yield')} || '%'", f"'From ' || {_N('largest_pct', 0)} || '% in one source to a wider mix'", f"{_N('completeness', 0)} || ' of 8 fields reported: the rest comes first'", f"'From ' || {_N('margin_pct')} || '% margin to a surplus'")} AS pitch FROM orgs""", "orgs")
+def x29b(spark, d):
+    return orgs(spark, d).select("ein", cards.pitch().alias("pitch"))
+
+
+@query("x33_inbox_row", f"SELECT ein, org_name || ': ' || {_MOVE} AS headline, 'FY' || fiscal_year || '; ' || {_CUR('total_revenue')} || '; risk ' || lower({_RISK}) AS facts, 'confidence: ' || lower(tier) AS confidence_note FROM orgs", "orgs")
 def x33(spark, d):
     return cards.inbox_row(orgs(spark, d))
 
 
+@query("x33_case_row", f"SELECT ein, org_name || ' (' || state || ')' AS title, {_STATUS} AS status, coalesce(nullif(concat_ws('; ', CASE WHEN tier = 'Low' THEN 'data in doubt' END, CASE WHEN cash_non_interest_bearing IS NULL THEN 'cash not reported' END, CASE WHEN largest_pct >= 90 THEN 'one source only' END), ''), 'none') AS caveats FROM orgs", "orgs")
+def x33b(spark, d):
+    return cards.case_row(orgs(spark, d))
+
+
+@query("x33_funding_row", f"SELECT ein, {_KIND} AS kind, {_CUR('(CASE WHEN runway_months < 6 THEN greatest(6 - runway_months, 0.0) * total_expenses / 12 ELSE total_revenue / 20 END)')} AS amount, {_REASON} || '; ' || {_MOVE} AS purpose FROM orgs", "orgs")
+def x33c(spark, d):
+    return cards.funding_row(orgs(spark, d))
+
+
 # --- de-identification ----------------------------------------------------------------------------------------------
 
 

@@ -94,8 +94,8 @@ def r07(spark, d):
 
 @query(
     "r08_narrative",
-    """SELECT ein, 'The model flagged this ' || ntee_major_category || ' sector ' || state || ' organisation in FY' || fiscal_year || ' at ' || format('{:.0f}', proba * 100) || '% distress probability. ' || CASE WHEN t_plus_min_runway < 3
-       THEN 'Within 2 years its cash runway collapsed to ' || format('{:.1f}', t_plus_min_runway) || ' months' || coalesce(' with operating margin ' || format('{:.1f}', t_plus_min_margin) || '%.', '.') ELSE 'Urgency materialized per the target rule in T+1.' END AS narrative FROM strong""",
+    """SELECT ein, state || ', sector ' || ntee_major_category || ': called in FY' || fiscal_year || ' at ' || format('{:.0f}', proba * 100) || '%. ' || CASE WHEN t_plus_min_runway < 3
+       THEN 'Least runway after it: ' || format('{:.1f}', t_plus_min_runway) || ' months' || coalesce('; least margin: ' || format('{:.1f}', t_plus_min_margin) || '%.', '.') ELSE 'Urgent a year later.' END AS narrative FROM strong""",
     "strong",
 )
 def r08(spark, d):
@@ -138,12 +138,12 @@ def r12(spark, d):
 
 
 _F = lambda x, k=0: f"format('{{:.{k}f}}', {x})"
-_SIGNALS = f"""list_filter([CASE WHEN largest_pct >= 90 THEN 'Largest revenue category is ' || {_F('largest_pct')} || '% of revenue.' WHEN largest_pct >= 70 THEN 'Heavy reliance on the largest revenue category (' || {_F('largest_pct')} || '%).' END,
-  CASE WHEN gap1 < -0.15 THEN 'Revenue diversification ' || {_F('abs(gap1)', 2)} || ' below peer benchmark.' END,
-  CASE WHEN margin < 0 THEN 'Operating margin already negative at ' || {_F('margin', 1)} || '%.' WHEN margin < 5 THEN 'Thin operating margin of +' || {_F('margin', 1)} || '%.' END,
-  CASE WHEN slope < -2 THEN 'Margin falling ' || {_F('abs(slope)', 1)} || ' points a year over 3 filings.' END,
-  CASE WHEN eg - rg > 0.08 THEN 'Expenses grew ' || {_F('eg * 100')} || '% against revenue growth of ' || {_F('rg * 100')} || '%.' END,
-  CASE WHEN shock_absorption_months < 6 THEN 'Reserves cover less than six months of expenses.' WHEN shock_absorption_months < 12 AND largest_pct >= 70 THEN 'Reserves would not absorb a concentration shock.' END], lambda x: x IS NOT NULL)"""
+_SIGNALS = f"""list_filter([CASE WHEN largest_pct >= 90 THEN 'nearly one source: ' || {_F('largest_pct')} || '%' WHEN largest_pct >= 70 THEN 'main source: ' || {_F('largest_pct')} || '%' END,
+  CASE WHEN gap1 < -0.15 THEN 'mix ' || {_F('abs(gap1)', 2)} || ' under peers' END,
+  CASE WHEN margin < 0 THEN 'deficit: ' || {_F('margin', 1)} || '%' WHEN margin < 5 THEN 'slim surplus: ' || {_F('margin', 1)} || '%' END,
+  CASE WHEN slope < -2 THEN 'margin loses ' || {_F('abs(slope)', 1)} || ' points a year' END,
+  CASE WHEN eg - rg > 0.08 THEN 'growth of expenses ' || {_F('eg * 100')} || '%, of revenue ' || {_F('rg * 100')} || '%' END,
+  CASE WHEN shock_absorption_months < 6 THEN 'reserves under 6 months' WHEN shock_absorption_months < 12 AND largest_pct >= 70 THEN 'reserves too thin for the main source' END], lambda x: x IS NOT NULL)"""
 
 
 @query(

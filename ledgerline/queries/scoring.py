@@ -413,6 +413,34 @@ def l06(spark, d):
     return labelled(spark, d).select(*KEY, "memo_text")
 
 
+_NA = lambda c, k=2: f"coalesce(format('{{:.{k}f}}', {c}), 'N/A')"
+_OF = lambda name, v, b, g, unit="": f"'{name} of ' || {_NA(v)} || '{unit} versus benchmark ' || {_NA(b)} || '{unit} (' || {_PHRASE(g)} || ').'"
+_PLAIN = "CASE recovery_analog_constraint WHEN 'low_margin' THEN 'low operating margin' WHEN 'low_runway' THEN 'low operating runway' WHEN 'high_concentration_in_volatile_source' THEN 'high revenue concentration' ELSE 'unspecified constraint' END"
+_SAID = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.REVIEW_WORDS.items())
+add(
+    "sentences",
+    f"""SELECT *, concat_ws(' ', org_name || ' (' || state || ', FY' || fiscal_year || ', ' || coalesce(size_bucket, 'N/A') || ', revenue ' || CASE WHEN abs(total_revenue) >= 1e6 THEN '$' || format('{{:,.1f}}', total_revenue / 1e6) || 'M' WHEN abs(total_revenue) >= 1e3 THEN '$' || format('{{:,.0f}}', total_revenue / 1e3) || 'K' ELSE '$' || format('{{:,.0f}}', total_revenue) END || ').',
+      'Benchmarked within ' || coalesce('NTEE category ' || ntee_major_category, 'unclassified sector') || ', cohort of ' || cohort_size || ' peers, rule: ' || coalesce(rule, 'N/A') || '.',
+      {_OF('Operating margin', METRICS[0], BENCHMARKS[0], _MG)}, {_OF('Operating runway', METRICS[1], BENCHMARKS[1], _RG, ' months')}, {_OF('Revenue diversification', METRICS[2], BENCHMARKS[2], _DG)},
+      CASE WHEN stress_test_status = 'computed' THEN 'Under a 25% largest-source shock, severity is ' || stress_25pct_severity || coalesce(' with ' || format('{{:.1f}}', stress_25pct_burn_months) || ' months of burn runway', '') || '.' ELSE 'Stress-test scenario unavailable due to missing raw inputs.' END,
+      coalesce(e1.org_name || ' (' || e1.state || ') recovered from a similar ' || {_PLAIN} || ' position between ' || e1.y0 || ' and ' || e1.y1 || ', improving ' || e1.metric || ' from ' || format('{{:.2f}}', e1.v0) || ' to ' || format('{{:.2f}}', e1.v1) || '.', 'No recovery analog evidence is available for this organization.'),
+      'Recommended action: ' || action_label || '.',
+      CASE action_label WHEN 'Needs Data Diligence' THEN 'This is driven by ' || array_to_string(list_transform(string_split(rationale, ','), lambda r: CASE r {_SAID} WHEN '{labels.REVIEW_RULES[3]}' THEN 'resilience gap of ' || {_NA('resilience_gap')} || ' exceeds the structural outlier threshold of 2.0' ELSE r END), '; ') || '.'
+        WHEN 'Underinvested Asset Base' THEN 'All three resilience metrics are at or above cohort benchmarks, with no severe stress-test exposure and no urgency flag.'
+        WHEN 'Revenue Concentration Risk' THEN 'Revenue diversification gap of ' || {_NA(_DG)} || ' indicates elevated concentration risk, while operating margin remains adequate for targeted diversification.'
+        ELSE 'The primary constraint is ' || {_PLAIN} || ', which should be addressed before additional capital deployment.' END,
+      CASE WHEN checkpoint1_confidence_tier = 'Low' AND urgency_severity = 'acute' THEN 'Data confidence is insufficient to support a specific action recommendation. The available data suggests potential imminent distress, but current filings should be verified directly before any capital decision.'
+        WHEN checkpoint1_confidence_tier = 'Low' THEN 'Data confidence is insufficient to support a specific action recommendation and the row should be reviewed directly before action.'
+        WHEN checkpoint1_confidence_tier = 'Medium' THEN 'Data confidence is moderate; additional verification may strengthen this assessment.' WHEN checkpoint1_confidence_tier = 'High' THEN 'Data confidence is high.' END) AS memo_text FROM reasoned""",
+    "reasoned",
+)
+
+
+@query("l06_memo_sentences", "SELECT ein, fiscal_year, memo_text FROM sentences", "sentences")
+def l06b(spark, d):
+    return labels.memo_in_sentences(labelled(spark, d)).select(*KEY, "memo_text")
+
+
 @query("l07_word_limit", r"SELECT count(*) FILTER (length(regexp_replace(trim(memo_text), '\S+', '', 'g')) + 1 > 250) AS too_long, max(length(regexp_replace(trim(memo_text), '\S+', '', 'g')) + 1) AS longest FROM memos", "memos")
 def l07(spark, d):
     n = labels.words(F.col("memo_text"))
