@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,13 +40,13 @@ NEVER = np.float32(-1e9)  # log-odds of an output that no word has
 class LmConfig:
     groups: int = 64  # of words with vectors of their own, the end being the first
     members: int = 64
-    tail_classes: int = 128
-    dim: int = 32
+    tail_classes: int = 64
+    dim: int = 16
     head: int = 200_000  # words whose counts every task holds
-    noise: int = 32  # noise samples of the first layer, shared by a minibatch
-    inner_noise: int = 4  # of the second layer, for each token
-    batch: int = 2048
-    rate: float = 0.15
+    noise: int = 24  # noise samples of the first layer, shared by a minibatch
+    inner_noise: int = 2  # of the second layer, for each token
+    batch: int = 4096
+    rate: float = 0.2
     rounds: int = 3
     part_tokens: int = 4_000_000  # training tokens of a task
     parts: int = 4096  # tasks at most
@@ -84,9 +85,9 @@ class Encoder:
         return ids
 
 
-def laid_out(texts: list[list[int]], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after another, each with CONTEXT ends before it and one after it, and the places of its tokens."""
-    lens = np.array([len(t) for t in texts], np.int64) + CONTEXT + 1
+def laid_out(codes: np.ndarray, sizes: list[int], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of these sizes one after another, each with CONTEXT ends before it and one after it, and the places of its tokens."""
+    lens = np.array(sizes, np.int64) + CONTEXT + 1
     ids = np.full(int(lens.sum()), end, np.int64)
     first = np.cumsum(lens) - lens
     target = np.ones(len(ids), bool)
@@ -94,10 +95,15 @@ def laid_out(texts: list[list[int]], end: int = 0) -> tuple[np.ndarray, np.ndarr
         target[first + i] = False
     word = target.copy()
     word[first + lens - 1] = False
-    ids[word] = np.fromiter((x for t in texts for x in t), np.int64, int(word.sum()))
+    ids[word] = codes
     return ids, np.flatnonzero(target)
 
 
+def flat_of(texts: list[list[int]]) -> tuple[np.ndarray, list[int]]:
+    sizes = list(map(len, texts))
+    return np.fromiter(chain.from_iterable(texts), np.int64, sum(sizes)), sizes
+
+
 def start(top: np.ndarray, inner: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
     """Parameters before training, with unigram biases. top: masses of groups and tail classes, inner: of own words."""
     rng, d = np.random.default_rng(cfg.seed), cfg.dim
@@ -126,7 +132,7 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 def _climb(p: np.ndarray, sums: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
     """An Adagrad step on the rows `ids` of p, which may repeat."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.int16) if len(p) < 1 << 15 else ids, kind="stable")  # short numbers are sorted by radix
     ids = ids[order]
     starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     g, at = np.add.reduceat(rows[order], starts, axis=0), ids[starts]
@@ -135,7 +141,12 @@ def _climb(p: np.ndarray, sums: np.ndarray, ids: np.ndarray, rows: np.ndarray, r
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def nce_step(p: dict, sums: dict, ctx: np.ndarray, y: np.ndarray, noise: Noise, rng, cfg: LmConfig, rate: float) -> None:
@@ -147,16 +158,19 @@ def nce_step(p: dict, sums: dict, ctx: np.ndarray, y: np.ndarray, noise: Noise,
     top = np.where(y < cfg.own, y // cfg.members, y - cfg.own + cfg.groups)
     z = noise.top(rng)
     qy, qz = p["q"][top], p["q"][z]
-    up = _sigmoid(noise.log_top[top] - (h * qy).sum(1) - p["b"][top]) / n
-    down = -_sigmoid(h @ qz.T + (p["b"][z] - noise.log_top[z])) / n
+    up = _sigmoid((noise.log_top - p["b"])[top] - np.einsum("nd,nd->n", h, qy)) / n
+    down = _sigmoid(h @ qz.T + (p["b"][z] - noise.log_top[z]))
+    down *= -1 / n
     gh = up[:, None] * qy + down @ qz
     at = np.flatnonzero(y < cfg.own)
     if len(at):
         hi, yi = h[at], y[at]
         zi = noise.inner(yi // cfg.members, rng)
         wy, wz = p["w"][yi], p["w"][zi]
-        up_i = _sigmoid(noise.log_inner[yi] - (hi * wy).sum(1) - p["v"][yi]) / n
-        down_i = -_sigmoid(np.einsum("nd,nkd->nk", hi, wz) + p["v"][zi] - noise.log_inner[zi]) / n
+        off = p["v"] - noise.log_inner
+        up_i = _sigmoid(-np.einsum("nd,nd->n", hi, wy) - off[yi]) / n
+        down_i = _sigmoid(np.einsum("nd,nkd->nk", hi, wz) + off[zi])
+        down_i *= -1 / n
         gh[at] += up_i[:, None] * wy + np.einsum("nk,nkd->nd", down_i, wz)
         ids = np.concatenate([yi, zi.ravel()])
         _climb(p["w"], sums["w"], ids, np.concatenate([up_i[:, None] * hi, (down_i[:, :, None] * hi[:, None]).reshape(-1, h.shape[1])]), rate)
@@ -202,14 +216,14 @@ def _minibatches(texts, encoder: Encoder, size: int):
 
 
 def _cut(held: list[list[int]], size: int):
-    ids, at = laid_out(held)
+    ids, at = laid_out(*flat_of(held))
     for k in range(0, len(at), size):
         a = at[k : k + size]
         yield np.stack([ids[a - i - 1] for i in range(CONTEXT)]), ids[a]
 
 
 def _train_task(own: dict, params: dict, top: np.ndarray, inner: np.ndarray, cfg: LmConfig, turn: int):
-    """One row for each PIECE of the parameters that the task ends with."""
+    """One row for each PIECE of what the task adds to the parameters, in half precision, as a change is small."""
 
     def run(batches):
         p = {k: v.copy() for k, v in params.items()}
@@ -220,17 +234,20 @@ def _train_task(own: dict, params: dict, top: np.ndarray, inner: np.ndarray, cfg
                 nce_step(p, sums, ctx, y, noise, rng, cfg, cfg.rate / (1 + turn))
                 seen += len(y)
         if seen:
-            flat = pack(p)
+            flat = (pack(p) - pack(params)).astype(np.float16)
             pieces = [flat[k : k + PIECE].tobytes() for k in range(0, len(flat), PIECE)]
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(len(pieces)), pa.int32()), "seen": pa.array([seen] * len(pieces), pa.int64()), "x": pa.array(pieces, pa.binary())})
 
     return run
 
 
-def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
-    seen = pdf["seen"].to_numpy(np.float64)
-    total = sum(n * np.frombuffer(x, np.float32).astype(np.float64) for n, x in zip(seen, pdf["x"]))
-    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "seen": [int(seen.sum())], "x": [(total / seen.sum()).astype(np.float32).tobytes()]})
+def _mean(given: type):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = pdf["seen"].to_numpy(np.float64)
+        total = sum(n * np.frombuffer(x, given).astype(np.float64) for n, x in zip(seen, pdf["x"]))
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "seen": [int(seen.sum())], "x": [(total / seen.sum()).astype(np.float32).tobytes()]})
+
+    return run
 
 
 def _count_task(batches):
@@ -318,10 +335,10 @@ def fit(train: DataFrame, cfg: LmConfig = LmConfig()) -> LanguageModel:
     for turn in range(cfg.rounds if tokens else 0):
         dealt = train.where(F.pmod(key, F.lit(cfg.rounds)) == turn).withColumn("_key", key).repartition(min(cfg.parts, -(-tokens // (cfg.rounds * cfg.part_tokens))), "_key")
         locals_ = dealt.sortWithinPartitions("_key").select("text").mapInArrow(_train_task(own, params, top, inner, cfg, turn), "piece int, seen long, x binary")
-        lots = locals_.withColumn("lot", F.floor(F.spark_partition_id() / LOT).cast("int")).groupBy("piece", "lot").applyInPandas(_mean, "piece int, seen long, x binary")
-        mean = {r.piece: r.x for r in lots.groupBy("piece").applyInPandas(_mean, "piece int, seen long, x binary").collect()}  # the parameters
+        lots = locals_.withColumn("lot", F.floor(F.spark_partition_id() / LOT).cast("int")).groupBy("piece", "lot").applyInPandas(_mean(np.float16), "piece int, seen long, x binary")
+        mean = {r.piece: r.x for r in lots.groupBy("piece").applyInPandas(_mean(np.float32), "piece int, seen long, x binary").collect()}  # the parameters
         if mean:
-            params = unpack(np.concatenate([np.frombuffer(mean[k], np.float32) for k in sorted(mean)]), params)
+            params = unpack(pack(params) + np.concatenate([np.frombuffer(mean[k], np.float32) for k in sorted(mean)]), params)
     return LanguageModel(cfg, counts, tokens, distinct, ends, own, head, tail, params)
 
 
@@ -329,40 +346,48 @@ class Network:
     """Normalised log-probabilities of a trained model."""
 
     def __init__(self, params: dict, cfg: LmConfig):
-        self.cfg, self.b = cfg, params["b"]
-        self.ahead = [params["r"] @ m for m in params["c"]]  # what a token adds to the prediction at each distance
-        self.qt = params["q"].T.copy()
-        self.w = params["w"].reshape(cfg.groups, cfg.members, -1).transpose(0, 2, 1).copy()
-        self.v = params["v"].reshape(cfg.groups, cfg.members)
+        self.cfg, self.ones = cfg, np.ones(max(cfg.groups + cfg.tail_classes, cfg.members), np.float32)
+        # what a token adds to the prediction at each distance; the last place of a prediction is 1, for the biases
+        self.ahead = [np.concatenate([params["r"] @ m, np.full((len(params["r"]), 1), float(i == 0), np.float32)], 1) for i, m in enumerate(params["c"])]
+        self.qt = np.concatenate([params["q"], params["b"][:, None]], 1).T.copy()
+        w = np.concatenate([params["w"], params["v"][:, None]], 1)
+        self.w = w.reshape(cfg.groups, cfg.members, -1).transpose(0, 2, 1).copy()
+        own = np.arange(cfg.own)
+        self.top = np.concatenate([own // cfg.members, cfg.groups + np.arange(cfg.tail_classes)]).astype(np.int16)
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log P of the tokens at these places, each after the CONTEXT tokens before it."""
-        out, size = np.empty(len(at), np.float64), 8192
+        out, size = np.empty(len(at), np.float64), 16_384
         for k in range(0, len(at), size):
             out[k : k + size] = self._batch(ids, at[k : k + size])
         return out
 
     def _batch(self, ids, at):
-        cfg = self.cfg
+        cfg, y = self.cfg, ids[at]
+        top = self.top[y]
+        order = np.argsort(top, kind="stable")  # by group, then the tail classes
+        at, y, top = at[order], y[order], top[order]
         h = self.ahead[0][ids[at - 1]]
         for i in range(1, CONTEXT):
-            h = h + self.ahead[i][ids[at - 1 - i]]
-        y = ids[at]
-        top = np.where(y < cfg.own, y // cfg.members, y - cfg.own + cfg.groups)
-        out = self._softmax(h @ self.qt + self.b, top)
-        order = np.argsort(top, kind="stable")
-        ends = np.searchsorted(top[order], np.arange(cfg.groups + 1))
-        for g in range(cfg.groups):
-            mine = order[ends[g] : ends[g + 1]]
-            if len(mine):
-                out[mine] += self._softmax(h[mine] @ self.w[g] + self.v[g], y[mine] % cfg.members)
+            h += self.ahead[i][ids[at - 1 - i]]
+        lp = np.empty(len(at), np.float32)
+        for k in range(0, len(at), 1024):  # as many as a processor's cache holds
+            lp[k : k + 1024] = self._softmax(h[k : k + 1024] @ self.qt, top[k : k + 1024])
+        ends = np.searchsorted(top, np.arange(cfg.groups + 1, dtype=np.int16))
+        member = y % cfg.members
+        for g in np.flatnonzero(np.diff(ends)):
+            mine = slice(ends[g], ends[g + 1])
+            lp[mine] += self._softmax(h[mine] @ self.w[g], member[mine])
+        out = np.empty(len(at), np.float32)
+        out[order] = lp
         return out
 
-    @staticmethod
-    def _softmax(s: np.ndarray, y: np.ndarray) -> np.ndarray:
-        s -= s.max(1, keepdims=True)
-        picked = s[np.arange(len(y)), y].astype(np.float64)
-        return picked - np.log(np.exp(s, out=s).sum(1))
+    def _softmax(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if s.max() > 60:
+            s -= s.max(1, keepdims=True)
+        picked = s[np.arange(len(y)), y]
+        np.exp(s, out=s)
+        return picked - np.log(s @ self.ones[: s.shape[1]])
 
 
 SCORED = "uid long, doc_id long, word binary, salt long, tf long, n_tokens long, n_known long, base double, nn double"
@@ -398,7 +423,7 @@ def _score_task(model: LanguageModel):
                     ids = [-next(codes) if i is None else i for i in ids]  # a tail class, negative
                 rows.append(ids)
                 sizes.append(len(t))
-            flat = np.fromiter((i for r in rows for i in r), np.int64, sum(sizes))
+            flat, _ = flat_of(rows)
             met = flat >= 0
             place = np.maximum(flat, 0)
             if len(words):
@@ -406,7 +431,7 @@ def _score_task(model: LanguageModel):
             else:
                 base, share, codes = np.zeros(len(flat)), np.zeros(len(flat)), -flat
             cuts = np.cumsum([0, *sizes])
-            ids, at = laid_out([codes[a:b] for a, b in zip(cuts, cuts[1:])])
+            ids, at = laid_out(codes, sizes)
             lp = net.log_probs(ids, at) / np.log(10)
             total = lambda x: np.concatenate(([0], np.cumsum(x)))
             every, tb, ts, tk = total(lp), total(base), total(share), total(met)
