@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.config import DEFAULT, PanelConfig
 from ledgerline.operators.features import CATEGORICAL, NUMERIC
+from ledgerline.plans import order
 
 
 def split(frame: DataFrame, cfg: PanelConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -18,19 +19,20 @@ def split(frame: DataFrame, cfg: PanelConfig = DEFAULT) -> tuple[DataFrame, Data
     return known.where(F.col(cfg.year) <= cfg.train_until), known.where(F.col(cfg.year) >= cfg.test_from)
 
 
-def fill_modes(df: DataFrame, train: DataFrame, columns=CATEGORICAL) -> DataFrame:
-    """Nulls take the most frequent value of the training part, the least of equals."""
-    for c in columns:
+def fills(train: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL) -> dict:
+    """What nulls take: the median of a number's values in the training part, the most frequent value of a category, the least
+    of equals."""
+    values = doubles(train, numeric).select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in numeric])))
+    out = {r.feature: r.median for r in order.percentiles(values, ["feature"], "value", {"median": 0.5}).collect()}  # a row for each feature
+    for c in categorical:
         top = train.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-        df = df.fillna({c: top[0] if top else "unknown"})
-    return df
+        out[c] = top[0] if top else "unknown"
+    return {c: out.get(c, 0.0) for c in (*numeric, *categorical)}
 
 
 def preprocessing(numeric=NUMERIC, categorical=CATEGORICAL) -> list:
-    filled = [f"{c}_f" for c in numeric]
     return [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="raw_numeric", handleInvalid="keep"),
+        VectorAssembler(inputCols=list(numeric), outputCol="raw_numeric", handleInvalid="keep"),
         StandardScaler(inputCol="raw_numeric", outputCol="numeric", withMean=True),
         *[StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical],
         OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_v" for c in categorical], dropLast=False),
@@ -38,6 +40,14 @@ def preprocessing(numeric=NUMERIC, categorical=CATEGORICAL) -> list:
     ]
 
 
+def statistics(train: DataFrame, numeric=NUMERIC) -> DataFrame:
+    """feature, median, mean, deviation of the filled training part, as the preprocessing takes them."""
+    known = fills(train)
+    full = doubles(train, numeric).fillna(known)
+    one = full.agg(*[x for c in numeric for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"d_{c}"))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(known[c]).alias("median"), F.col(f"m_{c}").alias("mean"), F.col(f"d_{c}").alias("deviation")) for c in numeric])))
+
+
 def balanced(train: DataFrame) -> DataFrame:
     """A weight that gives both classes the same total."""
     n = {r.target: r["count"] for r in train.groupBy("target").count().collect()}
@@ -52,20 +62,26 @@ def doubles(df: DataFrame, numeric=NUMERIC) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in numeric})
 
 
+def _fitted(train: DataFrame, last, **more) -> PipelineModel:
+    known = fills(train)
+    data = balanced(doubles(train).fillna(known)).withColumns(more)
+    model = Pipeline(stages=[*preprocessing(), last]).fit(data)
+    model.fills = known
+    return model
+
+
 def fit_linear(train: DataFrame) -> PipelineModel:
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=100, regParam=1e-4)
-    return Pipeline(stages=[*preprocessing(), lr]).fit(balanced(doubles(fill_modes(train, train))))
+    return _fitted(train, LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=100, regParam=1e-4))
 
 
-def fit_trees(train: DataFrame, cfg: PanelConfig = DEFAULT, iterations: int = 30, depth: int = 4, validation_years: int = 1) -> PipelineModel:
+def fit_trees(train: DataFrame, cfg: PanelConfig = DEFAULT, iterations: int = 400, depth: int = 5, rate: float = 0.05, validation_years: int = 1) -> PipelineModel:
     """Boosted trees that stop early on the last training years."""
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=7, validationIndicatorCol="is_validation")
-    data = balanced(doubles(fill_modes(train, train))).withColumn("is_validation", F.col(cfg.year) > cfg.train_until - validation_years)
-    return Pipeline(stages=[*preprocessing(), gbt]).fit(data)
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=7, validationIndicatorCol="is_validation")
+    return _fitted(train, gbt, is_validation=F.col(cfg.year) > cfg.train_until - validation_years)
 
 
-def score(df: DataFrame, train: DataFrame, model: PipelineModel, name: str = "proba") -> DataFrame:
-    out = model.transform(doubles(fill_modes(df, train)))
+def score(df: DataFrame, model: PipelineModel, name: str = "proba") -> DataFrame:
+    out = model.transform(doubles(df).fillna(model.fills))
     return out.withColumn(name, vector_to_array("probability")[1])
 
 

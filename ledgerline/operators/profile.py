@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,8 @@ def contract(df: DataFrame, required: list[str], numeric: list[str], together: l
     odd = lambda n: (F.abs(n) == float("inf")) | F.isnan(n)
     some = F.size(F.filter(F.array(*[x(n).isNull() for n in together]), lambda y: y))
     checks = {
-        "null_key": F.greatest(*[x(k).isNull().cast("int") for k in keys]) == 1,
-        "not_finite": F.greatest(*[F.coalesce(odd(n), F.lit(False)).cast("int") for n in numeric]) == 1,
+        "null_key": reduce(lambda a, b: a | b, [x(k).isNull() for k in keys]),
+        "not_finite": reduce(lambda a, b: a | b, [F.coalesce(odd(x(n)), F.lit(False)) for n in numeric]),
         "partly_null": (some > 0) & (some < len(together)),
         **{f"range_{n}": ~x(n).between(*r) for n, r in ranges.items()},
     }

@@ -6,6 +6,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ import __spark_entry__ as entry
 from ledgerline import registry
 from ledgerline.functions import metrics as m
 from ledgerline.functions import text as t
-from ledgerline.operators import analogs, features, labels, portfolio, stress
+from ledgerline.operators import analogs, deid, evaluate, features, labels, model, portfolio, profile, stress
 from ledgerline.plans import order
+from ledgerline.queries import risk
 
 
 def norm(v):
@@ -128,3 +130,85 @@ def test_order_statistics_and_running_sums(spark):
     for g in "abc":
         mine = sorted((r.n, r.x) for r in placed if r.g == g)
         assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [x for _, x in mine] == sorted(x for _, x in mine)
+
+
+@pytest.fixture(scope="module")
+def linear(spark):
+    train, test = risk.trained(spark, SF)
+    fitted = model.fit_linear(train)
+    return train, test, fitted, model.score(test, fitted).cache()
+
+
+def matrix(df, *columns):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = df.select(vector_to_array("features").alias("x"), *columns).collect()
+    return (np.array([r.x for r in rows]), *[np.array([r[c] for r in rows]) for c in columns])
+
+
+def test_linear_model_matches_a_numpy_refit(spark, linear):
+    """Newton steps on the same vectors, class weights and penalty (in units of each column's deviation)."""
+    train, test, fitted, scored = linear
+    data = model.balanced(model.doubles(train).fillna(fitted.fills))
+    x, y, w = matrix(fitted.transform(data), "label", "weight")
+    mean = (w[:, None] * x).sum(0) / w.sum()
+    dev = np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / (w.sum() - (w**2).sum() / w.sum()))
+    dev = np.where(dev > 0, dev, 1)
+    z = np.hstack([x / dev, np.ones((len(x), 1))])
+    b, penalty = np.zeros(z.shape[1]), np.append(np.full(x.shape[1], 1e-4), 0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ b))
+        g = z.T @ (w * (p - y)) / w.sum() + penalty * b
+        h = (z * (w * p * (1 - p))[:, None]).T @ z / w.sum() + np.diag(penalty + 1e-9)
+        b -= np.linalg.solve(h, g)
+    xt, proba = matrix(scored, "proba")
+    assert np.abs(1 / (1 + np.exp(-(xt / dev) @ b[:-1] - b[-1])) - proba).max() < 0.02
+
+
+def test_drivers_coefficients_and_scores_match_numpy(spark, linear):
+    _, test, fitted, scored = linear
+    coefficient, names = fitted.stages[-1].coefficients.toArray(), model.feature_names(fitted)
+    x, proba, ein, year = matrix(scored, "proba", "ein", "fiscal_year")
+    assert np.allclose(1 / (1 + np.exp(-(x @ coefficient + fitted.stages[-1].intercept))), proba)
+    got = {(r.ein, r.fiscal_year): r.drivers for r in model.drivers(scored, fitted).collect()}
+    for row, e, y in zip(x, ein, year):
+        part = {}
+        for (_, source), v, k in zip(names, row, coefficient):
+            part[source] = part.get(source, 0) + v * k
+        best = [(s, p) for s, p in sorted(part.items(), key=lambda t: (-t[1], t[0]))[:3] if p > 0]
+        text = got.get((e, int(y)), "")
+        assert [t.split(" (+")[0] for t in text.split("; ") if t] == [s for s, _ in best]
+        assert all(abs(float(t.split("(+")[1][:-1]) - p) <= 0.0051 for t, (_, p) in zip(text.split("; "), best))
+    table = model.coefficients(spark, fitted).collect()
+    assert [r["name"] for r in table] == [names[i][0] for i in sorted(range(len(names)), key=lambda i: -abs(coefficient[i]))] and len(names) == x.shape[1]
+
+
+def test_trees_learn_stop_early_and_sum_importances(spark, linear):
+    train, test, *_ = linear
+    fitted = model.fit_trees(train, iterations=60)
+    assert fitted.stages[-1].getNumTrees <= 60
+    area = evaluate.areas(evaluate.by_score(model.score(train.where("target is not null"), fitted))).first()
+    assert area.roc_auc > 0.8
+    shares = {r.feature: r.importance for r in model.importances(spark, fitted).collect()}
+    assert sum(shares.values()) == pytest.approx(1) and set(shares) == {*features.NUMERIC, *features.CATEGORICAL}
+
+
+def test_scrub_and_audit_reach_every_name(spark):
+    texts = spark.createDataFrame([(1, "ACME, Inc. and Acme inc met 12345678 at AcmeInc; nan nanometres"), (2, None), (3, "nothing"), (4, "x Green House y GREEN house 1,234,567")], "id int, text string")
+    secrets = spark.createDataFrame([("name", "Acme Inc.", "Case 01"), ("name", "Green House", "Case 02"), ("name", "House", "Case 03"), ("id", "12345678", "REDACTED-EIN")], "kind string, secret string, replacement string")
+    got = {r.id: r.text for r in deid.scrub(texts, "id", "text", secrets).collect()}
+    assert got == {1: "Case 01. and Case 01 met REDACTED-EIN at AcmeInc; not available nanometres", 2: None, 3: "nothing", 4: "x Case 02 y Case 02 1,234,567"}
+    every = secrets.select("kind", "secret").unionByName(deid.amounts(spark.createDataFrame([(1234567.2, 5.0)], "a double, b double"), ["a", "b"]))
+    assert {r.kind: (r.secrets, r.texts) for r in deid.leak_audit(texts, "id", "text", every).collect()} == {"name": (3, 2), "id": (1, 1), "amount": (1, 1)}
+    clean = deid.scrub(texts, "id", "text", secrets)
+    assert {r.kind: r.secrets for r in deid.leak_audit(clean, "id", "text", every.where("kind != 'amount'")).collect()} == {"name": 0, "id": 0}
+
+
+def test_contract_and_calibration_by_rank(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, None, None), ("b", 1, float("inf"), 1.0, None), (None, 1, 9.0, 1.0, 2.0)], "k string, y int, x double, p double, q double")
+    source = spark.createDataFrame([("a", 1), ("z", 1)], "k string, y int")
+    got = {r.check: r.violations for r in profile.contract(df, ["k", "gone"], ["x"], ["p", "q"], {"x": (0, 5)}, source, ["k", "y"]).collect()}
+    assert got == {"null_key": 1, "not_finite": 1, "partly_null": 1, "range_x": 2, "missing_columns": 1, "row_count": 1, "keys_lost": 1, "keys_added": 2}
+    rows = [(0.1,)] * 5 + [(0.2 + i / 100,) for i in range(15)]
+    bins = evaluate.calibration_by_rank(spark.createDataFrame([(p, 1) for (p,) in rows], "proba double, target int"), bins=4).orderBy("bin").collect()
+    assert [(r.bin, r["count"]) for r in bins] == [(0, 5), (1, 5), (2, 5), (3, 5)]
