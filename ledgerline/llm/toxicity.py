@@ -31,7 +31,7 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class ToxicConfig:
     per_class: int = 10_000
-    broadcast_rows: int = 4_000_000  # labels that go to every task, some 30 bytes each; more are joined by a shuffle
+    broadcast_rows: int = 2_000_000  # labels that go to every task, some 30 bytes each; more are joined by a shuffle
     places: int = 1 << 20
     kept: int = 6_000
     least: int = 3  # labelled texts that a place must occur in
@@ -155,12 +155,12 @@ def known_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> ToxicModel:
     """docs: doc_id, text; labels: doc_id, toxic (null: no label; of several labels of an id the largest holds). Null ids
-    are no labelled rows; each of the rows that share a labelled id counts as a text. Without labels, or with labels of one
-    class only, or without labelled texts the score is a constant."""
+    are no labelled rows; each of the rows that share a labelled id counts as a text. Without labels of both
+    classes nothing can be told apart and every score is near 0; without labelled texts it is the share of the label 1."""
     known = cut(labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     have = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(have) < 2:
-        return _empty(cfg, float(have.get(1, 0) > 0))
+        return _empty(cfg)
     part = F.when(F.col("toxic") == 1, F.lit(cfg.per_class / have[1])).otherwise(F.lit(cfg.per_class / have[0]))
     drawn = known.where(uniform(F.col("doc_id"), 7) < part * (1 << 30))  # about 2 x per_class ids at most
     sample = known_texts(docs, F.broadcast(drawn))

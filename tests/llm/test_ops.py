@@ -687,6 +687,57 @@ def test_toxicity_held_out(spark):
     assert caught > 0.7 and wrong < 0.02 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_matches_brute_force(spark):
+    """Places counted and chosen n-gram by n-gram, and the regression solved densely by many gradient steps."""
+    rng = np.random.default_rng(2)
+    words = "river stone cloud paper window garden silver morning".split()
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" vile" if i % 3 == 0 and i % 7 else "") + (" FOUL" if i % 3 == 0 and i % 2 else "")) for i in range(90)] + [(90, None), (91, "")]
+    toxic = {i: int(i % 3 == 0) for i in range(70)}
+    cfg = toxicity.ToxicConfig(places=1 << 12, kept=40, least=2, steps=4000, l1=1e-3, l2=1e-3, per_class=1000)
+    d, labels = table(spark, rows), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    learn = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    model = toxicity.fit(d.where(toxicity.learnable()), labels.where(toxicity.learnable()), cfg)
+    mul, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def places(text):
+        raw = b" " + (text or "").lower().encode() + b" "
+        return {((int.from_bytes(raw[i : i + n], "big") * mul + n - 1) * mul & mask) >> 40 & 4095 for n in (3, 4, 5, 6) for i in range(len(raw) - n + 1)}
+
+    known = [(places(t), toxic[i]) for i, t in rows if i in toxic and learn(i)]
+    n1, n0 = sum(y for _, y in known), sum(1 - y for _, y in known)
+    p, q = Counter(g for s, y in known if y for g in s), Counter(g for s, y in known if not y for g in s)
+    seen = [g for g in {*p, *q} if p[g] + q[g] >= 2]
+    tp, tq, share = sum(p[g] + 1 for g in seen), sum(q[g] + 1 for g in seen), n1 / (n1 + n0)
+
+    def chi(g):
+        f1, f0 = (p[g] + 0.5) / (n1 + 1), (q[g] + 0.5) / (n0 + 1)
+        f = share * f1 + (1 - share) * f0
+        return (f1 - f0) ** 2 / (f * (1 - f) + 1e-9)
+
+    best = sorted(seen, key=lambda g: (-chi(g), g))[:40]
+    r = np.array([math.log((p[g] + 1) / tp / ((q[g] + 1) / tq)) for g in best])
+    assert set(np.flatnonzero(model.column >= 0)) <= set(best)
+    x, y = np.array([[g in s for g in best] for s, _ in known], float) * r, np.array([y for _, y in known])
+    weight = np.where(y == 1, share / n1, (1 - share) / n0)
+
+    def cost(w, b):
+        z = x @ w + b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 5e-4 * (w**2).sum() + 1e-3 * np.abs(w).sum()
+
+    w, b, step = np.zeros(40), 0.0, 1 / (0.25 * ((x**2).sum(1) + 1).max())
+    for _ in range(60_000):
+        e = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w = w - step * (x.T @ e + 1e-3 * w)
+        w, b = np.sign(w) * np.maximum(np.abs(w) - step * 1e-3, 0), b - step * e.sum()
+    got = np.array([model.weights[model.column[g]] / r[k] if model.column[g] >= 0 else 0.0 for k, g in enumerate(best)])
+    assert cost(got, model.intercept) <= cost(w, b) + 2e-3
+    scores = {i: s for i, s in ((k.doc_id, k.score) for k in toxicity.score(d, model).collect())}
+    for i, t in rows:
+        s = places(t)
+        z = b + sum(w[k] * r[k] for k, g in enumerate(best) if g in s)
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=0.06)
+
+
 def test_toxicity_counts_every_labelled_row(spark):
     ids = spark.range(1, 601).withColumnRenamed("id", "doc_id")
     order = [r.doc_id for r in ids.where("doc_id % 2 = 1").orderBy(toxicity.uniform(F.col("doc_id"), 7)).collect()]

@@ -36,3 +36,23 @@ def test_stages_and_run(spark):
         out = stage(spark, out, SF)
         assert out.columns == docs.columns
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, very long and blank texts, columns named like those that the operators make."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, _sha string, _file string"
+    long = " ".join(f"word{i % 977}" for i in range(30_000))
+    texts = [(1, None), (2, ""), (3, "  "), (4, "a"), (5, long), (6, long), (6, long), (None, "no id at all here, I say"), (None, None), (9, "日本語 ✓"), (10, "x" * 200_000)]
+    rows = [(i, t, "en", "s", 0, 1.0, "y", "z", "f") for i, t in texts]
+    for n, part in (("odd", rows), ("empty", [])):
+        d = tmp_path / n
+        spark.createDataFrame(part, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1), (2, 0), (4, None), (None, 1)] if part else [], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "tiny"), (None, "x y z")] if part else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, str(d))
+            assert out.columns == docs.columns
+        kept = sorted((r.doc_id or 0) for r in out.collect())
+        got = sorted((r.doc_id or 0) for r in corpus_pipeline.run(spark, str(d)).collect())
+        assert got == kept == ([0, 2, 3, 4, 6, 9, 10] if part else [])
