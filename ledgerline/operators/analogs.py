@@ -72,27 +72,26 @@ def latest_recovered(targets: DataFrame, peers: DataFrame, group: list[str], run
 
 def match(scored: DataFrame, pool: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """Up to `top` peers for each scored row with a resolved benchmark: of its metric, size and sector, else of its metric and
-    size; in order of same state, closeness of revenue, latest recovery, id. Columns of the row, the peer, and rank."""
+    size; in order of same state, closeness of revenue, latest recovery, id. Columns of the row, the peer, and rank.
+    One search covers all: rows stand once under their sector and state and once under any (`*`) of each."""
     t = scored.where(F.col("benchmark_status") == "ok").withColumn("_c", constraint()).where("_c IS NOT NULL")
-    t = cut(t.select(cfg.entity, cfg.year, F.concat_ws("@", cfg.entity, F.col(cfg.year).cast("string")).alias("target"), F.col("_c.label").alias("label"), F.col("_c.metric").alias("metric"), "size_bucket", "total_revenue", F.col("state"), F.col("ntee_major_category").alias("sector")))
-    strict_pool = pool.where("peer_sector IS NOT NULL").withColumns({"sector": F.col("peer_sector"), "state": F.col("peer_state")})
-    wide_pool = pool.withColumn("state", F.col("peer_state"))
-
-    def found(targets: DataFrame, peers: DataFrame, group: list[str]) -> DataFrame:
-        # one more than wanted, as a target may be among its peers; if fewer are of its state, the nearest of any state
-        # hold no more of these than that
-        local, other = cfg.top + 1, 2 * cfg.top + 1
-        some, none = targets.where("total_revenue > 0"), targets.where("total_revenue IS NULL OR total_revenue <= 0")
-        pairs = [f(x, y, g, n) for f, x in ((near_by_revenue, some), (latest_recovered, none)) for y, g, n in ((peers, [*group, "state"], local), (peers.drop("state"), group, other))]
-        return reduce(lambda a, b: a.unionByName(b.select(*a.columns)), pairs).where(F.col("peer") != F.col(cfg.entity))
-
-    strict = cut(found(t.where("sector IS NOT NULL"), strict_pool, ["metric", "size_bucket", "sector"]))
-    rest = cut(t.join(strict.select("target").distinct(), "target", "left_anti"))
-    both = strict.unionByName(found(rest, wide_pool, ["metric", "size_bucket"]).select(*strict.columns))
+    t = t.select(cfg.entity, cfg.year, F.concat_ws("@", cfg.entity, F.col(cfg.year).cast("string")).alias("target"), F.col("_c.label").alias("label"), F.col("_c.metric").alias("metric"), "size_bucket", "total_revenue", F.col("state").alias("home"), F.col("ntee_major_category").alias("sector"))
+    own_or_any = lambda x: F.explode(F.filter(F.array(F.col(x), F.lit("*")), lambda y: y.isNotNull()))
+    t = cut(t.withColumn("sector", own_or_any("sector")).withColumn("state", own_or_any("home")))
+    peers = cut(pool.withColumn("sector", own_or_any("peer_sector")).withColumn("state", own_or_any("peer_state")))
+    group = ["metric", "size_bucket", "sector", "state"]
+    # if fewer than `top` peers are of the target's state, the nearest of any state hold no more of these and itself
+    runs = 2 * cfg.top + 1
+    some, none = t.where("total_revenue > 0"), t.where("total_revenue IS NULL OR total_revenue <= 0")
+    near = near_by_revenue(some, peers, group, runs)
+    both = near.unionByName(latest_recovered(none, peers, group, runs).select(*near.columns)).where(F.col("peer") != F.col(cfg.entity))
+    every = Window.partitionBy("target")
+    kept = both.withColumn("_strict", F.col("sector") != "*").withColumn("_any", F.max("_strict").over(every)).where("_strict = _any")
     apart = F.when(F.col("total_revenue") > 0, F.abs(F.col("peer_revenue") / F.col("total_revenue") - 1))
-    by = [F.desc(F.col("peer_state") == F.col("state")), F.asc_nulls_last(apart), F.desc("post_year"), F.col("peer").try_cast("double"), "peer"]
+    by = [F.desc(F.col("peer_state").eqNullSafe(F.col("home"))), F.asc_nulls_last(apart), F.desc("post_year"), F.col("peer").try_cast("double"), "peer"]
     # a pair that was found twice has one rank
-    return both.withColumn("rank", F.dense_rank().over(Window.partitionBy("target").orderBy(*by))).where(F.col("rank") <= cfg.top).dropDuplicates(["target", "rank"])
+    ranked = kept.withColumn("rank", F.dense_rank().over(every.orderBy(*by))).where(F.col("rank") <= cfg.top).dropDuplicates(["target", "rank"])
+    return ranked.drop("_strict", "_any", "sector", "state").withColumnRenamed("home", "state")
 
 
 def evidence(scored: DataFrame, matches: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
