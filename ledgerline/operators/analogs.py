@@ -28,8 +28,9 @@ def year_thresholds(panel: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
 
 def pool(panel: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """Entities in the lower quartile of a metric in an early year and in the upper one in a late year, latest of each."""
+    panel = cut(panel.select(cfg.entity, cfg.year, "state", "org_name", "ntee_major_category", "size_bucket", "total_revenue", *METRICS))
     enough = panel.groupBy(cfg.entity).agg(F.countDistinct(cfg.year).alias("n")).where(F.col("n") >= cfg.min_history).select(cfg.entity)
-    base = panel.join(enough, cfg.entity, "left_semi")
+    base = cut(panel.join(enough, cfg.entity, "left_semi"))
     rows = _long(base, cfg.entity, cfg.year, "state", "org_name", "ntee_major_category", "size_bucket", "total_revenue")
     limits = F.broadcast(year_thresholds(base, cfg))  # three metrics for each year
     near = rows.join(limits, ["metric", cfg.year])

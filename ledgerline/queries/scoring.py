@@ -295,9 +295,9 @@ def e08(spark, d):
 
 @query("e09_analog_match", "SELECT ein, fiscal_year, peer, rank FROM matched", "matched")
 def e09(spark, d):
-    scored = benchmarked(spark, d)
-    pool = cut(analogs.pool(m.with_metrics(tp.panel(spark, d))))
-    return analogs.match(scored, pool).select(*KEY, "peer", "rank")
+    panel = cut(tp.panel(spark, d))
+    pool = cut(analogs.pool(m.with_metrics(panel)))
+    return analogs.match(stages.benchmarked(panel, tp.CONFIG), pool).select(*KEY, "peer", "rank")
 
 
 def enriched(spark, d):
