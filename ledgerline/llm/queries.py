@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontam, exact_dedup, langid, license, lm, ngram_join, packing, sharding, toxicity, url_filter
-from ledgerline.llm.tables import read
+from ledgerline.llm import decontam, exact_dedup, langid, license, lm, ngram_join, packing, records, resample, sharding, spelling, toxicity, url_filter
+from ledgerline.llm.tables import read, scratch
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +57,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    uri = scratch(spark, "records")
+    records.write(read(spark, sf_dir, "documents"), uri, Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    return records.read(spark, uri)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_lm_scoring, op2_packing, op3_benchmark_decontamination, op4_license_scan, op5_language_id,
     op6_sharding, op7_exact_dedup, op8_ngram_jaccard_join, op9_toxicity, op10_url_filter,
+    op11_token_records, op12_importance_resampling, op13_spelling_variants,
 )
 
 
