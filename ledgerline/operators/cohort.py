@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.config import BENCHMARKS, DEFAULT, GAPS, METRICS, PanelConfig
+from ledgerline.plans import order
 from ledgerline.plans.reuse import cut
 
 
@@ -50,24 +51,26 @@ def windowed(by_year: DataFrame, wanted: DataFrame, cfg: PanelConfig = DEFAULT)
 
 
 def yearly_quartiles(rows: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
-    return rows.groupBy("cohort_key", cfg.year).agg(*[F.percentile(m, F.lit(0.75)).alias(f"q_{m}") for m in METRICS])
+    """The upper quartile of each metric by cohort and year, written once: flags and benchmarks read the same. All metrics and
+    cohorts go in one pass over ranges of values, so the size of a cohort does not matter."""
+    return cut(order.percentiles_of(rows, ["cohort_key", cfg.year], {m: f"{m}_" for m in METRICS}, {"q": 0.75}).select("cohort_key", cfg.year, *[F.col(f"{m}_q").alias(f"q_{m}") for m in METRICS]))
 
 
-def benchmarks(rows: DataFrame, wanted: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
-    """Median over the window's years of each year's upper quartile: quartiles are taken once for a cohort and year."""
-    w = windowed(yearly_quartiles(rows, cfg), wanted, cfg)
+def benchmarks(quartiles: DataFrame, wanted: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
+    """Median over the window's years of each year's upper quartile (yearly_quartiles): at most `window` values."""
+    w = windowed(quartiles, wanted, cfg)
     return w.groupBy("cohort_key", "target_year").agg(*[F.median(f"q_{m}").alias(b) for m, b in zip(METRICS, BENCHMARKS)])
 
 
-def flags(rows: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
+def flags(rows: DataFrame, quartiles: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """Whether each metric reaches its cohort-year's upper quartile, null if either is unknown."""
-    return rows.join(yearly_quartiles(rows, cfg), ["cohort_key", cfg.year]).withColumns({f"top_{m}": F.col(m) >= F.col(f"q_{m}") for m in METRICS})
+    return rows.join(quartiles, ["cohort_key", cfg.year]).withColumns({f"top_{m}": F.col(m) >= F.col(f"q_{m}") for m in METRICS})
 
 
-def resilient(rows: DataFrame, wanted: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
+def resilient(rows: DataFrame, quartiles: DataFrame, wanted: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """step, rule, peers by cohort and target year: the first rule that enough entities meet, else the last."""
     tops = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"top_{m}").cast("int"), F.lit(0)) for m in METRICS])
-    met = flags(rows, cfg).select("cohort_key", cfg.year, cfg.entity, *[(tops >= n).cast("int").alias(f"m{i}") for i, (_, n, _) in enumerate(cfg.ladder)])
+    met = flags(rows, quartiles, cfg).select("cohort_key", cfg.year, cfg.entity, *[(tops >= n).cast("int").alias(f"m{i}") for i, (_, n, _) in enumerate(cfg.ladder)])
     k = range(len(cfg.ladder))
     per_entity = windowed(met, wanted, cfg).groupBy("cohort_key", "target_year", cfg.entity).agg(*[F.sum(f"m{i}").alias(f"y{i}") for i in k])
     counts = per_entity.groupBy("cohort_key", "target_year").agg(*[F.count_if(F.col(f"y{i}") >= cfg.ladder[i][2]).alias(f"p{i}") for i in k])
@@ -98,15 +101,16 @@ def broader(rows: DataFrame, cfg: PanelConfig = DEFAULT) -> tuple[DataFrame, Dat
 def build(assigned: DataFrame, cfg: PanelConfig = DEFAULT, broaden: bool = True) -> DataFrame:
     """By cohort and target year: benchmarks, step, rule, peers, benchmark_status. With broaden, cohorts without enough
     peers are tried again one level up and take that level's benchmarks if it has enough."""
-    wanted = targets(assigned.where("is_scoring_year"), cfg)
-    wanted = cut(wanted)
-    own = cut(resilient(assigned, wanted, cfg).join(benchmarks(assigned, wanted, cfg), ["cohort_key", "target_year"]))
+    wanted = cut(targets(assigned.where("is_scoring_year"), cfg))
+    quartiles = yearly_quartiles(assigned, cfg)
+    own = cut(resilient(assigned, quartiles, wanted, cfg).join(benchmarks(quartiles, wanted, cfg), ["cohort_key", "target_year"]))
     if broaden:
         links, wide = broader(assigned, cfg)
         poor = cut(own.where(F.col("peers") < cfg.min_references).select("cohort_key", "target_year").join(links, "cohort_key"))
         again = poor.select(F.col("broader_key").alias("cohort_key"), "target_year").distinct()
         wide = cut(wide.join(again.select("cohort_key").distinct(), "cohort_key", "left_semi").select("cohort_key", cfg.year, cfg.entity, *METRICS))
-        new = resilient(wide, again, cfg).join(benchmarks(wide, again, cfg), ["cohort_key", "target_year"])
+        quartiles = yearly_quartiles(wide, cfg)
+        new = resilient(wide, quartiles, again, cfg).join(benchmarks(quartiles, again, cfg), ["cohort_key", "target_year"])
         new = new.select(F.col("cohort_key").alias("broader_key"), "target_year", *[F.col(c).alias(f"b_{c}") for c in ("rule", "peers", *BENCHMARKS)])
         tried = poor.join(new, ["broader_key", "target_year"]).drop("broader_key")
         own = own.join(tried, ["cohort_key", "target_year"], "left")
@@ -121,17 +125,46 @@ def gaps(scored: DataFrame, bench: DataFrame, cfg: PanelConfig = DEFAULT) -> Dat
     return out.withColumns({g: F.col(m) - F.col(b) for g, m, b in zip(GAPS, METRICS, BENCHMARKS)})
 
 
+def moments(rows: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
+    """For each cohort and year a struct of each metric: n, mean, m2 (the sum of squared deviations from the mean), least and
+    most. Two of these merge into that of both without the rows."""
+    each = lambda m: F.struct(F.count(m).alias("n"), F.coalesce(F.avg(m), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(m) * F.count(m), F.lit(0.0)).alias("m2"), F.min(m).alias("least"), F.max(m).alias("most"))
+    return rows.groupBy("cohort_key", cfg.year).agg(*[each(m).alias(f"s_{m}") for m in METRICS])
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The moments of two sets of rows together."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    share = F.when(n == 0, F.lit(0.0)).otherwise(b["n"] / F.nullif(n, F.lit(0)))
+    both = a["m2"] + b["m2"] + apart * apart * a["n"] * share
+    return F.struct(n.alias("n"), F.when(a["n"] == 0, b["mean"]).otherwise(a["mean"] + apart * share).alias("mean"), F.when(a["n"] == 0, b["m2"]).otherwise(both).alias("m2"), F.least(a["least"], b["least"]).alias("least"), F.greatest(a["most"], b["most"]).alias("most"))
+
+
+def window_moments(rows: DataFrame, wanted: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
+    """The same by cohort and target year over the window: every row is read once, by its own year; what the windows copy and
+    merge, in the order of the years, is a struct for each cohort and year."""
+    years = windowed(moments(rows, cfg), wanted, cfg).groupBy("cohort_key", "target_year").agg(F.sort_array(F.collect_list(F.struct(cfg.year, *[f"s_{m}" for m in METRICS]))).alias("_years"))
+    zero = F.expr("named_struct('n', 0L, 'mean', 0.0D, 'm2', 0.0D, 'least', CAST(NULL AS DOUBLE), 'most', CAST(NULL AS DOUBLE))")
+    fold = lambda m: F.aggregate(F.transform("_years", lambda y: y[f"s_{m}"]), zero, merged)
+    return years.select("cohort_key", "target_year", *[fold(m).alias(f"s_{m}") for m in METRICS])
+
+
 def z_scores(scored: DataFrame, assigned: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """z of each metric in its cohort's window and resilience_gap, minus their mean. The benchmark cancels out of z. A
     window with fewer than two values or no spread gives 0."""
-    w = windowed(assigned.select("cohort_key", cfg.year, *METRICS), targets(scored, cfg), cfg)
-    stats = w.groupBy("cohort_key", "target_year").agg(*[x for m in METRICS for x in (F.avg(m).alias(f"mu_{m}"), F.stddev_pop(m).alias(f"sd_{m}"), F.count(m).alias(f"n_{m}"))])
+    stats = window_moments(assigned.select("cohort_key", cfg.year, *METRICS), targets(scored, cfg), cfg)
     out = scored.join(stats.withColumnRenamed("target_year", cfg.year), ["cohort_key", cfg.year], "left")
-    flat = lambda m: (F.col(f"n_{m}") < 2) | (F.col(f"sd_{m}") == 0)
-    out = out.withColumns({f"z_{m}": F.when(flat(m), F.lit(0.0)).otherwise((F.col(m) - F.col(f"mu_{m}")) / F.col(f"sd_{m}")) for m in METRICS})
+
+    def z(m):
+        s = F.col(f"s_{m}")
+        deviation = F.sqrt(s["m2"] / F.nullif(s["n"], F.lit(0)))
+        flat = (s["n"] < 2) | (s["least"] == s["most"]) | (deviation == 0)
+        return F.when(flat, F.lit(0.0)).otherwise((F.col(m) - s["mean"]) / deviation)
+
+    out = out.withColumns({f"z_{m}": z(m) for m in METRICS})
     known = F.filter(F.array(*[f"z_{m}" for m in METRICS]), lambda z: z.isNotNull())
     mean = F.aggregate(known, F.lit(0.0), lambda a, z: a + z) / F.nullif(F.size(known), F.lit(0))
-    return out.withColumn("resilience_gap", -mean).drop(*[f"{p}_{m}" for m in METRICS for p in ("mu", "sd", "n")])
+    return out.withColumn("resilience_gap", -mean).drop(*[f"s_{m}" for m in METRICS])
 
 
 TIERS = ("Low", "Medium", "High")

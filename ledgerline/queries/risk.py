@@ -98,11 +98,16 @@ def frame(spark, d):
     return features.model_frame(measured(spark, d), 1)
 
 
-@query("d10_temporal_split", "SELECT CASE WHEN fiscal_year <= 1998 THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(target) AS positives FROM risk GROUP BY 1", "risk")
+@query(
+    "d10_temporal_split",
+    "SELECT CASE WHEN fiscal_year <= 1998 THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(target) AS positives FROM risk GROUP BY 1 UNION ALL SELECT CASE WHEN fiscal_year <= 1995 THEN 'fit' ELSE 'validation' END, count(*), sum(target) FROM risk WHERE fiscal_year <= 1998 GROUP BY 1",
+    "risk",
+)
 def d10(spark, d):
     train, test = model.split(frame(spark, d))
+    fit, late = model.validation(train)
     side = lambda df, n: df.agg(F.lit(n).alias("part"), F.count("*").alias("n"), F.sum("target").alias("positives"))
-    return side(train, "train").unionByName(side(test, "test"))
+    return side(train, "train").unionByName(side(test, "test")).unionByName(side(fit, "fit")).unionByName(side(late, "validation"))
 
 
 def trained(spark, d):
@@ -154,9 +159,9 @@ def d12(spark, d):
 
 @query("d13_boosted_trees")
 def d13(spark, d):
-    """A tenth of the production number of trees, to be ready in time on small tables."""
     train, test = trained(spark, d)
-    return evaluate.areas(evaluate.by_score(model.score(test, model.fit_trees(train, iterations=40))))
+    fitted = model.fit_trees(train)
+    return evaluate.areas(evaluate.by_score(model.score(test, fitted))).withColumn("trees", F.lit(fitted.stages[-1].getNumTrees))
 
 
 @query("d14_batch_scoring")
@@ -243,7 +248,7 @@ def d21(spark, d):
 @query("d21_importances")
 def d21b(spark, d):
     train, _ = trained(spark, d)
-    return model.importances(spark, model.fit_trees(train, iterations=10))
+    return model.importances(spark, model.fit_trees(train))
 
 
 @query("d22_agreement", "SELECT count(*) FILTER (proba >= 0.5 AND proba2 >= 0.5) AS both, count(*) FILTER (proba >= 0.5 AND proba2 < 0.5) AS only_first, count(*) FILTER (proba < 0.5 AND proba2 >= 0.5) AS only_second, count(*) FILTER (proba < 0.5 AND proba2 < 0.5) AS neither, round(corr(proba, proba2), 6) AS correlation FROM test", "test")
@@ -256,3 +261,10 @@ def d23(spark, d):
     train, test = trained(spark, d)
     fitted = model.fit_linear(train)
     return model.drivers(model.score(test, fitted), fitted)
+
+
+@query("d23_global_drivers")
+def d23b(spark, d):
+    train, test = trained(spark, d)
+    fitted = model.fit_linear(train)
+    return model.global_drivers(model.score(test, fitted), fitted).select("feature", r6("mean_abs_contribution"))

@@ -177,18 +177,19 @@ def b04(spark, d):
 @query("b05_q75_median", f"SELECT cohort_key, target_year, {', '.join(map(sql6, BENCHMARKS))} FROM own_b", "own_b")
 def b05(spark, d):
     a = assigned(spark, d)
-    return cohort.benchmarks(a, cohort.targets(a.where("is_scoring_year"))).select("cohort_key", "target_year", *map(r6, BENCHMARKS))
+    return cohort.benchmarks(cohort.yearly_quartiles(a), cohort.targets(a.where("is_scoring_year"))).select("cohort_key", "target_year", *map(r6, BENCHMARKS))
 
 
 @query("b06_top_quartile_flags", f"SELECT a.ein, a.fiscal_year, {', '.join(f'a.{x} >= q.q_{x} AS top_{x}' for x in METRICS)} FROM assigned a JOIN own_q q USING (cohort_key, fiscal_year)", "assigned", "own_q")
 def b06(spark, d):
-    return cohort.flags(assigned(spark, d)).select(*KEY, *[f"top_{x}" for x in METRICS])
+    a = assigned(spark, d)
+    return cohort.flags(a, cohort.yearly_quartiles(a)).select(*KEY, *[f"top_{x}" for x in METRICS])
 
 
 @query("b07_persistence_ladder", "SELECT cohort_key, target_year, step, rule, peers FROM own_p", "own_p")
 def b07(spark, d):
     a = assigned(spark, d)
-    return cohort.resilient(a, cohort.targets(a.where("is_scoring_year")), tp.CONFIG)
+    return cohort.resilient(a, cohort.yearly_quartiles(a), cohort.targets(a.where("is_scoring_year")), tp.CONFIG)
 
 
 @query("b08_broadening", f"SELECT cohort_key, target_year, step, rule, peers, {', '.join(map(sql6, BENCHMARKS))} FROM bench", "bench")
