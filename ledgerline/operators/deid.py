@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.config import SIZE_BANDS
 from ledgerline.plans.reuse import cut
 
 c = F.col
@@ -46,6 +47,8 @@ def peer_aliases(peers: DataFrame, name: str) -> DataFrame:
 #: Wordings that would tell how a figure came about, and their public form.
 PHRASES = {"largest revenue source": "largest reported revenue category", "25% source shock": "25% reported-category shock", r"\bnan\b": "not available"}
 _WORD = r"[\p{L}\p{N}]"
+#: Different words, some 40 bytes each in a task, that are broadcast.
+ANCHORS = 500_000
 
 
 def _words(text: Column) -> Column:
@@ -53,14 +56,36 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"(?<=\d),(?=\d{3})", ""), F.lit(f"{_WORD}+"), F.lit(0))
 
 
+def _anchored(secrets: DataFrame) -> DataFrame:
+    """Each run of words once, with `_anchor`: the word of it that the fewest secrets have, and `_at`, its first place there.
+    Secrets that begin alike so have different anchors."""
+    keyed = secrets.withColumn("_w", _words(c("secret"))).where(F.size("_w") > 0).withColumns({"_run": F.array_join("_w", " "), "_n": F.size("_w")})
+    runs = keyed.select("_run", "_w").dropDuplicates(["_run"])
+    words = runs.select("_run", F.inline(F.transform("_w", lambda w, i: F.struct(w.alias("_word"), (i + 1).alias("_i")))))
+    spread = words.dropDuplicates(["_run", "_word"]).groupBy("_word").agg(F.count("*").alias("_in"))
+    anchor = words.join(spread, "_word").groupBy("_run").agg(F.min(F.struct("_in", "_i", "_word")).alias("_a"))
+    return cut(keyed.join(anchor.select("_run", c("_a._word").alias("_anchor"), c("_a._i").alias("_at")), "_run"))
+
+
 def occurrences(texts: DataFrame, key: str, text: str, secrets: DataFrame) -> DataFrame:
-    """key and the secret's columns for each secret whose words stand one after another in the text: an equi-join of the runs
-    of words, of as many words as secrets have, with the secrets. A text meets only the secrets it holds."""
-    keyed = cut(secrets.withColumn("_w", _words(c("secret"))).where(F.size("_w") > 0).withColumns({"_run": F.array_join("_w", " "), "_n": F.size("_w")}))
-    lengths = sorted(r[0] for r in keyed.select("_n").distinct().collect())  # of names, in words
-    runs = lambda n: F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.array_join(F.slice("_t", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
-    return texts.select(key, _words(c(text)).alias("_t")).select(key, F.explode(every).alias("_run")).join(keyed, "_run").drop("_run")
+    """key and the secret's columns for each secret whose words stand one after another in the text. A text's words meet the
+    secrets by one word of each, their anchor, and the words around it are compared there. The anchors, up to ANCHORS
+    different ones, go to every task, so that only words that are one leave the scan of the texts; more are joined by a
+    shuffle on that word. A text meets only secrets whose anchor it holds, whatever their number and lengths."""
+    keyed = _anchored(secrets)
+    longest = keyed.agg(F.max("_n")).first()[0]
+    if longest is None:
+        return texts.select(key).join(keyed.drop("_run", "_anchor", "_at").limit(0), F.lit(True))
+    around = longest - 1
+    split = texts.select(key, _words(c(text)).alias("_t")).where(F.size("_t") > 0)
+    near = lambda w, i: F.struct(w.alias("_anchor"), F.slice("_t", F.greatest(i + 1 - around, F.lit(1)), F.lit(2 * around + 1)).alias("_near"), F.least(i + 1, F.lit(around + 1)).alias("_here"))
+    words = split.select(key, F.inline(F.transform("_t", near)))
+    anchors = keyed.select("_anchor").distinct()
+    if anchors.limit(ANCHORS + 1).count() <= ANCHORS:
+        words = words.join(F.broadcast(anchors), "_anchor", "left_semi")
+    begin = c("_here") - c("_at") + 1
+    met = words.join(keyed, "_anchor").where((begin >= 1) & (F.slice("_near", F.greatest(begin, F.lit(1)), c("_n")) == c("_w")))
+    return met.dropDuplicates([key, "_run", *secrets.columns]).drop("_anchor", "_near", "_here", "_at", "_run")
 
 
 def scrub(texts: DataFrame, key: str, text: str, secrets: DataFrame) -> DataFrame:
@@ -84,6 +109,14 @@ def money(x: Column, case: Column, year: Column, channel: str) -> Column:
     return F.floor(F.round(x * scale * jitter(case, year, channel), 6) + 0.5)
 
 
+def bucket(revenue: Column, bands=SIZE_BANDS) -> Column:
+    """The size band of a published revenue, so that it agrees with the amount beside it; below all bands the least."""
+    out = F.when(revenue.isNotNull(), F.lit(bands[0][0]))
+    for label, low, _ in bands[1:]:
+        out = F.when(revenue >= low, F.lit(label)).otherwise(out)
+    return out
+
+
 def composition(shares: list[Column], case: Column, year: Column) -> list[Column]:
     """Four shares (in %), perturbed, floored to tenths, the last one taking the remainder to 100."""
     key = lambda ch: fnv1a(F.concat(case.cast("string"), F.lit(":"), year.cast("string"), F.lit(f":{ch}")))

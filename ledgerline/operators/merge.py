@@ -86,6 +86,13 @@ def enrich(df: DataFrame, registry: DataFrame, key: str, code: str, names: DataF
     return df.join(one, key, "left").join(names, "sector", "left")
 
 
+def match_rate(enriched: DataFrame, key: str, found: str = "sector") -> DataFrame:
+    """entities, matched, rate: of the distinct entities, those that the registry knew in any row."""
+    each = enriched.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(found).isNotNull().cast("int")).alias("m"))
+    n = each.agg(F.count("*").alias("entities"), F.coalesce(F.sum("m"), F.lit(0)).alias("matched"))
+    return n.withColumn("rate", F.round(F.try_divide("matched", "entities"), 6))
+
+
 def hydrate(scored: DataFrame, panel: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """columns of the panel for each scored key, exactly one row each; a key that the panel has twice is an error."""
     one = panel.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in columns])

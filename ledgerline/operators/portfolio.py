@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.metrics import liquid
+from ledgerline.plans import order
 
 c = F.col
 #: Points of labels, tiers and urgency in the priority score, and places for each label in the shortlist.
@@ -48,10 +49,17 @@ def composition_history(panel: DataFrame) -> DataFrame:
 
 
 def peer_quartiles(panel: DataFrame, keys: DataFrame) -> DataFrame:
-    """Margin quartiles of each wanted (state, sector) and year, in one pass."""
-    q = F.percentile("operating_margin", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = panel.join(keys, ["state", "ntee_major_category"], "left_semi").where("operating_margin IS NOT NULL")
-    return rows.groupBy("state", "ntee_major_category", "fiscal_year").agg(q.alias("q")).select("state", "ntee_major_category", "fiscal_year", *[F.round(c("q")[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    """Margin quartiles of each wanted (state, sector) and year, in one pass over ranges of margins."""
+    rows = panel.join(keys, ["state", "ntee_major_category"], "left_semi")
+    q = order.percentiles(rows, ["state", "ntee_major_category", "fiscal_year"], "operating_margin", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return q.select("state", "ntee_major_category", "fiscal_year", *[F.round(n, 6).alias(n) for n in ("q25", "q50", "q75")])
+
+
+def peer_series(quartiles: DataFrame) -> DataFrame:
+    """The same nested: for each state and sector its years in order, with quartiles in percent."""
+    pct = lambda n: F.round(c(n) * 100, 1)
+    point = F.struct(c("fiscal_year").alias("fiscalYear"), pct("q25").alias("peerMarginQ25"), pct("q50").alias("peerMarginMedian"), pct("q75").alias("peerMarginQ75"))
+    return quartiles.groupBy("state", "ntee_major_category").agg(F.sort_array(F.collect_list(point)).alias("series"))
 
 
 def priority() -> Column:
@@ -79,14 +87,16 @@ def quotas(rows: DataFrame, places: dict[str, int], label: str = "action_label",
 
 def shortlist(rows: DataFrame, places: dict[str, int], label: str = "action_label", kind: str = "constraint") -> DataFrame:
     """Per label and kind the first by priority up to the quota; a label's open places go to its best other rows. So no row
-    beyond twice the most places of its label and kind is taken, and only those before it are compared further."""
-    order = [F.desc("priority"), F.desc("risk_pct"), F.desc("total_revenue"), "ein"]
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(label, kind).orderBy(*order))).where(c("_k") <= 2 * max(places.values()))
+    beyond twice the most places of its label and kind is taken, and only those before it are compared further. `place` is
+    the final order of the list, which has as many rows as places at most."""
+    by = [F.desc("priority"), F.desc("risk_pct"), F.desc("total_revenue"), "ein"]
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(label, kind).orderBy(*by))).where(c("_k") <= 2 * max(places.values()))
     ranked = ranked.join(quotas(rows, places, label, kind), [label, kind], "left").withColumn("_in", F.coalesce(c("_k") <= c("quota"), F.lit(False)))
     taken = F.sum(c("_in").cast("int")).over(Window.partitionBy(label))
-    fill = F.row_number().over(Window.partitionBy(label, "_in").orderBy(*order))
+    fill = F.row_number().over(Window.partitionBy(label, "_in").orderBy(*by))
     ranked = ranked.withColumns({"_open": points(label, places) - taken, "_fill": fill})
-    return ranked.where("_in OR _fill <= _open").drop("_k", "_in", "_open", "_fill", "quota")
+    chosen = ranked.where("_in OR _fill <= _open").drop("_k", "_in", "_open", "_fill", "quota")
+    return chosen.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), F.desc("risk_pct"), "org_name", "ein")))
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -116,17 +126,59 @@ def facets(rows: DataFrame, orders: dict[str, tuple] = FACETS) -> DataFrame:
     return n.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(at, "option")))
 
 
-def search(rows: DataFrame, text: str, label: str | None = None) -> DataFrame:
-    found = F.lit(False)
-    for n in ("org_name", "state", "ntee_major_category", "action_label"):
-        found = found | F.coalesce(F.contains(F.lower(n), F.lit(text.lower())), F.lit(False))
+SEARCHED = ("org_name", "state", "ntee_major_category", "action_label")
+_BUCKETS = 64
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text."""
+    n = F.length(text)
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(_BUCKETS)).cast("int")
+
+
+def index_texts(rows: DataFrame, path: str, columns=SEARCHED, key: str = "ein") -> None:
+    """Writes the posting table of the columns' texts: gram, field and key for each run of three characters, small letters,
+    in folders by a hash of the gram and in its order, so that a search reads the row groups of its own grams."""
+    texts = rows.select(key, F.inline(F.array(*[F.struct(F.lit(i).alias("field"), F.lower(x).alias("text")) for i, x in enumerate(columns)]))).where("text IS NOT NULL")
+    posted = texts.select(F.explode(_grams(c("text"))).alias("gram"), "field", key).withColumn("bucket", _bucket(c("gram")))
+    posted.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
+
+
+def search(rows: DataFrame, text: str, label: str | None = None, by: str = "score", postings: DataFrame | None = None, columns=SEARCHED, key: str = "ein") -> DataFrame:
+    """Rows one of whose columns contains the text, letter case aside, of a label or of all; `by` score (best first),
+    score_up or name. With the posting table, only rows in which one field has all of the text's grams are looked at; texts
+    under three characters have none and take the scan."""
+    wanted = text.strip().lower()
+    found = F.lit(not wanted)
+    for n in columns:
+        found = found | F.coalesce(F.contains(F.lower(n), F.lit(wanted)), F.lit(False))
+    if postings is not None and len(wanted) >= 3:
+        grams = sorted({wanted[i : i + 3] for i in range(len(wanted) - 2)})
+        mine = postings.where(c("gram").isin(grams) & c("bucket").isin([r[0] for r in rows.sparkSession.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(c("gram"))).distinct().collect()]))
+        full = mine.groupBy(key, "field").agg(F.countDistinct("gram").alias("n")).where(c("n") == len(grams))
+        rows = rows.join(full.select(key).distinct(), key, "left_semi")
     out = rows.where(found)
-    return (out if label is None else out.where(c("action_label") == label)).orderBy(F.desc("fit_score"), "org_name")
+    order_by = {"score": [F.desc("fit_score"), "org_name"], "score_up": [F.asc("fit_score"), "org_name"], "name": [F.asc_nulls_last(F.lower("org_name")), "org_name", key]}[by]
+    return (out if label is None else out.where(c("action_label") == label)).orderBy(*order_by)
+
+
+def margin_trend(panel: DataFrame, within: float = 0.01) -> DataFrame:
+    """ein, margin_trend: the last filing's margin against the one before; null where one of them is unknown."""
+    back = F.row_number().over(Window.partitionBy("ein").orderBy(F.desc("fiscal_year")))
+    at = lambda k: F.max(F.when(c("_k") == k, c("operating_margin")))
+    two = panel.withColumn("_k", back).where(c("_k") <= 2).groupBy("ein").agg((at(1) - at(2)).alias("move"))
+    return two.select("ein", F.when(c("move") > within, "improving").when(c("move") < -within, "declining").when(c("move").isNotNull(), "stable").alias("margin_trend"))
 
 
-def pipeline(rows: DataFrame, label: str, revenue=(25e4, 1e8), highest: float = 0.5, top: int = 60) -> DataFrame:
+def pipeline(rows: DataFrame, label: str, revenue=(25e4, 1e8), highest: float = 0.5, top: int = 60, trends=("stable", "improving")) -> DataFrame:
+    """The first rows of a label within a revenue band, with an index under `highest` and one of these margin trends."""
     s = F.round((highest - c("rdi")) * c("total_revenue"), 2)
-    return rows.where((c("action_label") == label) & c("total_revenue").between(*revenue) & (c("rdi") < highest)).withColumn("pipeline_score", s).orderBy(F.desc("pipeline_score"), "ein").limit(top)
+    fit = (c("action_label") == label) & c("total_revenue").between(*revenue) & (c("rdi") < highest) & c("margin_trend").isin(*trends)
+    return rows.where(fit).withColumn("pipeline_score", s).orderBy(F.desc("pipeline_score"), "ein").limit(top)
 
 
 def margin_pattern(panel: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from ledgerline.functions import text as t
 from ledgerline.operators import clean, merge, profile
 from ledgerline.plans import testpanel as tp
 from ledgerline.plans.oracle import add
+from ledgerline.plans.reuse import cut, scratch
 from ledgerline.registry import query
+from ledgerline.sources import versions
 
 r6 = lambda x: F.round(x, 6)
 
@@ -277,6 +279,11 @@ def u10(spark, d):
     return merge.enrich(tp.panel(spark, d), registry, "ein", "code", names).select("ein", "fiscal_year", "sector", "sector_name")
 
 
+@query("u10_match_rate", "SELECT count(*) AS entities, CAST(sum(CAST(c_custkey % 3 <> 0 AS INT)) AS BIGINT) AS matched, round(avg(CAST(c_custkey % 3 <> 0 AS INT)), 6) AS rate FROM (SELECT DISTINCT CAST(ein AS INTEGER) AS c_custkey FROM panel)", "panel")
+def u10b(spark, d):
+    return merge.match_rate(u10(spark, d), "ein")
+
+
 @query("u11_hydrate", "SELECT o.ein, o.fiscal_year, p.org_name, p.total_revenue FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS ein, CAST(year(o_orderdate) AS INTEGER) AS fiscal_year FROM orders) o LEFT JOIN panel p ON o.ein = p.ein AND o.fiscal_year = p.fiscal_year", "panel")
 def u11(spark, d):
     keys = tp.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("ein"), F.year("o_orderdate").alias("fiscal_year")).distinct()
@@ -295,11 +302,12 @@ add("batch2", "SELECT * REPLACE (round(total_revenue * 2, 2) AS total_revenue, '
     "batch2",
 )
 def u12(spark, d):
-    from_feed = F.col("submitted_on").isNotNull()
-    current = merge.upsert(spine1(spark, d), feed1(spark, d), KEY)
-    for n in (15, 35):
-        current = merge.merge_by_source(current, batch(spark, d, n), KEY, from_feed)
-    return current.select("filing_id", "total_revenue", "submitted_on")
+    """Two batches, the first of them delivered twice, into a table of versions."""
+    path = scratch(spark)
+    versions.create(path, merge.upsert(spine1(spark, d), feed1(spark, d), KEY), "fiscal_year")
+    for name, n in (("2003-01", 15), ("2003-02", 35), ("2003-01", 15)):
+        versions.ingest(path, cut(batch(spark, d, n)), name, KEY, F.col("submitted_on").isNotNull())
+    return versions.read(spark, path).select("filing_id", "total_revenue", "submitted_on")
 
 
 # --- profiles -------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import metrics as m
@@ -9,7 +10,7 @@ from ledgerline.operators import analogs, cards, deid, merge, portfolio, profile
 from ledgerline.plans import stages
 from ledgerline.plans import testpanel as tp
 from ledgerline.plans.oracle import add
-from ledgerline.plans.reuse import cut
+from ledgerline.plans.reuse import cut, scratch
 from ledgerline.queries import replaying  # noqa: F401  defines the views it shares
 from ledgerline.queries.base import COMPLETE_SQL, YIELD_SQL, completeness, investment_yield
 from ledgerline.registry import query
@@ -109,6 +110,17 @@ def x05(spark, d):
     return quartiles(spark, d)
 
 
+_PCT = lambda q: f"format('{{:.1f}}', round({q} * 100, 1) + 0.0)"
+
+
+@query("x05_peer_series", f"SELECT state, ntee_major_category, string_agg(fiscal_year || ': ' || {_PCT('q25')} || ' ' || {_PCT('q50')} || ' ' || {_PCT('q75')}, '; ' ORDER BY fiscal_year) AS series FROM quartiles GROUP BY ALL", "quartiles")
+def x05b(spark, d):
+    """The nested series, shown as one text for each state and sector."""
+    n = lambda x, f: F.format_string("%.1f", F.round(x[f], 1))
+    text = lambda x: F.concat(x["fiscalYear"].cast("string"), F.lit(": "), n(x, "peerMarginQ25"), F.lit(" "), n(x, "peerMarginMedian"), F.lit(" "), n(x, "peerMarginQ75"))
+    return portfolio.peer_series(quartiles(spark, d)).select("state", "ntee_major_category", F.array_join(F.transform("series", text), "; ").alias("series"))
+
+
 _POINTS = "CASE action_label WHEN 'Needs Data Diligence' THEN 4 WHEN 'Weak Financial Foundation' THEN 3 WHEN 'Revenue Concentration Risk' THEN 2 ELSE 1 END * 100 + CASE risk_tier WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END * 20 + CASE urgency_severity WHEN 'flagged' THEN 2 ELSE 1 END * 10 + 1 + abs(coalesce(margin_gap, 0)) + abs(coalesce(runway_gap, 0)) / 10 + abs(coalesce(diversification_gap, 0))"
 
 
@@ -127,13 +139,13 @@ _BEST = "priority DESC, risk_pct DESC, total_revenue DESC, ein"
 
 @query(
     "x08_shortlist",
-    f"""SELECT ein, action_label, "constraint", priority FROM (SELECT *, {_WORTH} - sum(CAST(inside AS INT)) OVER (PARTITION BY action_label) AS open, row_number() OVER (PARTITION BY action_label, inside ORDER BY {_BEST}) AS fill FROM (
+    f"""SELECT ein, action_label, "constraint", priority, CAST(row_number() OVER (ORDER BY priority DESC, risk_pct DESC, org_name, ein) AS INTEGER) AS place FROM (SELECT *, {_WORTH} - sum(CAST(inside AS INT)) OVER (PARTITION BY action_label) AS open, row_number() OVER (PARTITION BY action_label, inside ORDER BY {_BEST}) AS fill FROM (
         SELECT r.*, coalesce(k <= quota, false) AS inside FROM (SELECT *, row_number() OVER (PARTITION BY action_label, "constraint" ORDER BY {_BEST}) AS k FROM (SELECT *, round({_POINTS}, 6) AS priority FROM orgs)) r
         LEFT JOIN quotas q ON q.action_label = r.action_label AND q."constraint" = r."constraint")) WHERE inside OR fill <= open""",
     "orgs", "quotas",
 )
 def x08(spark, d):
-    return portfolio.shortlist(orgs(spark, d).withColumn("priority", F.round(portfolio.priority(), 6)), portfolio.PLACES).select("ein", "action_label", "constraint", "priority")
+    return portfolio.shortlist(orgs(spark, d).withColumn("priority", F.round(portfolio.priority(), 6)), portfolio.PLACES).select("ein", "action_label", "constraint", "priority", "place")
 
 
 @query("x09_score_drivers", "SELECT ein, round(greatest(0, 100 - risk_pct), 1) AS protection, CASE WHEN margin_pct >= 12 THEN 92.0 WHEN margin_pct >= 6 THEN 80.0 WHEN margin_pct >= 0 THEN 64.0 WHEN margin_pct >= -8 THEN 40.0 ELSE 18.0 END AS margin, CASE WHEN rdi >= 0.5 THEN 90.0 WHEN rdi >= 0.35 THEN 74.0 WHEN rdi >= 0.2 THEN 58.0 WHEN rdi >= 0.05 THEN 38.0 ELSE 20.0 END AS mix, CASE tier WHEN 'High' THEN 95.0 WHEN 'Low' THEN 52.0 ELSE 75.0 END AS evidence FROM orgs", "orgs")
@@ -266,6 +278,26 @@ def x25(spark, d):
     return portfolio.search(fit(spark, d), "0001").select("ein", "fit_score")
 
 
+_SEARCH = lambda text, columns, by: f"SELECT ein, CAST(row_number() OVER (ORDER BY {by}) AS INTEGER) AS place FROM fit WHERE {' OR '.join(f"""contains(lower({x}), '{text}')""" for x in columns)}"
+
+
+@query("x25_indexed_search", _SEARCH("000012", portfolio.SEARCHED, "fit_score DESC, org_name"), "fit")
+def x25b(spark, d):
+    """By the posting table of the four columns; places in the order of the score."""
+    rows, path = cut(fit(spark, d)), scratch(spark)
+    portfolio.index_texts(rows, path)
+    found = portfolio.search(rows, "000012", postings=spark.read.parquet(path))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("fit_score"), "org_name"))).select("ein", "place")
+
+
+@query("x25_search_by_name", _SEARCH("concentration", portfolio.SEARCHED, "lower(org_name), org_name, ein"), "fit")
+def x25c(spark, d):
+    rows, path = cut(fit(spark, d)), scratch(spark)
+    portfolio.index_texts(rows, path)
+    found = portfolio.search(rows, "Concentration ", by="name", postings=spark.read.parquet(path))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.lower("org_name"), "org_name", "ein"))).select("ein", "place")
+
+
 @query("x26_lanes", "SELECT action_label, count(*) AS n FROM orgs GROUP BY 1", "orgs")
 def x26(spark, d):
     return orgs(spark, d).groupBy("action_label").agg(F.count("*").alias("n"))
@@ -279,9 +311,13 @@ def x26b(spark, d):
     return portfolio.facets(orgs(spark, d))
 
 
-@query("x27_priority_pipeline", "SELECT ein, round((0.5 - rdi) * total_revenue, 2) AS pipeline_score FROM orgs WHERE action_label = 'Revenue Concentration Risk' AND total_revenue BETWEEN 250000 AND 1e8 AND rdi < 0.5 ORDER BY 2 DESC, ein LIMIT 60", "orgs")
+add("margin_trends", "SELECT ein, CASE WHEN move > 0.01 THEN 'improving' WHEN move < -0.01 THEN 'declining' WHEN move IS NOT NULL THEN 'stable' END AS margin_trend FROM (SELECT ein, max(operating_margin) FILTER (k = 1) - max(operating_margin) FILTER (k = 2) AS move FROM (SELECT *, row_number() OVER (PARTITION BY ein ORDER BY fiscal_year DESC) AS k FROM metrics) GROUP BY ein)", "metrics")
+
+
+@query("x27_priority_pipeline", "SELECT ein, margin_trend, round((0.5 - rdi) * total_revenue, 2) AS pipeline_score FROM orgs JOIN margin_trends USING (ein) WHERE action_label = 'Revenue Concentration Risk' AND total_revenue BETWEEN 250000 AND 1e8 AND rdi < 0.5 AND margin_trend IN ('stable', 'improving') ORDER BY pipeline_score DESC, ein LIMIT 60", "orgs", "margin_trends")
 def x27(spark, d):
-    return portfolio.pipeline(orgs(spark, d), "Revenue Concentration Risk").select("ein", "pipeline_score")
+    rows = orgs(spark, d).join(portfolio.margin_trend(panel(spark, d)), "ein")
+    return portfolio.pipeline(rows, "Revenue Concentration Risk").select("ein", "margin_trend", "pipeline_score")
 
 
 @query("x30_margin_pattern", "SELECT ein, CASE WHEN spread > 120 THEN 'variable' WHEN move > 8 THEN 'improving' WHEN move < -8 THEN 'softer' ELSE 'steady' END AS pattern FROM (SELECT ein, (max(operating_margin) - min(operating_margin)) * 100 AS spread, (max_by(operating_margin, fiscal_year) - min_by(operating_margin, fiscal_year)) * 100 AS move FROM metrics GROUP BY ein)", "metrics")
@@ -447,9 +483,12 @@ def jittered(spark, d):
     return one.withColumns({"new_revenue": deid.money(c("total_revenue"), c("case_index"), c("fiscal_year"), "revenue"), "new_expenses": deid.money(c("total_expenses"), c("case_index"), c("fiscal_year"), "expenses")})
 
 
-@query("a04_money_jitter", "SELECT ein, new_revenue, new_expenses, round((new_revenue - new_expenses) / CAST(nullif(new_revenue, 0) AS DOUBLE) * 100, 1) AS margin FROM alias_money", "alias_money")
+_SIZE = "CASE WHEN new_revenue >= 10000000 THEN '>10M' WHEN new_revenue >= 2000000 THEN '2M-10M' WHEN new_revenue >= 500000 THEN '500K-2M' WHEN new_revenue IS NOT NULL THEN '<500K' END"
+
+
+@query("a04_money_jitter", f"SELECT ein, new_revenue, new_expenses, round((new_revenue - new_expenses) / CAST(nullif(new_revenue, 0) AS DOUBLE) * 100, 1) AS margin, {_SIZE} AS size_bucket FROM alias_money", "alias_money")
 def a04(spark, d):
-    return jittered(spark, d).select("ein", "new_revenue", "new_expenses", F.round(F.try_divide(c("new_revenue") - c("new_expenses"), c("new_revenue")) * 100, 1).alias("margin"))
+    return jittered(spark, d).select("ein", "new_revenue", "new_expenses", F.round(F.try_divide(c("new_revenue") - c("new_expenses"), c("new_revenue")) * 100, 1).alias("margin"), deid.bucket(c("new_revenue")).alias("size_bucket"))
 
 
 def perturbed(spark, d):
@@ -459,10 +498,18 @@ def perturbed(spark, d):
     return one.select("ein", *[p.alias(n) for p, n in zip(parts, ("a", "b", "c", "d"))])
 
 
-@query("a05_composition", "SELECT count(*) AS n FROM (SELECT DISTINCT ein FROM panel)", "panel")
+def _mixed() -> str:
+    key = lambda ch: _fnv(f"CAST(case_index AS VARCHAR) || ':' || CAST(fiscal_year AS VARCHAR) || ':{ch}'")
+    z = lambda n: f"coalesce({n}, 0) * 100"
+    raw = f"""SELECT ein, greatest({z('pct_contributions')} + mix, 0) AS w, greatest({z('pct_program_revenue')} - mix * 0.65::DOUBLE, 0) AS x, greatest({z('pct_investment_income')} + inv, 0) AS y, greatest({z('pct_other_revenue')} - mix * 0.35::DOUBLE - inv, 0) AS v
+      FROM (SELECT *, ({key('mix')} % 61 - 30) / 10.0::DOUBLE AS mix, ({key('investment')} % 17 - 8) / 10.0::DOUBLE AS inv FROM (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY ein ORDER BY fiscal_year DESC) = 1) JOIN alias_cases USING (ein))"""
+    tenth = lambda n: f"floor(round(coalesce({n} / nullif(w + x + y + v, 0), 0) * 1000, 6)) / 10"
+    return f"SELECT ein, a, b, c, round(100 - a - b - c, 1) AS d FROM (SELECT ein, {tenth('w')} AS a, {tenth('x')} AS b, {tenth('y')} AS c FROM ({raw}))"
+
+
+@query("a05_composition", _mixed(), "panel", "alias_cases")
 def a05(spark, d):
-    total = c("a") + c("b") + c("c") + c("d")
-    return perturbed(spark, d).where(F.abs(total - 100) < 0.11).agg(F.count("*").alias("n"))
+    return perturbed(spark, d).select("ein", "a", "b", "c", "d")
 
 
 add(

@@ -184,9 +184,7 @@ add("peer_pairs", "SELECT a.peer AS target, b.peer, a.metric, abs(b.peer_revenue
 )
 def r15(spark, d):
     pool = cut(analogs.pool(m.with_metrics(tp.panel(spark, d))).where("metric = 'operating_margin'"))
-    a = pool.select(F.col("peer").alias("target"), "size_bucket", "peer_state", "peer_sector", F.col("peer_revenue").alias("own"))
-    pairs = a.join(pool, ["size_bucket", "peer_state", "peer_sector"]).where("peer <> target")
-    return replay.three_peers(cut(pairs.select("target", "peer", F.abs(F.col("peer_revenue") / F.col("own") - 1).alias("distance"), (F.col("post_year") - F.col("pre_year")).alias("years"), (F.col("post_value") - F.col("pre_value")).alias("gain"))))
+    return replay.three_peers(cut(replay.peer_candidates(pool, ["size_bucket", "peer_state", "peer_sector"])))
 
 
 @query(

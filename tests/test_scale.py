@@ -11,9 +11,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerline.config import METRICS
-from ledgerline.operators import analogs, cohort, model
+from ledgerline.operators import analogs, cohort, deid, merge, model, portfolio, replay
 from ledgerline.plans import order
+from ledgerline.plans.reuse import scratch
 from ledgerline.queries import risk
+from ledgerline.sources import versions
 
 
 def test_patience_picks_the_stage_of_a_plain_search():
@@ -153,3 +155,119 @@ def test_nodes_cover_each_stretch_once(spark):
     for r in df.collect():
         held = sorted(p for x in r.n for p in range(x.node << x.level, (x.node + 1) << x.level))
         assert held == list(range(r.first, r.last + 1)) and len(r.n) <= 2 * 18
+
+
+# --- versions, secrets, peers, search -------------------------------------------------------------------------------
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, "ein string, period int, fiscal_year int, amount double, submitted string")
+
+
+def fed():
+    return F.col("submitted").isNotNull()
+
+
+def _state(spark, path, version=None):
+    return sorted((tuple(r) for r in versions.read(spark, path, version).collect()), key=str)
+
+
+def test_a_batch_counts_once_and_rewrites_only_its_years(spark):
+    path = scratch(spark)
+    versions.create(path, _rows(spark, [("a", 1, 2000, 1.0, None), ("b", 1, 2000, 2.0, "x"), ("c", 2, 2001, 3.0, None), ("d", 3, 2002, 4.0, "x"), ("e", 9, None, 5.0, None)]), "fiscal_year")
+    zero = versions.latest(spark, path)
+    assert set(zero.parts) == {"2000", "2001", "2002", "none"} and zero.number == 0
+    batch = _rows(spark, [("b", 1, 2000, 20.0, "y"), ("a", 1, 2000, 99.0, "y"), ("n", 7, 2003, 7.0, "y")])
+    one = versions.ingest(path, batch, "m1", ["ein", "period"], fed())
+    want = [("a", 1, 2000, 1.0, None), ("b", 1, 2000, 20.0, "y"), ("c", 2, 2001, 3.0, None), ("d", 3, 2002, 4.0, "x"), ("e", 9, None, 5.0, None), ("n", 7, 2003, 7.0, "y")]
+    assert _state(spark, path) == sorted(want, key=str)
+    assert all(one.parts[p] == zero.parts[p] for p in ("2001", "2002", "none")) and one.parts["2000"] != zero.parts["2000"]
+    assert versions.ingest(path, batch, "m1", ["ein", "period"], fed()) == one and _state(spark, path) == sorted(want, key=str)  # fed twice
+    moved = versions.ingest(path, _rows(spark, [("d", 3, 2000, 40.0, "z")]), "m2", ["ein", "period"], fed())  # its year was wrong
+    assert set(moved.parts) == {"2000", "2001", "2003", "none"} and ("d", 3, 2000, 40.0, "z") in _state(spark, path)
+    assert sum(r[0] == "d" for r in _state(spark, path)) == 1 and _state(spark, path, zero)[1][3] == 2.0  # older versions stay readable
+    assert versions.read(spark, path, only={"2003"}).collect()[0].ein == "n"
+    before = _state(spark, path)
+    assert versions.vacuum(spark, path, keep=1) > 0 and _state(spark, path) == before
+    more = versions.ingest(path, _rows(spark, [("q", 1, 2001, 1.0, "w")]).withColumn("extra", F.lit(1)), "m3", ["ein", "period"], fed())
+    assert {r.ein: r.extra for r in versions.read(spark, path).collect()}["q"] == 1 and more.batches == ["m1", "m2", "m3"]
+    assert versions.ingest(path, _rows(spark, []), "m4", ["ein", "period"], fed()).parts == more.parts
+
+
+def test_a_merge_that_stops_half_way_leaves_the_table(spark, monkeypatch):
+    path = scratch(spark)
+    versions.create(path, _rows(spark, [("a", 1, 2000, 1.0, "x")]), "fiscal_year")
+    batch, publish = _rows(spark, [("a", 1, 2000, 2.0, "y")]), versions._publish
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(versions, "_publish", stop)
+    with pytest.raises(RuntimeError, match="lost"):
+        versions.ingest(path, batch, "m1", ["ein", "period"], fed())
+    assert _state(spark, path) == [("a", 1, 2000, 1.0, "x")] and versions.latest(spark, path).batches == []
+    monkeypatch.setattr(versions, "_publish", lambda s, p, v: (publish(s, p, v), publish(s, p, v)))
+    with pytest.raises(versions.Conflict):  # somebody else publishes the same number
+        versions.ingest(path, batch, "m1", ["ein", "period"], fed())
+    monkeypatch.setattr(versions, "_publish", publish)
+    assert versions.ingest(path, batch, "m1", ["ein", "period"], fed()).batches == ["m1"] and _state(spark, path) == [("a", 1, 2000, 2.0, "y")]
+    assert versions.vacuum(spark, path, keep=2) == 1  # what the first attempt left
+
+
+@pytest.mark.parametrize("anchors", [500_000, 0])
+def test_secrets_are_found_like_by_all_runs(spark, monkeypatch, anchors):
+    monkeypatch.setattr(deid, "ANCHORS", anchors)
+    rng = random.Random(7)
+    words = ["the", "house", "of", "hope", "art", "and", "x1"]
+    secrets = [(f"k{i % 2}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))) for i in range(25)] + [("k0", "the the the"), ("k1", "..."), ("k0", None), ("k2", "The-House")]
+    texts = [(i, ", ".join(rng.choice(words).upper() for _ in range(rng.randrange(0, 30)))) for i in range(40)] + [(98, None), (99, "nothing here")]
+    s = spark.createDataFrame(secrets, "kind string, secret string").distinct()
+    got = {(r.id, r.kind, r.secret) for r in deid.occurrences(spark.createDataFrame(texts, "id int, text string"), "id", "text", s).collect()}
+    run = lambda t: [w for w in "".join(ch if ch.isalnum() else " " for ch in (t or "").lower()).split()]
+    holds = lambda t, w: any(t[i : i + len(w)] == w for i in range(len(t) - len(w) + 1))
+    want = {(i, k, w) for i, t in texts for k, w in set(secrets) if run(w) and holds(run(t), run(w))}
+    assert got == want and len(want) > 50
+    found = deid.occurrences(spark.createDataFrame(texts, "id int, text string"), "id", "text", s.limit(0))
+    assert found.count() == 0 and set(found.columns) >= {"id", "kind", "secret"}
+
+
+def test_three_peers_are_those_of_all_pairs(spark):
+    rng = random.Random(11)
+    rows = [(str(i), rng.choice("ab"), float(rng.choice([1, 2, 2, 2, 3, 5, 8, 8, 13])), 1995, 1995 + rng.randrange(1, 4), 0.0, rng.choice([0.1, 0.2, 0.3])) for i in range(60)] + [("solo", "z", 1.0, 1995, 1996, 0.0, 1.0), ("none", None, 1.0, 1995, 1996, 0.0, 1.0)]
+    pool = spark.createDataFrame(rows, "peer string, g string, peer_revenue double, pre_year int, post_year int, pre_value double, post_value double")
+    pairs = replay.peer_candidates(pool, ["g"])
+    assert pairs.count() <= 13 * len(rows)
+    got = {(r.target, r.role): r.peer for r in replay.three_peers(pairs).collect()}
+    want = {}
+    for t in rows:
+        left = [p for p in rows if p[0] != t[0] and p[1] == t[1] and t[1]]
+        for role, by in (("closest", lambda p: abs(p[2] / t[2] - 1)), ("fastest", lambda p: p[4] - p[3]), ("strongest", lambda p: -(p[6] - p[5]))):  # noqa: B023
+            if left:
+                best = min(left, key=lambda p: (by(p), p[0]))
+                want[t[0], role] = best[0]
+                left.remove(best)
+    assert got == want
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark):
+    rng = random.Random(13)
+    rows = [(str(i), "".join(rng.choice("abAB é") for _ in range(rng.randrange(0, 9))) if i % 9 else None, rng.choice(["AM", None]), "B", rng.choice(["aab", "bba"]), float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "ein string, org_name string, state string, ntee_major_category string, action_label string, fit_score double").cache()
+    path = scratch(spark)
+    portfolio.index_texts(df, path)
+    postings = spark.read.parquet(path)
+    for text in ("aab", "ABa", "b é", "abab", "zzz", "a", "", " Aab ", "aabbb"):
+        for by in ("score", "score_up", "name"):
+            scan = [r.ein for r in portfolio.search(df, text, by=by).collect()]
+            assert sorted(r.ein for r in portfolio.search(df, text, by=by, postings=postings).collect()) == sorted(scan)
+            assert set(scan) == {r[0] for r in rows if any(text.strip().lower() in (x or "").lower() for x in r[1:5])}
+    names = [r.org_name for r in portfolio.search(df, "ab", by="name").collect()]
+    known = [n.lower() for n in names if n is not None]
+    assert known == sorted(known) and names[len(known) :] == [None] * (len(names) - len(known))
+
+
+def test_margin_trend_and_match_rate(spark):
+    df = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.2), ("b", 1, 0.1), ("b", 2, 0.105), ("c", 1, 0.2), ("c", 3, 0.1), ("d", 1, 0.2), ("e", 1, 0.1), ("e", 2, None)], "ein string, fiscal_year int, operating_margin double")
+    assert {r.ein: r.margin_trend for r in portfolio.margin_trend(df).collect()} == {"a": "improving", "b": "stable", "c": "declining", "d": None, "e": None}
+    rows = spark.createDataFrame([("a", "X"), ("a", None), ("b", None), (None, "X")], "ein string, sector string")
+    assert tuple(merge.match_rate(rows, "ein").first()) == (2, 1, 0.5) and tuple(merge.match_rate(rows.limit(0), "ein").first()) == (0, 0, None)
