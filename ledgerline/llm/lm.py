@@ -40,11 +40,11 @@ NEVER = np.float32(-1e9)  # log-odds of an output that no word has
 class LmConfig:
     groups: int = 64  # of words with vectors of their own, the end being the first
     members: int = 64
-    tail_classes: int = 64
-    dim: int = 16
+    tail_classes: int = 128
+    dim: int = 32
     head: int = 200_000  # words whose counts every task holds
-    noise: int = 24  # noise samples of the first layer, shared by a minibatch
-    inner_noise: int = 2  # of the second layer, for each token
+    noise: int = 32  # noise samples of the first layer, shared by a minibatch
+    inner_noise: int = 4  # of the second layer, for each token
     batch: int = 4096
     rate: float = 0.2
     rounds: int = 3
@@ -383,8 +383,11 @@ class Network:
         return out
 
     def _softmax(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
-        if s.max() > 60:
-            s -= s.max(1, keepdims=True)
+        """Log-probability of y in each row of scores. Rows whose scores are all far from 0 are moved first."""
+        top = s.max(1)
+        far = np.flatnonzero((top > 60) | (top < -60))
+        if len(far):
+            s[far] -= top[far, None]
         picked = s[np.arange(len(y)), y]
         np.exp(s, out=s)
         return picked - np.log(s @ self.ones[: s.shape[1]])
