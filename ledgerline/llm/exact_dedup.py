@@ -115,14 +115,15 @@ class StreamingDedup:
         """digest, doc_id, sha, locator, keep_id, keep_at (locator of the row that stays), group_size of every row.
         Raises Moved if the texts of hits are not where their locators lead."""
         state = cut(self.state())
-        hits = state.where("n > 1").select("digest")
+        hits = state.where("n > 1").select("digest", F.col("n").alias("_rows"))
         n, rows = state.where("n > 1").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         log = self.log().select("digest", "doc_id", F.coalesce("sha", "digest").alias("sha"), F.struct("file", "row").alias("locator"))
         known = state.withColumnsRenamed({"locator": "keep_at", "n": "group_size"})
         if not n:
             return hot_join(log, known, "digest", "group_size")
         content = self.content()
-        hit = content.join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "digest")
+        # beyond the bound, digests of many rows still go to the scan, where one text of a task stands for its copies there
+        hit = hot_join(content, hits, "digest", "_rows", small=BROADCAST_ROWS).drop("_rows")
         texts = cut(hit.groupBy("digest", "text").count().groupBy("digest").agg(F.count("*").alias("texts"), F.sum("count").alias("n")))
         if (texts.agg(F.sum("n")).first()[0] or 0) < rows:
             raise Moved("texts of logged rows are not in their files")
@@ -142,9 +143,15 @@ def groups(docs: DataFrame, digest=sha256) -> DataFrame:
 
     Texts are equal when their bytes are; null counts as empty. The row with the largest id stays; of rows that share
     that id too, all are marked kept. Rows with a null id belong to their text's group and never stay, unless no row has
-    an id. An empty table gives an empty result; other columns are not looked at."""
+    an id. An empty table gives an empty result; other columns are not looked at. A table that is not as its files hold it
+    (texts changed after the scan) is written to the shared folder first."""
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    out = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), digest, "doc_id", "keep_id", "group_size", kept.alias("kept"), "sha")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    columns = ("doc_id", "keep_id", "group_size", kept.alias("kept"), "sha")
+    try:
+        out = _judged(rows, digest, *columns)
+    except Moved:
+        out = _judged(written(rows), digest, *columns)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
