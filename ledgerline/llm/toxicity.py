@@ -156,11 +156,14 @@ def known_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> ToxicModel:
     """docs: doc_id, text; labels: doc_id, toxic (null: no label; of several labels of an id the largest holds). Null ids
     are no labelled rows; each of the rows that share a labelled id counts as a text. Without labels of both
-    classes nothing can be told apart and every score is near 0; without labelled texts it is the share of the label 1."""
+    classes, or without labelled texts, nothing can be told apart and every score is the share of the label 1, as if each
+    class had one label more; without any label it is near 0."""
     known = cut(labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     have = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if len(have) < 2:
+    if not have:
         return _empty(cfg)
+    if len(have) < 2:
+        return _empty(cfg, (have.get(1, 0) + 1) / (sum(have.values()) + 2))
     part = F.when(F.col("toxic") == 1, F.lit(cfg.per_class / have[1])).otherwise(F.lit(cfg.per_class / have[0]))
     drawn = known.where(uniform(F.col("doc_id"), 7) < part * (1 << 30))  # about 2 x per_class ids at most
     sample = known_texts(docs, F.broadcast(drawn))
@@ -213,7 +216,9 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 def accepted(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """The rows of docs, all columns as they are, whose score is below the threshold; null and empty texts, null ids and
-    repeated rows alike, each row by its own text."""
+    repeated rows alike, each row by its own text. A model that tells no texts apart (labels of one class) rejects none."""
+    if not len(model.weights):
+        return docs
 
     def run(batches):
         for b in batches:
