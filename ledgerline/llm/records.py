@@ -15,11 +15,14 @@ encoded once each and remembered; `Encoder` says what that needs of a tokenizer.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
 from dataclasses import dataclass
 from functools import cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -145,36 +148,82 @@ class Encoder:
 
     Texts are parted at blanks, tabs and line ends. That is exact for tokenizers that drop white space and whose
     normalisation, pattern and special tokens do not look across it, as a vocabulary with word ends has it; others take
-    `whole`. Pieces of up to PIECE characters are kept as their ids, KNOWN of them at most; longer ones are encoded anew."""
+    `whole`. Pieces of up to PIECE characters are kept as their ids, KNOWN of them at most; longer ones are encoded anew.
 
-    PIECE, KNOWN = 100, 400_000
-    BLANKS = str.maketrans("\t\n\r", "   ")
+    Most new pieces are a word of Latin letters, perhaps with marks behind it. New words are encoded together, many in a
+    text; the ids that stand at a word's end part them again. Where there are more or fewer of these ends than words, each
+    is encoded alone."""
+
+    PIECE, KNOWN = 100, 800_000
+    #: Letters that stay one letter when they are normalised and lower-cased, and marks that then stand for themselves.
+    PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]{1,60})([.,;:!?]{0,3})")
 
     def __init__(self, spec: str, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole = Tokenizer.from_str(spec), whole
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.kind = f"<u{self.width}"
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.ends[i] = token.endswith(suffix)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str], together: int = 500) -> None:
+        groups = [words[k : k + together] for k in range(0, len(words), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            to = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(to) != len(group):
+                self.words.update(zip(group, self._ids(group)))
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, k in zip(group, to.tolist()):
+                self.words[w] = raw[at:k]
+                at = k
+
+    def _learn(self, new: list[str]) -> None:
+        words, pieces = self.words, self.pieces
+        if len(words) > self.KNOWN:
+            words.clear()
+        other = new
+        if self.ends is not None:
+            other, plain, low, marks = [], [], [], []
+            for p in new:
+                m = self.PLAIN.fullmatch(p)
+                if m is None:
+                    other.append(p)
+                else:
+                    plain.append(p)
+                    low.append(m[1].lower())
+                    marks.append(m[2])
+            self._learn_words(list(set(low) - words.keys()))
+            kinds = list(set(marks))
+            behind = dict(zip(kinds, self._ids(kinds)))
+            pieces.update(zip(plain, map(add, map(words.__getitem__, low), map(behind.__getitem__, marks))))
+        for k in range(0, len(other), 20_000):
+            pieces.update(zip(other[k : k + 20_000], self._ids(other[k : k + 20_000])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, `width` bytes each."""
         if self.whole:
             return self._ids(texts)
-        known, parts = self.known, [t.translate(self.BLANKS).split(" ") for t in texts]
-        if len(known) > self.KNOWN:
-            known.clear()
-        new = list(set().union(*parts) - known.keys())
-        for k in range(0, len(new), 20_000):
-            known.update(zip(new[k : k + 20_000], self._ids(new[k : k + 20_000])))
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        if len(self.pieces) > self.KNOWN:
+            self.pieces.clear()
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = list(set().union(*parts) - self.pieces.keys())
+        self._learn(new)
+        out = [b"".join(map(self.pieces.__getitem__, p)) for p in parts]
         for p in new:
             if len(p) > self.PIECE:
-                del known[p]
+                del self.pieces[p]
         return out
 
 
@@ -271,22 +320,23 @@ def open_index(spark: SparkSession, uri: str) -> DataFrame:
 
 def parse(data: bytes, name: str = "") -> list[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of each record of data, which begins and ends with a record. Raises ValueError on damage."""
-    lengths, payloads, checks, at = [], [], [], 0
-    while at < len(data):
-        if at + HEAD.size > len(data):
-            raise ValueError(f"{name}: cut off at byte {at}")
-        n, head = HEAD.unpack_from(data, at)
+    lengths, heads, payloads, tails, at, end = [], [], [], [], 0, len(data)
+    while at < end:
+        n, head = HEAD.unpack_from(data, at) if at + HEAD.size <= end else (end, 0)
         lengths.append(data[at : at + 8])
-        if int(masked(crc32c(lengths[-1:]))[0]) != head:  # before n is believed
-            raise ValueError(f"{name}: damaged length at byte {at}")
-        if at + HEAD.size + n + TAIL.size > len(data):
-            raise ValueError(f"{name}: cut off at byte {at}")
+        heads.append(head)
+        if at + HEAD.size + n + TAIL.size > end:
+            break
         payloads.append(data[at + HEAD.size : at + HEAD.size + n])
-        checks.append(TAIL.unpack_from(data, at + HEAD.size + n)[0])
+        tails.append(TAIL.unpack_from(data, at + HEAD.size + n)[0])
         at += HEAD.size + n + TAIL.size
-    wrong = np.flatnonzero(masked(crc32c(payloads)) != np.array(checks, np.uint32))
-    if len(wrong):
-        raise ValueError(f"{name}: damaged record {wrong[0]} of {len(payloads)}")
+    whole = len(payloads)
+    for what, parts, sums in (("length", lengths[:whole], heads[:whole]), ("record", payloads, tails)):  # lengths first: a wrong one misplaces what follows
+        wrong = np.flatnonzero(masked(crc32c(parts)) != np.array(sums, np.uint32))
+        if len(wrong):
+            raise ValueError(f"{name}: damaged {what} {wrong[0]} of {whole}")
+    if at < end:
+        raise ValueError(f"{name}: cut off or damaged behind record {whole}")
     out = []
     for p in payloads:
         doc_id, known, width, _, n = PAYLOAD.unpack_from(p)
