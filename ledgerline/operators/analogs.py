@@ -20,15 +20,16 @@ def _long(df: DataFrame, *keep: str) -> DataFrame:
 
 def year_thresholds(panel: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """metric, year, side, threshold: lower quartile of the early years, upper quartile of the late ones."""
-    q = cut(order.percentiles(_long(panel, cfg.year), ["metric", cfg.year], "value", {"q25": 0.25, "q75": 0.75}))
-    pre = q.where(F.col(cfg.year).between(*cfg.pre_years)).select("metric", cfg.year, F.col("q25").alias("threshold"), F.lit("pre").alias("side"))
-    post = q.where(F.col(cfg.year).between(*cfg.post_years)).select("metric", cfg.year, F.col("q75").alias("threshold"), F.lit("post").alias("side"))
-    return pre.unionByName(post)
+    wanted = panel.where(F.col(cfg.year).between(*cfg.pre_years) | F.col(cfg.year).between(*cfg.post_years))
+    q = order.percentiles(_long(wanted, cfg.year), ["metric", cfg.year], "value", {"q25": 0.25, "q75": 0.75})
+    side = lambda years, threshold, name: F.when(F.col(cfg.year).between(*years), F.struct(F.col(threshold).alias("threshold"), F.lit(name).alias("side")))
+    sides = F.array(side(cfg.pre_years, "q25", "pre"), side(cfg.post_years, "q75", "post"))
+    return q.select("metric", cfg.year, F.inline(F.filter(sides, lambda x: x.isNotNull())))
 
 
 def pool(panel: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """Entities in the lower quartile of a metric in an early year and in the upper one in a late year, latest of each."""
-    panel = cut(panel.select(cfg.entity, cfg.year, "state", "org_name", "ntee_major_category", "size_bucket", "total_revenue", *METRICS))
+    panel = panel.select(cfg.entity, cfg.year, "state", "org_name", "ntee_major_category", "size_bucket", "total_revenue", *METRICS)
     enough = panel.groupBy(cfg.entity).agg(F.countDistinct(cfg.year).alias("n")).where(F.col("n") >= cfg.min_history).select(cfg.entity)
     base = cut(panel.join(enough, cfg.entity, "left_semi"))
     rows = _long(base, cfg.entity, cfg.year, "state", "org_name", "ntee_major_category", "size_bucket", "total_revenue")

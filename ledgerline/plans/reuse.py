@@ -41,6 +41,14 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df as such a table; df itself if it is one."""
+    if getattr(df, _CUT, False):
+        return df
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(out, _CUT, True)
+    return out
+
+
+_CUT = "_ledgerline_table"

@@ -20,12 +20,16 @@ def assigned(panel: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     return cut(cohort.assign(cut(measured(panel, cfg).where("scoring_eligible")), cfg))
 
 
+def compared(every: DataFrame, cfg: PanelConfig = DEFAULT, broaden: bool = True) -> DataFrame:
+    """The scoring years' rows of an assigned panel with benchmarks, status and gaps."""
+    return cohort.gaps(every.where("is_scoring_year"), cohort.build(every, cfg, broaden), cfg)
+
+
 def benchmarked(panel: DataFrame, cfg: PanelConfig = DEFAULT, broaden: bool = True) -> DataFrame:
     """Scored rows with benchmarks, gaps, z-scores and confidence."""
     panel = cut(panel)
     every = assigned(panel, cfg)
-    scored = cohort.z_scores(every.where("is_scoring_year"), every, cfg)
-    scored = cohort.gaps(scored, cohort.build(every, cfg, broaden), cfg)
+    scored = cohort.z_scores(compared(every, cfg, broaden), every, cfg)
     tiers = cohort.confidence(panel, cfg).select(cfg.entity, cfg.year, "window_years", "null_rate", "data_confidence_tier", "data_reason")
     return cut(cohort.overall_confidence(scored.join(tiers, [cfg.entity, cfg.year]), cfg))
 

@@ -15,38 +15,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _exact(column, scale: int = 2) -> F.Column:
-    """Money and rates as decimals, so that sums do not depend on the order of the rows."""
-    return F.col(column).cast(f"decimal(14,{scale})")
+def _cents(column: str) -> F.Column:
+    """Money and rates as whole hundredths, so that sums do not depend on the order of the rows, in machine words."""
+    return F.round(F.col(column) * 100).cast("long")
 
 
-def _amount(column) -> F.Column:
-    return column.cast("double")
+#: Whole-number sums over lines: the unit is 1 / 10^4, of expenses 1 / 10^6, of prices 1 / 100.
+SUMS = ("net", "spent", "price", "rebate", "flag_a", "flag_r", "flag_nf", "flag_no")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    who = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.join(who, F.col("o_custkey") == F.col("c_custkey")).withColumn("net", _exact("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)")))
-
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, o_custkey, o_orderdate and the sums over the order's lines; lines are summed before they meet anything."""
+    net = _cents("l_extendedprice") * (100 - _cents("l_discount"))
+    flag = lambda f, s=None: F.when((F.col("l_returnflag") == f) & (F.lit(True) if s is None else F.col("l_linestatus") == s), net)
+    each = (net, net * (70 + 8 * _cents("l_tax")), _cents("l_extendedprice"), _cents("l_extendedprice") * _cents("l_discount"), flag("A"), flag("R"), flag("N", "F"), flag("N", "O"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[F.sum(x).alias(n) for n, x in zip(SUMS, each)])
+    return lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
 
-def _amounts() -> list:
-    flag = lambda f, s=None: F.sum(F.when((F.col("l_returnflag") == f) & (F.lit(True) if s is None else F.col("l_linestatus") == s), F.col("net")))
-    return [
-        _amount(F.sum("net")).alias("total_revenue"),
-        _amount(F.sum(F.col("net") * (F.lit(0.7).cast("decimal(4,2)") + 8 * F.col("l_tax").cast("decimal(4,2)")))).alias("total_expenses"),
-        (_amount(F.sum(_exact("l_extendedprice") * F.col("c_acctbal").cast("decimal(8,2)"))) / 5000).alias("net_assets_eoy"),
-        F.when(F.col("c_custkey") % 13 != 0, _amount(F.sum(_exact("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")))).alias("cash_non_interest_bearing"),
-        (F.greatest(F.max("c_acctbal"), F.lit(0.0)) * 40).alias("savings_temporary_investments"),
-        _amount(flag("A")).alias("contributions_grants"),
-        _amount(flag("R")).alias("program_service_revenue"),
-        _amount(flag("N", "F")).alias("investment_income"),
-        _amount(flag("N", "O")).alias("other_revenue"),
-    ]
 
-
-WHO = ("c_custkey", "c_name", "r_name", "c_mktsegment")
+def _with_amounts(spark: SparkSession, sf_dir: str, sums: DataFrame) -> DataFrame:
+    """sums by o_custkey and more, with the customer and the amounts of the panel."""
+    t = lambda n: table(spark, sf_dir, n)
+    who = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    d = lambda n, unit=1e4: F.col(n) / F.lit(unit)
+    return sums.join(who, F.col("o_custkey") == F.col("c_custkey")).withColumns(
+        {
+            "total_revenue": d("net"),
+            "total_expenses": d("spent", 1e6),
+            "net_assets_eoy": F.col("price") * _cents("c_acctbal") / F.lit(1e4) / 5000,
+            "cash_non_interest_bearing": F.when(F.col("c_custkey") % 13 != 0, d("rebate")),
+            "savings_temporary_investments": F.greatest("c_acctbal", F.lit(0.0)) * 40,
+            "contributions_grants": d("flag_a"),
+            "program_service_revenue": d("flag_r"),
+            "investment_income": d("flag_nf"),
+            "other_revenue": d("flag_no"),
+        }
+    )
 
 
 def _identified(df: DataFrame) -> DataFrame:
@@ -67,15 +71,16 @@ MONEY = ["total_revenue", "total_expenses", "net_assets_eoy", "cash_non_interest
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each customer and order year. One shuffle of the lines on the order, one on the customer and year."""
-    df = _lines(spark, sf_dir).groupBy(*WHO, F.year("o_orderdate").alias("fiscal_year")).agg(F.to_date(F.max("o_orderdate")).alias("tax_period_end"), *_amounts())
-    return _identified(df).select(*KEYS, *MONEY, *SHARES)
+    """One row for each customer and order year: lines are summed by order, orders by customer and year, and only these meet
+    the customers."""
+    by_year = _orders(spark, sf_dir).groupBy("o_custkey", F.year("o_orderdate").alias("fiscal_year")).agg(F.to_date(F.max("o_orderdate")).alias("tax_period_end"), *[F.sum(x).alias(x) for x in SUMS])
+    return _identified(_with_amounts(spark, sf_dir, by_year)).select(*KEYS, *MONEY, *SHARES)
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order; several filings of an entity may fall into a year."""
-    df = _lines(spark, sf_dir).groupBy(*WHO, "o_orderkey", F.year("o_orderdate").alias("fiscal_year"), F.to_date("o_orderdate").alias("tax_period_end")).agg(*_amounts())
-    return _identified(df).select(F.col("o_orderkey").alias("filing_id"), *KEYS, *MONEY, *SHARES)
+    rows = _orders(spark, sf_dir).withColumns({"fiscal_year": F.year("o_orderdate"), "tax_period_end": F.to_date("o_orderdate")})
+    return _identified(_with_amounts(spark, sf_dir, rows)).select(F.col("o_orderkey").alias("filing_id"), *KEYS, *MONEY, *SHARES)
 
 
 def spine(spark: SparkSession, sf_dir: str) -> DataFrame:

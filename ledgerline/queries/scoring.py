@@ -298,7 +298,7 @@ def e08(spark, d):
 def e09(spark, d):
     panel = cut(tp.panel(spark, d))
     pool = cut(analogs.pool(m.with_metrics(panel)))
-    return analogs.match(stages.benchmarked(panel, tp.CONFIG), pool).select(*KEY, "peer", "rank")
+    return analogs.match(stages.compared(stages.assigned(panel, tp.CONFIG), tp.CONFIG), pool).select(*KEY, "peer", "rank")
 
 
 def enriched(spark, d):
