@@ -138,9 +138,23 @@ def d11m(spark, d):
     return train.limit(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(known[n]).alias("value")) for n in ("state", "ntee_major_category")])))
 
 
-@query("d11_preprocessing")
+add("scales", "SELECT feature, any_value(median) AS median, avg(coalesce(value, median)) AS mean, stddev_samp(coalesce(value, median)) AS deviation FROM numbers JOIN medians USING (feature) GROUP BY feature", "numbers", "medians")
+add("scaled", " UNION ALL ".join(f"SELECT ein, fiscal_year, {i} AS col, CASE WHEN deviation > 0 THEN (coalesce({x}, median) - mean) / deviation ELSE 0 END AS value FROM risk JOIN scales ON feature = '{n}' WHERE fiscal_year >= 1999" for i, (n, x) in enumerate(NUMBERS.items())), "risk", "scales")
+add("cats", " UNION ALL ".join(f"SELECT '{c}' AS cat, {i} AS place, ein, fiscal_year, {c} AS v, fiscal_year <= 1998 AS seen FROM risk" for i, c in enumerate(features.CATEGORICAL)), "risk")
+add("modes", "SELECT cat, v AS most FROM (SELECT cat, v, row_number() OVER (PARTITION BY cat ORDER BY count(*) DESC, v) AS r FROM cats WHERE seen AND v IS NOT NULL GROUP BY cat, v) WHERE r = 1", "cats")
+add("cat_labels", "SELECT cat, place, v, row_number() OVER (PARTITION BY cat ORDER BY n DESC, v) - 1 AS i FROM (SELECT cat, place, coalesce(v, most) AS v, count(*) AS n FROM cats JOIN modes USING (cat) WHERE seen GROUP BY ALL)", "cats", "modes")
+add("cat_columns", f"SELECT cat, w, {len(NUMBERS)} + sum(w) OVER (ORDER BY place) - w AS at0 FROM (SELECT cat, place, count(*) + 1 AS w FROM cat_labels GROUP BY ALL)", "cat_labels")
+
+
+@query(
+    "d11_preprocessing",
+    """SELECT ein, fiscal_year, CAST(col AS INTEGER) AS place, round(value, 5) + 0.0 AS value FROM scaled
+       UNION ALL SELECT ein, fiscal_year, CAST(at0 + j AS INTEGER), CASE WHEN j = coalesce(i, w - 1) THEN 1.0 ELSE 0.0 END FROM (
+         SELECT c.ein, c.fiscal_year, o.at0, o.w, l.i, unnest(range(CAST(o.w AS BIGINT))) AS j FROM cats c JOIN modes m ON m.cat = c.cat JOIN cat_columns o ON o.cat = c.cat LEFT JOIN cat_labels l ON l.cat = c.cat AND l.v = coalesce(c.v, m.most) WHERE NOT c.seen AND c.fiscal_year >= 1999)""",
+    "scaled", "cats", "modes", "cat_labels", "cat_columns",
+)
 def d11(spark, d):
-    """The vectors that the models read."""
+    """The vectors that the models read, a row for each place."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
@@ -148,7 +162,8 @@ def d11(spark, d):
     known = model.fills(train)
     fitted = Pipeline(stages=model.preprocessing()).fit(model.doubles(train).fillna(known))
     vectors = fitted.transform(model.doubles(test).fillna(known))
-    return vectors.select(*KEY, F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+    long = vectors.select(*KEY, F.posexplode(vector_to_array("features")).alias("place", "value"))
+    return long.withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 @query("d12_linear_model")
