@@ -381,12 +381,16 @@ def q06(spark, d):
     return profile.distribution(tp.panel(spark, d), "state")
 
 
+add("strata", "SELECT *, row_number() OVER (PARTITION BY state, has_sector ORDER BY total_revenue, ein) - 1 AS place, count(*) OVER (PARTITION BY state, has_sector) AS n FROM (SELECT *, ntee_major_category IS NOT NULL AS has_sector FROM (SELECT *, row_number() OVER (PARTITION BY ein ORDER BY fiscal_year DESC) AS rn FROM panel) WHERE rn = 1 AND state IN ('AF', 'EU'))", "panel")
+add("strata_places", "SELECT *, CASE WHEN p2 <> p1 THEN p2 WHEN p1 < n - 1 THEN p1 + 1 WHEN p1 > 0 THEN p1 - 1 END AS p3 FROM (SELECT *, CAST(floor(0.33 * n) AS INT) AS p1, CAST(floor(0.66 * n) AS INT) AS p2 FROM strata)", "strata")
+add("strata_picks", "SELECT state, has_sector, ein, total_revenue, CAST(place <> p1 AS INT) AS turn FROM strata_places WHERE place = p1 OR place = p3", "strata_places")
+
+
 @query(
     "q07_quantile_sample",
-    """SELECT state, has_sector AS sample_has_sector, ein, total_revenue FROM (SELECT *, row_number() OVER (PARTITION BY state, has_sector ORDER BY total_revenue, ein) - 1 AS place, count(*) OVER (PARTITION BY state, has_sector) AS n
-       FROM (SELECT *, ntee_major_category IS NOT NULL AS has_sector FROM (SELECT *, row_number() OVER (PARTITION BY ein ORDER BY fiscal_year DESC) AS rn FROM panel) WHERE rn = 1 AND state IN ('AF', 'EU')))
-       WHERE place = CAST(floor(0.33 * n) AS INT) OR place = CAST(floor(0.66 * n) AS INT)""",
-    "panel",
+    """SELECT state, sample_has_sector, ein, total_revenue FROM (SELECT *, row_number() OVER (PARTITION BY state, sample_has_sector ORDER BY lent, turn) AS pick FROM (
+         SELECT *, has_sector AS sample_has_sector, 0 AS lent FROM strata_picks UNION ALL SELECT *, NOT has_sector, 1 FROM strata_picks)) WHERE pick <= 2""",
+    "strata_picks",
 )
 def q07(spark, d):
     return profile.quantile_sample(merge.latest_row(tp.panel(spark, d)), DEFAULT.quantiles, ["AF", "EU"])
