@@ -14,8 +14,8 @@ whose one value has two values in the text is not counted, verbatim windows incl
 (fewer than `literal` tokens) are found verbatim, where they stand between sentence ends; a single token, where it is
 the whole text.
 
-The benchmark's hashes fill a bitmap of bounded size that every task has; only windows that hit it leave the task and
-are joined with the benchmark's windows by hash. A text that repeats an item sends its windows, no more.
+The benchmark's hashes fill a bitmap of bounded size that every task has; only windows that hit it meet the benchmark's
+windows by hash, in the task where these are few enough to be broadcast. A text that repeats an item sends its windows, no more.
 """
 
 from __future__ import annotations
@@ -67,6 +67,9 @@ _TAIL = 0xBF58476D1CE4E5B9
 _IS_SLOT = np.isin(np.arange(6), list(_SLOT))
 _SHAPE = np.array([_SLOT.get(k, 0) for k in range(6)], np.uint64)
 TOKENS_AT_ONCE = 200_000
+#: Windows of the benchmark, some 150 bytes each, that go to every task, so that a window which many texts and items share is
+#: no key of a shuffle; more are joined by one.
+BROADCAST_WINDOWS = 200_000
 
 
 class Canon:
@@ -315,7 +318,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
     lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most `window` values
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     hits = texts.mapInArrow(_text_task(cfg, lengths, bytes(bitmap)), "doc_id long, row long, hash long, pos int, slots array<string>")
-    pairs = hits.join(windows, "hash").groupBy("doc_id", "row", "item_id", "item_row").agg(
+    known = F.broadcast(windows) if n <= BROADCAST_WINDOWS else windows
+    pairs = hits.join(known, "hash").groupBy("doc_id", "row", "item_id", "item_row").agg(
         F.max("total").alias("total"), F.max("n").alias("n"), F.collect_set(F.struct("pos", "item_pos", "strong", "slots", "item_slots")).alias("hits")
     )  # a group is the windows of one text
     found = pairs.select("doc_id", "item_id", "total", "n", "hits").mapInArrow(_judge_task(cfg), "doc_id long, item_id long, windows int, item_windows int, reparameterised boolean")
