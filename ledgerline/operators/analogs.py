@@ -51,9 +51,10 @@ def constraint() -> Column:
 
 
 def near_by_revenue(targets: DataFrame, peers: DataFrame, group: list[str], runs: int) -> DataFrame:
-    """Pairs of each target and the peers nearest to it by revenue within the group. Of peers with one revenue only the
-    `runs` latest recovered count, by id; so `runs` of them at least stand within 2 runs - 1 places on each side. Peers
-    are numbered by revenue, targets find their place among them, and both meet by number: no target meets a whole group."""
+    """Pairs of each target and, at least, its `need` (a column of targets, `runs` at most) nearest peers by revenue within the
+    group; of peers with one revenue the latest recovered come first, by id, and `runs` of them count. Peers are numbered
+    by revenue and in that order, targets find their place behind peers of their own revenue, and both meet by number: no
+    target meets a whole group. Upwards the first `need` are enough; downwards a revenue's last peer comes first."""
     same = Window.partitionBy(*group, "peer_revenue").orderBy(F.desc("post_year"), F.col("peer").try_cast("double"), "peer")
     peers = peers.where("peer_revenue IS NOT NULL").withColumn("_run", F.row_number().over(same)).where(F.col("_run") <= runs)
     both = peers.select(*group, F.col("peer_revenue").alias("r"), F.lit(0).alias("kind"), F.col("_run").alias("run"), F.col("peer").alias("id")).unionByName(
@@ -61,15 +62,15 @@ def near_by_revenue(targets: DataFrame, peers: DataFrame, group: list[str], runs
     )
     placed = cut(order.running(both, group, ["r", "kind", "run", "id"], {"n": 1 - F.col("kind")}))
     numbered = peers.drop("_run").join(placed.where("kind = 0").select(*group, F.col("id").alias("peer"), "n"), [*group, "peer"])
-    reach = 2 * runs - 1
-    wanted = placed.where("kind = 1").select(*group, F.col("id").alias("target"), F.explode(F.sequence(F.greatest(F.col("n") - (reach - 1), F.lit(1)), F.col("n") + reach)).alias("n"))
-    return targets.join(wanted.join(numbered, [*group, "n"]).drop("n"), [*group, "target"])
+    asked = placed.where("kind = 1").select(*group, F.col("id").alias("target"), "n").join(targets.select(*group, "target", "need"), [*group, "target"])
+    wanted = asked.withColumn("n", F.explode(F.sequence(F.greatest(F.col("n") - (F.col("need") + runs - 2), F.lit(1)), F.col("n") + F.col("need"))))
+    return targets.drop("need").join(wanted.drop("need").join(numbered, [*group, "n"]).drop("n"), [*group, "target"])
 
 
 def latest_recovered(targets: DataFrame, peers: DataFrame, group: list[str], runs: int) -> DataFrame:
     """The same for targets without a revenue to compare: the `runs` latest recovered peers of the group."""
     last = Window.partitionBy(*group).orderBy(F.desc("post_year"), F.col("peer").try_cast("double"), "peer")
-    return targets.join(peers.withColumn("_run", F.row_number().over(last)).where(F.col("_run") <= runs).drop("_run"), group)
+    return targets.drop("need").join(peers.withColumn("_run", F.row_number().over(last)).where(F.col("_run") <= runs).drop("_run"), group)
 
 
 def match(scored: DataFrame, pool: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
@@ -84,6 +85,7 @@ def match(scored: DataFrame, pool: DataFrame, cfg: PanelConfig = DEFAULT) -> Dat
     group = ["metric", "size_bucket", "sector", "state"]
     # if fewer than `top` peers are of the target's state, the nearest of any state hold no more of these and itself
     runs = 2 * cfg.top + 1
+    t = t.withColumn("need", F.when(F.col("state") == "*", runs).otherwise(cfg.top + 1))
     some, none = t.where("total_revenue > 0"), t.where("total_revenue IS NULL OR total_revenue <= 0")
     near = near_by_revenue(some, peers, group, runs)
     both = near.unionByName(latest_recovered(none, peers, group, runs).select(*near.columns)).where(F.col("peer") != F.col(cfg.entity))
