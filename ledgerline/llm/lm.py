@@ -44,7 +44,7 @@ class LmConfig:
     dim: int = 32
     head: int = 200_000  # words whose counts every task holds
     noise: int = 32  # noise samples of the first layer, shared by a minibatch
-    inner_noise: int = 4  # of the second layer, for each token
+    inner_noise: int = 16  # of the second layer, for each group, shared by its tokens in a minibatch
     batch: int = 4096
     rate: float = 0.2
     rounds: int = 3
@@ -164,17 +164,25 @@ def nce_step(p: dict, sums: dict, ctx: np.ndarray, y: np.ndarray, noise: Noise,
     gh = up[:, None] * qy + down @ qz
     at = np.flatnonzero(y < cfg.own)
     if len(at):
+        at = at[np.argsort(top[at].astype(np.int16), kind="stable")]  # by group
         hi, yi = h[at], y[at]
-        zi = noise.inner(yi // cfg.members, rng)
-        wy, wz = p["w"][yi], p["w"][zi]
-        off = p["v"] - noise.log_inner
+        wy, off = p["w"][yi], p["v"] - noise.log_inner
         up_i = _sigmoid(-np.einsum("nd,nd->n", hi, wy) - off[yi]) / n
-        down_i = _sigmoid(np.einsum("nd,nkd->nk", hi, wz) + off[zi])
-        down_i *= -1 / n
-        gh[at] += up_i[:, None] * wy + np.einsum("nk,nkd->nd", down_i, wz)
+        gi = up_i[:, None] * wy
+        ends = np.searchsorted(top[at], np.arange(cfg.groups + 1))
+        met = np.flatnonzero(np.diff(ends))
+        zi = noise.inner(met, rng)
+        wz, oz, gz, gv = p["w"][zi], off[zi], np.empty((*zi.shape, h.shape[1]), np.float32), np.empty(zi.shape, np.float32)
+        for k, g in enumerate(met):
+            mine = slice(ends[g], ends[g + 1])
+            down_i = _sigmoid(hi[mine] @ wz[k].T + oz[k])
+            down_i *= -1 / n
+            gi[mine] += down_i @ wz[k]
+            gz[k], gv[k] = down_i.T @ hi[mine], down_i.sum(0)
+        gh[at] += gi
         ids = np.concatenate([yi, zi.ravel()])
-        _climb(p["w"], sums["w"], ids, np.concatenate([up_i[:, None] * hi, (down_i[:, :, None] * hi[:, None]).reshape(-1, h.shape[1])]), rate)
-        _climb(p["v"], sums["v"], ids, np.concatenate([up_i, down_i.ravel()]), rate)
+        _climb(p["w"], sums["w"], ids, np.concatenate([up_i[:, None] * hi, gz.reshape(-1, h.shape[1])]), rate)
+        _climb(p["v"], sums["v"], ids, np.concatenate([up_i, gv.ravel()]), rate)
     ids = np.concatenate([top, z])
     _climb(p["q"], sums["q"], ids, np.concatenate([up[:, None] * h, down.T @ h]), rate)
     _climb(p["b"], sums["b"], ids, np.concatenate([up, down.sum(0)]), rate)
@@ -384,11 +392,12 @@ class Network:
 
     def _softmax(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log-probability of y in each row of scores. Rows whose scores are all far from 0 are moved first."""
-        top = s.max(1)
-        far = np.flatnonzero((top > 60) | (top < -60))
-        if len(far):
-            s[far] -= top[far, None]
         picked = s[np.arange(len(y)), y]
+        if s.max() > 60 or picked.min() < -60:  # a row's largest score is at least the one picked
+            top = s.max(1)
+            far = (top > 60) | (top < -60)
+            s[far] -= top[far, None]
+            picked = s[np.arange(len(y)), y]
         np.exp(s, out=s)
         return picked - np.log(s @ self.ones[: s.shape[1]])
 
