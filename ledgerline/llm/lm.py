@@ -24,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,46 +152,52 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def nce_step(p: dict, sums: dict, ctx: np.ndarray, y: np.ndarray, noise: Noise, rng, cfg: LmConfig, rate: float) -> None:
     """One step on a minibatch: targets y (n) after contexts ctx (CONTEXT x n). Data and noise samples of both layers are
-    told apart by logistic regression; a row's gradient is a mean over the minibatch."""
-    n = np.float32(len(y))
+    told apart by logistic regression; a row's gradient is a mean over the minibatch. The minibatch is put in the order of
+    its groups, then the tail classes, so that each group's tokens meet their shared noise as one matrix product."""
+    n, d = np.float32(len(y)), cfg.dim
+    top = np.where(y < cfg.own, y // cfg.members, y - cfg.own + cfg.groups)
+    order = np.argsort(top.astype(np.int16), kind="stable")
+    ctx, y, top = ctx[:, order], y[order], top[order]
     rows = [p["r"][c] for c in ctx]
     h = sum(x @ m for x, m in zip(rows, p["c"]))
-    top = np.where(y < cfg.own, y // cfg.members, y - cfg.own + cfg.groups)
     z = noise.top(rng)
     qy, qz = p["q"][top], p["q"][z]
     up = _sigmoid((noise.log_top - p["b"])[top] - np.einsum("nd,nd->n", h, qy)) / n
     down = _sigmoid(h @ qz.T + (p["b"][z] - noise.log_top[z]))
     down *= -1 / n
     gh = up[:, None] * qy + down @ qz
-    at = np.flatnonzero(y < cfg.own)
-    if len(at):
-        at = at[np.argsort(top[at].astype(np.int16), kind="stable")]  # by group
-        hi, yi = h[at], y[at]
+    first = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+    met = top[first]  # each once
+    own = int(np.searchsorted(top, cfg.groups))
+    if own:
+        hi, yi = h[:own], y[:own]
         wy, off = p["w"][yi], p["v"] - noise.log_inner
         up_i = _sigmoid(-np.einsum("nd,nd->n", hi, wy) - off[yi]) / n
-        gi = up_i[:, None] * wy
-        ends = np.searchsorted(top[at], np.arange(cfg.groups + 1))
-        met = np.flatnonzero(np.diff(ends))
-        zi = noise.inner(met, rng)
-        wz, oz, gz, gv = p["w"][zi], off[zi], np.empty((*zi.shape, h.shape[1]), np.float32), np.empty(zi.shape, np.float32)
-        for k, g in enumerate(met):
-            mine = slice(ends[g], ends[g + 1])
-            down_i = _sigmoid(hi[mine] @ wz[k].T + oz[k])
-            down_i *= -1 / n
-            gi[mine] += down_i @ wz[k]
-            gz[k], gv[k] = down_i.T @ hi[mine], down_i.sum(0)
-        gh[at] += gi
+        gh[:own] += up_i[:, None] * wy
+        groups = met[met < cfg.groups]
+        ends = [*first[: len(groups)].tolist(), own]
+        zi = noise.inner(groups, rng)
+        wz, oz = p["w"][zi], off[zi]
+        down_i, gz = np.empty((own, zi.shape[1]), np.float32), np.empty((*zi.shape, d), np.float32)
+        for k in range(len(groups)):
+            np.add(hi[ends[k] : ends[k + 1]] @ wz[k].T, oz[k], out=down_i[ends[k] : ends[k + 1]])
+        _sigmoid(down_i)
+        down_i *= -1 / n
+        for k in range(len(groups)):
+            part = down_i[ends[k] : ends[k + 1]]
+            gh[ends[k] : ends[k + 1]] += part @ wz[k]
+            np.matmul(part.T, hi[ends[k] : ends[k + 1]], out=gz[k])
         ids = np.concatenate([yi, zi.ravel()])
-        _climb(p["w"], sums["w"], ids, np.concatenate([up_i[:, None] * hi, gz.reshape(-1, h.shape[1])]), rate)
-        _climb(p["v"], sums["v"], ids, np.concatenate([up_i, gv.ravel()]), rate)
-    ids = np.concatenate([top, z])
-    _climb(p["q"], sums["q"], ids, np.concatenate([up[:, None] * h, down.T @ h]), rate)
-    _climb(p["b"], sums["b"], ids, np.concatenate([up, down.sum(0)]), rate)
+        _climb(p["w"], sums["w"], ids, np.concatenate([up_i[:, None] * hi, gz.reshape(-1, d)]), rate)
+        _climb(p["v"], sums["v"], ids, np.concatenate([up_i, np.add.reduceat(down_i, ends[:-1], axis=0).ravel()]), rate)
+    ids = np.concatenate([met, z])
+    _climb(p["q"], sums["q"], ids, np.concatenate([np.add.reduceat(up[:, None] * h, first, axis=0), down.T @ h]), rate)
+    _climb(p["b"], sums["b"], ids, np.concatenate([np.add.reduceat(up, first), down.sum(0)]), rate)
     back = [gh @ m.T for m in p["c"]]
     g = np.stack([x.T @ gh for x in rows])
     sums["c"] += g * g
     p["c"] += rate * g / np.sqrt(sums["c"])
-    _climb(p["r"], sums["r"], np.concatenate(ctx), np.concatenate(back), rate)
+    _climb(p["r"], sums["r"], ctx.ravel(), np.concatenate(back), rate)
 
 
 class Noise:
@@ -258,20 +265,28 @@ def _mean(given: type):
     return run
 
 
-def _count_task(batches):
-    counts: Counter = Counter()
+def _count_task(batches, most: int = 1_500_000):
+    """word, n of some batches at a time, the words as words_of() has them; empty ones, before and behind blanks, are none."""
+    held, words, texts = [], 0, 0
 
     def out():
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+        met = pc.value_counts(pa.chunked_array(held, pa.binary())) if held else None
+        word, n = (met.field("values"), met.field("counts")) if held else (pa.array([], pa.binary()), pa.array([], pa.int64()))
+        real = pc.greater(pc.binary_length(word), 0)
+        word, n = pa.concat_arrays([word.filter(real), pa.array([END], pa.binary())]), pa.concat_arrays([n.filter(real), pa.array([texts], pa.int64())])
+        return pa.RecordBatch.from_arrays([word, n], ["word", "n"])
 
     for b in batches:
-        for t in b.column("text").to_pylist():
-            counts.update(words_of(t))
-            counts[END] += 1
-            if len(counts) > 250_000:
+        column = pc.fill_null(b.column("text"), "")
+        for at in range(0, len(column), 200):
+            part = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(at, 200))).flatten().cast(pa.binary())
+            held.append(part)
+            words += len(part)
+            texts += min(200, len(column) - at)
+            if words > most:
                 yield out()
-                counts.clear()
-    if counts:
+                held, words, texts = [], 0, 0
+    if texts:
         yield out()
 
 
@@ -380,26 +395,28 @@ class Network:
             h += self.ahead[i][ids[at - 1 - i]]
         lp = np.empty(len(at), np.float32)
         for k in range(0, len(at), 1024):  # as many as a processor's cache holds
-            lp[k : k + 1024] = self._softmax(h[k : k + 1024] @ self.qt, top[k : k + 1024])
+            lp[k : k + 1024] = self._softmax(h[k : k + 1024], self.qt, top[k : k + 1024])
         ends = np.searchsorted(top, np.arange(cfg.groups + 1, dtype=np.int16))
         member = y % cfg.members
         for g in np.flatnonzero(np.diff(ends)):
             mine = slice(ends[g], ends[g + 1])
-            lp[mine] += self._softmax(h[mine] @ self.w[g], member[mine])
+            lp[mine] += self._softmax(h[mine], self.w[g], member[mine])
         out = np.empty(len(at), np.float32)
         out[order] = lp
         return out
 
-    def _softmax(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Log-probability of y in each row of scores. Rows whose scores are all far from 0 are moved first."""
+    def _softmax(self, h: np.ndarray, to: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log-probability of y in each row of the scores h @ to."""
+        s = h @ to
         picked = s[np.arange(len(y)), y]
-        if s.max() > 60 or picked.min() < -60:  # a row's largest score is at least the one picked
-            top = s.max(1)
-            far = (top > 60) | (top < -60)
-            s[far] -= top[far, None]
-            picked = s[np.arange(len(y)), y]
-        np.exp(s, out=s)
-        return picked - np.log(s @ self.ones[: s.shape[1]])
+        with np.errstate(over="ignore"):
+            np.exp(s, out=s)
+        total = s @ self.ones[: s.shape[1]]
+        if not (total.min() > 1e-30 and total.max() < 1e30):  # scores far from 0, or none at all: moved by the largest of their row
+            s = h @ to
+            s -= s.max(1, keepdims=True)
+            picked, total = s[np.arange(len(y)), y], np.exp(s).sum(1)
+        return picked - np.log(total)
 
 
 SCORED = "uid long, doc_id long, word binary, salt long, tf long, n_tokens long, n_known long, base double, nn double"
