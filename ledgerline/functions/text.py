@@ -27,14 +27,24 @@ def collapsed(x: Column, size: int = 500) -> Column:
     return F.nullif(F.left(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(size)), F.lit(""))
 
 
-def compact_currency(x: Column) -> Column:
+def fixed(x: Column, digits: int) -> Column:
+    """As SQL's format('{:.nf}'): the double's exact value is rounded, ties go to the even digit. Null stays null."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
+def half_up(x: Column, digits: int) -> Column:
+    """The shortest decimal of x is rounded, ties go away from zero: for amounts that SQL rounds before it formats them."""
+    return F.format_string(f"%.{digits}f", x)
+
+
+def compact_currency(x: Column, show=fixed) -> Column:
     a = F.abs(x)
     return (
         F.when(x.isNull(), F.lit(None))
-        .when(a >= 1e9, F.concat(F.lit("$"), F.format_string("%.1f", x / 1e9), F.lit("B")))
-        .when(a >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", x / 1e6), F.lit("M")))
-        .when(a >= 1e3, F.concat(F.lit("$"), F.format_string("%.0f", x / 1e3), F.lit("K")))
-        .otherwise(F.concat(F.lit("$"), F.format_string("%.0f", x)))
+        .when(a >= 1e9, F.concat(F.lit("$"), show(x / 1e9, 1), F.lit("B")))
+        .when(a >= 1e6, F.concat(F.lit("$"), show(x / 1e6, 1), F.lit("M")))
+        .when(a >= 1e3, F.concat(F.lit("$"), show(x / 1e3, 0), F.lit("K")))
+        .otherwise(F.concat(F.lit("$"), show(x, 0)))
     )
 
 
@@ -44,15 +54,16 @@ def currency(x: Column) -> Column:
 
 
 def percent(x: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", F.coalesce(x, F.lit(0.0)) * 100), F.lit("%"))
+    return F.concat(fixed(F.coalesce(x, F.lit(0.0)) * 100, digits), F.lit("%"))
 
 
-def signed(x: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%+.{digits}f", F.coalesce(x, F.lit(0.0)))
+def signed(x: Column, digits: int = 2, show=fixed) -> Column:
+    v = F.coalesce(x, F.lit(0.0)) + 0.0
+    return F.concat(F.when(v < 0, "").otherwise("+"), show(v, digits))
 
 
 def number(x: Column, digits: int = 2, missing: str = "null") -> Column:
-    return F.when(x.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(x.isNull(), F.lit(missing)).otherwise(fixed(x, digits))
 
 
 #: Words that stay lower case inside a name, and tokens that are always upper case.

@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 from ledgerline import registry
 from ledgerline.functions import metrics as m
 from ledgerline.functions import text as t
-from ledgerline.operators import analogs, deid, evaluate, features, labels, model, portfolio, profile, stress
+from ledgerline.operators import analogs, deid, evaluate, features, labels, model, portfolio, profile, replay, score, stress
 from ledgerline.plans import order
 from ledgerline.queries import risk
 
@@ -211,3 +211,13 @@ def test_contract_and_calibration_by_rank(spark):
     rows = [(0.1,)] * 5 + [(0.2 + i / 100,) for i in range(15)]
     bins = evaluate.calibration_by_rank(spark.createDataFrame([(p, 1) for (p,) in rows], "proba double, target int"), bins=4).orderBy("bin").collect()
     assert [(r.bin, r["count"]) for r in bins] == [(0, 5), (1, 5), (2, 5), (3, 5)]
+
+
+def test_formats_round_the_exact_value_as_sql_does(spark):
+    values = [198500.0, 297500.0, 199500.0, 198550.0, 1.25e6, 1.35e6, 2.5e9 + 5e7, 1500.0, 200000.0]
+    c = duckdb.connect()
+    for v in values:
+        x, y = spark.range(1).select(t.compact_currency(F.lit(v)), t.signed((F.lit(v) - 200000) / 1e5)).first()
+        unit, digits, letter = (1e9, 1, "B") if v >= 1e9 else (1e6, 1, "M") if v >= 1e6 else (1e3, 0, "K")
+        assert x == c.execute(f"SELECT '$' || format('{{:.{digits}f}}', ?::DOUBLE / {unit}) || '{letter}'", [v]).fetchone()[0]
+        assert y == c.execute("SELECT CASE WHEN v < 0 THEN '' ELSE '+' END || format('{:.2f}', v) FROM (SELECT (?::DOUBLE - 200000) / 1e5 AS v)", [v]).fetchone()[0]
