@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.config import DIVERSIFY, GAPS, OPTIMISE, REVIEW, STRENGTHEN
-from ledgerline.functions.text import number
+from ledgerline.functions.text import fixed, number
 
 #: Names of the rules that a label can cite.
 REVIEW_RULES = ("review_insufficient_resilient_refs", "review_low_confidence", "review_acute_and_severe_25pct_stress", "review_structural_outlier")
@@ -147,7 +147,7 @@ def memo_in_sentences(df: DataFrame) -> DataFrame:
         versus("Operating runway", "operating_runway_proxy_months", "benchmark_operating_runway_q75", GAPS[1], " months"),
         versus("Revenue diversification", "revenue_diversification_index", "benchmark_revenue_diversification_q75", GAPS[2]),
     )
-    burn = F.coalesce(F.concat(lit(" with "), F.format_string("%.1f", "stress_25pct_burn_months"), lit(" months of burn runway")), lit(""))
+    burn = F.coalesce(F.concat(lit(" with "), fixed(c("stress_25pct_burn_months"), 1), lit(" months of burn runway")), lit(""))
     stress = F.when(c("stress_test_status") == "computed", F.concat(lit("Under a 25% largest-source shock, severity is "), c("stress_25pct_severity"), F.when(c("stress_25pct_burn_months").isNull(), "").otherwise(burn), lit("."))).otherwise("Stress-test scenario unavailable due to missing raw inputs.")
     years = F.concat(lit("between "), e["pre_window_year"].cast("string"), lit(" and "), e["post_recovery_year"].cast("string"))
     analog = F.coalesce(
@@ -183,7 +183,7 @@ def _position() -> Column:
 def portfolio_row(df: DataFrame) -> DataFrame:
     """The nine columns of a portfolio view."""
     c = F.col
-    mix = F.concat(c("largest_revenue_source"), F.lit(" "), F.format_string("%.0f", c("largest_revenue_source_pct") * 100), F.lit("%"))
+    mix = F.concat(c("largest_revenue_source"), F.lit(" "), fixed(c("largest_revenue_source_pct") * 100, 0), F.lit("%"))
     return df.select(
         "ein", F.coalesce("org_name", F.lit("unknown")).alias("organization_name"), c("cohort_key").alias("peer_cohort"), "checkpoint1_confidence_tier", _position().alias("benchmark_position"),
         "resilience_gap", F.coalesce(mix, F.lit("unavailable")).alias("funding_concentration_profile"), "action_label", "urgency_flag",
@@ -193,7 +193,7 @@ def portfolio_row(df: DataFrame) -> DataFrame:
 def memo_row(df: DataFrame) -> DataFrame:
     """The thirteen columns of a memo view."""
     c = F.col
-    mix = F.concat(c("largest_revenue_source"), F.lit(" "), F.format_string("%.0f", c("largest_revenue_source_pct") * 100), F.lit("%"))
+    mix = F.concat(c("largest_revenue_source"), F.lit(" "), fixed(c("largest_revenue_source_pct") * 100, 0), F.lit("%"))
     return df.select(
         F.coalesce("org_name", F.lit("unknown")).alias("organization_name"), c("cohort_key").alias("peer_cohort"), c("checkpoint1_confidence_tier").alias("confidence_level"), _position().alias("benchmark_position_vs_peers"),
         "resilience_gap", c("trend_direction").alias("trend_7_year"), F.coalesce("recovery_analog_constraint", F.lit("none")).alias("biggest_financial_constraint"), F.coalesce(mix, F.lit("unavailable")).alias("funding_concentration_profile"),

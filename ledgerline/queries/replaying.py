@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import metrics as m
+from ledgerline.functions.text import fixed
 from ledgerline.operators import analogs, replay
 from ledgerline.plans import testpanel as tp
 from ledgerline.plans.oracle import add
@@ -198,5 +199,5 @@ def r16(spark, d):
     safe = replay.time_to_safety(p).select(F.col("ein").alias("peer"), "metric", "safe_year")
     pool = analogs.pool(p).join(safe, ["peer", "metric"], "left")
     end = F.when(F.col("safe_year").isNotNull(), F.concat(F.lit(", crossing the safety line by "), F.col("safe_year").cast("string"), F.lit("."))).otherwise(", not yet past the safety line.")
-    story = F.concat("peer_name", F.lit(" moved "), F.replace("metric", F.lit("_"), F.lit(" ")), F.lit(" from "), F.format_string("%.2f", "pre_value"), F.lit(" to "), F.format_string("%.2f", "post_value"), F.lit(" over "), F.col("pre_year").cast("string"), F.lit("-"), F.col("post_year").cast("string"), end)
+    story = F.concat("peer_name", F.lit(" moved "), F.replace("metric", F.lit("_"), F.lit(" ")), F.lit(" from "), fixed(F.col("pre_value"), 2), F.lit(" to "), fixed(F.col("post_value"), 2), F.lit(" over "), F.col("pre_year").cast("string"), F.lit("-"), F.col("post_year").cast("string"), end)
     return pool.select("peer", "metric", story.alias("story"))

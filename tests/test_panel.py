@@ -221,3 +221,11 @@ def test_formats_round_the_exact_value_as_sql_does(spark):
         unit, digits, letter = (1e9, 1, "B") if v >= 1e9 else (1e6, 1, "M") if v >= 1e6 else (1e3, 0, "K")
         assert x == c.execute(f"SELECT '$' || format('{{:.{digits}f}}', ?::DOUBLE / {unit}) || '{letter}'", [v]).fetchone()[0]
         assert y == c.execute("SELECT CASE WHEN v < 0 THEN '' ELSE '+' END || format('{:.2f}', v) FROM (SELECT (?::DOUBLE - 200000) / 1e5 AS v)", [v]).fetchone()[0]
+
+
+def test_memo_and_narrative_numbers_take_ties_to_the_even_digit(spark):
+    row = spark.createDataFrame([(0.125, -0.375, None)], "a double, b double, none double")
+    assert row.select(t.number(F.col("a")), t.number(F.col("b")), t.number(F.col("none"), 2, "N/A")).first()[:] == ("0.12", "-0.38", "N/A")
+    call = spark.createDataFrame([("AF", "B", 1999, 0.125, 2.25, None)], "state string, ntee_major_category string, fiscal_year int, proba double, t_plus_min_runway double, t_plus_min_margin double")
+    assert call.select(replay.narrative()).first()[0] == "AF, sector B: called in FY1999 at 12%. Least runway after it: 2.2 months."
+    assert spark.range(1).select(replay.outcome(F.lit(2000), F.lit(-0.25), F.lit(0.75))).first()[0] == "FY2000: margin -0.2%, runway 0.8mo"
