@@ -182,8 +182,8 @@ def pipeline(rows: DataFrame, label: str, revenue=(25e4, 1e8), highest: float =
 
 
 def margin_pattern(panel: DataFrame) -> DataFrame:
-    m = c("operating_margin") * 100
-    g = panel.groupBy("ein").agg((F.max(m) - F.min(m)).alias("spread"), (F.max_by(m, "fiscal_year") - F.min_by(m, "fiscal_year")).alias("move"))
+    m = "operating_margin"  # subtracted first, so that rounding moves no value over a bound
+    g = panel.groupBy("ein").agg(((F.max(m) - F.min(m)) * 100).alias("spread"), ((F.max_by(m, "fiscal_year") - F.min_by(m, "fiscal_year")) * 100).alias("move"))
     return g.select("ein", F.when(c("spread") > 120, "variable").when(c("move") > 8, "improving").when(c("move") < -8, "softer").otherwise("steady").alias("pattern"))
 
 

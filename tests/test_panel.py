@@ -229,3 +229,11 @@ def test_memo_and_narrative_numbers_take_ties_to_the_even_digit(spark):
     call = spark.createDataFrame([("AF", "B", 1999, 0.125, 2.25, None)], "state string, ntee_major_category string, fiscal_year int, proba double, t_plus_min_runway double, t_plus_min_margin double")
     assert call.select(replay.narrative()).first()[0] == "AF, sector B: called in FY1999 at 12%. Least runway after it: 2.2 months."
     assert spark.range(1).select(replay.outcome(F.lit(2000), F.lit(-0.25), F.lit(0.75))).first()[0] == "FY2000: margin -0.2%, runway 0.8mo"
+
+
+def test_margin_move_is_subtracted_before_it_is_scaled(spark):
+    pairs = [(a / 1000, (a - 80) / 1000) for a in range(-200, 300, 7)] + [(a / 1000, (a + 80) / 1000) for a in range(-200, 300, 7)]
+    rows = [(str(i), y, m_) for i, pair in enumerate(pairs) for y, m_ in enumerate(pair)]
+    assert any((b - a) * 100 < -8 and not b * 100 - a * 100 < -8 for a, b in pairs)
+    got = dict(portfolio.margin_pattern(spark.createDataFrame(rows, "ein string, fiscal_year int, operating_margin double")).collect())
+    assert got == {str(i): "improving" if (b - a) * 100 > 8 else "softer" if (b - a) * 100 < -8 else "steady" for i, (a, b) in enumerate(pairs)}
