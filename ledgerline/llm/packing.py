@@ -1,14 +1,16 @@
 """Packing into batches: optimal length buckets from the global histogram, then batches of a token budget inside each.
 
-The histogram has every length that occurs, each with its number of texts. Only where there are more than `exact` different
-lengths are they put into bins of 1/512 of their size at most, each with its own largest length as bound; the padded total is
-then at most 1/512 above the least. Dynamic programming over it picks at most `buckets` upper bounds with the least padding in total; every text is
+The histogram has every length that occurs, each with its number of texts, whatever the size of the input: texts of L different
+lengths hold L * L / 2 tokens at least, so L is at most the root of twice the corpus's tokens (100,000 of 5 * 10^9). A caller may
+set `exact`: more lengths than that are put into bins of 1/512 of their size at most, each with its own largest length as
+bound; the padded total is then at most 1/512 above the least. Dynamic programming over it picks at most `buckets` upper bounds with the least padding in total; every text is
 padded to its bucket's bound. A batch of a bucket takes floor(budget / bound) texts; a text over the budget is a batch
 of its own. No text is cut or dropped.
 """
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from ledgerline.llm.tables import cut
 class PackConfig:
     buckets: int = 16
     budget: int = 16_384  # tokens of a batch, padding included
-    exact: int = 100_000  # different lengths that come to the driver
+    exact: int | None = None  # different lengths that come to the driver; None: all, so that no result turns on their number
 
 
 def n_tokens(text: str = "text"):
@@ -37,12 +39,13 @@ def edge(n):
     return F.ceil(n / step).cast("long") * step
 
 
-def histogram(lengths: DataFrame, exact: int) -> list[tuple[int, int]]:
-    """(length, texts) of n_tokens: every length, or if there are more than `exact` the largest of each bin."""
+def histogram(lengths: DataFrame, exact: int | None) -> list[tuple[int, int]]:
+    """(length, texts) of n_tokens: every length, or if there are more than a given `exact` the largest of each bin."""
     known = cut(lengths.groupBy("n_tokens").count())
-    if known.count() > exact:
+    if exact is not None and known.count() > exact:
         known = known.groupBy(edge(F.col("n_tokens"))).agg(F.max("n_tokens").alias("n_tokens"), F.sum("count").alias("count"))
-    return sorted((r["n_tokens"], r["count"]) for r in known.select("n_tokens", "count").collect())
+    got = known.select("n_tokens", "count").orderBy("n_tokens").toArrow()
+    return list(zip(got["n_tokens"].to_pylist(), got["count"].to_pylist()))
 
 
 def bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -58,9 +61,9 @@ def bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
         c.append(c[-1] + n)
     m = len(x)
     best: list = [0] + [None] * m
-    froms: list[list[int]] = []
+    froms: list[array] = []
     for _ in range(min(buckets, m)):
-        new, back, hull, at = [None] * (m + 1), [0] * (m + 1), [], 0
+        new, back, hull, at = [None] * (m + 1), array("q", bytes(8 * (m + 1))), [], 0
         for j in range(m):
             if best[j] is not None:
                 k, b = -c[j], best[j]

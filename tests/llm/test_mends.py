@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, lm, toxicity
+from ledgerline.llm import exact_dedup, lm, packing, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,9 @@ def test_scores_do_not_depend_on_the_layout_of_the_files(spark, tmp_path):
         docs.repartition(parts, F.xxhash64("doc_id") if k else F.lit(1)).write.parquet(str(tmp_path / f"d{k}"))
         got.append({r.doc_id: (r.score, r.base_score) for r in lm.score_documents(spark.read.parquet(str(tmp_path / f"d{k}")), cfg).collect()})
     assert set(got[0]) == set(got[1]) and all(got[0][d] == pytest.approx(got[1][d], rel=1e-4) for d in got[0])
+
+
+def test_packing_takes_every_length_however_many_there_are(spark):
+    lengths = spark.range(1, 100_502).select(F.col("id").alias("n_tokens"))
+    found = packing.histogram(lengths, packing.PackConfig().exact)
+    assert found == [(n, 1) for n in range(1, 100_502)]  # more than were binned before
