@@ -45,11 +45,17 @@ def s04(spark, d):
     return files.panel(spark, p, ["s_suppkey", "s_name"])
 
 
+#: Filings of a file, some 400 bytes each.
+FILINGS = 50_000
+
+
 def xml(spark, d) -> str:
     p = place(spark, "xml")
     header = "named_struct('ReturnTypeCd', if(c_custkey % 9 = 0, '990EZ', '990'), 'TaxPeriodEndDt', '1999-12-31', 'Filer', named_struct('EIN', string(c_custkey), 'BusinessName', named_struct('BusinessNameLine1Txt', c_name))) AS ReturnHeader"
     data = "named_struct('IRS990', named_struct('CYTotalRevenueAmt', if(c_custkey % 7 = 0, 'n/a', string(c_acctbal)))) AS ReturnData"
-    tp.table(spark, d, "customer").selectExpr(header, data).write.format("xml").options(rootTag="Returns", rowTag="Return").save(p)
+    # a task reads whole XML files, so these are of bounded size, and as many tasks as there are cores write them
+    rows = tp.table(spark, d, "customer").repartition(spark.sparkContext.defaultParallelism, "c_custkey").selectExpr(header, data)
+    rows.write.format("xml").options(rootTag="Returns", rowTag="Return", maxRecordsPerFile=FILINGS).save(p)
     return p
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.config import METRICS
 from ledgerline.operators import analogs, cohort, deid, merge, model, portfolio, replay
-from ledgerline.plans import order
+from ledgerline.plans import order, reuse
 from ledgerline.plans.reuse import scratch
-from ledgerline.queries import risk
+from ledgerline.queries import files as file_queries
+from ledgerline.queries import portfolio_views, risk
 from ledgerline.sources import versions
 
 
@@ -278,3 +279,46 @@ def test_analogs_are_searched_only_where_counts_leave_it_open(spark):
     t = spark.createDataFrame([("t1", "A", "AF"), ("t2", "A", "EU"), ("t3", "B", "EU"), ("t4", "C", None)], "target string, sector string, home string").withColumns({"metric": F.lit("m"), "size_bucket": F.lit("s"), "total_revenue": F.lit(1.0)})
     got = sorted(tuple(r) for r in analogs._searches(t, peers, ["metric", "size_bucket", "sector", "state"], 3).select("target", "sector", "state").collect())
     assert got == [("t1", "A", "AF"), ("t2", "A", "*"), ("t3", "*", "*"), ("t3", "*", "EU"), ("t3", "B", "*"), ("t3", "B", "EU"), ("t4", "*", "*")]
+
+
+def test_filings_lie_in_files_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(file_queries, "FILINGS", 10)
+    files_ = spark.read.format("binaryFile").load(file_queries.xml(spark, SF)).select("length").collect()
+    assert len(files_) >= 15 and max(r.length for r in files_) < 10_000
+    assert file_queries.s05(spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+
+
+def test_features_are_made_and_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(risk, "cut", lambda df: written.append(df) or reuse.cut(df))
+    train, test = risk.trained(spark, SF)
+    assert len(written) == 1 and train.count() > 0 and test.count() > 0
+    written.clear()
+    plan = risk.d14(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(written) == 1 and "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_drivers_meet_no_shuffle(spark):
+    train, test = risk.trained(spark, SF)
+    fitted = model.fit_linear(train)
+    scored = model.score(test, fitted)
+    got = model.drivers(scored, fitted)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    names, w = model.feature_names(fitted), fitted.stages[-1].coefficients.toArray()
+    want = {}
+    for r in scored.select("ein", "fiscal_year", vector_to_array("features").alias("x")).collect():
+        parts = defaultdict(float)
+        for (_, feature), x, c in zip(names, r.x, w):
+            parts[feature] += x * c
+        best = sorted((-p, f) for f, p in parts.items() if p > 0)[:3]
+        if best:
+            want[r.ein, r.fiscal_year] = [f for _, f in best]
+    assert {(r.ein, r.fiscal_year): [x.split(" ")[0] for x in r.drivers.split("; ")] for r in got.collect()} == want
+
+
+def test_alignment_makes_the_panel_once(spark, monkeypatch):
+    made = []
+    panel = portfolio_views.panel
+    monkeypatch.setattr(portfolio_views, "panel", lambda *a: made.append(1) or panel(*a))
+    out = portfolio_views.x32(spark, SF)
+    assert len(made) == 1 and "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
