@@ -101,7 +101,10 @@ add("quartiles", "SELECT state, ntee_major_category, fiscal_year, round(quantile
 
 
 def quartiles(spark, d):
-    p = panel(spark, d)
+    return quartiles_of(cut(panel(spark, d).select("ein", "fiscal_year", "state", "ntee_major_category", "operating_margin")))
+
+
+def quartiles_of(p):
     return portfolio.peer_quartiles(p, p.select("state", "ntee_major_category").distinct())
 
 
@@ -332,7 +335,8 @@ def x31(spark, d):
 
 @query("x32_band_alignment", "SELECT m.ein, m.fiscal_year, CASE WHEN round(operating_margin, 6) < q25 THEN 'below' WHEN round(operating_margin, 6) > q75 THEN 'above' ELSE 'inside' END AS band FROM metrics m JOIN quartiles USING (state, ntee_major_category, fiscal_year)", "metrics", "quartiles")
 def x32(spark, d):
-    return portfolio.band_alignment(panel(spark, d), quartiles(spark, d))
+    p = cut(panel(spark, d).select("ein", "fiscal_year", "state", "ntee_major_category", "operating_margin"))  # read by the quartiles and by the rows that meet them
+    return portfolio.band_alignment(p, quartiles_of(p))
 
 
 @query(
