@@ -7,7 +7,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.config import DEFAULT, PanelConfig
@@ -169,15 +169,16 @@ def importances(spark, model: PipelineModel) -> DataFrame:
 
 def drivers(scored: DataFrame, model: PipelineModel, top: int = 3) -> DataFrame:
     """For each row the features that raise its log-odds most: coefficient x standardised value, summed by source feature."""
-    spark = scored.sparkSession
-    w = model.stages[-1].coefficients.toArray().tolist()
-    table = spark.createDataFrame([(i, g, float(x)) for i, ((_, g), x) in enumerate(zip(feature_names(model), w))], "at int, feature string, coefficient double")
-    long = scored.select("ein", "fiscal_year", F.posexplode(vector_to_array("features")).alias("at", "value")).where("value <> 0")
-    parts = long.join(F.broadcast(table), "at").groupBy("ein", "fiscal_year", "feature").agg(F.sum(F.col("value") * F.col("coefficient")).alias("part"))
-    best = Window.partitionBy("ein", "fiscal_year").orderBy(F.desc("part"), "feature")
-    ranked = parts.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= top) & (F.col("part") > 0))
-    text = F.format_string("%s (+%.2f)", "feature", "part")
-    return ranked.groupBy("ein", "fiscal_year").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), "; ").alias("drivers"))
+    w = F.array(*[F.lit(float(x)) for x in model.stages[-1].coefficients.toArray()])
+    columns: dict[str, list[int]] = {}
+    for i, (_, feature) in enumerate(feature_names(model)):  # those of one feature stand side by side
+        columns.setdefault(feature, []).append(i)
+    part = lambda at: F.aggregate(F.slice("_parts", at[0] + 1, len(at)), F.lit(0.0), lambda a, x: a + x)
+    each = F.array(*[F.struct((-part(at)).alias("less"), F.lit(feature).alias("feature")) for feature, at in columns.items()])
+    best = F.slice(F.array_sort(F.filter(each, lambda x: x["less"] < 0)), 1, top)
+    rows = scored.select("ein", "fiscal_year", vector_to_array("features").alias("_x")).withColumn("_parts", F.zip_with("_x", w, lambda x, y: x * y)).withColumn("_best", best)
+    text = F.array_join(F.transform("_best", lambda x: F.format_string("%s (+%.2f)", x["feature"], -x["less"])), "; ")
+    return rows.where(F.size("_best") > 0).select("ein", "fiscal_year", text.alias("drivers"))
 
 
 def global_drivers(scored: DataFrame, model: PipelineModel) -> DataFrame:

@@ -104,15 +104,15 @@ def frame(spark, d):
     "risk",
 )
 def d10(spark, d):
-    train, test = model.split(frame(spark, d))
+    train, test = trained(spark, d)
     fit, late = model.validation(train)
     side = lambda df, n: df.agg(F.lit(n).alias("part"), F.count("*").alias("n"), F.sum("target").alias("positives"))
     return side(train, "train").unionByName(side(test, "test")).unionByName(side(fit, "fit")).unionByName(side(late, "validation"))
 
 
 def trained(spark, d):
-    train, test = model.split(frame(spark, d))
-    return cut(train), cut(test)
+    """Rows of known target up to the last training year, and those of the test years: the features are made and written once."""
+    return model.split(cut(frame(spark, d).where("target IS NOT NULL")))
 
 
 NUMBERS = {
@@ -181,8 +181,9 @@ def d13(spark, d):
 
 @query("d14_batch_scoring")
 def d14(spark, d):
-    train, _ = trained(spark, d)
-    keys = frame(spark, d).where("fiscal_year IN (2000, 2001)")
+    whole = cut(frame(spark, d))  # the rows to score have no target yet
+    train, _ = model.split(whole)
+    keys = whole.where("fiscal_year IN (2000, 2001)")
     return model.score(keys, model.fit_linear(train)).select(*KEY, r6("proba"))
 
 
