@@ -72,8 +72,8 @@ MONEY = ["total_revenue", "total_expenses", "net_assets_eoy", "cash_non_interest
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each customer and order year: lines are summed by order, orders by customer and year, and only these meet
-    the customers."""
-    by_year = _orders(spark, sf_dir).groupBy("o_custkey", F.year("o_orderdate").alias("fiscal_year")).agg(F.to_date(F.max("o_orderdate")).alias("tax_period_end"), *[F.sum(x).alias(x) for x in SUMS])
+    the customers. Orders are dealt by customer, which serves the sums by year as well as the meeting."""
+    by_year = _orders(spark, sf_dir).repartition("o_custkey").groupBy("o_custkey", F.year("o_orderdate").alias("fiscal_year")).agg(F.to_date(F.max("o_orderdate")).alias("tax_period_end"), *[F.sum(x).alias(x) for x in SUMS])
     return _identified(_with_amounts(spark, sf_dir, by_year)).select(*KEYS, *MONEY, *SHARES)
 
 

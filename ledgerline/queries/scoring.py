@@ -338,6 +338,7 @@ add(
 @query("e12_improvement_analogs", "SELECT target, peer, metric, round(pre_value, 6) AS pre_value, round(post_value, 6) AS post_value, recovery_window, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(post_value - pre_value, 9) DESC, peer) AS rank FROM gained) WHERE rank <= 3", "gained")
 def e12(spark, d):
     p = m.with_metrics(stress.deficit_stress(tp.panel(spark, d))).withColumnRenamed("burn0", "deficit_runway")
+    p = cut(p.select(*KEY, "tax_period_end", "ntee_major_category", "state", "total_revenue", "deficit_runway", "shock_absorption_months", *METRICS))
     acute = stress.urgency(merge.latest_row(p)).where("urgency_flag")
     return analogs.improvements(acute, p).select("target", "peer", "metric", r6("pre_value"), r6("post_value"), "recovery_window", "rank")
 

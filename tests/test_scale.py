@@ -15,7 +15,7 @@ from ledgerline.operators import analogs, cohort, deid, merge, model, portfolio,
 from ledgerline.plans import order, reuse
 from ledgerline.plans.reuse import scratch
 from ledgerline.queries import files as file_queries
-from ledgerline.queries import portfolio_views, risk
+from ledgerline.queries import portfolio_views, risk, scoring
 from ledgerline.sources import versions
 
 
@@ -322,3 +322,15 @@ def test_alignment_makes_the_panel_once(spark, monkeypatch):
     monkeypatch.setattr(portfolio_views, "panel", lambda *a: made.append(1) or panel(*a))
     out = portfolio_views.x32(spark, SF)
     assert len(made) == 1 and "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_improvement_analogs_make_the_panel_once(spark, monkeypatch):
+    made, panel = [], scoring.tp.panel
+    monkeypatch.setattr(scoring.tp, "panel", lambda *a: made.append(1) or panel(*a))
+    written = []
+    for where in (scoring, analogs, order):
+        monkeypatch.setattr(where, "cut", lambda df: written.append(df) or reuse.cut(df))
+    out = scoring.e12(spark, SF)
+    assert len(made) == 1
+    read = [df for df in written if "l_orderkey" in df._jdf.queryExecution().optimizedPlan().toString()]
+    assert len(read) == 1 and "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
