@@ -211,14 +211,15 @@ add(
 )
 
 
-def batch(spark, d, n=15):
-    return feed1(spark, d).where(F.col("filing_id") % n == 0).withColumns({"total_revenue": F.round(F.col("total_revenue") * 2, 2), "submitted_on": F.lit("2003-01-01")})
+def batch(feed, n=15):
+    return feed.where(F.col("filing_id") % n == 0).withColumns({"total_revenue": F.round(F.col("total_revenue") * 2, 2), "submitted_on": F.lit("2003-01-01")})
 
 
 @query("u06_merge_by_source", "SELECT filing_id, ein, tax_period_end, total_revenue, submitted_on FROM merged", "merged")
 def u06(spark, d):
-    current = merge.upsert(spine1(spark, d), feed1(spark, d), KEY)
-    return merge.merge_by_source(current, batch(spark, d), KEY, F.col("submitted_on").isNotNull()).select("filing_id", *KEY, "total_revenue", "submitted_on")
+    feed = cut(feed1(spark, d))
+    current = merge.upsert(spine1(spark, d), feed, KEY)
+    return merge.merge_by_source(current, batch(feed), KEY, F.col("submitted_on").isNotNull()).select("filing_id", *KEY, "total_revenue", "submitted_on")
 
 
 @query(
@@ -302,11 +303,13 @@ add("batch2", "SELECT * REPLACE (round(total_revenue * 2, 2) AS total_revenue, '
     "batch2",
 )
 def u12(spark, d):
-    """Two batches, the first of them delivered twice, into a table of versions."""
-    path = scratch(spark)
-    versions.create(path, merge.upsert(spine1(spark, d), feed1(spark, d), KEY), "fiscal_year")
+    """Two batches, the first of them delivered twice, into a table of versions. Filings of the two sources lie in partitions
+    of their own, so a batch rewrites only those of the feed."""
+    path, feed = scratch(spark), cut(feed1(spark, d))
+    placed = lambda df: df.withColumn("part", F.concat_ws("-", "fiscal_year", F.when(F.col("submitted_on").isNull(), "own").otherwise("fed")))
+    versions.create(path, placed(merge.upsert(spine1(spark, d), feed, KEY)), "part")
     for name, n in (("2003-01", 15), ("2003-02", 35), ("2003-01", 15)):
-        versions.ingest(path, cut(batch(spark, d, n)), name, KEY, F.col("submitted_on").isNotNull())
+        versions.ingest(path, placed(batch(feed, n)), name, KEY, F.col("submitted_on").isNotNull())
     return versions.read(spark, path).select("filing_id", "total_revenue", "submitted_on")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerline.operators import merge
+from ledgerline.plans.reuse import cut
 
 PART = "_part"
 
@@ -100,17 +100,22 @@ def read(spark: SparkSession, path: str, version: Version | None = None, only: s
 
 
 def ingest(path: str, batch: DataFrame, batch_id: str, keys: list[str], from_feed: Column) -> Version:
-    """Merges a batch (merge.merge_by_source) and returns the version that holds it: the present one if it does already.
-    Rewritten are the partitions that the batch has rows for or that hold rows of its keys; of the others only keys are
-    read. Columns that only the batch has are null in older rows. batch should be a table: it is read several times."""
+    """Merges a batch as merge.merge_by_source does and returns the version that holds it: the present one if it does already.
+    Rewritten are the partitions that take rows of the batch or hold fed rows that give way to it; of all others keys are
+    read once. Columns that only the batch has are null in older rows. batch should be a table or a part of one: it is
+    read several times."""
     spark = batch.sparkSession
     now = latest(spark, path)
     if batch_id in now.batches:
         return now
     held = read(spark, path, now)
-    same_keys = held.join(batch.select(*keys).distinct(), keys, "left_semi")
-    touched = {r[0] for r in batch.select(_label(now.by)).union(same_keys.select(_label(now.by))).distinct().collect()}
-    merged = merge.merge_by_source(read(spark, path, now, touched), batch, keys, from_feed)
+    known = held.select(*keys, _label(now.by).alias(PART), from_feed.alias("_fed"))
+    same_keys = cut(known.join(batch.select(*keys).distinct(), keys, "left_semi"))
+    new = batch.join(same_keys.where("NOT _fed").select(*keys).distinct(), keys, "left_anti")
+    touched = {r[0] for r in new.select(_label(now.by)).union(same_keys.where("_fed").select(PART)).distinct().collect()}
+    current = read(spark, path, now, touched)
+    old = current.where(from_feed).join(batch.select(*keys).distinct(), keys, "left_anti")
+    merged = current.where(~from_feed).unionByName(old).unionByName(new, allowMissingColumns=True)
     schema = held.limit(0).unionByName(batch.limit(0), allowMissingColumns=True).schema
     parts = {p: f for p, f in now.parts.items() if p not in touched} | _write(spark, path, merged, now.by)
     version = Version(now.number + 1, [*now.batches, batch_id], parts, schema.json(), now.by)
