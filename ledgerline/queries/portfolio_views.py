@@ -362,7 +362,7 @@ def x11(spark, d):
 
 @query("x11_analog_cards", "SELECT ein, fiscal_year, peer, peer_name || ' (' || peer_state || ')' AS title, 'FY' || pre_year || '-FY' || post_year AS span, metric, round(round(post_value, 6) - round(pre_value, 6), 6) AS gain FROM matched", "matched")
 def x11b(spark, d):
-    return stages.enriched(tp.panel(spark, d), tp.CONFIG).select("ein", "fiscal_year", F.inline(cards.analog_cards()))
+    return stages.recovered(tp.panel(spark, d), tp.CONFIG).select("ein", "fiscal_year", F.inline(cards.analog_cards()))
 
 
 @query("x13_label_patch", "SELECT ein, CASE WHEN ein IN ('1', '2') THEN 'Needs Data Diligence' ELSE action_label END AS action_label, round(investment_yield + 0.5, 3) AS investment_yield FROM orgs", "orgs")

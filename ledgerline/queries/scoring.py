@@ -145,7 +145,7 @@ add(
 
 
 def assigned(spark, d):
-    return stages.assigned(tp.panel(spark, d))
+    return stages.assigned(tp.panel(spark, d), tp.CONFIG, *stages.COMPARED)
 
 
 @query("b01_cohort_sizes", "SELECT 0 AS level, count(*) AS cohorts, sum(n) AS members FROM (SELECT count(DISTINCT ein) AS n FROM ok_rows WHERE ntee_major_category IS NOT NULL GROUP BY ntee_major_category, size_bucket, state) UNION ALL SELECT 1, count(*), sum(n) FROM (SELECT count(DISTINCT ein) AS n FROM ok_rows GROUP BY size_bucket, state, return_type) UNION ALL SELECT 2, count(*), sum(n) FROM (SELECT count(DISTINCT ein) AS n FROM ok_rows GROUP BY size_bucket, state)", "ok_rows")
@@ -298,17 +298,13 @@ def e08(spark, d):
 def e09(spark, d):
     panel = cut(tp.panel(spark, d))
     pool = cut(analogs.pool(m.with_metrics(panel)))
-    return analogs.match(stages.compared(stages.assigned(panel, tp.CONFIG), tp.CONFIG), pool).select(*KEY, "peer", "rank")
-
-
-def enriched(spark, d):
-    return stages.enriched(tp.panel(spark, d), tp.CONFIG)
+    return analogs.match(stages.compared(stages.assigned(panel, tp.CONFIG, *stages.COMPARED), tp.CONFIG), pool).select(*KEY, "peer", "rank")
 
 
 @query("e10_evidence", "SELECT ein, fiscal_year, recovery_analog_eins, recovery_analog_count, recovery_analog_constraint, recovery_analog_status, e1.org_name AS first_name, e1.v1 AS first_post_value FROM labelled", "labelled")
 def e10(spark, d):
     e = F.try_element_at("recovery_analog_evidence", F.lit(1))
-    return enriched(spark, d).select(*KEY, F.array_join("recovery_analog_eins", ",").alias("recovery_analog_eins"), "recovery_analog_count", "recovery_analog_constraint", "recovery_analog_status", e["org_name"].alias("first_name"), e["matched_metric_post_value"].alias("first_post_value"))
+    return stages.recovered(tp.panel(spark, d), tp.CONFIG).select(*KEY, F.array_join("recovery_analog_eins", ",").alias("recovery_analog_eins"), "recovery_analog_count", "recovery_analog_constraint", "recovery_analog_status", e["org_name"].alias("first_name"), e["matched_metric_post_value"].alias("first_post_value"))
 
 
 @query("e11_urgency", f"SELECT ein, fiscal_year, {_URGENCY} FROM metrics", "metrics")
@@ -455,7 +451,8 @@ _MIX = "coalesce(largest_revenue_source || ' ' || format('{:.0f}', largest_reven
 
 @query("l08_contract_views", f"SELECT ein, org_name AS organization_name, cohort_key AS peer_cohort, checkpoint1_confidence_tier, {_POS} AS benchmark_position, round(resilience_gap, 6) AS resilience_gap, {_MIX} AS funding_concentration_profile, action_label, urgency_flag FROM labelled", "labelled")
 def l08(spark, d):
-    return labels.portfolio_row(labelled(spark, d)).withColumn("resilience_gap", F.round("resilience_gap", 6))
+    """Reads nothing of the analogs, the trend or the memo, so these are not made."""
+    return labels.portfolio_row(labels.label(stages.stressed(tp.panel(spark, d), tp.CONFIG))).withColumn("resilience_gap", F.round("resilience_gap", 6))
 
 
 @query("l08_memo_view", f"SELECT org_name AS organization_name, cohort_key AS peer_cohort, checkpoint1_confidence_tier AS confidence_level, {_POS} AS benchmark_position_vs_peers, round(resilience_gap, 6) AS resilience_gap, trend_direction AS trend_7_year, coalesce(recovery_analog_constraint, 'none') AS biggest_financial_constraint, {_MIX} AS funding_concentration_profile, round(shock_absorption_months, 6) AS shock_absorption_months, coalesce(stress_25pct_severity, 'unavailable') AS stress_test_scenario, recovery_analog_eins AS recovery_analogs, action_label AS final_recommendation, memo_text AS plain_english_why FROM memos", "memos")

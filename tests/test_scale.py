@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.config import METRICS
 from ledgerline.operators import analogs, cohort, deid, merge, model, portfolio, replay
-from ledgerline.plans import order, reuse
+from ledgerline.plans import order, reuse, stages
 from ledgerline.plans.reuse import scratch
+from ledgerline.queries import base, portfolio_views, risk, scoring
 from ledgerline.queries import files as file_queries
-from ledgerline.queries import portfolio_views, risk, scoring
 from ledgerline.sources import versions
 
 
@@ -334,3 +334,47 @@ def test_improvement_analogs_make_the_panel_once(spark, monkeypatch):
     assert len(made) == 1
     read = [df for df in written if "l_orderkey" in df._jdf.queryExecution().optimizedPlan().toString()]
     assert len(read) == 1 and "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _never(*_, **__):
+    raise AssertionError("this step is not needed here")
+
+
+@pytest.mark.parametrize("query", [portfolio_views.x11b, scoring.e10])
+def test_analogs_alone_need_no_scores_and_few_columns(spark, monkeypatch, query):
+    for where, name in ((stages.cohort, "z_scores"), (stages.cohort, "confidence"), (stages.stress, "shocks")):
+        monkeypatch.setattr(where, name, _never)
+    wide, cut = [], stages.cut
+    monkeypatch.setattr(stages, "cut", lambda df: wide.append("pct_contributions" in df.columns) or cut(df))
+    assert query(spark, SF).count() > 0 and sum(wide) == 1  # the panel
+
+
+def test_portfolio_rows_need_no_analogs_trend_or_memo(spark, monkeypatch):
+    for where, name in ((analogs, "match"), (analogs, "pool"), (stages.labels, "trend"), (stages.labels, "memo")):
+        monkeypatch.setattr(where, name, _never)
+    assert scoring.l08(spark, SF).count() > 0
+
+
+def test_labels_write_wide_rows_three_times(spark, monkeypatch):
+    wide, cut = [], stages.cut
+    monkeypatch.setattr(stages, "cut", lambda df: wide.append("pct_contributions" in df.columns and not getattr(df, reuse._CUT, False)) or cut(df))
+    assert scoring.l07(spark, SF).first().longest > 0 and sum(wide) == 3  # the panel, its eligible rows, the scored rows
+
+
+def test_a_batch_leaves_the_partitions_of_other_sources(spark, monkeypatch):
+    path = scratch(spark)
+    monkeypatch.setattr(base, "scratch", lambda _: path)
+    assert base.u12(spark, SF).count() > 0
+    first, last = versions.latest(spark, path, 0), versions.latest(spark, path)
+    assert last.batches == ["2003-01", "2003-02"] and set(first.parts) == set(last.parts)
+    kept = {p for p in first.parts if first.parts[p] == last.parts[p]}
+    assert kept >= {p for p in first.parts if p.endswith("own")} and len(kept) < len(first.parts)
+
+
+def test_a_batch_row_of_an_own_key_in_another_partition_is_left_out(spark):
+    path = scratch(spark)
+    versions.create(path, _rows(spark, [("a", 1, 2000, 1.0, None), ("b", 1, 2001, 2.0, "x"), ("b", 2, 2002, 2.0, "x")]), "fiscal_year")
+    zero = versions.latest(spark, path)
+    one = versions.ingest(path, _rows(spark, [("a", 1, 2003, 9.0, "y"), ("b", 1, 2004, 8.0, "y")]), "m1", ["ein", "period"], fed())
+    assert _state(spark, path) == [("a", 1, 2000, 1.0, None), ("b", 1, 2004, 8.0, "y"), ("b", 2, 2002, 2.0, "x")]
+    assert all(one.parts[p] == zero.parts[p] for p in ("2000", "2002")) and "2003" not in one.parts and "2001" not in one.parts
