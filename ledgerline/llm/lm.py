@@ -17,9 +17,7 @@ ones, no key of which can be hot, leave the task to meet their counts.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -67,28 +65,68 @@ def tail_class(word: bytes, classes: int) -> int:
     return zlib.crc32(word[-3:]) % classes
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC = _crc_table()
+
+
+def tail_classes(words: pa.Array, classes: int) -> np.ndarray:
+    """tail_class() of all these words (binary, none null) at once."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset)
+    size, last = np.diff(at), at[1:].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1):
+        some = np.flatnonzero(size >= k)
+        crc[some] = CRC[(crc[some] ^ data[last[some] - k]) & 255] ^ crc[some] >> 8
+    return (~crc % np.uint32(classes)).astype(np.int64)
+
+
+def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of() all these texts, one after another, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    real = pc.greater(pc.binary_length(words), 0)  # before and behind blanks there are empty ones
+    kept = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    ends = np.cumsum(sizes)
+    return words if kept[-1] == len(words) else words.filter(real), kept[ends] - kept[ends - sizes]
+
+
+def runs(texts: pa.Array, most: int = 1 << 22):
+    """First and last + 1 of texts that have at most `most` bytes in all, or of one text."""
+    bytes_ = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(bytes_):
+        b = max(a + 1, int(np.searchsorted(bytes_, (bytes_[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 class Encoder:
-    """Words to numbers: own words first, then tail classes; remembers words, up to a bound."""
+    """Words to numbers: own words first, then tail classes."""
 
     def __init__(self, own: dict[bytes, int], cfg: LmConfig):
-        self.own, self.cfg, self.memo = own, cfg, dict(own)
-
-    def __call__(self, words: list[bytes]) -> list[int]:
-        memo = self.memo
-        if len(memo) > 300_000:
-            memo = self.memo = dict(self.own)
-        ids = list(map(memo.get, words))
-        if None in ids:
-            for i, v in enumerate(ids):
-                if v is None:
-                    w = words[i]
-                    ids[i] = memo[w] = self.cfg.own + tail_class(w, self.cfg.tail_classes)
+        self.own, self.cfg = pa.array(sorted(own, key=own.get), pa.binary()), cfg
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        found = pc.index_in(words, value_set=self.own)
+        ids = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if found.null_count:
+            ids[ids < 0] = self.cfg.own + tail_classes(words.filter(pc.is_null(found)), self.cfg.tail_classes)
         return ids
 
 
-def laid_out(codes: np.ndarray, sizes: list[int], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def laid_out(codes: np.ndarray, sizes: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Texts of these sizes one after another, each with CONTEXT ends before it and one after it, and the places of its tokens."""
-    lens = np.array(sizes, np.int64) + CONTEXT + 1
+    lens = sizes + CONTEXT + 1
     ids = np.full(int(lens.sum()), end, np.int64)
     first = np.cumsum(lens) - lens
     target = np.ones(len(ids), bool)
@@ -100,11 +138,6 @@ def laid_out(codes: np.ndarray, sizes: list[int], end: int = 0) -> tuple[np.ndar
     return ids, np.flatnonzero(target)
 
 
-def flat_of(texts: list[list[int]]) -> tuple[np.ndarray, list[int]]:
-    sizes = list(map(len, texts))
-    return np.fromiter(chain.from_iterable(texts), np.int64, sum(sizes)), sizes
-
-
 def start(top: np.ndarray, inner: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
     """Parameters before training, with unigram biases. top: masses of groups and tail classes, inner: of own words."""
     rng, d = np.random.default_rng(cfg.seed), cfg.dim
@@ -131,14 +164,35 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def _climb(p: np.ndarray, sums: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
-    """An Adagrad step on the rows `ids` of p, which may repeat."""
-    order = np.argsort(ids.astype(np.int16) if len(p) < 1 << 15 else ids, kind="stable")  # short numbers are sorted by radix
+def _met(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ids (under `most`), and where in it each different one begins."""
+    order = np.argsort(ids.astype(np.int16) if most <= 1 << 15 else ids, kind="stable")  # short numbers are sorted by radix
     ids = ids[order]
-    starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    g, at = np.add.reduceat(rows[order], starts, axis=0), ids[starts]
-    sums[at] += g * g
-    p[at] += rate * g / np.sqrt(sums[at])
+    return order, np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+
+
+def _added(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each start to the next. Numbers are added in pairs, as complex ones, which takes half the time."""
+    if rows.ndim == 2 and rows.shape[1] % 2 == 0 and rows.dtype == np.float32:
+        return np.add.reduceat(np.ascontiguousarray(rows).view(np.complex64), starts, axis=0).view(np.float32)
+    return np.add.reduceat(rows, starts, axis=0)
+
+
+def _climb(p: np.ndarray, sums: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """An Adagrad step on the rows `at` of p, all different."""
+    s = sums.take(at, axis=0)
+    s += g * g
+    sums[at] = s
+    np.sqrt(s, out=s)
+    np.divide(g, s, out=s)
+    s *= np.float32(rate)
+    p[at] += s
+
+
+def _climb_sums(p: np.ndarray, sums: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
+    """The same on the rows `ids`, which may repeat."""
+    order, starts = _met(ids, len(p))
+    _climb(p, sums, ids[order[starts]], _added(rows.take(order, axis=0), starts), rate)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -156,28 +210,38 @@ def nce_step(p: dict, sums: dict, ctx: np.ndarray, y: np.ndarray, noise: Noise,
     its groups, then the tail classes, so that each group's tokens meet their shared noise as one matrix product."""
     n, d = np.float32(len(y)), cfg.dim
     top = np.where(y < cfg.own, y // cfg.members, y - cfg.own + cfg.groups)
-    order = np.argsort(top.astype(np.int16), kind="stable")
-    ctx, y, top = ctx[:, order], y[order], top[order]
-    rows = [p["r"][c] for c in ctx]
-    h = sum(x @ m for x, m in zip(rows, p["c"]))
+    order, first = _met(top, cfg.groups + cfg.tail_classes)
+    ctx, y, top = ctx.take(order, axis=1), y.take(order), top.take(order)
+    # words repeat within a minibatch: what concerns a word of the context alone is done once for each
+    there = np.zeros(len(p["r"]), bool)
+    there[ctx] = True
+    words = np.flatnonzero(there)
+    number = np.empty(len(there), np.int64)
+    number[words] = np.arange(len(words))
+    rows, ctx = p["r"].take(words, axis=0), number.take(ctx)
+    h = sum((rows @ m).take(c, axis=0) for c, m in zip(ctx, p["c"]))
     z = noise.top(rng)
-    qy, qz = p["q"][top], p["q"][z]
-    up = _sigmoid((noise.log_top - p["b"])[top] - np.einsum("nd,nd->n", h, qy)) / n
-    down = _sigmoid(h @ qz.T + (p["b"][z] - noise.log_top[z]))
+    qy, qz = p["q"].take(top, axis=0), p["q"][z]
+    up = _sigmoid((noise.log_top - p["b"]).take(top) - np.einsum("nd,nd->n", h, qy)) / n
+    down = h @ qz.T
+    down += p["b"][z] - noise.log_top[z]
+    down = _sigmoid(down)
     down *= -1 / n
-    gh = up[:, None] * qy + down @ qz
-    first = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+    gh = down @ qz
+    qy *= up[:, None]
+    gh += qy
     met = top[first]  # each once
     own = int(np.searchsorted(top, cfg.groups))
     if own:
         hi, yi = h[:own], y[:own]
-        wy, off = p["w"][yi], p["v"] - noise.log_inner
-        up_i = _sigmoid(-np.einsum("nd,nd->n", hi, wy) - off[yi]) / n
-        gh[:own] += up_i[:, None] * wy
+        wy, off = p["w"].take(yi, axis=0), p["v"] - noise.log_inner
+        up_i = _sigmoid(-np.einsum("nd,nd->n", hi, wy) - off.take(yi)) / n
+        wy *= up_i[:, None]
+        gh[:own] += wy
         groups = met[met < cfg.groups]
         ends = [*first[: len(groups)].tolist(), own]
         zi = noise.inner(groups, rng)
-        wz, oz = p["w"][zi], off[zi]
+        wz, oz = p["w"].take(zi, axis=0), off.take(zi)
         down_i, gz = np.empty((own, zi.shape[1]), np.float32), np.empty((*zi.shape, d), np.float32)
         for k in range(len(groups)):
             np.add(hi[ends[k] : ends[k + 1]] @ wz[k].T, oz[k], out=down_i[ends[k] : ends[k + 1]])
@@ -188,16 +252,20 @@ def nce_step(p: dict, sums: dict, ctx: np.ndarray, y: np.ndarray, noise: Noise,
             gh[ends[k] : ends[k + 1]] += part @ wz[k]
             np.matmul(part.T, hi[ends[k] : ends[k + 1]], out=gz[k])
         ids = np.concatenate([yi, zi.ravel()])
-        _climb(p["w"], sums["w"], ids, np.concatenate([up_i[:, None] * hi, gz.reshape(-1, d)]), rate)
-        _climb(p["v"], sums["v"], ids, np.concatenate([up_i, np.add.reduceat(down_i, ends[:-1], axis=0).ravel()]), rate)
+        _climb_sums(p["w"], sums["w"], ids, np.concatenate([up_i[:, None] * hi, gz.reshape(-1, d)]), rate)
+        _climb_sums(p["v"], sums["v"], ids, np.concatenate([up_i, np.add.reduceat(down_i, ends[:-1], axis=0).ravel()]), rate)
     ids = np.concatenate([met, z])
-    _climb(p["q"], sums["q"], ids, np.concatenate([np.add.reduceat(up[:, None] * h, first, axis=0), down.T @ h]), rate)
-    _climb(p["b"], sums["b"], ids, np.concatenate([np.add.reduceat(up, first), down.sum(0)]), rate)
-    back = [gh @ m.T for m in p["c"]]
-    g = np.stack([x.T @ gh for x in rows])
+    _climb_sums(p["q"], sums["q"], ids, np.concatenate([_added(up[:, None] * h, first), down.T @ h]), rate)
+    _climb_sums(p["b"], sums["b"], ids, np.concatenate([np.add.reduceat(up, first), down.sum(0)]), rate)
+    back, g = np.zeros_like(rows), np.empty_like(p["c"])
+    for i, c in enumerate(ctx):
+        order, starts = _met(c, len(words))
+        at, x = c[order[starts]], _added(gh.take(order, axis=0), starts)
+        back[at] += x @ p["c"][i].T
+        g[i] = rows.take(at, axis=0).T @ x
     sums["c"] += g * g
     p["c"] += rate * g / np.sqrt(sums["c"])
-    _climb(p["r"], sums["r"], ctx.ravel(), np.concatenate(back), rate)
+    _climb(p["r"], sums["r"], words, back, rate)
 
 
 class Noise:
@@ -217,24 +285,24 @@ class Noise:
         return np.clip(at, group[:, None] * self.cfg.members, (group[:, None] + 1) * self.cfg.members - 1)
 
 
-def _minibatches(texts, encoder: Encoder, size: int):
+def _minibatches(texts: pa.Array, encoder: Encoder, size: int):
     """(contexts, targets) of about `size` tokens over whole texts."""
-    held, n = [], 0
-    for t in texts:
-        held.append(encoder(words_of(t)))
-        n += len(held[-1]) + 1
-        if n >= 8 * size:
-            yield from _cut(held, size)
-            held, n = [], 0
-    if held:
-        yield from _cut(held, size)
-
-
-def _cut(held: list[list[int]], size: int):
-    ids, at = laid_out(*flat_of(held))
-    for k in range(0, len(at), size):
-        a = at[k : k + size]
-        yield np.stack([ids[a - i - 1] for i in range(CONTEXT)]), ids[a]
+    codes, sizes = np.empty(0, np.int64), np.empty(0, np.int64)  # of texts not yet given out
+    for first, last in runs(texts):
+        words, n = parted(texts[first:last])
+        codes, sizes = np.concatenate([codes, encoder(words)]), np.concatenate([sizes, n])
+        ends, tokens, a = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(sizes + 1))), 0
+        while a < len(sizes):
+            b = int(np.searchsorted(tokens, tokens[a] + 8 * size))
+            if b > len(sizes) and last < len(texts):
+                break
+            b = min(b, len(sizes))
+            ids, at = laid_out(codes[ends[a] : ends[b]], sizes[a:b])
+            for k in range(0, len(at), size):
+                x = at[k : k + size]
+                yield np.stack([ids[x - i - 1] for i in range(CONTEXT)]), ids[x]
+            a = b
+        codes, sizes = codes[ends[a] :], sizes[a:]
 
 
 def _train_task(own: dict, params: dict, top: np.ndarray, inner: np.ndarray, cfg: LmConfig, turn: int):
@@ -245,7 +313,7 @@ def _train_task(own: dict, params: dict, top: np.ndarray, inner: np.ndarray, cfg
         sums = {k: np.full_like(v, 1e-4) for k, v in p.items()}
         rng, encoder, noise, seen = np.random.default_rng(cfg.seed + turn), Encoder(own, cfg), Noise(top, inner, cfg), 0
         for b in batches:
-            for ctx, y in _minibatches(b.column("text").to_pylist(), encoder, cfg.batch):
+            for ctx, y in _minibatches(b.column("text"), encoder, cfg.batch):
                 nce_step(p, sums, ctx, y, noise, rng, cfg, cfg.rate / (1 + turn))
                 seen += len(y)
         if seen:
@@ -390,9 +458,9 @@ class Network:
         top = self.top[y]
         order = np.argsort(top, kind="stable")  # by group, then the tail classes
         at, y, top = at[order], y[order], top[order]
-        h = self.ahead[0][ids[at - 1]]
+        h = self.ahead[0].take(ids[at - 1], axis=0)
         for i in range(1, CONTEXT):
-            h += self.ahead[i][ids[at - 1 - i]]
+            h += self.ahead[i].take(ids[at - 1 - i], axis=0)
         lp = np.empty(len(at), np.float32)
         for k in range(0, len(at), 1024):  # as many as a processor's cache holds
             lp[k : k + 1024] = self._softmax(h[k : k + 1024], self.qt, top[k : k + 1024])
@@ -424,70 +492,57 @@ SCORED = "uid long, doc_id long, word binary, salt long, tf long, n_tokens long,
 
 def _score_task(model: LanguageModel):
     """One row per text, then one for each of its words that the head lacks."""
-    cfg, own, head, tokens, distinct, params, tail, ends = model.cfg, model.own, model.head, model.tokens, model.distinct, model.params, model.tail, model.ends
+    cfg, tokens, distinct, params, tail, ends = model.cfg, model.tokens, model.distinct, model.params, model.tail, model.ends
     names = [x.split()[0] for x in SCORED.split(", ")]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    words, n_of = list(head), np.array(list(head.values()), np.float64)
+    known, n_of, encoder = pa.array(list(model.head), pa.binary()), np.array(list(model.head.values()), np.float64), Encoder(model.own, cfg)
 
     def run(batches):
         net = Network(params, cfg)
         log_all = np.log10(tokens + cfg.add * (distinct + 1))
         in_class = np.array([np.log10(n + cfg.add * (v + 1)) for n, v in tail])
-        known = {w: i for i, w in enumerate(words)}
-        code = np.array([own[w] if w in own else cfg.own + tail_class(w, cfg.tail_classes) for w in words], np.int64)
-        base_of = np.log10(n_of + cfg.add) - log_all
+        code = encoder(known)
         # an own word has its output, any other one a share of its class
-        share_of = np.where(code < cfg.own, 0.0, np.log10(n_of + cfg.add) - in_class[np.maximum(code - cfg.own, 0)]) if len(words) else np.empty(0)
+        share_of = np.where(code < cfg.own, 0.0, np.log10(n_of + cfg.add) - in_class[np.maximum(code - cfg.own, 0)])
+        base_of = np.log10(n_of + cfg.add) - log_all
+        code, base_of, share_of = np.append(code, 0), np.append(base_of, 0.0), np.append(share_of, 0.0)  # the last place: any other word
         end = np.log10(ends + cfg.add) - log_all
-        encode = Encoder({}, cfg)
+
+        def batch(n, **columns):
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if columns.get(c) is None else pa.array(columns[c], t) for c, t in zip(names, types)], names)
 
         def scored(uids, docs, texts):
-            rows, other, sizes = [], [], []
-            for t in texts:
-                ids = list(map(known.get, t))
-                rest = [w for w, i in zip(t, ids) if i is None] if None in ids else []
-                other.append(rest)
-                if rest:
-                    codes = iter(encode(rest))
-                    ids = [-next(codes) if i is None else i for i in ids]  # a tail class, negative
-                rows.append(ids)
-                sizes.append(len(t))
-            flat, _ = flat_of(rows)
-            met = flat >= 0
-            place = np.maximum(flat, 0)
-            if len(words):
-                base, share, codes = np.where(met, base_of[place], 0), np.where(met, share_of[place], 0), np.where(met, code[place], -flat)
-            else:
-                base, share, codes = np.zeros(len(flat)), np.zeros(len(flat)), -flat
-            cuts = np.cumsum([0, *sizes])
+            words, sizes = parted(texts)
+            found = pc.index_in(words, value_set=known)
+            place = pc.fill_null(found, -1).to_numpy()
+            codes, other = code[place], np.flatnonzero(place < 0)
+            rest = words.filter(pc.is_null(found))
+            codes[other] = cfg.own + tail_classes(rest, cfg.tail_classes)
             ids, at = laid_out(codes, sizes)
             lp = net.log_probs(ids, at) / np.log(10)
-            total = lambda x: np.concatenate(([0], np.cumsum(x)))
-            every, tb, ts, tk = total(lp), total(base), total(share), total(met)
-            out_cols: list[list] = [[] for _ in names]
-            for i, (u, doc) in enumerate(zip(uids, docs)):
-                a, b = cuts[i], cuts[i + 1]
-                nn = every[b + i + 1] - every[a + i] + ts[b] - ts[a]
-                for c, v in zip(out_cols, (u, doc, END, u + 1, 0, sizes[i] + 1, int(tk[b] - tk[a]) + (ends > 0), float(tb[b] - tb[a] + end), float(nn))):
-                    c.append(v)
-                rest = Counter(other[i])
-                m = len(rest)
-                if m:
-                    for c, v in zip(out_cols, ([u] * m, [None] * m, list(rest), [0] * m, list(rest.values()), *[[None] * m] * 4)):
-                        c.extend(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out_cols, types)], names)
+            i = np.arange(len(sizes))
+            last = np.cumsum(sizes) + i  # places of the ends
+            word = np.ones(len(at), bool)
+            word[last] = False
+
+            def total(of_word, of_end):
+                x = np.empty(len(at))
+                x[word], x[last] = of_word, of_end
+                return np.add.reduceat(x, last - sizes)
+
+            yield batch(
+                len(sizes), uid=uids, doc_id=docs, word=[END] * len(sizes), salt=uids.to_numpy() + 1, tf=np.zeros(len(sizes), np.int64),
+                n_tokens=sizes + 1, n_known=total(place >= 0, ends > 0).astype(np.int64), base=total(base_of[place], end), nn=np.add.reduceat(lp, last - sizes) + total(share_of[place], 0),
+            )
+            if len(other):
+                seen = rest.dictionary_encode()
+                pair, tf = np.unique(np.repeat(i, sizes)[other] * len(seen.dictionary) + seen.indices.to_numpy(), return_counts=True)
+                text, word = np.divmod(pair, len(seen.dictionary))
+                yield batch(len(pair), uid=uids.to_numpy()[text], word=seen.dictionary.take(pa.array(word)), salt=np.zeros(len(pair), np.int64), tf=tf)
 
         for b in batches:
-            held, n = ([], [], []), 0
-            for row in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for c, v in zip(held, (*row[:2], words_of(row[2]))):
-                    c.append(v)
-                n += len(held[2][-1])
-                if n > 50_000:
-                    yield scored(*held)
-                    held, n = ([], [], []), 0
-            if held[0]:
-                yield scored(*held)
+            for first, last in runs(b.column("text")):
+                yield from scored(*(b.column(c)[first:last] for c in ("uid", "doc_id", "text")))
 
     return run
 
