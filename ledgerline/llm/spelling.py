@@ -173,6 +173,12 @@ def _neighbour_task(symbols: int, most: int):
     return run
 
 
+def _join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """a join b by a shuffle of both sides, which all grow with the vocabulary. Left to itself, Spark broadcasts one that it sizes
+    too low: a neighbourhood as if it had a row for each word, a Parquet table at its compressed size."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def near(vocab: DataFrame, cfg: SpellingConfig = SpellingConfig()) -> DataFrame:
     """word, n, near, near_n: each two words of vocab that differ by one code point, once from either side. vocab is read
     several times, so pass a table."""
@@ -184,13 +190,13 @@ def near(vocab: DataFrame, cfg: SpellingConfig = SpellingConfig()) -> DataFrame:
         # any word stands for its reduced word, but two reduced words may share a code
         stand = coded.groupBy(reduced.alias("_reduced")).agg(F.min("word").alias("word")).select("word")
         around = stand.mapInArrow(_neighbour_task(symbols, 2_000_000), "low long, high long")
-        linked = around.join(classes.select(F.col("code").alias("high"), F.col("size").alias("high_size")), "high")
-        linked = linked.join(classes.select(F.col("code").alias("low"), F.col("size").alias("low_size")), "low").dropDuplicates(["low", "high"])
+        linked = _join(around, classes.select(F.col("code").alias("high"), F.col("size").alias("high_size")), "high")
+        linked = _join(linked, classes.select(F.col("code").alias("low"), F.col("size").alias("low_size")), "low").dropDuplicates(["low", "high"])
         links, _ = table(linked, "links")
         heavy = (F.col("low_size") * F.col("high_size") > cfg.pairs) if k + 1 < len(cfg.symbols) else F.lit(False)
         a = coded.select(F.col("code").alias("low"), "word", "n")
         b = coded.select(F.col("code").alias("high"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-        pairs = links.where(~heavy).select("low", "high").join(a, "low").join(b, "high")
+        pairs = _join(_join(links.where(~heavy).select("low", "high"), a, "low"), b, "high")
         pairs = pairs.where((F.col("low") != F.col("high")) | (F.col("word") < F.col("near")))
         pairs = pairs.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
         found = pairs if found is None else found.unionByName(pairs)
@@ -198,7 +204,7 @@ def near(vocab: DataFrame, cfg: SpellingConfig = SpellingConfig()) -> DataFrame:
         if not crowded.take(1):
             break
         some = crowded.select(F.explode(F.array("low", "high")).alias("code")).distinct()
-        left, _ = table(coded.join(some, "code", "left_semi").select("word", "n"), "crowded")
+        left, _ = table(_join(coded, some, "code", "left_semi").select("word", "n"), "crowded")
     both, _ = table(found.unionByName(found.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))), "near")
     return both.distinct() if k else both  # a pair of crowded words can also have been met in a lighter link
 
@@ -209,7 +215,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now, path = table(forms.select("word", F.coalesce("form", "word").alias("root")), "roots")
     while True:
         ahead = now.where(F.col("root") != F.col("word")).select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        new, old = now.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), path
+        new, old = _join(now, ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), path
         new, path = table(new, "roots")
         remove(forms.sparkSession, old)
         now = new.drop("_moved")
@@ -226,7 +232,7 @@ def variants(docs: DataFrame, cfg: SpellingConfig = SpellingConfig()) -> DataFra
     best = F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("w"))).alias("_best")
     met = near(vocab, cfg).groupBy("word").agg(F.count("*").alias("n_near"), best)
     holds = -F.col("_best.m") >= cfg.times * F.col("n")
-    out = vocab.join(met, "word", "left").select(
+    out = _join(vocab, met, "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
@@ -234,4 +240,4 @@ def variants(docs: DataFrame, cfg: SpellingConfig = SpellingConfig()) -> DataFra
         F.when(holds, -F.col("_best.m")).alias("form_n"),
     )
     out, _ = table(out, "variants")
-    return out.join(roots(out.select("word", "form")), "word").select("word", "form", "root", "n", "n_near", "form_n")
+    return _join(out, roots(out.select("word", "form")), "word").select("word", "form", "root", "n", "n_near", "form_n")

@@ -267,3 +267,16 @@ def test_typos_are_made_per_document(spark):
     got = {r.word: r.n for r in spelling.vocabulary(table(spark, rows)).collect()}
     assert got == slow_vocabulary(rows) and len(got) > 1
     assert spelling.vocabulary(table(spark, rows).withColumn("text", F.upper("text"))).where("word = 'spelling'").count() == 1
+
+
+def test_variants_broadcast_no_table(spark):
+    """A neighbourhood has some hundred rows for each word, and Spark sizes it as if it had one."""
+    rows = [(i, " ".join([f"{a}{b}cd{c}f"] * 5)) for i, (a, b, c) in enumerate((a, b, c) for a in "abcdé" for b in "xyz" for c in "aeiou")]
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = {x.executionId() for x in map(ran().apply, range(ran().size()))}
+    # two levels of the alphabet, so that crowded links are met too
+    assert spelling.variants(table(spark, rows), spelling.SpellingConfig(typo=0, symbols=(2, 256), pairs=1)).count() == len(rows)
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [x.physicalPlanDescription() for x in map(ran().apply, range(ran().size())) if x.executionId() not in before]
+    assert any("MapInArrow" in p for p in plans) and sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not any("Broadcast" in p for p in plans)
