@@ -72,14 +72,14 @@ def r05(spark, d):
 add("strong", "SELECT c.*, t_plus_min_runway, t_plus_min_margin, round(proba * 40 + (12 - least(greatest(t_plus_min_runway, 0), 12)) * 3 + least(greatest(shock_absorption_months - t_plus_min_runway, 0), 20) * 1.5, 6) AS demo_strength FROM calls c JOIN after_min USING (ein, fiscal_year)", "calls", "after_min")
 
 
-def strong(spark, d, top=30):
+def strong(spark, d):
     after = replay.after_minimum(panel(spark, d)).select(*KEY, "t_plus_min_runway", "t_plus_min_margin")
-    return replay.strength(calls(spark, d).join(after, KEY), top)
+    return replay.strength(calls(spark, d).join(after, KEY))
 
 
 @query("r06_strength_top", "SELECT ein, fiscal_year, demo_strength FROM strong ORDER BY demo_strength DESC, ein LIMIT 30", "strong")
 def r06(spark, d):
-    return strong(spark, d).select(*KEY, "demo_strength")
+    return replay.strongest(strong(spark, d)).select(*KEY, "demo_strength")
 
 
 @query(
@@ -100,7 +100,7 @@ def r07(spark, d):
     "strong",
 )
 def r08(spark, d):
-    return strong(spark, d, 1_000_000).select("ein", replay.narrative().alias("narrative"))
+    return strong(spark, d).select("ein", replay.narrative().alias("narrative"))
 
 
 @query("r09_second_model", "SELECT c.ein, c.fiscal_year, c.proba, t.proba2 FROM calls c LEFT JOIN test t USING (ein, fiscal_year)", "calls", "test")

@@ -14,7 +14,7 @@ from ledgerline.config import METRICS
 from ledgerline.operators import analogs, cohort, deid, merge, model, portfolio, replay
 from ledgerline.plans import order, reuse, stages
 from ledgerline.plans.reuse import scratch
-from ledgerline.queries import base, portfolio_views, risk, scoring
+from ledgerline.queries import base, portfolio_views, replaying, risk, scoring
 from ledgerline.queries import files as file_queries
 from ledgerline.sources import versions
 
@@ -378,3 +378,15 @@ def test_a_batch_row_of_an_own_key_in_another_partition_is_left_out(spark):
     one = versions.ingest(path, _rows(spark, [("a", 1, 2003, 9.0, "y"), ("b", 1, 2004, 8.0, "y")]), "m1", ["ein", "period"], fed())
     assert _state(spark, path) == [("a", 1, 2000, 1.0, None), ("b", 1, 2004, 8.0, "y"), ("b", 2, 2002, 2.0, "x")]
     assert all(one.parts[p] == zero.parts[p] for p in ("2000", "2002")) and "2003" not in one.parts and "2001" not in one.parts
+
+
+def test_every_call_has_its_narrative(spark, monkeypatch):
+    """More calls than the million that the query once stopped at; the strongest are still 30."""
+    n = 1_000_010
+    called = spark.range(n).selectExpr("cast(id AS string) AS ein", "2000 AS fiscal_year", "'AF' AS state", "'A' AS ntee_major_category", "0.5 AS proba", "4.0 AS shock_absorption_months")
+    later = spark.range(n).selectExpr("cast(id AS string) AS ein", "explode(array(2000, 2001)) AS fiscal_year", "id / 1e6 AS cash_runway_months", "-1.0 AS operating_margin_pct")
+    monkeypatch.setattr(replaying, "calls", lambda *_: called)
+    monkeypatch.setattr(replaying, "panel", lambda *_: later)
+    told = replaying.r08(spark, SF)
+    assert told.agg(F.count("narrative"), F.countDistinct("ein")).first() == (n, n)
+    assert [r.ein for r in replaying.r06(spark, SF).collect()] == [str(k) for k in range(30)]
